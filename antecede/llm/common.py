@@ -75,7 +75,7 @@ def drop_rows(docs: DataFrame, drop: DataFrame, repeats: DataFrame, key: str, ma
     drop, repeats: (doc_id, key), both already written. `repeats` names pairs that stay but occur in
     several equal rows.
     """
-    tag = f"__{key}"
+    tag = "__made"
     keyed = docs.withColumn(tag, made)
 
     def on(other: DataFrame) -> tuple[DataFrame, Column]:

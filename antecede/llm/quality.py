@@ -22,7 +22,7 @@ from antecede.llm.common import text_of, written
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 TREES, DEPTH = 30, 3
-LASSO = 0.002
+LASSO = 0.0005
 
 #: What a rule asks: (statistic, "<=" or ">", bound), all of them.
 Rule = tuple[tuple[str, str, float], ...]
