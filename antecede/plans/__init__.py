@@ -1,0 +1,4 @@
+"""The registered queries of the library, by family."""
+
+from antecede.plans import history  # noqa: F401
+from antecede.plans.registry import ORACLES, QUERIES  # noqa: F401
