@@ -1,4 +1,4 @@
 """The registered queries of the library, by family."""
 
-from antecede.plans import history, joins  # noqa: F401
+from antecede.plans import cleaning, history, joins, reshape  # noqa: F401
 from antecede.plans.registry import ORACLES, QUERIES  # noqa: F401
