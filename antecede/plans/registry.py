@@ -36,6 +36,9 @@ def nudged(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             comma = end if sql[end] == "," and depth == 1 else comma
             end += 1
+        if not comma:
+            out, at = out + sql[at:end], end
+            continue
         out += f"{sql[at:k]}round(({nudged(sql[k + 6 : comma])}) + 1e-9{sql[comma:end]}"
         at = end
     return out + sql[at:]
