@@ -140,21 +140,41 @@ def calibrate(fit: DataFrame, select: DataFrame, y: str, p: str) -> DataFrame:
     return out.withColumn("chosen", F.col("allowed") & (F.row_number().over(Window.orderBy(F.desc("allowed"), "log_loss", "method")) == 1))
 
 
+#: Cells of a two-level count.
+CELLS = 4096
+
+
+def counts_at_most(points: DataFrame, values: DataFrame, by: str) -> DataFrame:
+    """id, u, n: of the values (by, v) of a point's group, how many are at most its x, and how many there are. points: id, by, x.
+
+    Counted inside cells of the group's range first, then over its cells, so no group is put in order in one task. Points of groups without values are left out.
+    """
+    stats = values.groupBy(by).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.count("*").alias("__n"))
+    cell = F.coalesce(F.floor((F.col("x") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * CELLS), F.lit(0.0))
+    cell = F.when(F.col("x") < F.col("__lo"), -1).when(F.col("x") > F.col("__hi"), CELLS).otherwise(F.least(cell, F.lit(CELLS - 1))).cast("int")
+    rows = values.select(by, F.col("v").alias("x"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(0).alias("__point")).unionByName(points.select(by, "x", "id", F.lit(1).alias("__point")))
+    rows = rows.join(stats, by).withColumn("__c", cell)
+    inside = Window.partitionBy(by, "__c").orderBy("x", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__u", F.sum(1 - F.col("__point")).over(inside))
+    cells = rows.groupBy(by, "__c").agg(F.sum(1 - F.col("__point")).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.where("__point = 1").join(cells.select(by, "__c", before.alias("__before")), [by, "__c"]).select("id", (F.col("__u") + F.col("__before")).alias("u"), F.col("__n").alias("n"))
+
+
 def price_lines(lines: DataFrame, residuals: DataFrame, segments: list[str], pull: float = 50.0) -> DataFrame:
     """P(total under the line): the share of residuals at most line - mean, of the first segment kind that has any, drawn to the share of all by n / (n + pull).
 
-    lines: id, mean, line and the segments; residuals: residual and the segments. Sums are over distinct residuals of a segment.
+    lines: id, mean, line and the segments; residuals: residual and the segments.
     """
-    everything = residuals.withColumn("__all", F.lit("all"))
-    with_all = lines.withColumn("__all", F.lit("all"))
-    out = with_all.select("id", *lines.columns[1:], "__all")
+    out = lines.select("id")
     for s in (*segments, "__all"):
-        counts = everything.groupBy(s, "residual").agg(F.count("*").alias("__n"))
-        under = with_all.select("id", s, (F.col("line") - F.col("mean")).alias("__at")).join(counts, s).groupBy("id").agg(F.sum(F.when(F.col("residual") <= F.col("__at"), F.col("__n")).otherwise(0)).alias(f"u_{s}"), F.sum("__n").alias(f"n_{s}"))
-        out = out.join(under, "id", "left")
+        group = F.lit("all") if s == "__all" else F.col(s)
+        points = lines.select("id", group.alias("g"), (F.col("line") - F.col("mean")).alias("x"))
+        found = counts_at_most(points, residuals.select(group.alias("g"), F.col("residual").alias("v")), "g")
+        out = out.join(found.withColumnsRenamed({"u": f"u_{s}", "n": f"n_{s}"}), "id", "left")
     base = F.col("u___all") / F.col("n___all")
-    shrunk = [F.when(F.col(f"n_{s}") > 0, (F.col(f"u_{s}") / F.col(f"n_{s}") * F.col(f"n_{s}") + base * pull) / (F.col(f"n_{s}") + pull)) for s in segments]
-    return out.select("id", F.coalesce(*shrunk, base).alias("p_under"))
+    drawn = [F.when(F.col(f"n_{s}") > 0, (F.col(f"u_{s}") + base * pull) / (F.col(f"n_{s}") + pull)) for s in segments]
+    return out.select("id", F.coalesce(*drawn, base).alias("p_under"))
 
 
 def member_bounds(df: DataFrame, members: str, p: str, bound: Column) -> DataFrame:
