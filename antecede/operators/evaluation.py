@@ -212,7 +212,9 @@ def bootstrap_ratio(df: DataFrame, num: str, den: str, cluster: str, samples: in
 
 def paired_bootstrap(df: DataFrame, cohort: str, cluster: str, candidate: str, baseline: str, samples: int, confidence: float, seed: int = 7) -> DataFrame:
     """cohort, delta, upper: the relative loss over the baseline's mean, and its upper quantile at 1 - (1 - c) / k for k cohorts."""
-    names = [r[0] for r in df.select(cohort).distinct().orderBy(cohort).limit(1000).collect()]  # few by contract
+    names = [r[0] for r in df.select(cohort).distinct().orderBy(cohort).limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1,000 cohorts")
     level = 1 - (1 - confidence) / max(1, len(names))
     parts = []
     for n in names:

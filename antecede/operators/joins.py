@@ -122,7 +122,9 @@ def coverage_grid(rows: DataFrame, wanted: list[DataFrame], actions: DataFrame,
     """rows x each of the small tables `wanted`: captured if any action says so, unsupported if all say that, else missing."""
     grid = rows
     for w in wanted:
-        grid = grid.crossJoin(F.broadcast(w.limit(1000)))
+        if w.limit(1001).count() > 1000:
+            raise ValueError("a dimension of more than 1,000 rows would multiply every row")
+        grid = grid.crossJoin(F.broadcast(w))
     seen = actions.groupBy(*on).agg(F.bool_or(F.col(state) == "captured").alias("__c"), F.bool_and(F.col(state) == "unsupported").alias("__u"))
     return grid.join(seen, on, "left").withColumn("coverage", F.when(F.col("__c"), "captured").when(F.col("__u"), "unsupported").otherwise("missing")).drop("__c", "__u")
 
