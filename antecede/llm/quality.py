@@ -32,27 +32,30 @@ class Model(NamedTuple):
     rules: list[tuple[Rule, float]]
     intercept: float
 
-    def score(self, stats: str | None = None) -> Column:
-        """From the statistics, as columns or as fields of the struct `stats`."""
+    def score(self) -> Column:
+        """From the statistics as columns."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            total = total + F.when(holds(rule, stats), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
-def holds(rule: Rule, stats: str | None = None) -> Column:
-    of = lambda s: F.col(f"{stats}.{s}" if stats else s)
+def holds(rule: Rule) -> Column:
     out = None
     for s, op, bound in rule:
-        test = of(s) <= bound if op == "<=" else of(s) > bound
+        test = F.col(s) <= bound if op == "<=" else F.col(s) > bound
         out = test if out is None else out & test
     return out
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def measured(df: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and the statistics of the column `text`. Words and lines are split once, in a projection of their own."""
+    split = df.select(*keep, "text", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x != "").alias("lines"))
+    return split.select(*keep, *(c.alias(n) for n, c in statistics(*map(F.col, ("text", "words", "lines"))).items()))
+
+
+def statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     """Of a whole text; each is 0 for an empty one."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
     n_words, n_chars, n_lines = F.size(words), F.char_length(text), F.size(lines)
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
     gone = lambda c: n_chars - F.char_length(F.replace(text, F.lit(c), F.lit("")))
@@ -93,7 +96,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     here = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = written(here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    return written(texts.select("label", *(c.alias(n) for n, c in statistics(F.col("text")).items())), "training")
+    return written(measured(texts, "label"), "training")
 
 
 def tree_paths(node, names: tuple[str, ...], so_far: Rule = ()) -> list[Rule]:
@@ -138,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def with_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` in a struct `doc`, and `score`."""
-    measured = docs.select(F.struct(*keep).alias("doc"), F.struct(*(c.alias(n) for n, c in statistics(text_of()).items())).alias("stats"))
-    return measured.select("doc", model.score("stats").alias("score"))
+    texts = docs.select(F.struct(*keep).alias("doc"), text_of().alias("text"))
+    return measured(texts, "doc").select("doc", model.score().alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,4 +157,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns, that the classifier predicts to be good."""
-    return with_scores(docs, fit(docs, labels), docs.columns).where(F.col("score") >= threshold).select("doc.*")
+    scored = with_scores(docs, fit(docs, labels), docs.columns)
+    # A filter moves below projections and would measure a text anew for each use of a statistic; it can't pass what explode() makes.
+    return scored.select("doc", F.explode(F.array("score")).alias("score")).where(F.col("score") >= threshold).select("doc.*")

@@ -371,9 +371,6 @@ def test_quality(spark, junk, docs, empty):
 
 
 def test_statistics_of_an_empty_text_are_zero(spark):
-    from pyspark.sql import functions as F
-
-    made = quality.statistics(F.col("text"))
-    assert tuple(made) == quality.NAMES
-    row = spark.createDataFrame([("",)], "text string").select(*(c.alias(n) for n, c in made.items())).first()
-    assert set(row) == {0.0}
+    made = quality.measured(spark.createDataFrame([("",)], "text string"))
+    assert tuple(made.columns) == quality.NAMES
+    assert set(made.first()) == {0.0}
