@@ -12,10 +12,12 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 #: Pieces remembered in each Python worker.
-MEMO = 600_000
+MEMO = 1_500_000
+#: Characters of a piece that is remembered, at most.
+PIECE = 64
 #: Characters of a text that are cut up at a time.
 BLOCK = 1 << 20
 
@@ -23,17 +25,48 @@ BLOCK = 1 << 20
 # U+0130 lower-cases to two characters. "<|" may begin a special token. Both go the long way.
 ODD_FOR_WORDS = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
 # Here a space belongs to the word after it, and a run of white space is split by what follows it.
-ODD_FOR_SPACED = re.compile("[^\n\x20-\x7e\xa1-ɏ]|<\\||\\s\\s|^\\s|\\s\\Z")
+ODD_FOR_SPACED = re.compile("[^\n\x20-\x7e\xa1-ɏ]|<\\|")
+STOPS = (".", ",")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+
+
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable Latin-1 as itself, the others by counting on from 256."""
+    shown = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+SWAP = array.array("H", [1]).tobytes() != b"\x01\x00"
 
 
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""
     out = array.array("I", ids)
-    if array.array("H", [1]).tobytes() != b"\x01\x00":
+    if SWAP:
         out.byteswap()
     return out.tobytes()
 
 
+class Memo(dict):
+    """Pieces and their ids; what isn't there yet is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= PIECE:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,10 +81,16 @@ class Encoder:
             self.odd = ODD_FOR_SPACED
         elif before and [x["type"] for x in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and words["type"] == "Sequence" and words["pretokenizers"][0]["behavior"] == "Removed":
             self.odd = ODD_FOR_WORDS
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._piece)
+
+    def ordinary(self, text: str) -> bool:
+        """Whether the text can be cut up."""
+        if self.odd is None or self.odd.search(text):
+            return False
+        return self.odd is ODD_FOR_WORDS or not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in RUNS))
 
     def pieces(self, text: str) -> Iterator[list[str]]:
-        """Cut at single spaces (or any white space, if it is dropped anyway), a block at a time."""
+        """Cut at white space that is dropped anyway, or before single spaces and around line ends; a block at a time."""
         start = 0
         while start < len(text):
             end = len(text) if start + BLOCK >= len(text) else text.find(" ", start + BLOCK)
@@ -59,61 +98,36 @@ class Encoder:
             if self.odd is ODD_FOR_WORDS:
                 yield text[start:end].lower().split()
             else:
-                first, *rest = text[start:end].split(" ")  # later blocks begin with their space
-                yield ([first] if first else []) + [" " + x for x in rest]
+                out: list[str] = []
+                for k, line in enumerate(text[start:end].split("\n")):
+                    first, *rest = line.split(" ")  # later blocks begin with their space
+                    out += ["\n"] * (k > 0) + [first] * (first != "") + [" " + x for x in rest]
+                yield out
             start = end
 
-    def _learn(self, texts: list[str]) -> None:
-        new = set().union(*(x for text in texts for x in self.pieces(text))).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*(x for text in texts for x in self.pieces(text)))
-        mark, model = ("Ġ", self.library.model) if self.odd is ODD_FOR_SPACED else ("", self.library.model)
-        rest = []
-        for x in new:
-            word = x[1:] if mark and x[:1] == " " else x
-            if word.isascii() and word.isalpha():  # one pre-token, whose bytes stand for themselves
-                self.memo[x] = packed([t.id for t in model.tokenize(mark + word if word is not x else word)])
-            else:
-                rest.append(x)
-        for x, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.memo[x] = packed(e.ids)
+    def _piece(self, x: str) -> bytes:
+        """The ids of one piece. A run of letters, with its space, is one pre-token, and a full stop or comma after it another."""
+        if x[-1:] in STOPS and x[-2:-1].isalpha():
+            return self.memo[x[:-1]] + self.memo[x[-1]]
+        word = x[1:] if x[:1] == " " else x
+        if not word.isalpha():
+            return packed(self.library.encode(x, add_special_tokens=False).ids)
+        letters = x if word is x and x.isascii() else "".join(map(BYTE_LETTERS.__getitem__, x.encode()))
+        return packed([t.id for t in self.library.model.tokenize(letters)])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        if self.ordinary(text):
+            get = self.memo.__getitem__
+            return b"".join([b"".join(map(get, x)) for x in self.pieces(text)])
+        from antecede.llm.token_counts import CHUNK, spliced
+
+        if len(text) <= CHUNK or self.odd is None:
+            return packed(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(packed(x) for x in spliced(self, text))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        plain = [self.odd is not None and not self.odd.search(x) for x in texts]
-        out: list[bytes] = []
-        waiting: list[str] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal size
-            self._learn(waiting)
-            out.extend(b"".join(b"".join(map(self.memo.__getitem__, x)) for x in self.pieces(text)) for text in waiting)
-            waiting.clear()
-            size = 0
-
-        for text, fast in zip(texts, plain, strict=True):
-            if fast and len(text) <= 4 * BLOCK:
-                waiting.append(text)
-                size += len(text)
-                if size > 4 * BLOCK:
-                    flush()
-                continue
-            flush()
-            if fast:
-                parts = []
-                for x in self.pieces(text):
-                    part = " ".join(x) if self.odd is ODD_FOR_WORDS else "".join(x)
-                    self._learn([part])
-                    parts.append(b"".join(map(self.memo.__getitem__, x)))
-                out.append(b"".join(parts))
-            else:
-                from antecede.llm.token_counts import CHUNK, spliced
-
-                out.append(packed(self.library.encode(text, add_special_tokens=False).ids) if len(text) <= CHUNK or self.odd is None else b"".join(packed(x) for x in spliced(self, text)))
-        flush()
-        return out
+        return [self.encode(x) for x in texts]
 
 
 @functools.cache
