@@ -11,7 +11,7 @@ connected components come from joins and minima until nothing changes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -176,10 +176,15 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """doc_id, key, fp, component_id: one row for each row of `docs`."""
-    rows = fingerprints(docs, width, seed).withColumn("run", run_of(F.struct("doc_id", "key")))
+    return grouped(fingerprints(docs, width, seed), lambda fps: near_pairs(fps, radius))
+
+
+def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """component_id beside the written `rows` (doc_id, key, fp); `links` has pairs u, v of the distinct fp."""
+    rows = rows.withColumn("run", run_of(F.struct("doc_id", "key")))
     dealt = written(rows.groupBy("run", "fp").agg(F.min("doc_id").alias("doc_id")), "dealt")
     fps = written(dealt.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    joined = components(written(near_pairs(fps, radius), "pairs"))
+    joined = components(written(links(fps), "pairs"))
     roots = fps.join(joined.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     # A component's smallest doc_id; components are dealt by a hash too, as one may hold very many fingerprints.
     roots = written(roots, "roots")
@@ -203,7 +208,12 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
 
 def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """The rows of `docs`, with all their columns, whose doc_id is that of their component."""
-    pairs = near_duplicates(docs, width, seed, radius).groupBy("doc_id", "key").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    return keep_one(docs, near_duplicates(docs, width, seed, radius))
+
+
+def keep_one(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is that of their component in `labelled`."""
+    pairs = labelled.groupBy("doc_id", "key").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
     kept = F.col("doc_id").eqNullSafe(F.col("c"))
     pairs = written(pairs.withColumn("kept", kept), "near")
     return drop_rows(docs, pairs.where("NOT kept"), pairs.where("kept AND n > 1"), "key", F.xxhash64(ascii_lower(text_of())))
