@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from antecede.llm.common import sized_broadcast, table, written
 
-#: Labels of a host that are looked up at most, from the right; a longer host is looked up whole, too.
-DEPTH = 8
-
 
 def bare(url: Column) -> Column:
     """Host in lower case and path, without scheme, user, port, query, fragment and a slash at the end."""
@@ -31,8 +28,7 @@ def keys(bare_url: Column) -> Column:
     """What a list can name a URL by, without repeats."""
     host = host_of(bare_url)
     labels = F.split(host, r"\.")
-    deep = F.least(F.size(labels), F.lit(DEPTH))
-    parents = F.when(deep >= 2, F.transform(F.sequence(F.lit(2), deep), lambda n: F.array_join(F.slice(labels, -n, n), "."))).otherwise(F.array().cast("array<string>"))
+    parents = F.when(F.size(labels) >= 2, F.transform(F.sequence(F.lit(2), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(parents, F.array(host, bare_url)))
 
 
