@@ -1,7 +1,7 @@
 """Token ids of whole texts, exactly as the `tokenizers` library gives them.
 
-Texts of ordinary characters are cut at white space where no pre-token can span the cut; each
-distinct piece is encoded by the library once and remembered. Every other text goes to the library
+Texts of ordinary characters are cut at white space where no pre-token can span the cut; a
+piece that was met lately is remembered with its ids. Every other text goes to the library
 whole or, if it is huge, in overlapping chunks (`token_counts.spliced`).
 """
 
@@ -14,8 +14,10 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
-#: Pieces remembered in each Python worker.
-MEMO = 1_500_000
+#: Bytes of pieces and their ids that each Python worker remembers, about.
+MEMO = 96 << 20
+#: What a remembered piece takes besides its characters and ids: two objects' heads and a place in a table.
+HEADS = 150
 #: Characters of a piece that is remembered, at most.
 PIECE = 64
 #: Characters of a text that are cut up at a time.
@@ -26,7 +28,9 @@ BLOCK = 1 << 20
 ODD_FOR_WORDS = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
 # Here a space belongs to the word after it, and a run of white space is split by what follows it.
 ODD_FOR_SPACED = re.compile("[^\n\x20-\x7e\xa1-ɏ]|<\\|")
-STOPS = (".", ",")
+#: Signs that, after a letter and up to a piece's end, are a pre-token of their own.
+SIGNS = ".,;:!?&%#|)"
+SPACED = re.compile("\n| ?[^ \n]+").findall
 RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -52,16 +56,28 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """Pieces and their ids; what isn't there yet is encoded when it is asked for."""
+    """Pieces and their ids; what isn't there yet is encoded when it is asked for.
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    There are two halves: this one fills up, and then becomes the older one, whose former pieces go
+    if they weren't asked for meanwhile. Together they are bounded in bytes.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = MEMO):
         super().__init__()
-        self.encode = encode
+        self.encode, self.half, self.older, self.held = encode, most // 2, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece[-1] in SIGNS:
+                word = piece.rstrip(SIGNS)
+                if word[-1:].isalpha():
+                    return self[word] + self[piece[len(word) :]]  # found again as quickly, and takes no room
+            ids = self.encode(piece)
         if len(piece) <= PIECE:
-            if len(self) >= MEMO:
+            self.held += HEADS + len(piece) + len(ids)
+            if self.held > self.half:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[piece] = ids
         return ids
@@ -81,6 +97,7 @@ class Encoder:
             self.odd = ODD_FOR_SPACED
         elif before and [x["type"] for x in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and words["type"] == "Sequence" and words["pretokenizers"][0]["behavior"] == "Removed":
             self.odd = ODD_FOR_WORDS
+        self.tokenize = self.library.model.tokenize
         self.memo = Memo(self._piece)
 
     def ordinary(self, text: str) -> bool:
@@ -98,22 +115,15 @@ class Encoder:
             if self.odd is ODD_FOR_WORDS:
                 yield text[start:end].lower().split()
             else:
-                out: list[str] = []
-                for k, line in enumerate(text[start:end].split("\n")):
-                    first, *rest = line.split(" ")  # later blocks begin with their space
-                    out += ["\n"] * (k > 0) + [first] * (first != "") + [" " + x for x in rest]
-                yield out
+                yield SPACED(text, start, end)  # later blocks begin with their space
             start = end
 
     def _piece(self, x: str) -> bytes:
-        """The ids of one piece. A run of letters, with its space, is one pre-token, and a full stop or comma after it another."""
-        if x[-1:] in STOPS and x[-2:-1].isalpha():
-            return self.memo[x[:-1]] + self.memo[x[-1]]
-        word = x[1:] if x[:1] == " " else x
-        if not word.isalpha():
+        """The ids of one piece. A run of letters, with its space, is one pre-token."""
+        if not (x[1:] if x[0] == " " else x).isalpha():
             return packed(self.library.encode(x, add_special_tokens=False).ids)
-        letters = x if word is x and x.isascii() else "".join(map(BYTE_LETTERS.__getitem__, x.encode()))
-        return packed([t.id for t in self.library.model.tokenize(letters)])
+        letters = x if self.odd is ODD_FOR_WORDS and x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return packed([t.id for t in self.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
