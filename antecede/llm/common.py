@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from antecede.sources.tables import shared_folder, written  # noqa: F401
 
-#: Rows in one Arrow batch sent to a Python worker. Texts vary from a few bytes to megabytes, so
-#: the default of 10,000 rows does not bound a worker's memory.
-ARROW_ROWS = 512
+#: Rows of an Arrow batch that a function holds as Python objects at a time. The batch itself is bounded in bytes by
+#: spark.sql.execution.arrow.maxBytesPerBatch, which has a default.
+SLICE = 512
 
 #: A side of at most this many narrow rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
@@ -30,10 +32,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
 
 
 def sized_broadcast(df: DataFrame) -> DataFrame:
@@ -54,6 +57,39 @@ def run_of(identifier: Column, runs: int = RUNS) -> Column:
     return F.pmod(F.xxhash64(identifier), F.lit(runs)).cast("int")
 
 
+def looked_up(rows: DataFrame, verdicts: DataFrame, key: str, spread: Column) -> DataFrame:
+    """`rows` joined with the one row that `verdicts` has for each `key`, which may be common to very many rows.
+
+    Rows are dealt into runs by a hash of `spread`. A verdict goes to each run that has its key, once; so no task of the
+    join with the rows gets a key's rows whole. `verdicts` may lack keys; the rows of those are left out.
+    """
+    dealt = rows.withColumn("__run", run_of(spread))
+    by_run = dealt.select("__run", key).distinct().join(verdicts, key)
+    return dealt.join(by_run, ["__run", key]).drop("__run")
+
+
+#: Bits of a bucket of a bitmap, as bitmap_bit_position() counts them, and the most buckets: 2^28 bits, or 32 MB.
+BUCKET_BITS, MOST_BUCKETS = 32_768, 8_192
+
+
+def marked(rows: DataFrame, key: Column, chosen: DataFrame, chosen_key: Column) -> DataFrame:
+    """`rows` with `__may`: whether `key` (a long) may be among `chosen_key` of the written `chosen`; never false for one that is.
+
+    A bitmap of hashes, about 32 bits for each chosen row and 32 MB at most, is broadcast; so texts that aren't chosen take
+    part in no shuffle, and the few that only seem to be are sorted out by the join that follows.
+    """
+    buckets = 1
+    while buckets < MOST_BUCKETS and buckets * BUCKET_BITS < 32 * chosen.count():
+        buckets *= 2
+    bit = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets * BUCKET_BITS))
+    bucket, place = F.floor(F.col("__bit") / BUCKET_BITS).cast("int").alias("__bucket"), F.col("__bit") % BUCKET_BITS
+    maps = written(chosen.select(bit(chosen_key).alias("__bit")).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias("__bits")), "bitmap")
+    placed = rows.withColumn("__bit", bit(key)).withColumn("__bucket", bucket).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = placed.withColumn("__byte", byte).withColumn("__may", F.coalesce(F.expr("shiftright(__byte, cast(__bit % 8 AS int)) & 1 = 1"), F.lit(False)))
+    return may.drop("__bucket", "__bit", "__bits", "__byte")
+
+
 def drop_rows(docs: DataFrame, drop: DataFrame, repeats: DataFrame, key: str, made: Column) -> DataFrame:
     """`docs` without the rows whose (doc_id, `made`) is in `drop`, and with one row for each in `repeats`.
 
@@ -61,15 +97,12 @@ def drop_rows(docs: DataFrame, drop: DataFrame, repeats: DataFrame, key: str, ma
     several equal rows.
     """
     tag = "__made"
-    keyed = docs.withColumn(tag, made)
-
-    def on(other: DataFrame) -> tuple[DataFrame, Column]:
-        other = other.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key"))
-        return sized_broadcast(other), keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed[tag] == F.col("__key"))
-
-    out = keyed.join(*on(drop), "left_anti")
-    if repeats.isEmpty():
-        return out.drop(tag)
-    other, same = on(repeats)
-    once = keyed.join(other, same, "left_semi").dropDuplicates(["doc_id", tag])
-    return out.join(other, same, "left_anti").unionByName(once).drop(tag)
+    same = lambda a: a["doc_id"].eqNullSafe(F.col("__id")) & (a[tag] == F.col("__key"))
+    named = lambda other: other.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key"))
+    both = written(named(drop).withColumn("__drop", F.lit(True)).unionByName(named(repeats).withColumn("__drop", F.lit(False))), "verdicts")
+    keyed = marked(docs.withColumn(tag, made), F.xxhash64("doc_id", tag), both, F.xxhash64("__id", "__key"))
+    asked = keyed.where("__may").drop("__may")
+    out = keyed.where("NOT __may").drop("__may").unionByName(asked.join(both, same(asked), "left_anti"))
+    if not repeats.isEmpty():
+        out = out.unionByName(asked.join(both.where("NOT __drop"), same(asked), "left_semi").dropDuplicates(["doc_id", tag]))
+    return out.drop(tag)

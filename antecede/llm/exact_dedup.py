@@ -1,18 +1,20 @@
-"""Operator 5: exact deduplication by a tree-merge of digest runs, in built-in functions only.
+"""Operator 5: exact deduplication by a tree-merge of sorted digest runs, in built-in functions only.
 
 Rows are dealt into runs by a hash of their identifier. Within a run, equal digests become one entry
-with its best identifier and its size; then runs are merged, `fan_in` at a time, in rounds, until
-one is left. An entry's key holds the SHA-256 digest with the text's length and an independent
-64-bit hash, so that every merge at every level verifies more than the digest. The verdict goes back
-down the same way: from the key to its entry in each first run, and from there to the rows, so that
-a text with a third of all rows is spread over all runs in both directions.
+with its best identifier and its size. The runs are then cut into ranges of the digest, one for each
+task, and sorted there; so a task holds its range of every run, and partner runs (r and r + 2^k in
+round k) are merged in place, sorted with sorted, in binomial rounds until one run is left: one
+exchange of entries for all rounds. An entry's key holds the SHA-256 digest with the text's length
+and an independent 64-bit hash, so that every merge at every level verifies more than the digest.
+The verdict goes back down the same way: from the last run to its entry in each first run, and from
+there to the rows, so that a text with a third of all rows is spread over all runs in both directions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from antecede.llm.common import RUNS, ascii_lower, run_of, text_of, written
+from antecede.llm.common import RUNS, ascii_lower, drop_rows, run_of, text_of, written
 
 KEY = ["digest", "n_bytes", "witness"]
 
@@ -31,27 +33,33 @@ def digests(docs: DataFrame) -> DataFrame:
     return written(rows.withColumn("run", F.when(F.col("doc_id").isNull(), F.pmod("tag", F.lit(RUNS))).otherwise(F.col("run")).cast("int")), "digests")
 
 
-def merge_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = 16) -> tuple[DataFrame, DataFrame]:
-    """The entries of the first runs, and those of the single last run (keep: doc_id and tag; size)."""
-    first = rows.groupBy("run", *KEY).agg(F.max(F.struct("doc_id", "tag")).alias("keep"), F.count("*").alias("size"))
+def first_runs(rows: DataFrame) -> DataFrame:
+    """run, key, keep (doc_id and tag) and size of each entry, dealt by digest and sorted: a run is a stretch of equal `run`."""
+    entries = rows.groupBy("run", *KEY).agg(F.max(F.struct("doc_id", "tag")).alias("keep"), F.count("*").alias("size"))
+    return entries.repartition(*KEY).sortWithinPartitions("run", *KEY)
+
+
+def merge_runs(first: DataFrame, runs: int = RUNS, fan_in: int = 2) -> DataFrame:
+    """The entries of the single last run. The dealing by digest outlives each round, so no round exchanges again."""
     level = first
     while runs > 1:
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *KEY).agg(F.max("keep").alias("keep"), F.sum("size").alias("size"))
+        partner = F.floor(F.col("run") / fan_in).cast("int").alias("run")
+        level = level.groupBy(partner, *KEY).agg(F.max("keep").alias("keep"), F.sum("size").alias("size"))
         runs = -(-runs // fan_in)
-    return first, level
+    return level
 
 
-def groups(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+def groups(docs: DataFrame, fan_in: int = 2) -> DataFrame:
     """doc_id, tag, digest, witness, keep_id, group_size, kept: one row for each row of `docs`."""
     rows = digests(docs)
-    first, last = merge_runs(rows, RUNS, fan_in)
-    verdicts = first.select("run", *KEY).join(last.select(*KEY, "keep", "size"), KEY)
+    first = first_runs(rows)
+    verdicts = first.select("run", *KEY).join(merge_runs(first, RUNS, fan_in).select(*KEY, "keep", "size"), KEY)
     return rows.join(verdicts, ["run", *KEY]).select(
         "doc_id", "tag", "digest", "witness", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("tag") == F.col("keep.tag")).alias("kept")
     )
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = 2) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of `docs`.
 
     Texts are equal if they are after lower-casing A-Z; null counts as empty. The row with the
@@ -61,10 +69,8 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     return groups(docs, fan_in).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, fan_in: int = 16) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay."""
-    from antecede.llm.common import drop_rows
-
+def without_copies(docs: DataFrame, fan_in: int = 2) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay; of equal rows one. Nulls, ties and empty tables as above."""
     pairs = groups(docs, fan_in).groupBy("doc_id", "witness").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     pairs = written(pairs, "verdicts")
     return drop_rows(docs, pairs.where("NOT kept"), pairs.where("kept AND n > 1"), "witness", F.xxhash64(ascii_lower(text_of())))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from antecede.llm.common import small_batches, text_of
+from antecede.llm.common import slices, text_of
 
 UNIT = 192
 RATE = 8000
@@ -82,10 +82,9 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text counts as empty, so its payload is UNIT blanks; one row for each row of `docs`.
     """
-    small_batches(docs.sparkSession)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [x or b"" for x in batch.column("raw").to_pylist()]
             media = [to_wav(x + b" " * (-len(x) % UNIT if x else UNIT)) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -95,11 +94,10 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def media_features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload and media sizes and digests, and `codes` as read back from the stored files."""
-    small_batches(media.sparkSession)
     kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codes": pa.list_(pa.int64())}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for stored in batch.column("media"):
                 stored = stored.as_py()
@@ -112,7 +110,10 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """The features with their codes as one string: how many, and the digest of their values in order."""
+    """The features, with the time-coded `codes` themselves and `feature`: how many, and the digest of their values in order.
+
+    Equal texts give equal values; a null text counts as empty; no rows give no rows. Other columns are not read.
+    """
     rows = media_features(to_media(docs))
     feature = F.concat_ws(":", F.size("codes").cast("string"), F.sha2(F.array_join(F.transform("codes", lambda x: x.cast("string")), ","), 256))
-    return rows.withColumn("feature", feature).drop("codes")
+    return rows.withColumn("feature", feature)

@@ -1,12 +1,14 @@
 """Operator 6: mixing sources to target weights by Pareto order sampling, in built-in functions only.
 
 Each source gets a target of words: a share of the mix by weight, stopped at a multiple of its size.
-A document of a source with rate r = target / size is expected in the mix r times: floor(r) whole
-copies are certain, and one more has the inclusion odds of the rest, which differ between sources. A
-document's rank is its random odds u / (1 - u) over those inclusion odds, with u from a hash of its
-doc_id; the lowest ranks are taken until the source's words are met, so samples are of fixed size.
-Ranks are cut into cells that are summed first, and only the cell in which a source's target falls
-is put in order.
+A document of a source with rate r = target / size is expected in the mix r times on average: floor(r)
+whole copies are certain for each of its documents, and one more is drawn for the rest of the words.
+Documents are drawn with unequal odds: an inclusion probability grows with the number of binary
+digits of a document's words (its class), scaled so that the expected words meet the rest, where those
+that would go over 1 are certain. A document's rank is its random odds u / (1 - u) over its own
+inclusion odds, with u from a hash of its doc_id; the lowest ranks are taken until the rest is met, so
+samples are of fixed size. Ranks are cut into cells that are summed first, and only the cell in which
+a source's target falls is put in order.
 """
 
 from __future__ import annotations
@@ -54,15 +56,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Each document's size and u, and for each source: size, target, whole copies, odds and the last rank taken."""
+def digits(size: Column) -> Column:
+    """The class of a document, by which its inclusion probability grows."""
+    return F.length(F.bin(size)).cast("int")
+
+
+def inclusion(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """__source, __class, p: the inclusion probability of one more copy, for each class of the sources that draw.
+
+    p = min(1, level * class), and the level lets the expected words meet `rest`. Higher classes reach 1 first, so the
+    level comes from sums over a source's classes in falling order, of which there are as many as a long has digits.
+    """
+    classes = rows.where("size > 0").groupBy("source", digits(F.col("size")).alias("class")).agg(F.sum("size").alias("words"))
+    drawn = wanted.where("part > 0").select(F.col("source").alias("__source"), "rest")
+    joined = classes.join(sized_broadcast(drawn), F.col("source").eqNullSafe(F.col("__source")))
+    falling = Window.partitionBy("__source").orderBy(F.desc("class"))
+    above = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum(F.col("class") * F.col("words")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    tried = joined.withColumn("level", (F.col("rest") - above) / onward)
+    held = F.max(F.when(F.col("level") * F.col("class") < 1, F.struct("class", "level"))).over(Window.partitionBy("__source"))
+    levelled = tried.withColumn("held", held)
+    p = F.when(F.col("held").isNull() | (F.col("class") > F.col("held.class")), F.lit(1.0)).otherwise(F.col("held.level") * F.col("class"))
+    return levelled.select("__source", F.col("class").alias("__class"), p.alias("p"))
+
+
+def ranked(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """`rows` (source, size, u) with their inclusion probability and rank; null where nothing is drawn."""
+    same = F.col("source").eqNullSafe(F.col("__source")) & (digits(F.col("size")) == F.col("__class"))
+    return rows.join(odds, same, "left").withColumn("rank", pareto_rank()).drop("__source", "__class", "p")
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each document's size and u; for each source: size, target, whole copies and the last rank taken; the inclusion probabilities."""
     rows = written(docs.select("doc_id", "source", word_count().alias("size"), uniform(seed).alias("u")), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sizes, weights, share, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     wanted = wanted.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     wanted = written(wanted.coalesce(1), "targets")
-    partial = sized_broadcast(wanted.where("part > 0").select(F.col("source").alias("__source"), "part", "rest"))
-    drawn = rows.where("size > 0").join(partial, F.col("source").eqNullSafe(F.col("__source"))).withColumn("rank", pareto_rank())
+    odds = sized_broadcast(written(inclusion(rows, wanted).coalesce(1), "odds"))
+    partial = sized_broadcast(wanted.where("part > 0").select(F.col("source").alias("__of"), "rest"))
+    drawn = ranked(rows.where("size > 0"), odds).join(partial, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
     cells = drawn.withColumn("cell", cell()).groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     so_far = Window.partitionBy("source").orderBy("cell")
     edge = cells.withColumn("upto", F.sum("words").over(so_far)).where("upto >= rest AND upto - words < rest").select(F.col("source").alias("__s"), F.col("cell").alias("__c"), (F.col("upto") - F.col("words")).alias("before"))
@@ -76,11 +109,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: float,
     limits = last.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("limit"))
     floor = edge.select(F.col("__s").alias("source"), F.col("__c").alias("edge"))
     chosen = wanted.alias("w").join(limits.alias("l"), F.col("w.source").eqNullSafe(F.col("l.source")), "left").join(floor.alias("f"), F.col("w.source").eqNullSafe(F.col("f.source")), "left")
-    return rows, written(chosen.select(F.col("w.source").alias("__source"), "source_size", "target", "whole", "part", "limit", "edge").coalesce(1), "plan")
+    chosen = chosen.select(F.col("w.source").alias("__of"), "source_size", "target", "whole", "part", "limit", "edge")
+    return rows, sized_broadcast(written(chosen.coalesce(1), "plan")), odds
 
 
 def pareto_rank() -> Column:
-    return F.when(F.col("part") > 0, F.col("u") / (1 - F.col("u")) / (F.col("part") / (1 - F.col("part"))))
+    """Of `u` and the inclusion probability `p`; what is certain comes first."""
+    return F.when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
 
 
 def cell() -> Column:
@@ -90,26 +125,29 @@ def cell() -> Column:
 def copies_taken() -> Column:
     """Copies of a document, from its rank and its source's plan."""
     mine = F.struct("rank", "doc_id", "size")
-    drawn = F.when(F.col("part") <= 0, F.lit(0)).when(F.col("limit").isNotNull(), (mine <= F.col("limit")).cast("int")).when(F.col("edge").isNotNull(), (cell() < F.col("edge")).cast("int")).otherwise(F.lit(1))
+    drawn = F.when((F.col("part") <= 0) | F.col("rank").isNull(), F.lit(0)).when(F.col("limit").isNotNull(), (mine <= F.col("limit")).cast("int")).when(F.col("edge").isNotNull(), (cell() < F.col("edge")).cast("int")).otherwise(F.lit(1))
     return F.col("whole") + F.coalesce(drawn, F.lit(0))
 
 
+def with_copies(rows: DataFrame, chosen: DataFrame, odds: DataFrame) -> DataFrame:
+    joined = ranked(rows, odds).join(chosen, F.col("source").eqNullSafe(F.col("__of"))).withColumn("copies", copies_taken())
+    return joined.drop("__of", "rank")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of `docs`.
 
-    A null text has 0 words; a null source is a source of its own, the last; equal doc_ids draw the
-    same number and are taken in order of size; a source without words has the target 0 and its
-    documents are taken as often as its rate of 0 says, never. Reruns agree.
+    A null text has 0 words and is never drawn; a null source is a source of its own, the last; equal
+    doc_ids draw the same number and are taken in order of size; a source without words has the target
+    0 and its documents are never taken; no rows give no rows. Other columns are not read. Reruns agree.
     """
-    rows, chosen = plan(docs, weights, share, most, seed)
-    joined = rows.join(sized_broadcast(chosen), F.col("source").eqNullSafe(F.col("__source"))).withColumn("rank", pareto_rank())
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies_taken().alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    rows, chosen, odds = plan(docs, weights, share, most, seed)
+    return with_copies(rows, chosen, odds).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as it is taken."""
-    _, chosen = plan(docs, weights, share, most, seed)
+    """The mix itself: the rows of `docs`, each as often as `mix` takes it."""
+    _, chosen, odds = plan(docs, weights, share, most, seed)
     made = F.struct(word_count().alias("size"), uniform(seed).alias("u"))
     inner = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", made.alias("made")).select("doc", "doc_id", "source", "made.*")
-    joined = inner.join(sized_broadcast(chosen), F.col("source").eqNullSafe(F.col("__source"))).withColumn("rank", pareto_rank()).withColumn("copies", copies_taken())
-    return joined.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")
+    return with_copies(inner, chosen, odds).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from antecede.llm.common import RUNS, run_of, small_batches, written
+from antecede.llm.common import RUNS, run_of, slices, written
 from antecede.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -25,12 +25,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Each document's ids and `end_id`, cut into pieces of `capacity`; the last may be shorter."""
-    small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.batch(texts), strict=True):

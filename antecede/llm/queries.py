@@ -106,15 +106,27 @@ WITH sized AS (
     SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM wanted
 ), odds AS (
     SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part, target - floor(rate) * source_size AS rest FROM rated
+), classes AS (
+    SELECT s.source, length(bin(size)) AS class, sum(size)::BIGINT AS words, any_value(rest) AS rest
+    FROM sized s JOIN odds o ON s.source IS NOT DISTINCT FROM o.source WHERE size > 0 AND part > 0 GROUP BY s.source, length(bin(size))
+), tried AS (
+    SELECT *, (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+              / sum(class * words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+    FROM classes
+), stopped AS (
+    SELECT source AS held_source, max(class) AS held_class, arg_max(level, class) AS held_level FROM tried WHERE level * class < 1 GROUP BY source
+), chances AS (
+    SELECT source, class, CASE WHEN held_class IS NULL OR class > held_class THEN 1.0::DOUBLE ELSE held_level * class::DOUBLE END AS p
+    FROM tried LEFT JOIN stopped ON source IS NOT DISTINCT FROM held_source
 ), ranked AS (
-    SELECT s.*, source_size, target, whole, part, rest, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank
-    FROM sized s JOIN odds o ON s.source IS NOT DISTINCT FROM o.source
+    SELECT s.*, source_size, target, whole, part, rest, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank
+    FROM sized s JOIN odds o ON s.source IS NOT DISTINCT FROM o.source LEFT JOIN chances c ON s.source IS NOT DISTINCT FROM c.source AND length(bin(size)) = class
 ), running AS (
-    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
 )
 SELECT doc_id, source, size, source_size, target,
-       whole + CASE WHEN part > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END AS copies,
-       size * (whole + CASE WHEN part > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END) AS taken
+       whole + CASE WHEN part > 0 AND rank IS NOT NULL AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END AS copies,
+       size * (whole + CASE WHEN part > 0 AND rank IS NOT NULL AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END) AS taken
 FROM running
 """
 
@@ -146,7 +158,7 @@ WITH stripped AS (
     FROM entries
 ), asked AS (
     SELECT DISTINCT tag, page_id, url, fetched_at, pattern FROM (
-        SELECT *, unnest(list_concat([host, bare], list_transform(range(2, least(len(labels), 8) + 1), lambda k: array_to_string(labels[len(labels) - k + 1:], '.')))) AS pattern FROM captures
+        SELECT *, unnest(list_concat([host, bare], list_transform(range(2, len(labels) + 1), lambda k: array_to_string(labels[len(labels) - k + 1:], '.')))) AS pattern FROM captures
     )
 ), hits AS (
     SELECT a.tag, a.page_id, a.url, a.fetched_at, e.pattern, e.valid_from,

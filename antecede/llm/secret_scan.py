@@ -1,22 +1,25 @@
 """Operator 8: secret scans through a trigram inverted index, in built-in functions only.
 
-Each rule's regex yields a Boolean query over trigrams: every text that it matches holds all
-trigrams of at least one of its alternatives. One pass over the texts keeps, for each document, the
-trigrams that some query names; these become posting lists (trigram, block of documents, sorted ids),
-whose intersections and unions inside each block are the candidates. Only candidates are read again
-and verified by the regexes. A rule without mandatory trigrams is run over every text, in the first
-pass.
+A Boolean query over trigrams is derived from each rule's regex: the regex is walked into the runs of
+letters that a match must hold, in each of its alternatives, and every text that it matches holds all
+trigrams of at least one alternative. One pass over the texts keeps, for each document, the trigrams
+that some query names; these become posting lists (trigram, block of documents, sorted ids), whose
+intersections and unions inside each block are the candidates. Only candidates are read again and
+verified by the regexes. A rule without mandatory trigrams is run over every text, in the first pass.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import product
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import sized_broadcast, text_of, written
+from antecede.llm.common import marked, text_of, written
 
+#: A class of at most this many characters is walked one by one, and at most so many alternatives are kept apart.
+FEW, ALTERNATIVES = 8, 512
 #: Documents are dealt into this many blocks of postings for each partition's worth of rows, so a list stays short.
 BLOCK_ROWS = 65_536
 
@@ -27,34 +30,75 @@ class Rule(NamedTuple):
     #: Group whose length is held against `least`.
     group: int
     least: int
-    #: Literals of which a match holds at least one, each with ? after an optional character; () if there are none.
-    literals: tuple[str, ...]
 
 
 # The rules, in the order in which equal starts are listed.
 RULES = (
-    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, ("password", "passwd", "secret", "token", "api_?key")),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, ("AKIA",)),
-    Rule("hex", r"[0-9a-f]+", 0, 32, ()),
-    Rule("pem", r"-----BEGIN[A-Z\x20]*PRIVATE\x20KEY-----", 0, 1, ("-----BEGIN",)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, ()),
+    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("pem", r"-----BEGIN[A-Z\x20]*PRIVATE\x20KEY-----", 0, 1),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
 )
 
 SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
-def expand(literal: str) -> list[str]:
-    """The literal with each optional character left in and taken out."""
-    m = re.search(r"(.)\?", literal)
-    return [literal] if not m else [y for x in (m[1], "") for y in expand(literal[: m.start()] + x + literal[m.end() :])]
-
-
-def trigram_query(rule: Rule) -> list[list[str]] | None:
+#: A match as pieces that follow each other: letters in lower case, or None for a gap that may hold anything.
+Skeleton = tuple[str | None, ...]
+
+
+def joined(a: Skeleton, b: Skeleton) -> Skeleton:
+    if a and b and a[-1] is not None and b[0] is not None:
+        return (*a[:-1], a[-1] + b[0], *b[1:])
+    return a + b[1:] if a[-1:] == b[:1] == (None,) else a + b
+
+
+def characters(members) -> set[str] | None:
+    """Those of a class in lower case, or None if they are many or not listed."""
+    out: set[str] = set()
+    for kind, value in members:
+        name = str(kind)
+        if name == "RANGE" and value[1] - value[0] < 4 * FEW:
+            out |= {chr(x).lower() for x in range(value[0], value[1] + 1)}
+        elif name == "LITERAL":
+            out.add(chr(value).lower())
+        else:
+            return None
+    return out if len(out) <= FEW else None
+
+
+def skeletons(parsed) -> set[Skeleton]:
+    """Every match of a parsed regex is, in lower case, one of these; a gap stands for what isn't followed further."""
+    out: set[Skeleton] = {()}
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = {(chr(value).lower(),)}
+        elif name == "IN":
+            few = characters(value)
+            ways = {(x,) for x in few} if few else {(None,)}
+        elif name == "SUBPATTERN":
+            ways = skeletons(value[3])
+        elif name == "BRANCH":
+            ways = set().union(*map(skeletons, value[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and (value[0] or value[1] == 1):
+            least, most, inner = value
+            ways = skeletons([*list(inner) * min(least, 3), *([("GAP", None)] if least > 3 or most > least > 0 else [])])
+            ways |= set() if least else skeletons(inner) | {()}
+        else:
+            ways = {()} if name == "AT" else {(None,)}
+        if len(out) * len(ways) > ALTERNATIVES:
+            ways = {(None,)}
+        out = {joined(a, b) for a, b in product(out, ways)}
+    return out
+
+
+def trigram_query(regex: str) -> list[list[str]] | None:
     """In disjunctive form: any of the alternatives, all of whose trigrams are needed. None: scan fully."""
-    words = [x.lower() for literal in rule.literals for x in expand(literal)]
-    if not words or min(map(len, words)) < 3:
-        return None
-    return [sorted({w[i : i + 3] for i in range(len(w) - 2)}) for w in words]
+    found = {frozenset(run[i : i + 3] for run in s if run for i in range(len(run) - 2)) for s in skeletons(re._parser.parse(regex))}
+    needed = [x for x in found if not any(y < x for y in found)]  # who has all of x has all of y
+    return sorted(map(sorted, needed)) if all(needed) else None
 
 
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
@@ -98,7 +142,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     columns are not read.
     """
     ordered = list(enumerate(rules))
-    queries = {k: q for k, r in ordered if (q := trigram_query(r))}
+    queries = {k: q for k, r in ordered if (q := trigram_query(r.regex))}
     full = [(k, r) for k, r in ordered if k not in queries]
     grams = sorted({g for q in queries.values() for one in q for g in one})
     texts = docs.select("doc_id", text_of().alias("text"))
@@ -128,10 +172,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for one in q:
             union = F.array_union(union, meet(one))
     candidates = written(lists.select(F.explode(union).alias("doc_id")), "candidates")
-    sized = sized_broadcast(candidates)
 
-    verified = texts.join(sized, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL")).select("doc_id", all_spans(ordered, F.col("text")).alias("found"))
-    return verified.unionByName(ids.join(sized, "doc_id", "left_anti").select("doc_id", "found"))
+    # Rows that the index doesn't name go by in a bitmap's test, without a shuffle of their texts.
+    asked = marked(texts, F.col("doc_id"), candidates, F.col("doc_id")).where("__may").drop("__may")
+    verified = asked.join(candidates, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL")).select("doc_id", all_spans(ordered, F.col("text")).alias("found"))
+    known = marked(ids.select("doc_id", "found"), F.col("doc_id"), candidates, F.col("doc_id"))
+    seen = known.where("__may").drop("__may").join(candidates, "doc_id", "left_anti")
+    return verified.unionByName(known.where("NOT __may").drop("__may")).unionByName(seen)
 
 
 def listed(spans: Column) -> Column:

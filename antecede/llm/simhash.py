@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import BROADCAST_ROWS, ascii_lower, drop_rows, run_of, small_batches, text_of, written
+from antecede.llm.common import BROADCAST_ROWS, ascii_lower, drop_rows, looked_up, run_of, slices, text_of, written
 
 #: Shingles whose hashes are held at a time.
 BLOCK = 1 << 16
@@ -46,10 +46,9 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """doc_id, key (a hash of the text) and fp (the fingerprint's bits as a long), written once."""
-    small_batches(docs.sparkSession)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(x, width, seed) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps)], ["doc_id", "key", "fp"])
 
@@ -130,7 +129,8 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_pairs(fps: DataFrame, radius: int) -> DataFrame:
     """u > v: links that connect all distinct fingerprints (column fp) within the radius, in chains."""
-    tiled = fps.select("fp", profile(F.col("fp")).alias("tile"))
+    # Few bytes hold many fingerprints: dealt out first, so that what they are visited by isn't made in a few tasks.
+    tiled = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", profile(F.col("fp")).alias("tile"))
     counts = written(tiled.groupBy("tile").agg(F.count("*").alias("n")), "tiles")
     steps = F.array(*(F.lit(x).cast("long") for x in near_profiles(radius)))
     # A sum that leaves a byte's range of 0 to 8 names a tile that has no residents; its visitors meet no one.
@@ -156,17 +156,17 @@ def components(pairs: DataFrame) -> DataFrame:
     """u, v: every node of the written `pairs` with the smallest node it is connected to (but for that one itself).
 
     Alternates two steps until nothing changes: each node hands the neighbours above it to the
-    smallest one around it, then those below it. Each round is written, so lost executors cost a
-    round at most.
+    smallest one around it, then those below it. A node with very many neighbours is dealt over runs
+    of them. Each round is written, so lost executors cost a round at most.
     """
     edges, state = pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        up = looked_up(both.where("v > u"), lowest, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         up = written(up, "star-up")
         lowest = up.groupBy("u").agg(F.min("v").alias("m"))
-        moved = up.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        moved = looked_up(up, lowest, "u", F.col("v")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(moved, "star-down")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
@@ -186,10 +186,10 @@ def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFra
     fps = written(dealt.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     joined = components(written(links(fps), "pairs"))
     roots = fps.join(joined.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    # A component's smallest doc_id; components are dealt by a hash too, as one may hold very many fingerprints.
     roots = written(roots, "roots")
     lowest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(roots.join(lowest, "root").select("fp", "component_id"), "named")
+    # One component may hold very many fingerprints, so its smallest doc_id goes to them by runs.
+    named = written(looked_up(roots, lowest, "root", F.col("fp")).select("fp", "component_id"), "named")
     # Equal fingerprints may be a third of all rows: the verdict goes through the runs, where each fingerprint is once.
     by_run = dealt.select("run", "fp").join(named, "fp")
     return rows.join(by_run, ["run", "fp"]).select("doc_id", "key", "fp", "component_id")

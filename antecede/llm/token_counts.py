@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from antecede.llm.common import small_batches
+from antecede.llm.common import slices
 from antecede.llm.encoding import ODD_FOR_WORDS, Encoder, encoder
 
 #: Characters of a chunk; texts up to this length are encoded in one piece.
@@ -86,7 +86,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
     are counted each. Other columns are not read. `tokenizer` is a path that every executor has: a
     `.json` of the tokenizers library, or a `.model` of sentencepiece, which is encoded in one piece.
     """
-    small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer.endswith(".model"):
@@ -101,7 +100,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
                 whole = iter(coder.batch([x for x in texts if len(x) <= chunk or coder.odd is None]))
                 return [len(next(whole)) // 4 if len(x) <= chunk or coder.odd is None else sum(map(len, spliced(coder, x, chunk, overlap))) for x in texts]
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n = count(texts)
             yield pa.RecordBatch.from_pydict(

@@ -1,14 +1,16 @@
 """Operator 10: token-id files with Elias-Fano encoded document boundaries.
 
 Documents are put in order of doc_id by a range shuffle, and each task writes its stretch as one
-file: all ids one after the other, and where each document ends. The ends never fall, so they are
-kept as Elias-Fano: the low bits of each end packed, and the rest in unary in a bit vector, with the
-place of every SAMPLE-th one; select finds an end without a table of offsets. A task that is run
-again writes a file of another name; the manifest names those that count.
+file: all ids one after the other as they come, and then where each document ends. The ends never
+fall, so they are kept as Elias-Fano: the low bits of each end packed, and the rest in unary in a bit
+vector, with the place of every SAMPLE-th one. A reader asks for a document's bounds by select, which
+decodes the few ends between two samples, so there is never a table of all offsets. A task that is
+run again writes a file of another name; the manifest names those that count.
 """
 
 from __future__ import annotations
 
+import array
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,16 +22,16 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from antecede.llm.common import fresh_path, small_batches, text_of, written
+from antecede.llm.common import fresh_path, slices, text_of, written
 from antecede.llm.encoding import encoder
 
 MAGIC = b"EFTOKENS"
 #: Every so many set bits of the upper part, the place of one is kept.
 SAMPLE = 256
-#: Ids after which a file is closed and the next one begun.
-FILE_IDS = 1 << 25
-#: Text characters that are encoded at a time.
-CHARS = 1 << 22
+#: Ids, and documents, after which a file is closed and the next one begun.
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
+#: Ids that are read at a time, unless one document has more.
+STRETCH = 1 << 20
 
 
 class EliasFano:
@@ -49,27 +51,29 @@ class EliasFano:
         flags[places] = 1
         return cls(n, width, low, np.packbits(flags, bitorder="little"), places[::SAMPLE].astype("<u4"))
 
+    def between(self, block: int) -> np.ndarray:
+        """The numbers SAMPLE * block and on, up to the next sample: the set bits from one to the other, and their low bits."""
+        first = block * SAMPLE
+        n = min(SAMPLE, self.n - first)
+        at = int(self.samples[block])
+        upto = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high)
+        flags = np.unpackbits(self.high[at >> 3 : (upto + 7) >> 3], bitorder="little")[at & 7 :]
+        upper = np.flatnonzero(flags)[:n] + (at - first) - np.arange(n)
+        begin = first * self.width
+        bits = np.unpackbits(self.low[begin >> 3 : (begin + n * self.width + 7) >> 3], bitorder="little")[begin & 7 :][: n * self.width]
+        return upper << self.width | (bits.reshape(n, self.width).astype(np.int64) << np.arange(self.width)).sum(1, dtype=np.int64)
+
     def select(self, k: int) -> int:
-        """The k-th number: from the nearest sample, on to the (k % SAMPLE)-th set bit after it."""
-        at = int(self.samples[k // SAMPLE])
-        byte, left = at >> 3, k % SAMPLE
-        part = np.unpackbits(self.high[byte : byte + 4 * SAMPLE], bitorder="little")[at & 7 :]
-        while True:
-            ones = np.flatnonzero(part)
-            if len(ones) > left:
-                place = at + int(ones[left])
-                break
-            left -= len(ones)
-            at += len(part)
-            part = np.unpackbits(self.high[at >> 3 : (at >> 3) + 64 * SAMPLE], bitorder="little")[at & 7 :]
-        first = k * self.width
-        few = np.unpackbits(self.low[first >> 3 : (first + self.width + 7) >> 3], bitorder="little")[first & 7 :][: self.width]
-        return (place - k) << self.width | sum(int(b) << i for i, b in enumerate(few))
-
-    def all(self) -> np.ndarray:
-        upper = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
-        return upper << self.width | (bits.astype(np.int64) << np.arange(self.width)).sum(1, dtype=np.int64)
+        """The k-th number."""
+        return int(self.between(k // SAMPLE)[k % SAMPLE])
+
+    def bounds(self) -> Iterator[tuple[int, int]]:
+        """Where each document begins and ends, a block at a time."""
+        start = 0
+        for block in range(len(self.samples)):
+            for end in self.between(block).tolist():
+                yield start, end
+                start = end
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.width, len(self.low), len(self.high), len(self.samples)], "<i8")
@@ -88,90 +92,97 @@ def place(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
 
 
-def write_file(path: str, ids: list[bytes], docs: list[int | None]) -> tuple[int, int]:
-    """Header (magic, width of an id, ids, bytes of the boundaries, documents without doc_id), ids, boundaries, doc_ids."""
-    sizes = np.array([len(x) // 4 for x in ids], np.int64)
-    values = np.frombuffer(b"".join(ids), "<u4")
-    width = 2 if not len(values) or values.max() < 1 << 16 else 4
-    ends = EliasFano.of(np.cumsum(sizes)).to_bytes()
-    missing = sum(x is None for x in docs)
-    head = MAGIC + np.array([width, len(values), len(ends), missing], "<i8").tobytes()
-    store, name = place(path)
-    with store.open_output_stream(name + ".part") as f:
-        for part in (head, values.astype(f"<u{width}").tobytes(), ends, np.array([x or 0 for x in docs], "<i8").tobytes()):
-            f.write(part)
-    store.move(name + ".part", name)
-    return len(docs), len(values)
+class Writer:
+    """A file: ids, boundaries, doc_ids, and at the end MAGIC, width of an id, ids, bytes of the boundaries, documents without doc_id."""
+
+    def __init__(self, path: str, width: int, most: int = FILE_IDS):
+        store, name = place(path)
+        self.out, self.path, self.width, self.most = store.open_output_stream(name), path, width, most
+        self.sizes, self.docs, self.missing, self.n = array.array("q"), array.array("q"), 0, 0
+
+    def add(self, doc: int | None, ids: bytes) -> None:
+        """Documents without doc_id come first."""
+        self.out.write(np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes())
+        self.sizes.append(len(ids) // 4)
+        self.docs.append(doc or 0)
+        self.missing += doc is None
+        self.n += len(ids) // 4
 
+    def full(self) -> bool:
+        return self.n >= self.most or len(self.docs) >= FILE_DOCS
 
-def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def close(self) -> tuple[str, int, int]:
+        ends = EliasFano.of(np.cumsum(np.frombuffer(self.sizes, np.int64))).to_bytes()
+        for part in (ends, np.frombuffer(self.docs, np.int64).astype("<i8").tobytes(), MAGIC, np.array([self.width, self.n, len(ends), self.missing], "<i8").tobytes()):
+            self.out.write(part)
+        self.out.close()
+        return self.path, len(self.docs), self.n
+
+
+def read_file(path: str, stretch: int = STRETCH) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """doc_id, its first id's place in the file, and its ids, which are read a stretch at a time."""
     store, name = place(path)
     with store.open_input_file(name) as f:
-        head = f.read(40)
-        if head[:8] != MAGIC:
+        f.seek(f.size() - 40)
+        tail = f.read(40)
+        if tail[:8] != MAGIC:
             raise ValueError(f"{path} holds no token ids")
-        width, n, size, missing = (int(x) for x in np.frombuffer(head, "<i8", 4, 8))
-        f.seek(40 + width * n)
+        width, n, size, missing = (int(x) for x in np.frombuffer(tail, "<i8", 4, 8))
+        f.seek(width * n)
         ends = EliasFano.from_bytes(f.read(size))
         docs = np.frombuffer(f.read(8 * ends.n), "<i8")
-        bounds = ends.all()
-        k = 0
-        while k < ends.n:
-            start = int(bounds[k - 1]) if k else 0
-            upto = max(k + 1, int(np.searchsorted(bounds, start + (1 << 22), "right")))
-            f.seek(40 + width * start)
-            ids = np.frombuffer(f.read(width * (int(bounds[upto - 1]) - start)), f"<u{width}")
-            for i in range(k, upto):
-                first = int(bounds[i - 1]) if i else 0
-                yield None if i < missing else int(docs[i]), first, ids[first - start : int(bounds[i]) - start]
-            k = upto
-
-
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
-    """The manifest: part, file, path, n_docs, n_tokens, in the order of doc_id (null first; equal ones by text)."""
+        low, held = 0, np.zeros(0, f"<u{width}")
+        for k, (start, end) in enumerate(ends.bounds()):
+            if end > low + len(held):
+                f.seek(width * start)
+                low, held = start, np.frombuffer(f.read(width * max(end - start, min(stretch, n - start))), f"<u{width}")
+            yield None if k < missing else int(docs[k]), start, held[start - low : end - low]
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+    """The manifest: part, file, path, n_docs, n_tokens, in the order of doc_id (null first; equal ones by a hash of their text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = path or fresh_path(spark, "token-files")
     store, name = place(folder)
     store.create_dir(name, recursive=True)
     end = end_id.to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, k, ids, ns, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
-
-        def closed() -> pa.RecordBatch:
-            file = f"{folder}/{part:06d}-{k:06d}-{uuid.uuid4().hex}.ids"
-            n_docs, n_tokens = write_file(file, ids, ns)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "path": [file], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
-
-        for batch in batches:
-            for doc, found in zip(batch.column("doc_id").to_pylist(), coder.batch(batch.column("text").to_pylist()), strict=True):
-                ids.append(found + end)
-                ns.append(doc)
-                held += len(ids[-1]) // 4
-                if held >= FILE_IDS:
-                    yield closed()
-                    k, ids, ns, held = k + 1, [], [], 0
-        if ids:
-            yield closed()
+        coder, part, k, file = encoder(tokenizer), TaskContext.get().partitionId(), 0, None
+        width = 2 if coder.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+
+        def closed(file: Writer) -> pa.RecordBatch:
+            at, n_docs, n_tokens = file.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "path": [at], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+
+        for batch in slices(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                file = file or Writer(f"{folder}/{part:06d}-{k:06d}-{uuid.uuid4().hex}.ids", width, file_ids)
+                file.add(doc, coder.encode(text) + end)
+                if file.full():
+                    yield closed(file)
+                    k, file = k + 1, None
+        if file:
+            yield closed(file)
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", "text")
+    # A hash of the text beside doc_id, as very many rows may have none.
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = texts.repartitionByRange(width, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(write, "part int, file int, path string, n_docs long, n_tokens long"), "manifest")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
+def read_token_files(manifest: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read from the files. Starts count on from file to file: one row each to sum."""
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "first")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 rows = []
-                for doc, start, ids in read_file(path):
+                for doc, start, ids in read_file(path, stretch):
                     rows.append((doc, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)

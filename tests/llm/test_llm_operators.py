@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -11,6 +12,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
@@ -68,8 +71,9 @@ def test_token_counts(spark, docs, empty):
     got = data(token_counts.count_tokens(docs, WORDS, chunk=5000))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
     assert data(token_counts.count_tokens(empty, WORDS)) == []
-    pieces = data(token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")))
-    assert len(pieces) == len(want)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in data(token_counts.count_tokens(docs, path))) == sorted((str(r["doc_id"]), len(model.encode(r["text"] or ""))) for r in data(docs))
 
 
 @pytest.mark.parametrize("capacity", [64, 4096])
@@ -158,6 +162,15 @@ def test_mixing(spark, docs, empty):
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 60 for s in want)
     assert sorted(map(str, got)) == sorted(map(str, data(mixing.mix(many.repartition(7)))))
+    rank = {}
+    for r in got:  # more copies are drawn of longer documents, and as many as their class promises
+        if r["size"] and 0 < want[r["source"]] % max(1, size[r["source"]]):
+            rank.setdefault((r["source"], r["size"].bit_length()), []).append(r["copies"] - int(want[r["source"]] // size[r["source"]]))
+    _, _, odds = mixing.plan(many, (5, 2, 1), 1.5, 2.0, 7)
+    chance = {(r["__source"], r["__class"]): r["p"] for r in data(odds)}
+    large = {k: v for k, v in rank.items() if len(v) > 150}
+    assert len(large) >= 4 and all(abs(sum(v) / len(v) - chance[k]) < 0.12 for k, v in large.items())
+    assert len({round(chance[k], 3) for k in large}) > 3
     mixed = mixing.mixed_documents(many)
     assert mixed.columns == many.columns
     assert mixed.count() == sum(r["copies"] for r in got)
@@ -273,6 +286,51 @@ def test_secrets(spark, docs, empty):
     assert data(secret_scan.secret_report(empty)) == []
 
 
+def test_every_match_holds_what_its_query_asks_for():
+    rng = random.Random(6)
+    for pattern, makers in {
+        secret_scan.RULES[0].regex: lambda: rng.choice(["password", "PASSWD", "Secret", "token", "api_key", "APIKEY"]) + rng.choice(["", '"', "'"]) + " " * rng.randint(0, 2) + rng.choice(":=") + "v" * 9,
+        secret_scan.RULES[3].regex: lambda: "-----BEGIN" + rng.choice([" RSA ", " ", ""]) + "PRIVATE KEY-----",
+        secret_scan.RULES[4].regex: lambda: "gh" + rng.choice("pousr") + "_" + "Ab1" * rng.randint(1, 9),
+        "ab?c{2,5}de(fg|h+)x|xyz+": lambda: rng.choice(["a" + rng.choice(["", "b"]) + "c" * rng.randint(2, 5) + "de" + rng.choice(["fg", "h" * rng.randint(1, 5)]) + "x", "xy" + "z" * rng.randint(1, 4)]),
+        "(?:foo|bar)*ba[a-c]z{0,1}q$": lambda: "".join(rng.choice(["foo", "bar"]) for _ in range(rng.randint(0, 3))) + "ba" + rng.choice("abc") + rng.choice(["", "z"]) + "q",
+    }.items():
+        query = secret_scan.trigram_query(pattern)
+        for _ in range(80):
+            text = makers()
+            assert re.search(pattern, text)
+            assert any(all(g in text.lower() for g in one) for one in query)
+    assert secret_scan.trigram_query("[0-9a-f]+") is secret_scan.trigram_query("a.b|abc") is None
+    assert [k.kind for k in secret_scan.RULES if secret_scan.trigram_query(k.regex) is None] == ["hex"]
+
+
+def plain_codes(payload):
+    """Peaks and their pairs by a discrete Fourier transform written out."""
+    n, step = media.WINDOW, media.HOP
+    shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(97), np.arange(n)) / n)
+    points = []
+    for t in range(0, (len(payload) - n) // step + 1):
+        power = abs(turn @ ((np.frombuffer(payload[t * step : t * step + n], np.uint8) - 128.0) * shape))
+        for low, high in media.BANDS:
+            top = low + int(np.argmax(power[low:high]))
+            if power[top] > media.STANDS_OUT * power[low:high].mean() + 1e-3:
+                points.append((t, top))
+    return sorted(t << 32 | f << 24 | g << 16 | u - t for k, (t, f) in enumerate(points) for u, g in points[k + 1 : k + 1 + media.FAN])
+
+
+def test_codes_are_those_of_a_plain_transform(spark):
+    rng = random.Random(11)
+    texts = ["ab" * 400, "word " * 300, "".join(rng.choice("abcdefgh \n") for _ in range(3000)), None, "x"]
+    got = {r["doc_id"]: r for r in data(media.media_report(spark.createDataFrame(rows(texts), SCHEMA)))}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        want = plain_codes(raw + b" " * (-len(raw) % 192 if raw else 192))
+        assert got[i]["codes"] == want
+        assert got[i]["feature"] == f"{len(want)}:{hashlib.sha256(','.join(map(str, want)).encode()).hexdigest()}"
+    assert len(got[2]["codes"]) > 20
+
+
 def test_media(docs, empty):
     got = defaultdict(list)
     for r in data(media.media_report(docs)):
@@ -305,23 +363,25 @@ def test_a_tone_gives_its_bin_at_its_time():
 def test_elias_fano(values):
     ef = token_store.EliasFano.of(np.array(values, np.int64))
     again = token_store.EliasFano.from_bytes(ef.to_bytes())
-    assert again.all().tolist() == values
     assert [again.select(k) for k in range(len(values))] == values
+    assert list(again.bounds()) == list(zip([0, *values], values))
     if len(values) > 1000:
         assert len(ef.to_bytes()) < 8 * len(values)
 
 
-def test_token_store(docs, empty, monkeypatch):
+def test_token_store(docs, empty):
     library = Tokenizer.from_file(BYTES)
     want, at = [], 0
-    for r in sorted(data(docs), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["text"] or "")):
+    for r in sorted(data(docs), key=lambda r: (r["doc_id"] is not None, r["doc_id"])):
         ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
         want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    for limit in (1 << 25, 300):
-        monkeypatch.setattr(token_store, "FILE_IDS", limit)
-        got = data(token_store.stored_tokens(docs, BYTES))
+    for most, stretch in ((1 << 25, 1 << 20), (300, 7)):
+        manifest = token_store.write_token_files(docs, BYTES, 0, file_ids=most)
+        got = data(token_store.read_token_files(manifest, stretch))
         assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=lambda x: x[1]) == want
+    assert manifest.count() > 10
+    assert sorted(map(str, data(token_store.stored_tokens(docs, BYTES)))) == sorted(map(str, got))
     assert data(token_store.stored_tokens(empty, BYTES)) == []
 
 
@@ -339,6 +399,7 @@ def test_url_filter(spark):
     assert sorted((r["page_id"], str(r["pattern"]), r["blocked"]) for r in got) == sorted((i, str(p), p is not None) for i, _, _, p in asked)
     assert [r["n_hits"] for r in got if r["page_id"] == 4] == [2]
     assert not any(r["blocked"] for r in data(url_filter.filter_urls(captures, entries.limit(0))))
+    assert data(url_filter.filter_urls(captures.limit(0), entries)) == []
 
 
 @pytest.fixture(scope="module")
@@ -350,6 +411,18 @@ def junk(spark):
     return [(i, good() if i % 4 else bad(i // 4), int(i % 4 > 0)) for i in range(800)]
 
 
+def plain_statistics(text):
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], [x for x in text.split("\n") if x]
+    per = lambda a, b: a / b if b else 0.0
+    count = lambda r: len(regex.findall(r, text))
+    n = len(words)
+    return {
+        "log_words": math.log(n + 1), "word_length": per(len(text) - n, n), "shouted": per(count(r"\p{Lu}{2,}"), n), "odd_runs": per(count(r"[^\p{L}\p{M}\p{N} \t-\r.,;:'\"()!?-]+"), n),
+        "digit_runs": per(count("[0-9]+"), n), "exclaimed": per(text.count("!"), n), "stops": per(text.count("."), n), "commas": per(text.count(","), n), "distinct_words": per(len(set(words)), n),
+        "repeated_words": per(sum(a == b for a, b in zip(words, words[1:])), n), "distinct_lines": per(len(set(lines)), len(lines)), "words_a_line": per(n, len(lines)),
+    }
+
+
 def test_quality(spark, junk, docs, empty):
     df = spark.createDataFrame(rows([t for _, t, _ in junk]), SCHEMA)
     labels = spark.createDataFrame([*((i, y, 0) for i, _, y in junk), (3, None, 0), (None, 1, 0), (9999, 0, 1)], "doc_id long, quality int, toxic int")
@@ -362,10 +435,16 @@ def test_quality(spark, junk, docs, empty):
     assert 0 < len(model.rules) < 200
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality", "toxic")
     assert quality.fit(df, flipped) == model
+    texts = {r["doc_id"]: r["text"] for r in data(df)}
+    for r in got:
+        facts = plain_statistics(texts[r["doc_id"]])
+        total = model.intercept + sum(w for rule, w in model.rules if all(facts[s] <= b if op == "<=" else facts[s] > b for s, op, b in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
     kept = quality.good_documents(df, labels)
     assert kept.columns == df.columns and kept.count() == sum(r["predicted"] for r in got)
     assert len(data(quality.classify(docs, labels))) == docs.count()
-    assert {r["score"] for r in data(quality.classify(df, labels.where("quality = 1")))} != set()
+    sure = {r["score"] for r in data(quality.classify(df, labels.where("quality = 1")))}
+    assert len(sure) == 1 and min(sure) > 0.99
     assert {r["score"] for r in data(quality.classify(df, labels.limit(0)))} == {0.5}
     assert data(quality.classify(empty, labels)) == []
 
