@@ -128,8 +128,18 @@ def forward_fill(df: DataFrame, time: str, order: tuple[str, ...], column: str)
 
 
 def cumulative(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str, out: str, how: str = "sum") -> DataFrame:
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, (F.sum if how == "sum" else F.avg)(value).over(run))
+    """Running sum or mean of each group in order, in two levels: inside each day of order[0] (a time), then over one row for each day."""
+    day, day_key = F.to_date(order[0]), [*by, "__day"]
+    x = df.withColumn("__day", day)
+    days = x.groupBy(*day_key).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(*day_key, F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    run = Window.partitionBy(*day_key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"__in": F.coalesce(F.sum(value).over(run), F.lit(0)), "__k": F.count(value).over(run)})
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in day_key]
+    both = x.alias("x").join(before.alias("b"), same)
+    total, n = F.col("__s") + F.col("__in"), F.col("__n") + F.col("__k")
+    return both.select("x.*", (F.when(n > 0, total) if how == "sum" else total / F.nullif(n, F.lit(0))).alias(out)).drop("__day", "__in", "__k")
 
 
 def drawdown(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], pnl: str, start: float, net_ties: bool = False) -> DataFrame:

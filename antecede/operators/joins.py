@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
 
 def pair_opponents(df: DataFrame, keys: list[str], side: str, sides: tuple[str, str], columns: list[str], prefix: str = "opp_", strict: bool = False) -> DataFrame:
@@ -51,14 +46,19 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
 
 
 def asof_state(left: DataFrame, states: DataFrame, by: list[str], as_of: str, decision: str, available: str, started: str, columns: list[str], id_: str) -> DataFrame:
-    """The latest state available by the earlier of two times, whose event started before that day; null if there is none."""
-    limit = F.least(F.col(as_of), F.col(decision))
-    right = states.select(*(F.col(c).alias(f"__{c}") for c in by), F.col(available).alias("__av"), F.col(started).alias("__st"), *columns)
-    same = [F.col(c) == F.col(f"__{c}") for c in by]
-    met = left.join(right, [*same, F.col("__av") <= limit, F.col("__st") < F.date_trunc("day", limit)], "left")
-    best = F.max(F.when(F.col("__av").isNotNull(), F.struct("__av", "__st", *columns)))
-    keep = [c for c in left.columns if c != id_]
-    return met.groupBy(id_, *keep).agg(best.alias("__b")).select(*left.columns, *(F.col(f"__b.{c}").alias(c) for c in columns))
+    """The latest state available by the earlier of two times, whose event started before that day; null if there is none.
+
+    A state counts from the later of its availability and the midnight after its start; so one union and one running
+    maximum by entity find it, however many states an entity has. `id_` names the left row and is only carried.
+    """
+    made = F.struct(F.col(available).alias("__av"), F.col(started).alias("__st"), *columns)
+    counts_from = F.greatest(F.col(available), (F.date_trunc("day", started) + F.expr("INTERVAL 1 DAY")).cast(states.schema[available].dataType))
+    b = states.where(F.col(available).isNotNull() & F.col(started).isNotNull()).select(*by, counts_from.alias("__t"), F.lit(0).alias("__side"), made.alias("__v"))
+    a = left.select(F.struct(*left.columns).alias("__row"), *by, F.least(F.col(as_of), F.col(decision)).alias("__t"), F.lit(1).alias("__side"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    found = both.withColumn("__v", F.max("__v").over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
+    # A row without a time sorts first and so finds nothing.
+    return found.select("__row.*", *(F.when(F.col("__t").isNotNull(), F.col(f"__v.{c}")).alias(c) for c in columns))
 
 
 def match_within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
@@ -85,12 +85,18 @@ def not_superseded(df: DataFrame, corrections: DataFrame, key: str, corrected: s
 
 
 def closing_quotes(bets: DataFrame, quotes: DataFrame, on: list[str], bet: str, entered: str, start: str, observed: str, provider_time: str, lag: int, columns: list[str]) -> DataFrame:
-    """For each bet the latest quote observed strictly after entry and before the start; `comparable` is false if its provider lags too far."""
-    q = quotes.select(*on, observed, provider_time, *columns)
-    met = bets.join(q, on).where((F.col(observed) > F.col(entered)) & (F.col(observed) < F.col(start)))
-    best = met.groupBy(bet).agg(F.max(F.struct(observed, provider_time, *columns)).alias("__q"))
+    """For each bet the latest quote observed strictly after entry and before the start; `comparable` is false if its provider lags too far.
+
+    The latest quote before the start is found by one union and one running maximum; it counts if it came after entry. `bet` names the row.
+    """
+    made = F.struct(observed, provider_time, *columns)
+    b = quotes.where(F.col(observed).isNotNull()).select(*on, F.col(observed).alias("__t"), F.lit(1).alias("__side"), made.alias("__q"))
+    a = bets.select(F.struct(*bets.columns).alias("__row"), *on, F.col(start).alias("__t"), F.lit(0).alias("__side"))
+    run = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b, allowMissingColumns=True).withColumn("__q", F.max("__q").over(run)).where("__side = 0")
+    met = found.withColumn("__q", F.when(F.col("__t").isNotNull() & (F.col(f"__q.{observed}") > F.col(f"__row.{entered}")), F.col("__q")))
     fresh = (F.col(f"__q.{observed}").cast("timestamp").cast("double") - F.col(f"__q.{provider_time}").cast("timestamp").cast("double")) <= lag
-    return bets.join(best, bet, "left").select(*bets.columns, *(F.col(f"__q.{c}").alias(c) for c in (observed, *columns)), fresh.alias("comparable")).withColumn("comparable", F.coalesce("comparable", F.lit(False)))
+    return met.select("__row.*", *(F.col(f"__q.{c}").alias(c) for c in (observed, *columns)), F.coalesce(fresh, F.lit(False)).alias("comparable"))
 
 
 def resolve_chains(links: DataFrame, rounds: int = 20, write=None) -> DataFrame:
@@ -166,18 +172,19 @@ def resolve_names(asked: DataFrame, name: str, known: DataFrame, aliases: DataFr
 def suggest_names(asked: DataFrame, name: str, known: DataFrame, most: int = 3, least: float = 0.6) -> DataFrame:
     """name, suggestion, similarity, rank: up to `most` known names that share a trigram; suggestions only.
 
-    Candidates come from an equi-join on trigrams of distinct names; their similarity is the Jaccard of the trigrams.
+    Candidates come from an equi-join on the rare trigrams of distinct names, which loses none; their similarity is the Jaccard of the trigrams.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(F.col(c)), i, F.lit(3))))
     a = asked.select(name).distinct().withColumn("ga", grams(name))
     b = known.select(F.col("name").alias("suggestion")).distinct().withColumn("gb", grams("suggestion"))
-    met = a.withColumn("g", F.explode("ga")).join(b.withColumn("g", F.explode("gb")), "g").groupBy(name, "suggestion").agg(F.count("*").alias("shared"), F.first(F.size("ga")).alias("na"), F.first(F.size("gb")).alias("nb"))
-    scored = met.withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("similarity") >= least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("similarity"), "suggestion"))).where(F.col("rank") <= most).select(name, "suggestion", "similarity", "rank")
+    # Rare trigrams first: two sets whose similarity reaches `least` share one of their first n - ceil(n * least) + 1.
+    held = b.select(F.explode("gb").alias("g")).groupBy("g").agg(F.count("*").alias("holders"))
 
+    def prefix(df: DataFrame, key: str, all_: str) -> DataFrame:
+        rows = df.select(key, all_, F.explode(all_).alias("g")).join(held, "g", "left").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("holders", F.lit(0)), "g")))
+        return rows.where(F.col("k") <= F.size(all_) - F.ceil(F.size(all_) * F.lit(least) - 1e-9) + 1).select(key, all_, "g")
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Spark has no erf."""
-    for s in x:
-        yield s.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore").astype("float64")
+    met = prefix(a, name, "ga").join(prefix(b, "suggestion", "gb"), "g").dropDuplicates([name, "suggestion"])
+    shared = F.size(F.array_intersect("ga", "gb"))
+    scored = met.withColumn("similarity", shared / (F.size("ga") + F.size("gb") - shared)).where(F.col("similarity") >= least)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("similarity"), "suggestion"))).where(F.col("rank") <= most).select(name, "suggestion", "similarity", "rank")

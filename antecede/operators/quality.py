@@ -13,10 +13,17 @@ def group_issues(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFram
     return df.groupBy(key).agg(*(checks[n].alias(f"__{k}") for k, n in enumerate(names))).select(key, reasons({n: F.col(f"__{k}") for k, n in enumerate(names)}).alias("issues"))
 
 
+def marked_rows(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
+    """The distinct rows with their group's issues. Rows are dealt by the group once, and duplicates, issues and the way back all use that."""
+    rows = df.repartition(key).dropDuplicates()
+    return rows.join(group_issues(rows, key, checks), key)
+
+
 def quarantine(df: DataFrame, key: str, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows of good groups, and rows of bad ones with their issues; exact duplicates go first."""
-    issues = group_issues(df.dropDuplicates(), key, checks)
-    marked = df.dropDuplicates().join(issues, key)
+    """Rows of good groups, and rows of bad ones with their issues, from one written table; exact duplicates go first."""
+    from antecede.sources.tables import written
+
+    marked = written(marked_rows(df, key, checks), "marked")
     return marked.where("size(issues) = 0").drop("issues"), marked.where("size(issues) > 0")
 
 
@@ -35,10 +42,17 @@ def conflicts(df: DataFrame, key: list[str], facts: list[str]) -> DataFrame:
 
 
 def column_report(df: DataFrame, names: DataFrame) -> DataFrame:
-    """column, status (present, missing, new), use: a full join of the table's columns with a declared list (column, use)."""
-    here = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string").withColumn("here", F.lit(True))
+    """column, status (present, missing, new), use, rows, nulls, violation: the table's columns, counted in one pass, against a declared list (column, use).
+
+    A column whose use is `required` must be there and hold no null.
+    """
+    counted = df.agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns))
+    here = counted.select("rows", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"null_{c}").alias("nulls")) for c in df.columns))).alias("x")).select("x.column", "rows", "x.nulls")
     out = here.join(names.withColumn("named", F.lit(True)), "column", "full")
-    return out.select("column", F.when(F.col("here").isNull(), "missing").when(F.col("named").isNull(), "new").otherwise("present").alias("status"), F.coalesce("use", F.lit("candidate")).alias("use"))
+    must = F.col("use") == "required"
+    violation = F.when(must & F.col("rows").isNull(), "required column missing").when(must & (F.col("nulls") > 0), "required column has nulls")
+    status = F.when(F.col("rows").isNull(), "missing").when(F.col("named").isNull(), "new").otherwise("present")
+    return out.select("column", status.alias("status"), F.coalesce("use", F.lit("candidate")).alias("use"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("nulls", F.lit(0)).alias("nulls"), violation.alias("violation"))
 
 
 def feature_contract(columns: DataFrame, rules: DataFrame) -> DataFrame:

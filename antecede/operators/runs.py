@@ -22,11 +22,12 @@ def strict_runs(df: DataFrame, by: list[str], order: list[str], seq: str, gap: C
     return df.withColumn("reason", reason).withColumn("run", F.when(F.col("reason").isNull(), F.col("__run"))).drop("__start", "__prev", "__far", "__run", "__bad")
 
 
-def lenient_runs(df: DataFrame, by: list[str], order: list[str], seq: str, time: str, seconds: int) -> DataFrame:
-    """run: a new one at sequence 1, at a sequence that doesn't rise, or after a gap."""
+def lenient_runs(df: DataFrame, by: list[str], order: list[str], seq: str, time: str, seconds: int, rising: bool = True) -> DataFrame:
+    """run: a new one at sequence 1, at a sequence that doesn't rise (if it must), or after a gap."""
     w = Window.partitionBy(*by).orderBy(*order)
     gap = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) > seconds * 1_000_000
-    starts = (F.col(seq) == 1) | F.coalesce(F.col(seq) <= F.lag(seq).over(w), F.lit(True)) | F.coalesce(gap, F.lit(False))
+    falls = F.coalesce(F.col(seq) <= F.lag(seq).over(w), F.lit(True)) if rising else F.lag(seq).over(w).isNull()
+    starts = (F.col(seq) == 1) | falls | F.coalesce(gap, F.lit(False))
     return df.withColumn("__s", starts.cast("int")).withColumn("run", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
 
 
@@ -87,7 +88,9 @@ def expand_series(manifest: DataFrame, ids: str, won: str, rows: DataFrame, key:
 
     ids and won are arrays of one length, in order.
     """
-    before = lambda k: F.aggregate(F.slice(won, 1, F.col("map") - 1), F.lit(0), lambda a, x: a + (x == k).cast("int"))
-    later = manifest.select("*", F.posexplode(ids).alias("__p", "map_id")).where("__p > 0").withColumn("map", F.col("__p") + 1)
-    later = later.withColumns({"wins_before": before(1), "losses_before": before(0), key: F.try_element_at(F.col(ids), F.lit(1))})
-    return later.drop("__p").join(rows, key)
+    maps = manifest.withColumn(key, F.try_element_at(F.col(ids), F.lit(1))).select("*", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(won).alias("won"))).alias("__p", "__m"))
+    earlier = Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.coalesce(F.sum((F.col("__m.won") == 1).cast("int")).over(earlier), F.lit(0)).cast("int")
+    losses = F.coalesce(F.sum((F.col("__m.won") == 0).cast("int")).over(earlier), F.lit(0)).cast("int")
+    later = maps.withColumns({"map": F.col("__p") + 1, "map_id": F.col("__m.id"), "wins_before": wins, "losses_before": losses}).where("__p > 0")
+    return later.drop("__p", "__m").join(rows, key)

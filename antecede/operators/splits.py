@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from antecede.functions.columns import expit, logit
+from antecede.functions.columns import expit, logit, normal_cdf
 from antecede.operators.evaluation import calibration_line, iso_week, log_loss, prediction_quality
 
 
@@ -37,7 +37,7 @@ def stratified_split(df: DataFrame, group: str, strata: list[str], share: float,
     """split train or test: whole groups, in each stratum the given share of them by hash order."""
     groups = df.select(group, *strata).distinct()
     w = Window.partitionBy(*strata)
-    ranked = groups.withColumns({"__k": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), group), group)), "__n": F.count("*").over(w)})
+    ranked = groups.withColumns({"__k": F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), group)), "__n": F.count("*").over(w)})
     return df.join(ranked.select(group, *strata, F.when(F.col("__k") <= F.round(F.col("__n") * share), "test").otherwise("train").alias("split")), [group, *strata])
 
 
@@ -177,6 +177,13 @@ def price_lines(lines: DataFrame, residuals: DataFrame, segments: list[str], pul
     return out.select("id", F.coalesce(*drawn, base).alias("p_under"))
 
 
+def price_lines_normal(lines: DataFrame, residuals: DataFrame) -> DataFrame:
+    """id, p_normal: P(total under the line) if residuals are normal with their mean and standard deviation."""
+    moments = residuals.agg(F.avg("residual").alias("__m"), F.stddev_samp("residual").alias("__s"))
+    x = lines.crossJoin(F.broadcast(moments))
+    return x.select("id", normal_cdf((F.col("line") - F.col("mean") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).alias("p_normal"))
+
+
 def member_bounds(df: DataFrame, members: str, p: str, bound: Column) -> DataFrame:
     """low and high (quantiles 0.1 and 0.9 of the members, linear between them) and combined: the least of p, low and a bound."""
     s = F.array_sort(members)

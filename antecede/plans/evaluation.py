@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from antecede.operators import evaluation as e, splits as s
 from antecede.plans.duels import DUELS, duels
-from antecede.plans.registry import Tables, query, r
+from antecede.plans.registry import Tables, cdf_sql, query, r
 
 #: y, p and cohorts of labels; y, p, week and residual of events.
 LABELLED = "WITH f AS (SELECT doc_id, quality AS y, toxic, ((doc_id * 37) % 101 + 0.5) / 102 AS p, lang, source, length(text) AS n FROM labels JOIN documents USING (doc_id))"
@@ -155,7 +155,10 @@ def d39_select_features(t: Tables) -> DataFrame:
     return e.select_features(i, 12000, 0.6).withColumn("importance", r("importance", 3))
 
 
-@query("SELECT * FROM (SELECT 'gone' AS \"column\", 'missing' AS problem UNION ALL SELECT 'same', 'constant') WHERE (SELECT avg((l_linenumber > 5)::INT) FROM lineitem) < 0.5")
+_dead = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", CASE WHEN avg(({x} IS NULL)::INT) > 0.5 THEN 'missing' WHEN coalesce(min({x}) = max({x}), TRUE) THEN 'constant' END AS problem FROM d" for x in ("l_quantity", "l_tax", "gone", "same"))
+
+
+@query(f"WITH d AS (SELECT l_quantity, l_tax, CASE WHEN l_linenumber > 5 THEN l_quantity END AS gone, CASE WHEN l_linenumber > 1 THEN 'x' END AS same FROM lineitem) SELECT * FROM ({_dead}) WHERE problem IS NOT NULL")
 def d40_dead_columns(t: Tables) -> DataFrame:
     df = t.lineitem.select("l_quantity", "l_tax", F.when(F.col("l_linenumber") > 5, F.col("l_quantity")).alias("gone"), F.when(F.col("l_linenumber") > 1, F.lit("x")).alias("same"))
     return e.dead_columns(df, 0.5)
@@ -220,11 +223,9 @@ def j1_temporal_split(t: Tables) -> DataFrame:
     return s.temporal_split(t.orders, "o_orderdate", PARTS).select("o_orderkey", "split")
 
 
-@query("SELECT c_mktsegment, count(*) AS n, round(count(*) * 0.2)::BIGINT AS test FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_custkey, c_mktsegment, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) <= round(count(*) OVER (PARTITION BY c_mktsegment) * 0.2) THEN 'test' ELSE 'train' END AS split FROM customer")
 def j2_stratified_split(t: Tables) -> DataFrame:
-    """How many groups of each stratum are tested; which ones is a hash's choice."""
-    out = s.stratified_split(t.customer, "c_custkey", ["c_mktsegment"], 0.2)
-    return out.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("test"))
+    return s.stratified_split(t.customer, "c_custkey", ["c_mktsegment"], 0.2).select("c_custkey", "c_mktsegment", "split")
 
 
 @query("""WITH x AS (SELECT o_custkey AS g, o_orderdate AS at_, CASE WHEN year(o_orderdate) < 1998 THEN 'a' WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'c' END AS split FROM orders), n AS (SELECT split, min(at_) AS lo, max(at_) AS hi FROM x GROUP BY split), l AS (SELECT *, lag(hi) OVER (ORDER BY lo, split) AS prev FROM n)
@@ -284,14 +285,17 @@ def j9_calibration(t: Tables) -> DataFrame:
     return s.calibrate(f.where("event_id % 2 = 0"), f.where("event_id % 2 = 1"), "y", "p")
 
 
-@query("""WITH l AS (SELECT event_id AS id, 30.0 AS mean, (event_id % 60)::DOUBLE + 0.5 AS line, user_id AS a, event_type AS b FROM events WHERE event_id % 5 = 0), q AS (SELECT value - 30 AS residual, user_id + 75 AS a, event_type AS b FROM events),
-    z AS (SELECT l.id, count(*) FILTER (WHERE residual <= line - mean) / count(*)::DOUBLE AS p FROM l CROSS JOIN q GROUP BY l.id), x AS (SELECT l.id, count(*) FILTER (WHERE residual <= line - mean)::DOUBLE AS u, count(*) AS n FROM l JOIN q ON l.a = q.a GROUP BY l.id),
-    y AS (SELECT l.id, count(*) FILTER (WHERE residual <= line - mean)::DOUBLE AS u, count(*) AS n FROM l JOIN q ON l.b = q.b GROUP BY l.id)
-    SELECT l.id, round(coalesce((x.u + z.p * 50) / (x.n + 50), (y.u + z.p * 50) / (y.n + 50), z.p), 6) AS p_under FROM l JOIN z USING (id) LEFT JOIN x USING (id) LEFT JOIN y USING (id)""")
+@query(f"""WITH l AS (SELECT event_id AS id, (event_id % 60)::DOUBLE + 0.5 - 30 AS d, user_id AS a, event_type AS b FROM events), q AS (SELECT value - 30 AS residual, user_id + 75 AS a, event_type AS b FROM events),
+    c AS (SELECT a, d, count(*) FILTER (WHERE residual <= d)::DOUBLE AS u, count(*) AS n FROM (SELECT DISTINCT a, d FROM l) JOIN q USING (a) GROUP BY a, d), e AS (SELECT b, d, count(*) FILTER (WHERE residual <= d)::DOUBLE AS u, count(*) AS n FROM (SELECT DISTINCT b, d FROM l) JOIN q USING (b) GROUP BY b, d),
+    z AS (SELECT d, count(*) FILTER (WHERE residual <= d) / count(*)::DOUBLE AS p FROM (SELECT DISTINCT d FROM l) CROSS JOIN q GROUP BY d), s AS (SELECT avg(residual) AS m, stddev_samp(residual) AS s FROM q)
+    SELECT l.id, round(coalesce((c.u + z.p * 50) / (c.n + 50), (e.u + z.p * 50) / (e.n + 50), z.p), 6) AS p_under, round(z.p, 6) AS p_empirical, round({cdf_sql("(l.d - s.m) / s.s")}, 6) AS p_normal
+    FROM l CROSS JOIN s JOIN z ON z.d = l.d LEFT JOIN c ON c.a = l.a AND c.d = l.d LEFT JOIN e ON e.b = l.b AND e.d = l.d""")
 def j10_price_lines(t: Tables) -> DataFrame:
-    lines = t.events.where("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.lit(30.0).alias("mean"), ((F.col("event_id") % 60).cast("double") + 0.5).alias("line"), F.col("user_id").alias("a"), F.col("event_type").alias("b"))
+    """All three modes: drawn to segments, empirical, and normal."""
+    lines = t.events.select(F.col("event_id").alias("id"), F.lit(30.0).alias("mean"), ((F.col("event_id") % 60).cast("double") + 0.5).alias("line"), F.col("user_id").alias("a"), F.col("event_type").alias("b"))
     residuals = t.events.select((F.col("value") - 30).alias("residual"), (F.col("user_id") + 75).alias("a"), F.col("event_type").alias("b"))
-    return s.price_lines(lines, residuals, ["a", "b"]).select("id", r("p_under"))
+    drawn, whole = s.price_lines(lines, residuals, ["a", "b"]), s.price_lines(lines, residuals, []).withColumnRenamed("p_under", "p_empirical")
+    return drawn.join(whole, "id").join(s.price_lines_normal(lines, residuals), "id").select("id", r("p_under"), r("p_empirical"), r("p_normal"))
 
 
 @query(f"{EVENTS} SELECT event_id, CASE WHEN p < 0.4 OR p > 0.6 THEN 'clear' ELSE 'close' END || '|' || year(ts) || '.' || lpad(quarter(ts)::VARCHAR, 2, '0') || '|' || 'bo' || (event_id % 3 * 2 + 1) AS segment FROM f")

@@ -166,10 +166,10 @@ def e20_drawdown(t: Tables) -> DataFrame:
     return h.drawdown(df, ("supplier",), ("sold",), "pnl", 100.0, net_ties=True).select("supplier", r("max_drawdown", 4), r("max_drawdown_share"))
 
 
-@query("SELECT o_orderkey, o_orderpriority, round(sum(o_totalprice - 150000) OVER (PARTITION BY o_orderpriority, year(o_orderdate) ORDER BY o_orderdate, o_orderkey), 3) AS running FROM orders")
+@query("SELECT o_orderkey, o_orderpriority, round(sum(o_totalprice - 150000) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey), 3) AS running FROM orders")
 def e21_cumulative_sum(t: Tables) -> DataFrame:
-    df = t.orders.withColumns({"pnl": F.col("o_totalprice") - 150000, "y": F.year("o_orderdate")})
-    return h.cumulative(df, ("o_orderpriority", "y"), ("o_orderdate", "o_orderkey"), "pnl", "running").select("o_orderkey", "o_orderpriority", r("running", 3))
+    df = t.orders.withColumn("pnl", F.col("o_totalprice") - 150000)
+    return h.cumulative(df, ("o_orderpriority",), ("o_orderdate", "o_orderkey"), "pnl", "running").select("o_orderkey", "o_orderpriority", r("running", 3))
 
 
 @query("SELECT event_id, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS accuracy FROM events")

@@ -61,9 +61,9 @@ def c7_asof_state(t: Tables) -> DataFrame:
 
 
 @query("""SELECT a.event_id AS fixture, b.event_id AS listing, list_filter([CASE WHEN a.event_type <> b.event_type THEN 'type' END, CASE WHEN NOT list_has_all(string_split_regex(lower(b.props), '[^a-z0-9]+'), ['k', (a.user_id % 100)::VARCHAR]) THEN 'tokens' END, CASE WHEN b.value < 5 THEN 'value' END], lambda x: x IS NOT NULL)::VARCHAR AS reasons
-    FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 4 = 0 AND b.event_id % 4 = 1 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000""")
+    FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000""")
 def c8_match_within(t: Tables) -> DataFrame:
-    cut = lambda k, p: t.events.where(f"event_id % 4 = {k}").select("user_id", *(F.col(c).alias(p + c) for c in ("event_id", "ts", "event_type", "value", "props")))
+    cut = lambda k, p: t.events.where(f"event_id % 2 = {k}").select("user_id", *(F.col(c).alias(p + c) for c in ("event_id", "ts", "event_type", "value", "props")))
     met = j.match_within(cut(0, "a_"), cut(1, "b_"), ["user_id"], "a_ts", "b_ts", 6 * 3600)
     why = j.reasons({"type": F.col("a_event_type") != F.col("b_event_type"), "tokens": ~j.contains_tokens(F.array(F.lit("k"), (F.col("user_id") % 100).cast("string")), F.col("b_props")), "value": F.col("b_value") < 5})
     return met.select(F.col("a_event_id").alias("fixture"), F.col("b_event_id").alias("listing"), F.concat(F.lit("["), F.array_join(why, ", "), F.lit("]")).alias("reasons"))
@@ -128,7 +128,7 @@ def c15_resolve_chains(t: Tables) -> DataFrame:
     return j.resolve_chains(t.orders.select(k.alias("id"), F.when(k % 5 < 3, k + 1).when(k % 500 == 4, k - 4).alias("next")))
 
 
-@query("""WITH targets AS (SELECT DISTINCT p_type AS target FROM part), providers AS (SELECT n_nationkey AS provider FROM nation WHERE n_nationkey < 3),
+@query("""WITH targets AS (SELECT DISTINCT p_type AS target FROM part), providers AS (SELECT r_regionkey AS provider FROM region),
     acts AS (SELECT l_orderkey AS fixture, l_suppkey % 4 AS provider, p_type AS target, CASE WHEN l_returnflag = 'R' THEN 'captured' WHEN l_returnflag = 'A' THEN 'unsupported' ELSE 'failed' END AS state FROM lineitem JOIN part ON l_partkey = p_partkey),
     seen AS (SELECT fixture, provider, target, bool_or(state = 'captured') AS c, bool_and(state = 'unsupported') AS u FROM acts GROUP BY ALL)
     SELECT o_orderkey AS fixture, p.provider, t.target, CASE WHEN c THEN 'captured' WHEN u THEN 'unsupported' ELSE 'missing' END AS coverage
@@ -136,7 +136,7 @@ def c15_resolve_chains(t: Tables) -> DataFrame:
 def c16_coverage_grid(t: Tables) -> DataFrame:
     state = F.when(F.col("l_returnflag") == "R", "captured").when(F.col("l_returnflag") == "A", "unsupported").otherwise("failed")
     acts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("fixture"), (F.col("l_suppkey") % 4).cast("int").alias("provider"), F.col("p_type").alias("target"), state.alias("state"))
-    wanted = [t.nation.where("n_nationkey < 3").select(F.col("n_nationkey").alias("provider")), t.part.select(F.col("p_type").alias("target")).distinct()]
+    wanted = [t.region.select(F.col("r_regionkey").alias("provider")), t.part.select(F.col("p_type").alias("target")).distinct()]
     return j.coverage_grid(t.orders.select(F.col("o_orderkey").alias("fixture")), wanted, acts, ["fixture", "provider", "target"], "state").select("fixture", "provider", "target", "coverage")
 
 
@@ -176,10 +176,12 @@ def a6_dimension_config(t: Tables) -> DataFrame:
     return j.dimension_join(t.events, one.select("event_type", "v.*"), "event_type", {"name": "other", "weight": 0}).select("event_id", "name", "weight")
 
 
-@query("SELECT file, n > 0 AS found FROM (SELECT 'events.parquet' AS file, count(*) AS n FROM events)")
+@query("SELECT 'events.parquet' AS file, count(*) AS rows, max(ts) AS latest, TRUE AS sized, TRUE AS dated, CASE WHEN date_diff('day', max(ts)::DATE, DATE '2024-02-25') > 20 THEN 'stale' ELSE '' END AS issues FROM events")
 def a2_inspect_sources(t: Tables) -> DataFrame:
-    found = s.inspect_sources(t.spark, f"{t.sf_dir}/events.parquet", "ts", 3650, "2024-02-01")
-    return found.groupBy().agg(F.count("*").alias("n")).select(F.lit("events.parquet").alias("file"), (F.col("n") > 0).alias("found"))
+    """Files under the table's path; SQL doesn't see their sizes and times of change, so of these only that they are there."""
+    found = s.inspect_sources(t.spark, f"{t.sf_dir}/events.parquet", "ts", 20, "2024-02-25")
+    one = found.agg(F.sum("rows").alias("rows"), F.max("latest").alias("latest"), F.bool_and(F.col("bytes") > 0).alias("sized"), F.bool_and(F.col("modified") > F.lit("2000-01-01").cast("timestamp")).alias("dated"), F.array_join(F.array_sort(F.collect_set(F.array_join("issues", ","))), ",").alias("issues"))
+    return one.select(F.lit("events.parquet").alias("file"), "rows", "latest", "sized", "dated", "issues")
 
 
 def _fixture_json(t: Tables) -> DataFrame:
@@ -207,7 +209,7 @@ def a8_flatten_markets(t: Tables) -> DataFrame:
     return s.flatten_markets(t.events.select(F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(doc).alias("payload")))
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount + 0.05 AS price, l_quantity - 1 AS size, l_tax * 10 AS ask FROM lineitem WHERE l_returnflag = 'R'),
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount + 0.05 AS price, l_quantity - 1 AS size, l_tax * 10 AS ask FROM lineitem),
     l AS (SELECT *, price >= ask AS crossed FROM b)
     SELECT token, side, round(price, 6) AS price, size, CASE WHEN crossed THEN 'crossed' WHEN NOT (price > 0 AND price < 1) THEN 'price' WHEN NOT size > 0 THEN 'size' END AS issue FROM (
     SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS token, 'bid' AS side, price, size, crossed FROM l UNION ALL SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey, 'ask', ask, size + 1, crossed FROM l)""")
@@ -215,7 +217,7 @@ def a9_flatten_books(t: Tables) -> DataFrame:
     level = lambda p, q: F.array(F.struct(p.cast("string").alias("price"), q.cast("string").alias("size")))
     token = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
     doc = F.struct(token.alias("asset_id"), level(F.col("l_discount") + 0.05, F.col("l_quantity") - 1).alias("bids"), level(F.col("l_tax") * 10, F.col("l_quantity")).alias("asks"))
-    return s.flatten_books(t.lineitem.where("l_returnflag = 'R'").select(F.to_json(doc).alias("payload"))).select("token", "side", r("price"), "size", "issue")
+    return s.flatten_books(t.lineitem.select(F.to_json(doc).alias("payload"))).select("token", "side", r("price"), "size", "issue")
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -227,10 +229,21 @@ def a3_a4_generations(t: Tables) -> DataFrame:
     return s.read_generation(t.spark, root)
 
 
-@query("SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) IN (1996, 1997)")
+@query("SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year FROM orders")
 def a1_a5_yearly_csv(t: Tables) -> DataFrame:
-    """Exported as one CSV folder for each year and read back by year."""
+    """Exported as one CSV folder for each year that there is, and read back by year."""
     root = f"{s.shared_folder(t.spark)}/yearly-{__import__('uuid').uuid4().hex}"
-    for y in (1996, 1997):
+    years = [x["y"] for x in t.orders.select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
+    for y in years:
         s.export(t.orders.where(F.year("o_orderdate") == y).select("o_orderkey", "o_custkey"), f"{root}/{y}.csv", "csv")
-    return s.read_yearly_csv(t.spark, root, "o_orderkey long, o_custkey long", [1996, 1997])
+    return s.read_yearly_csv(t.spark, root, "o_orderkey long, o_custkey long", years)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, 'json' AS form FROM orders UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority, 'parquet' FROM orders")
+def a5_exports(t: Tables) -> DataFrame:
+    """As JSON lines and as Parquet compressed by gzip, each read back."""
+    root, rows = f"{s.shared_folder(t.spark)}/exports-{__import__('uuid').uuid4().hex}", t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    for form in ("json", "parquet"):
+        s.export(rows, f"{root}/{form}", form)
+    back = t.spark.read.schema(rows.schema).json(f"{root}/json").withColumn("form", F.lit("json"))
+    return back.unionByName(t.spark.read.parquet(f"{root}/parquet").withColumn("form", F.lit("parquet")))

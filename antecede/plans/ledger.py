@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from antecede.functions import columns as c
 from antecede.operators import ledger as l
 from antecede.plans.duels import DUELS, games
-from antecede.plans.registry import Tables, query, r
+from antecede.plans.registry import Tables, cdf_sql, query, r
 
 #: Lines as settled tickets: stake, odds, result, pnl in decimals.
 TICKETS = """WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN l_suppkey % 3 = 0 THEN 'USD' ELSE 'EUR' END AS currency, CASE WHEN l_linenumber % 2 = 0 THEN 'paper' ELSE 'live' END AS mode, l_quantity::DECIMAL(18, 2) AS stake, (1.5 + l_discount * 10)::DECIMAL(18, 4) AS odds,
@@ -170,15 +170,14 @@ def k2_conservative_lines(t: Tables) -> DataFrame:
     return l.conservative_lines(x, "event_id", "low", "p", "best_of", "total", "handicap").select("event_id", r("over_bound"), r("covers_bound"))
 
 
-_z = "(((event_id % 60) + 0.5 - 30.0) / (5.0 + event_id % 7) / sqrt(2.0))"
-_t = f"(1 / (1 + 0.3275911::DOUBLE * abs({_z})))"
-_erf = f"(1 - (((((1.061405429::DOUBLE * {_t} - 1.453152027::DOUBLE) * {_t}) + 1.421413741::DOUBLE) * {_t} - 0.284496736::DOUBLE) * {_t} + 0.254829592::DOUBLE) * {_t} * exp(-{_z} * {_z}))"
+_over = cdf_sql("((30.0 - (event_id % 60) - 0.5) / (5.0 + event_id % 7))")
 
 
-@query(f"WITH x AS (SELECT event_id, 0.5 * (1 - CASE WHEN {_z} < 0 THEN -{_erf} ELSE {_erf} END) AS p, 1.9::DOUBLE AS odds FROM events) SELECT event_id, round(p, 6) AS over, round(1 / p, 3) AS fair_odds, round(p * odds - 1, 6) AS edge, round(greatest(0, 0.5 * ((odds - 1) * p - (1 - p)) / (odds - 1)), 6) AS half_kelly FROM x WHERE p > 0.01")
+@query(f"WITH x AS (SELECT event_id, {_over} AS p, 1.9::DOUBLE AS odds FROM events) SELECT event_id, round(p, 6) AS over, CASE WHEN p >= 1e-4 THEN round(1 / p, 3) END AS fair_odds, round(p * odds - 1, 6) AS edge, round(greatest(0, 0.5 * ((odds - 1) * p - (1 - p)) / (odds - 1)), 6) AS half_kelly FROM x")
 def k3_normal_over(t: Tables) -> DataFrame:
-    x = t.events.select("event_id", c.normal_over(F.lit(30.0), 5.0 + F.col("event_id") % 7, (F.col("event_id") % 60) + 0.5).alias("p"), F.lit(1.9).alias("odds")).where("p > 0.01")
-    return x.select("event_id", r("p", name="over"), r(1 / F.col("p"), 3, "fair_odds"), r(c.edge(F.col("p"), F.col("odds")), name="edge"), r(c.kelly(F.col("p"), F.col("odds"), 0.5), name="half_kelly"))
+    """Chances under one in ten thousand have no fair odds."""
+    x = t.events.select("event_id", c.normal_over(F.lit(30.0), 5.0 + F.col("event_id") % 7, (F.col("event_id") % 60) + 0.5).alias("p"), F.lit(1.9).alias("odds"))
+    return x.select("event_id", r("p", name="over"), F.when(F.col("p") >= 1e-4, r(1 / F.col("p"), 3, "fair_odds")).alias("fair_odds"), r(c.edge(F.col("p"), F.col("odds")), name="edge"), r(c.kelly(F.col("p"), F.col("odds"), 0.5), name="half_kelly"))
 
 
 @query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN ((event_id * 37) % 101 + 0.5) / 102 END AS p, CASE WHEN event_id % 13 <> 0 THEN 1.2::DOUBLE + (event_id % 40) / 20.0 END AS odds FROM events), y AS (SELECT *, p * odds - 1 AS ev, p * 0.95::DOUBLE * odds - 1 AS bound FROM x),

@@ -44,6 +44,13 @@ def nudged(sql: str) -> str:
     return out + sql[at:]
 
 
+def cdf_sql(z: str) -> str:
+    """The standard normal distribution in SQL: the positive series of its error function, in logarithms."""
+    x = f"greatest(least(abs({z}), 7.5), 1e-300) / sqrt(2.0)"
+    terms = f"list_sum(list_transform(range(0, 111), lambda n: exp(n * ln(4.0::DOUBLE) + (2 * n + 1) * ln({x}) + lgamma(n + 1) - lgamma(2 * n + 2))))"
+    return f"0.5 * (1 + sign({z}) * 2 / sqrt(pi()) * exp(-pow({x}, 2)) * {terms})"
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Registers a function of the tables under its name."""
 

@@ -158,12 +158,16 @@ def e25_latest_stint(t: Tables) -> DataFrame:
     return runs.latest_stint(df, "user_id", ["ts", "event_id"], "team", "ts")
 
 
-MANIFEST = "SELECT user_id AS series, list(event_id ORDER BY ts, event_id) AS ids, list((value > 30)::INT ORDER BY ts, event_id) AS won FROM events WHERE event_id % 20 = 0 GROUP BY user_id"
+#: Each user's events in runs: a new one begins after a gap of more than 6 hours.
+MANIFEST = """SELECT user_id || '-' || run AS series, list(event_id ORDER BY ts, event_id) AS ids, list((value > 30)::INT ORDER BY ts, event_id) AS won FROM (
+    SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, TRUE)::INT AS st FROM events)) GROUP BY user_id, run"""
 
 
 def manifest(t: Tables) -> DataFrame:
+    found = runs.lenient_runs(t.events.withColumn("seq", F.lit(2)), ["user_id"], ["ts", "event_id"], "seq", "ts", 6 * 3600, rising=False)
     maps = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 30).cast("int").alias("w"))))
-    return t.events.where("event_id % 20 = 0").groupBy(F.col("user_id").alias("series")).agg(maps.alias("m")).select("series", F.col("m.event_id").alias("ids"), F.col("m.w").alias("won"))
+    return found.groupBy(F.concat_ws("-", F.col("user_id").cast("string"), F.col("run").cast("string")).alias("series")).agg(maps.alias("m")).select("series", F.col("m.event_id").alias("ids"), F.col("m.w").alias("won"))
 
 
 @query(f"WITH m AS ({MANIFEST}) SELECT series, ids[1] AS event_id, event_type FROM m JOIN events ON event_id = ids[1]")

@@ -38,9 +38,9 @@ def read_yearly_csv(spark: SparkSession, folder: str, schema: str, years: list[i
 
 
 def inspect_sources(spark: SparkSession, path: str, time: str, stale_days: int, now: str) -> DataFrame:
-    """file, bytes, latest and issues of each Parquet file."""
+    """file, bytes, modified, rows, latest and issues (no times, stale) of each Parquet file; its data is read once, for one column."""
     df = spark.read.parquet(path)
-    per = df.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.max(F.col(time).cast("timestamp")).alias("latest"))
+    per = df.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modified")).agg(F.count("*").alias("rows"), F.max(F.col(time).cast("timestamp")).alias("latest"))
     old = F.date_diff(F.to_date(F.lit(now)), F.to_date("latest")) > stale_days
     return per.withColumn("issues", F.filter(F.array(F.when(F.col("latest").isNull(), "no times"), F.when(old, "stale")), lambda x: x.isNotNull()))
 
