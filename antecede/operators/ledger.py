@@ -79,12 +79,22 @@ def quote_budget(levels: DataFrame, book: str, price: str, size: str, stake: flo
     return x.groupBy(book).agg(F.sum(F.col("__spend") / F.col(price)).alias("shares"), F.sum("__spend").alias("cost"), F.max(F.when(F.col("__spend") > 0, F.col(price))).alias("worst")).withColumn("spent_all", F.col("cost") >= stake - 1e-9)
 
 
-def allocate_batch(df: DataFrame, batch: str, fixture: str, p: str, odds: str, fraction: float, ticket_cap: float, fixture_cap: float, total_cap: float) -> DataFrame:
-    """share: fractional Kelly under a ticket's cap, scaled to the fixture's cap, then to the batch's."""
+def allocate_batch(df: DataFrame, batch: str, fixture: str, p: str, odds: str, fraction: float, ticket_cap: float, fixture_cap: float, total_cap: float, spent: DataFrame | None = None) -> DataFrame:
+    """share: fractional Kelly under a ticket's cap, scaled to what is left of the fixture's cap, then of the batch's.
+
+    spent: batch, fixture, share already taken. What is left is never below 0.
+    """
     x = df.withColumn("__k", F.least(kelly(F.col(p), F.col(odds), fraction), F.lit(ticket_cap)))
-    scale = lambda c, cap, *by: F.coalesce(F.least(F.lit(1.0), F.lit(cap) / F.nullif(F.sum(c).over(Window.partitionBy(*by)), F.lit(0.0))), F.lit(1.0))
-    x = x.withColumn("__k", F.col("__k") * scale("__k", fixture_cap, batch, fixture))
-    return x.withColumn("share", F.col("__k") * scale("__k", total_cap, batch)).drop("__k")
+    if spent is not None:
+        by_fixture = spent.groupBy(batch, fixture).agg(F.sum("share").alias("__sf"))
+        by_batch = spent.groupBy(batch).agg(F.sum("share").alias("__sb"))
+        x = x.join(by_fixture, [batch, fixture], "left").join(by_batch, batch, "left").fillna(0.0, ["__sf", "__sb"])
+    else:
+        x = x.withColumns({"__sf": F.lit(0.0), "__sb": F.lit(0.0)})
+    left = lambda cap, used: F.greatest(F.lit(cap) - F.col(used), F.lit(0.0))
+    scale = lambda c, cap, *by: F.coalesce(F.least(F.lit(1.0), cap / F.nullif(F.sum(c).over(Window.partitionBy(*by)), F.lit(0.0))), F.lit(1.0))
+    x = x.withColumn("__k", F.col("__k") * scale("__k", left(fixture_cap, "__sf"), batch, fixture))
+    return x.withColumn("share", F.col("__k") * scale("__k", left(total_cap, "__sb"), batch)).drop("__k", "__sf", "__sb")
 
 
 def activity(tables: dict[str, tuple[DataFrame, str]], start: str, end: str) -> DataFrame:
@@ -117,6 +127,46 @@ def drift(df: DataFrame, by: str, order: list[str], value: str, rows: int = 5) -
     return out.withColumn("change", F.col("recent") - F.col("before"))
 
 
+def report_changes(previous: DataFrame, current: DataFrame, by: str, least_share: float = 0.5) -> DataFrame:
+    """key, check, level, metric against a previous report (by, rows, columns): volume, and the columns that came or went, one row each."""
+    a, b = previous.select(by, F.col("rows").alias("__was"), F.col("columns").alias("__had")), current.select(by, "rows", "columns")
+    both = b.join(a, by, "full")
+    share = F.coalesce("rows", F.lit(0)) / F.nullif(F.col("__was"), F.lit(0))
+    none = F.array().cast("array<string>")
+    changed = F.size(F.array_except(F.coalesce("columns", none), F.coalesce("__had", none))) + F.size(F.array_except(F.coalesce("__had", none), F.coalesce("columns", none)))
+    rows = F.array(
+        F.struct(F.lit("volume").alias("check"), F.when(share < least_share, "warn").when(F.col("__was").isNull(), "new").otherwise("ok").alias("level"), share.alias("metric")),
+        F.struct(F.lit("schema").alias("check"), F.when(changed > 0, "warn").otherwise("ok").alias("level"), changed.cast("double").alias("metric")),
+    )
+    return both.select(by, F.explode(rows).alias("x")).select(by, "x.*")
+
+
+def repeated_failures(df: DataFrame, by: str, order: list[str], failed: Column, least: int = 3) -> DataFrame:
+    """key, longest run of failures, and whether it is long enough to warn."""
+    w = Window.partitionBy(by).orderBy(*order)
+    x = df.withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int"))
+    x = x.withColumn("__g", F.sum(1 - F.col("__f")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(by, "__g").agg(F.sum("__f").alias("n")).groupBy(by).agg(F.max("n").alias("longest")).withColumn("level", F.when(F.col("longest") >= least, "warn").otherwise("ok"))
+
+
+def prediction_drift(before: DataFrame, after: DataFrame, by: str, p: str, features: list[str], key: str, top: int = 10) -> DataFrame:
+    """by, p10, p50, p90 shifts of predictions, worst (the feature whose missing share rose most) and overlap of the `top` keys by prediction."""
+    shares = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
+
+    def facts(df: DataFrame, name: str) -> DataFrame:
+        k = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(p), key))
+        x = df.withColumn("__k", k)
+        missing = [F.avg(F.col(f).isNull().cast("double")).alias(f"{name}_m_{f}") for f in features]
+        return x.groupBy(by).agg(F.percentile(p, shares).alias(f"{name}_q"), F.collect_set(F.when(F.col("__k") <= top, F.col(key))).alias(f"{name}_top"), *missing)
+
+    both = facts(before, "a").join(facts(after, "b"), by)
+    rises = F.array(*(F.struct((F.col(f"b_m_{f}") - F.col(f"a_m_{f}")).alias("rise"), F.lit(f).alias("feature")) for f in features))
+    shift = {f"p{10 + 40 * k}_shift": F.col("b_q")[k] - F.col("a_q")[k] for k in range(3)}
+    worst = F.array_max(F.transform(rises, lambda x: F.struct(x["rise"].alias("rise"), x["feature"].alias("feature"))))
+    overlap = F.size(F.array_intersect("a_top", "b_top")) / F.lit(float(top))
+    return both.select(by, *(c.alias(n) for n, c in shift.items()), worst["feature"].alias("worst"), worst["rise"].alias("rise"), overlap.alias("overlap"))
+
+
 def retrain_trigger(df: DataFrame, by: list[str], key: str, time: str, major: Column, cutoff: str, now: str, least: int, least_major: int, most_days: int) -> DataFrame:
     """by, fresh, fresh_major, age_days, reasons: distinct games after the cutoff (the latest row of each), and why to train again."""
     w = Window.partitionBy(*by, key).orderBy(F.col(time).desc())

@@ -43,3 +43,14 @@ def supersede(versions: DataFrame, dependents: DataFrame, corrections: DataFrame
     old = dependents.select(F.col("version_id").alias("old_id"), F.col("id").alias("corrected"), "selection")
     live = changed.join(old, "old_id").join(corrections, "corrected", "left_anti")
     return live.join(dependents, ["version_id", "selection"], "left").groupBy("corrected").agg(F.min("id").alias("replacement"))
+
+
+def merge_manifest(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """One row: rows of both sides, keys added, unchanged, updated and kept, and rows after the merge; both have the same columns and unique keys."""
+    a, b = existing.select(key, F.struct(*existing.columns).alias("__a")), incoming.select(key, F.struct(*existing.columns).alias("__b"))
+    j = a.join(b, key, "full")
+    here, there = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    same = F.col("__a").eqNullSafe(F.col("__b"))
+    return j.agg(
+        F.count_if(here).alias("existing_rows"), F.count_if(there).alias("incoming_rows"), F.count_if(~here).alias("added"), F.count_if(here & there & same).alias("unchanged"), F.count_if(here & there & ~same).alias("updated"), F.count_if(~there).alias("kept"), F.count("*").alias("merged_rows")
+    )

@@ -13,6 +13,14 @@ def group_issues(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFram
     return df.groupBy(key).agg(*(checks[n].alias(f"__{k}") for k, n in enumerate(names))).select(key, reasons({n: F.col(f"__{k}") for k, n in enumerate(names)}).alias("issues"))
 
 
+def training_issues(df: DataFrame, game: str, side: str, result: str, targets: list[str], roles: str, members: int = 5) -> DataFrame:
+    """game and the assertions that it breaks: two sides, one winner, targets agree, as many roles as members."""
+    differ = F.lit(False)
+    for c in targets:
+        differ = differ | (F.min(c) != F.max(c))
+    return group_issues(df, game, {"two sides": (F.count("*") != 2) | (F.count_distinct(side) != 2), "one winner": F.sum(result) != 1, "targets agree": differ, "five roles": F.bool_or(F.col(roles) != members)})
+
+
 def marked_rows(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """The distinct rows with their group's issues. Rows are dealt by the group once, and duplicates, issues and the way back all use that."""
     rows = df.repartition(key).dropDuplicates()

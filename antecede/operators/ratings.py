@@ -295,6 +295,10 @@ def advance(state: DataFrame, as_of: str, season: int, rules: Rules, seasons: Da
 
 def last_year_rows(before: DataFrame, time: str, least_share: float = 0.0) -> DataFrame:
     """Rows of the last calendar year, or, if that is all there is, those after the 80% quantile of their days."""
-    days = before.agg(F.max(F.year(time)).alias("__y"), F.min(F.year(time)).alias("__y0"), F.percentile(F.unix_date(F.to_date(time)), 0.8).alias("__q"))
-    late = F.when(F.col("__y") > F.col("__y0"), F.year(time) == F.col("__y")).otherwise(F.unix_date(F.to_date(time)) > F.col("__q"))
-    return before.crossJoin(F.broadcast(days)).where(late).drop("__y", "__y0", "__q")
+    from antecede.operators.evaluation import quantiles
+
+    last, first = before.agg(F.max(F.year(time)), F.min(F.year(time))).first()
+    if last != first:
+        return before.where(F.year(time) == last)
+    day = F.unix_date(F.to_date(time))
+    return before.where(day > quantiles(before.select(day.alias("d")), "d", [0.8])[0])

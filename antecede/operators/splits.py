@@ -9,7 +9,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions.columns import expit, logit, normal_cdf
-from antecede.operators.evaluation import calibration_line, iso_week, log_loss, prediction_quality
+from antecede.operators.evaluation import calibration_line, iso_week, log_loss, prediction_quality, quantiles
 
 
 def numbered_times(df: DataFrame, time: str) -> DataFrame:
@@ -51,10 +51,14 @@ def split_problems(df: DataFrame, split: str, group: str, time: str) -> DataFram
 
 def rolling_folds(df: DataFrame, time: str, blocks: int, by_week: bool = True) -> DataFrame:
     """Rows with block (1 to `blocks`), by runs of weeks or of times; fold k validates on block k and trains strictly before it."""
-    key = iso_week(time) if by_week else F.col(time)
-    keys = df.select(key.alias("__w")).distinct()
-    table = keys.select("__w", F.ntile(blocks).over(Window.orderBy("__w")).alias("block"))
-    return df.withColumn("__w", key).join(table, "__w").drop("__w")
+    if by_week:
+        keys = df.select(iso_week(time).alias("__w")).distinct()
+        table = keys.select("__w", F.ntile(blocks).over(Window.orderBy("__w")).alias("block"))
+        return df.withColumn("__w", iso_week(time)).join(table, "__w").drop("__w")
+    # Blocks of ntile from numbered times: the first `more` have one more.
+    size, more = F.floor(F.col("total") / blocks), F.col("total") % blocks
+    block = F.when(F.col("k") < more * (size + 1), F.floor(F.col("k") / (size + 1))).otherwise(more + F.floor((F.col("k") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return df.join(numbered_times(df, time).select(time, (block + 1).cast("int").alias("block")), time)
 
 
 def oof_logistic(df: DataFrame, id_: str, time: str, features: list[str], y: str, blocks: int = 4, c: float = 0.5) -> DataFrame:
@@ -82,7 +86,7 @@ def close_series(df: DataFrame, p: str, cutoff: str, forecast: str, start: str,
 
 def fit_features(df: DataFrame, numbers: list[str], categories: list[str], most_levels: int = 1000) -> dict:
     """Medians and frozen levels of a training table, for apply_features. Levels are few by contract: too many fail."""
-    medians = df.agg(*(F.percentile(c, 0.5).alias(c) for c in numbers)).first().asDict() if numbers else {}
+    medians = {c: quantiles(df, c, [0.5])[0] for c in numbers}
     levels = {}
     for c in categories:
         found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most_levels + 1).collect()]

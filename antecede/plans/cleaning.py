@@ -203,6 +203,19 @@ def d6_f2_failing_groups(t: Tables) -> DataFrame:
     return q.group_issues(t.lineitem, "l_orderkey", _checks()).where("size(issues) > 0").orderBy("l_orderkey").limit(5).select("l_orderkey", F.array_join("issues", ",").alias("issues"))
 
 
+_broken = """x AS (SELECT game, side, entity, kills, CASE WHEN game % 50 = 0 THEN 1 ELSE result END AS result, CASE WHEN game % 35 = 0 AND side = 'Red' THEN price + 1 ELSE price END AS target, (game % 5 + CASE WHEN game % 45 = 0 AND side = 'Red' THEN 4 ELSE 5 END - game % 5)::INT AS roles FROM duels WHERE NOT (game % 40 = 0 AND side = 'Red'))"""
+
+
+@query(f"""{DUELS}, {_broken}, g AS (SELECT game, concat_ws(',', CASE WHEN count(*) <> 2 OR count(DISTINCT side) <> 2 THEN 'two sides' END, CASE WHEN sum(result) <> 1 THEN 'one winner' END, CASE WHEN min(target) <> max(target) THEN 'targets agree' END, CASE WHEN bool_or(roles <> 5) THEN 'five roles' END) AS issues FROM x GROUP BY game)
+    SELECT issues, count(*) AS games, min(game) AS first FROM g WHERE issues <> '' GROUP BY issues""")
+def d6_training_assertions(t: Tables) -> DataFrame:
+    """What a training table must hold: two sides, one winner, the same target on both, five roles a side."""
+    g = F.col("game")
+    x = duels(t).where(~((g % 40 == 0) & (F.col("side") == "Red"))).withColumns({"result": F.when(g % 50 == 0, 1).otherwise(F.col("result")), "target": F.when((g % 35 == 0) & (F.col("side") == "Red"), F.col("price") + 1).otherwise(F.col("price")), "roles": F.when((g % 45 == 0) & (F.col("side") == "Red"), 4).otherwise(5)})
+    issues = q.training_issues(x, "game", "side", "result", ["target"], "roles")
+    return issues.where("size(issues) > 0").groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count("*").alias("games"), F.min("game").alias("first"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(DISTINCT (l_returnflag, l_linestatus)) AS versions FROM lineitem GROUP BY ALL HAVING count(DISTINCT (l_returnflag, l_linestatus)) > 1")
 def d7_conflicts(t: Tables) -> DataFrame:
     return q.conflicts(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus"])

@@ -175,17 +175,24 @@ def d41_pure_levels(t: Tables) -> DataFrame:
     return e.pure_levels(t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int")), "y", "l_orderkey")
 
 
-@query()
+_drawn = " + ".join(f"(u >= {c}::DOUBLE)::INT" for c in e.POISSON)
+
+
+@query(f"""WITH c AS (SELECT l_suppkey AS c, sum(l_extendedprice * l_discount) AS a, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1), d AS (SELECT *, (('0x' || substr(md5('7:' || sample || ':' || c), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u FROM c CROSS JOIN range(0, 200) s(sample)),
+    r AS (SELECT sample, sum(a * ({_drawn})) / sum(b * ({_drawn})) AS ratio FROM d GROUP BY sample) SELECT round((SELECT sum(a) / sum(b) FROM c), 6) AS estimate, round(quantile_cont(ratio, 0.05), 6) AS lower, round(quantile_cont(ratio, 0.95), 6) AS upper FROM r""")
 def d42_bootstrap_ratio(t: Tables) -> DataFrame:
-    """Draws are hashes, which SQL elsewhere doesn't have; the interval is tested against its normal form."""
-    return e.bootstrap_ratio(t.lineitem.withColumn("pnl", F.col("l_extendedprice") * F.col("l_discount")), "pnl", "l_extendedprice", "l_suppkey", 200)
+    """Its interval is tested against its normal form too."""
+    out = e.bootstrap_ratio(t.lineitem.withColumn("pnl", F.col("l_extendedprice") * F.col("l_discount")), "pnl", "l_extendedprice", "l_suppkey", 200)
+    return out.select(r("estimate"), r("lower"), r("upper"))
 
 
-@query()
+@query(f"""{EVENTS}, x AS (SELECT event_type, user_id, -(y * ln(p) + (1 - y) * ln(1 - p)) AS a, -(y * ln(0.4::DOUBLE) + (1 - y) * ln(0.6::DOUBLE)) AS b FROM f), c AS (SELECT event_type, user_id, sum(a - b) AS d, count(*) AS n FROM x GROUP BY ALL),
+    w AS (SELECT *, (('0x' || substr(md5('7:' || sample || ':' || user_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u FROM c CROSS JOIN range(0, 100) s(sample)), q AS (SELECT event_type, sample, sum(d * ({_drawn})) / sum(n * ({_drawn})) AS ratio FROM w GROUP BY ALL),
+    m AS (SELECT event_type, avg(a - b) AS d, avg(b) AS base FROM x GROUP BY 1) SELECT event_type, round(d / base, 6) AS delta, round(up / base, 6) AS upper FROM m JOIN (SELECT event_type, quantile_cont(ratio, 0.99) AS up FROM q GROUP BY 1) USING (event_type)""")
 def d43_paired_bootstrap(t: Tables) -> DataFrame:
-    """As d42, by cohort and relative to a baseline's loss."""
+    """By cohort, relative to a baseline's loss; five cohorts share the error."""
     f = forecasts(t).withColumns({"a": e.log_loss(F.col("y"), F.col("p")), "b": e.log_loss(F.col("y"), F.lit(0.4))})
-    return e.paired_bootstrap(f, "event_type", "user_id", "a", "b", 100, 0.95)
+    return e.paired_bootstrap(f, "event_type", "user_id", "a", "b", 100, 0.95).select("event_type", r("delta"), r("upper"))
 
 
 @query(f"{EVENTS}, m AS ({_quality('event_type', LOW, 'p', '1e-12')}) SELECT event_type, concat_ws(',', CASE WHEN n < 2000 THEN 'rows' END, CASE WHEN brier > 0.333 THEN 'brier' END, CASE WHEN ece > 0.26 THEN 'ece' END) AS failed, CASE WHEN n >= 2000 AND NOT brier > 0.333 AND NOT ece > 0.26 THEN 'promote' ELSE 'hold' END AS decision FROM m")
@@ -243,6 +250,12 @@ def j4_rolling_folds(t: Tables) -> DataFrame:
     return s.rolling_folds(t.orders, "o_orderdate", 4).select("o_orderkey", "block")
 
 
+@query("WITH w AS (SELECT w, ntile(6) OVER (ORDER BY w) AS block FROM (SELECT DISTINCT ts AS w FROM events)) SELECT event_id, block::INT AS block FROM events JOIN w ON w = ts")
+def j4_timestamp_folds(t: Tables) -> DataFrame:
+    """Six blocks of unique times, numbered in two levels."""
+    return s.rolling_folds(t.events, "ts", 6, by_week=False).select("event_id", "block")
+
+
 @query()
 def j5_oof_logistic(t: Tables) -> DataFrame:
     """Out-of-fold probabilities; the tests check that no fold sees its own time."""

@@ -115,6 +115,46 @@ def d37_drift(t: Tables) -> DataFrame:
     return l.drift(t.events, "user_id", ["ts", "event_id"], "value").select("user_id", r("recent"), r("before"), r("change"))
 
 
+_had = "CASE WHEN event_type IN ('click', 'view') THEN ['id', 'ts', 'value'] ELSE ['id', 'props', 'ts', 'value'] END"
+
+
+@query(f"""WITH a AS (SELECT event_type, count(*) AS n, ['id', 'props', 'ts', 'value'] AS c FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type, count(*) FILTER (WHERE event_type <> 'error' OR event_id % 3 = 0) AS n, {_had} AS c FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
+    j AS (SELECT coalesce(a.event_type, b.event_type) AS event_type, a.n AS was, coalesce(b.n, 0) / nullif(a.n, 0) AS share, len(list_filter(coalesce(b.c, []), lambda x: NOT list_contains(coalesce(a.c, []), x))) + len(list_filter(coalesce(a.c, []), lambda x: NOT list_contains(coalesce(b.c, []), x))) AS ch FROM a FULL JOIN b ON a.event_type = b.event_type)
+    SELECT event_type, 'volume' AS "check", CASE WHEN share < 0.5 THEN 'warn' WHEN was IS NULL THEN 'new' ELSE 'ok' END AS level, round(share, 6) AS metric FROM j UNION ALL SELECT event_type, 'schema', CASE WHEN ch > 0 THEN 'warn' ELSE 'ok' END, ch FROM j""")
+def d36_report_changes(t: Tables) -> DataFrame:
+    """The later half of the events against a report of the first."""
+    cols = lambda *c: F.array(*map(F.lit, c))
+    half = F.lit("2024-01-16").cast("timestamp")
+    first = t.events.where(F.col("ts") < half).groupBy("event_type").agg(F.count("*").alias("rows")).withColumn("columns", cols("id", "props", "ts", "value"))
+    later = t.events.where(F.col("ts") >= half).groupBy("event_type").agg(F.count_if((F.col("event_type") != "error") | (F.col("event_id") % 3 == 0)).alias("rows"))
+    later = later.withColumn("columns", F.when(F.col("event_type").isin("click", "view"), cols("id", "ts", "value")).otherwise(cols("id", "props", "ts", "value")))
+    return l.report_changes(first, later, "event_type").select("event_type", "check", "level", r("metric"))
+
+
+@query("""WITH x AS (SELECT user_id, ts, event_id, (event_type = 'error')::INT AS f FROM events), g AS (SELECT *, sum(1 - f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM x), n AS (SELECT user_id, sum(f) AS n FROM g GROUP BY user_id, g)
+    SELECT user_id, max(n)::BIGINT AS longest, CASE WHEN max(n) >= 3 THEN 'warn' ELSE 'ok' END AS level FROM n GROUP BY user_id""")
+def d36_repeated_failures(t: Tables) -> DataFrame:
+    return l.repeated_failures(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+
+
+@query("""WITH n AS (SELECT event_type, count(DISTINCT user_id) AS seen, count(DISTINCT CASE WHEN value IS NOT NULL THEN user_id END) AS measured, count(DISTINCT CASE WHEN value > 20 THEN user_id END) AS usable FROM events GROUP BY 1)
+    SELECT *, round(measured / seen, 6) AS measured_share, round(usable / measured, 6) AS usable_share, measured / seen >= 0.9 AND usable / measured >= 0.9 AS covered FROM n""")
+def d36_observation_funnel(t: Tables) -> DataFrame:
+    out = l.funnel(t.events, ["event_type"], "user_id", {"seen": F.lit(True), "measured": F.col("value").isNotNull(), "usable": F.col("value") > 20})
+    return out.select("event_type", "seen", "measured", "usable", r("measured_share"), r("usable_share"), "covered")
+
+
+@query("""WITH e AS (SELECT event_type, event_id, user_id, ts >= TIMESTAMP '2024-01-16' AS late, CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN value * 1.1::DOUBLE ELSE value END AS p, CASE WHEN event_id % 9 <> 0 THEN value END AS f1, CASE WHEN NOT (ts >= TIMESTAMP '2024-01-16' AND event_id % 4 = 0) THEN value END AS f2 FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY event_type, late ORDER BY p DESC, event_id) AS k FROM e), g AS (SELECT event_type, late, quantile_cont(p, [0.1, 0.5, 0.9]) AS q, list(DISTINCT user_id) FILTER (WHERE k <= 200) AS top, avg((f1 IS NULL)::INT) AS m1, avg((f2 IS NULL)::INT) AS m2 FROM k GROUP BY ALL)
+    SELECT a.event_type, round(b.q[1] - a.q[1], 6) AS p10_shift, round(b.q[2] - a.q[2], 6) AS p50_shift, round(b.q[3] - a.q[3], 6) AS p90_shift, CASE WHEN b.m2 - a.m2 >= b.m1 - a.m1 THEN 'f2' ELSE 'f1' END AS worst, round(greatest(b.m1 - a.m1, b.m2 - a.m2), 6) AS rise, round(len(list_intersect(a.top, b.top)) / 200.0, 6) AS overlap
+    FROM g a JOIN g b ON a.event_type = b.event_type AND NOT a.late AND b.late""")
+def d37_prediction_drift(t: Tables) -> DataFrame:
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    e = t.events.withColumns({"late": late, "p": F.when(late, F.col("value") * 1.1).otherwise(F.col("value")), "f1": F.when(F.col("event_id") % 9 != 0, F.col("value")), "f2": F.when(~(late & (F.col("event_id") % 4 == 0)), F.col("value"))})
+    out = l.prediction_drift(e.where("NOT late"), e.where("late"), "event_type", "p", ["f1", "f2"], "user_id", 200)
+    return out.select("event_type", r("p10_shift"), r("p50_shift"), r("p90_shift"), "worst", r("rise"), r("overlap"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_tax > 0.01 THEN l_tax END DESC NULLS LAST, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1 AS best FROM lineitem")
 def e22_e23_best_row(t: Tables) -> DataFrame:
     ev = F.when(F.col("l_tax") > 0.01, F.col("l_tax"))
@@ -143,10 +183,14 @@ def e24_quote_budget(t: Tables) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate AS batch, l_suppkey % 5 AS fixture, 0.3 + l_discount * 4 AS p, 1.5 + l_tax * 20 AS odds FROM lineitem), a AS (SELECT *, least(greatest(0, 0.5 * ((odds - 1) * p - (1 - p)) / (odds - 1)), 0.05) AS k FROM o),
-    b AS (SELECT *, k * coalesce(least(1, 0.08 / nullif(sum(k) OVER (PARTITION BY batch, fixture), 0)), 1) AS k2 FROM a) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(k2 * coalesce(least(1, 0.2 / nullif(sum(k2) OVER (PARTITION BY batch), 0)), 1), 8) AS share FROM b""")
+    s AS (SELECT o_orderdate AS batch, o_custkey % 5 AS fixture, (o_orderkey % 4) / 50.0::DOUBLE AS share FROM orders), sf AS (SELECT batch, fixture, sum(share) AS u FROM s GROUP BY ALL), sb AS (SELECT batch, sum(share) AS u FROM s GROUP BY ALL),
+    b AS (SELECT a.*, k * coalesce(least(1, greatest(0.08::DOUBLE - coalesce(sf.u, 0), 0) / nullif(sum(k) OVER (PARTITION BY a.batch, a.fixture), 0)), 1) AS k2 FROM a LEFT JOIN sf ON sf.batch = a.batch AND sf.fixture = a.fixture)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(k2 * coalesce(least(1, greatest(0.2::DOUBLE - coalesce(sb.u, 0), 0) / nullif(sum(k2) OVER (PARTITION BY b.batch), 0)), 1), 8) AS share FROM b LEFT JOIN sb ON sb.batch = b.batch""")
 def e26_allocate_batch(t: Tables) -> DataFrame:
+    """Within what earlier tickets left of each fixture's and batch's limit."""
     o = t.lineitem.withColumns({"batch": F.col("l_shipdate"), "fixture": F.col("l_suppkey") % 5, "p": 0.3 + F.col("l_discount") * 4, "odds": 1.5 + F.col("l_tax") * 20})
-    return l.allocate_batch(o, "batch", "fixture", "p", "odds", 0.5, 0.05, 0.08, 0.2).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", r("share", 8))
+    spent = t.orders.select(F.col("o_orderdate").alias("batch"), (F.col("o_custkey") % 5).alias("fixture"), (F.col("o_orderkey") % 4 / 50.0).alias("share"))
+    return l.allocate_batch(o, "batch", "fixture", "p", "odds", 0.5, 0.05, 0.08, 0.2, spent).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", r("share", 8))
 
 
 PATHS = "(VALUES " + ", ".join(map(str, l.series_paths())) + ") s(best_of, a, b, ways)"

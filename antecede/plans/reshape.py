@@ -205,6 +205,12 @@ def g2_key_changes(t: Tables) -> DataFrame:
     return m.key_changes(*halves(t), ["o_orderkey"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH n AS ({INCOMING}), o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0), j AS (SELECT o.o_orderkey AS a, n.o_orderkey AS b, o.o_totalprice = n.o_totalprice AND o.o_custkey = n.o_custkey AS same FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey)
+    SELECT (SELECT count(*) FROM o) AS existing_rows, (SELECT count(*) FROM n) AS incoming_rows, count(*) FILTER (WHERE a IS NULL) AS added, count(*) FILTER (WHERE same) AS unchanged, count(*) FILTER (WHERE NOT same) AS updated, count(*) FILTER (WHERE b IS NULL) AS kept, count(*) AS merged_rows FROM j""")
+def g3_merge_manifest(t: Tables) -> DataFrame:
+    return m.merge_manifest(*halves(t), "o_orderkey")
+
+
 @query(f"WITH n AS ({INCOMING}), o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n)")
 def g3_merge_history(t: Tables) -> DataFrame:
     return m.merge_history(*halves(t), "o_orderkey", "incremental")
