@@ -5,14 +5,14 @@ entity and the new state is written. The driver loops over periods, never over g
 periods (games of a day that share no entity) the result is that of a sequential fold.
 
 events: game, played, side, entity, result (1 or 0), season (int), league, and `period`, in order; one row for
-each member of a side. state: entity, mu, s2 (variance), vol, season, league, last_played.
+each member of a side. state: entity, mu, s2 (variance), vol, season, league, last_played, position (null where there are none).
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from antecede.functions.columns import normal_over
-from antecede.sources.tables import written
+from antecede.sources.tables import work_folder, written
 
 SIDES = ("Blue", "Red")
-STATE = "entity long, mu double, s2 double, vol double, season int, league string, last_played timestamp"
+STATE = "entity long, mu double, s2 double, vol double, season int, league string, last_played timestamp, position string"
 
 # The shares of a role in its side's rating, and what a role that isn't named here weighs.
 ROLE_WEIGHTS = {"top": 0.18, "jng": 0.20, "mid": 0.22, "bot": 0.22, "sup": 0.18}
@@ -44,36 +44,42 @@ class Rules(NamedTuple):
     reset_sigma_on_transfer: bool = False
     new_adjust: float = 0.5
     drift: float = 0.0
+    grow_sigma: bool = False
+    position_reset: float = 0.2
 
 
 # Starting ratings of the four systems.
 ELO = Rules()
-GLICKO = Rules(1500.0, 350.0, 0.06)
+GLICKO = Rules(1500.0, 350.0, 0.06, grow_sigma=True)
 PLACKETT_LUCE = Rules(25.0, 8.333, grace_days=None, reset_sigma_on_transfer=True)
 TRUESKILL = Rules(25.0, 8.333, grace_days=None, reset_sigma_on_transfer=True, drift=8.333 / 100)
 
 
 def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFrame | None = None) -> DataFrame:
-    """The state an entity has when it plays: rows are of (entity, played, now_season, now_league) with its old state, null if it is new.
+    """The state an entity has when it plays: rows are of (entity, played, now_season, now_league and maybe now_position) with its old state, null if it is new.
 
     Toward the baseline: one decay for each season that began for anyone since the entity's mark, then half-lives of idle days beyond the grace.
     A new entity starts at the baseline, moved by part of its league's lead over the mean league (a fifth of the baseline at most); one that
-    changed league moves by part of the difference. leagues: league, rating; without it neither moves.
+    changed league moves by part of the difference. leagues: league, rating; without it neither moves. One that plays another position than the
+    last goes part of the way to the baseline. Where sigma grows, idle days take it to its start by the same half-lives.
     """
+    for c in ("now_position", "position"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
     known = F.col("mu").isNotNull()
     rows = rows.join(F.broadcast(seasons), F.col("now_season") == F.col("__season"), "left").drop("__season")
     old = seasons.select(F.col("__season"), F.col("__nth").alias("__old_nth"))
     rows = rows.join(F.broadcast(old), F.col("season") == F.col("__season"), "left").drop("__season")
     began = F.greatest(F.coalesce(F.col("__nth") - F.col("__old_nth"), F.lit(0)), F.lit(0))
-    keep = F.pow(F.lit(rules.decay), began)
+    keep, rest = F.pow(F.lit(rules.decay), began), F.lit(1.0)
     if rules.grace_days is not None:
         idle = F.floor((F.unix_seconds("played") - F.unix_seconds("last_played")) / 86400) - rules.grace_days
-        keep = keep * F.pow(F.lit(0.5), F.greatest(F.coalesce(idle, F.lit(0.0)), F.lit(0.0)) / rules.half_life_days)
+        rest = F.pow(F.lit(0.5), F.greatest(F.coalesce(idle, F.lit(0.0)), F.lit(0.0)) / rules.half_life_days)
+        keep = keep * rest
     mu = rules.mu + (F.col("mu") - rules.mu) * keep
     start, move, changed = F.lit(rules.mu), F.lit(0.0), F.coalesce(F.col("league") != F.col("now_league"), F.lit(False))
     if leagues is not None:
         mean = leagues.agg(F.avg("rating").alias("__mean"))
-        of = lambda c, a: F.broadcast(leagues.select(F.col("league").alias(c), F.col("rating").alias(a)))
+        of = lambda c, a: leagues.select(F.col("league").alias(c), F.col("rating").alias(a))
         rows = rows.join(of("now_league", "__to"), "now_league", "left").join(of("league", "__from"), "league", "left").crossJoin(F.broadcast(mean))
         lead = (F.coalesce("__to", F.lit(rules.mu)) - F.col("__mean")) * rules.new_adjust
         start = start + F.greatest(F.least(lead, F.lit(0.2 * rules.mu)), F.lit(-0.2 * rules.mu))
@@ -81,8 +87,13 @@ def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFra
     s2 = F.coalesce(F.col("s2"), F.lit(rules.sigma**2))
     if rules.reset_sigma_on_transfer:
         s2 = F.when(changed, rules.sigma**2).otherwise(s2)
+    if rules.grow_sigma:
+        s2 = F.pow(rules.sigma - (rules.sigma - F.sqrt(s2)) * rest, 2)
+    switched = F.coalesce(F.col("position") != F.col("now_position"), F.lit(False))
+    mu = mu + move
+    mu = F.when(switched, rules.mu + (mu - rules.mu) * (1 - rules.position_reset)).otherwise(mu)
     return rows.select(
-        "entity", "played", F.when(known, mu + move).otherwise(start).alias("mu"), (s2 + rules.drift**2).alias("s2"), F.coalesce("vol", F.lit(rules.vol)).alias("vol"), F.col("now_season").alias("season"), F.col("now_league").alias("league")
+        "entity", "played", F.when(known, mu).otherwise(start).alias("mu"), (s2 + rules.drift**2).alias("s2"), F.coalesce("vol", F.lit(rules.vol)).alias("vol"), F.col("now_season").alias("season"), F.col("now_league").alias("league"), F.coalesce("now_position", "position").alias("position")
     )
 
 
@@ -216,19 +227,27 @@ def side_totals(rows: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def rate_period(events: DataFrame, state: DataFrame, kernel: Kernel, seasons: DataFrame, leagues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(before, state after). before: game, side, entity, mu_before, s2_before, p_win."""
-    first = events.groupBy("entity").agg(F.min(F.struct("played", "game", "season", "league")).alias("f"), F.max("played").alias("__last"))
-    first = first.select("entity", "__last", F.col("f.played").alias("played"), F.col("f.season").alias("now_season"), F.col("f.league").alias("now_league"))
-    start = adjusted(first.drop("__last").join(state, "entity", "left"), kernel.rules, seasons, leagues)
-    keep = ["game", "side", "entity", "result", *(["position"] if "position" in events.columns else [])]
-    games = side_totals(events.select(*keep).join(start.select("entity", "mu", "s2", "vol"), "entity"), kernel)
-    before = games.select("game", "side", "entity", F.col("mu").alias("mu_before"), F.col("s2").alias("s2_before"), kernel.win().alias("p_win"))
-    terms = kernel.terms()
-    sums = games.select("entity", *(c.alias(n) for n, c in terms.items())).groupBy("entity").agg(*(F.sum(n).alias(n) for n in terms))
-    after = start.join(sums, "entity").join(first.select("entity", "__last"), "entity")
+    """(before, updated). before: game, side, entity, mu_before, s2_before, p_win; updated: the new states of those who played."""
+    here = "position" in events.columns
+    facts = ["played", "game", "season", "league", *(["position"] if here else [])]
+    first = events.groupBy("entity").agg(F.min(F.struct(*facts)).alias("f"), F.max("played").alias("__last"), *([F.max_by("position", F.struct("played", "game")).alias("__as")] if here else []))
+    first = first.select("entity", "__last", F.col("f.played").alias("played"), F.col("f.season").alias("now_season"), F.col("f.league").alias("now_league"), *([F.col("f.position").alias("now_position"), "__as"] if here else []))
+    start = adjusted(first.drop("__last", "__as").join(state, "entity", "left"), kernel.rules, seasons, leagues)
+    keep = ["game", "side", "entity", "result", *(["position"] if here else [])]
+    terms, own = kernel.terms(), ["mu", "s2", "vol"]
+    games = side_totals(events.select(*keep).join(start.select("entity", *own), "entity"), kernel)
+    # Written once: what was known before each game, and what it adds to each member.
+    games = written(games.select("game", "side", "entity", "mu", "s2", kernel.win().alias("p_win"), *(c.alias(f"__{n}") for n, c in terms.items())), "rated")
+    before = games.select("game", "side", "entity", F.col("mu").alias("mu_before"), F.col("s2").alias("s2_before"), "p_win")
+    sums = games.groupBy("entity").agg(*(F.sum(f"__{n}").alias(n) for n in terms))
+    after = start.join(sums, "entity").join(first.select("entity", "__last", *(["__as"] if here else [])), "entity")
     new = kernel.summed()
-    updated = after.select("entity", new["mu"].alias("mu"), new["s2"].alias("s2"), new["vol"].alias("vol"), "season", "league", F.col("__last").alias("last_played"))
-    return before, state.join(updated.select("entity"), "entity", "left_anti").unionByName(updated)
+    last_as = F.coalesce("__as", "position") if here else F.col("position")
+    return before, after.select("entity", *(new[n].alias(n) for n in own), "season", "league", F.col("__last").alias("last_played"), last_as.alias("position"))
+
+
+def merged_state(state: DataFrame, updated: DataFrame) -> DataFrame:
+    return state.join(updated.select("entity"), "entity", "left_anti").unionByName(updated)
 
 
 def season_order(events: DataFrame) -> DataFrame:
@@ -236,19 +255,45 @@ def season_order(events: DataFrame) -> DataFrame:
     return events.select(F.col("season").alias("__season")).distinct().withColumn("__nth", F.row_number().over(Window.orderBy("__season")))
 
 
+#: Periods whose new states are kept apart before they are merged into one table.
+MERGED_AFTER = 32
+
+
 def rating_periods(events: DataFrame, kernel: Kernel, leagues: DataFrame | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(before, state) over all periods in order; each step's rows and state are written."""
-    spark = events.sparkSession
-    events = written(events.where("entity IS NOT NULL AND result IS NOT NULL AND league IS NOT NULL").withColumns({"season": F.col("season").cast("int"), "played": F.col("played").cast("timestamp"), "result": F.col("result").cast("double")}), "rated-events")
-    seasons = written(season_order(events).coalesce(1), "seasons")
-    state = spark.createDataFrame([], STATE) if state is None else state
-    parts = []
-    for (period,) in events.select("period").distinct().orderBy("period").collect():
-        before, after = rate_period(events.where(F.col("period") == F.lit(period)), state, kernel, seasons, leagues)
-        parts.append(written(before.withColumn("period", F.lit(period)), "before"))
-        state = written(after, "state")
-    empty = spark.createDataFrame([], "game long, side string, entity long, mu_before double, s2_before double, p_win double, period string")
-    return (reduce(lambda a, b: a.unionByName(b), parts) if parts else empty), state
+    """(before, state) over all periods in order.
+
+    Events are written once in a folder for each period, so that a period reads its own rows alone. A period writes the
+    states of those who played in it, not of all; what is known of its players is looked up in the last merged table and
+    the few periods since. All `before` is read back from one folder. Only the names of the periods come to the driver.
+    """
+    spark, root = events.sparkSession, f"{work_folder(events.sparkSession)}/ratings-{uuid.uuid4().hex}"
+    events = events.where("entity IS NOT NULL AND result IS NOT NULL AND league IS NOT NULL").withColumns({"season": F.col("season").cast("int"), "played": F.col("played").cast("timestamp"), "result": F.col("result").cast("double")})
+    events.withColumn("__period", F.col("period")).repartition("__period").write.partitionBy("__period").parquet(f"{root}/events")
+    rows = spark.read.schema(events.withColumn("__period", F.col("period")).schema).parquet(f"{root}/events")
+    seasons = written(season_order(rows).coalesce(1), "seasons")
+    base, since, parts = spark.createDataFrame([], STATE) if state is None else state, [], 0
+    before_schema = "game long, side string, entity long, mu_before double, s2_before double, p_win double, period string"
+
+    def known() -> DataFrame:
+        """The latest state of each entity."""
+        if not since:
+            return base
+        later = spark.read.schema(f"{STATE}, nth int").parquet(*since)
+        all_ = base.withColumn("nth", F.lit(-1)).unionByName(later)
+        return all_.groupBy("entity").agg(F.max_by(F.struct(*base.columns), "nth").alias("s")).select("s.*")
+
+    for (period,) in rows.select("__period").distinct().orderBy("__period").collect():
+        now = rows.where(F.col("__period") == F.lit(period)).drop("__period")
+        mine = known().join(now.select("entity").distinct(), "entity", "left_semi")
+        before, updated = rate_period(now, mine, kernel, seasons, leagues)
+        before.withColumn("period", F.lit(period)).write.mode("append").parquet(f"{root}/before")
+        updated.withColumn("nth", F.lit(parts)).write.parquet(f"{root}/states/{parts}")
+        since, parts = [*since, f"{root}/states/{parts}"], parts + 1
+        if len(since) == MERGED_AFTER:
+            base, since = written(known(), "state"), []
+    if not parts:
+        return spark.createDataFrame([], before_schema), base
+    return spark.read.parquet(f"{root}/before"), written(known(), "state")
 
 
 def waves(events: DataFrame, most: int = 200_000) -> DataFrame:
@@ -287,9 +332,10 @@ def shrunk(p: Column, games: Column, pull: float = 30.0) -> Column:
     return 0.5 + (p - 0.5) * games / (games + pull)
 
 
-def advance(state: DataFrame, as_of: str, season: int, rules: Rules, seasons: DataFrame) -> DataFrame:
-    """The state on a later day on which no one played."""
-    rows = state.withColumns({"played": F.lit(as_of).cast("timestamp"), "now_season": F.lit(season), "now_league": F.col("league")})
+def advance(state: DataFrame, as_of: str | Column, season: int | Column, rules: Rules, seasons: DataFrame, position: str | Column | None = None) -> DataFrame:
+    """The state on a later day on which no one played, in another role if `position` says so (a name or a column)."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    rows = state.withColumns({"played": lit(as_of).cast("timestamp"), "now_season": lit(season).cast("int"), "now_league": F.col("league"), "now_position": lit(position).cast("string")})
     return adjusted(rows, rules, seasons)
 
 

@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from antecede.keys import table_fingerprint
 
 
+_made: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset, as in tests, a folder of our own."""
+    """`spark.checkpoint.dir`; where it is unset and everything runs on this machine, as in tests, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -21,8 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, for intermediate tables; it is deleted when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = f"{shared_folder(spark)}/antecede-{app}"
+        fs, p = _file(spark, _made[app])
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return _made[app]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all intermediate tables so far; results that were not written elsewhere are lost with them."""
+    fs, p = _file(spark, work_folder(spark))
+    fs.delete(p, True)
+    fs.mkdirs(p)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,6 +74,11 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
 def _put(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _file(spark, path)
     out = fs.create(p, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,10 +11,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
 
 from antecede.operators.merge import merge_history
-from antecede.sources.tables import written
+from antecede.sources.tables import exists, written
 
 
-def read_files(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+def read_files(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     """A file stream of a folder or glob of Parquet files, with the schema of those there now."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
@@ -31,29 +32,76 @@ def each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int],
 
 
 class BucketedTable:
-    """A table in buckets of a key. A batch rewrites the buckets that it touches, into a new folder of each; the index names the current ones.
+    """A Parquet table partitioned by a bucket of its key. A batch overwrites the buckets that it touches, and no others.
 
-    The index is one small row for each bucket. A batch that is run again after a failure writes new folders, so nothing is half replaced.
+    What a batch makes of its buckets is written beside the table first, under the batch's id. A batch that is run again
+    after a failure, at a restart of the driver too, takes that instead of buckets that may be half replaced.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str, buckets: int = 16):
-        self.spark, self.root, self.schema, self.key, self.buckets, self.index = spark, root, schema, key, buckets, {}
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root, schema, key, buckets
 
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        paths = [p for b, p in self.index.items() if buckets is None or b in buckets]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def read(self) -> DataFrame:
+        path = f"{self.root}/table"
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], f"{self.schema}, bucket int")
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """Game-atomic: all old rows of a batch's keys go."""
-        batch = written(batch, "batch")
-        touched = sorted(r[0] for r in batch.select(self.bucket()).distinct().collect())
-        merged = merge_history(self.read(touched), batch, self.key).withColumn("__b", self.bucket())
-        path = f"{self.root}/{batch_id}-{__import__('uuid').uuid4().hex}"
-        merged.repartition(len(touched) or 1, "__b").write.partitionBy("__b").parquet(path)
-        self.index |= {b: f"{path}/__b={b}" for b in touched}
+        made = f"{self.root}/made/{batch_id}"
+        if not exists(self.spark, f"{made}/_SUCCESS"):
+            batch = written(batch.withColumn("bucket", self.bucket()), "batch")
+            old = self.read().join(batch.select("bucket").distinct(), "bucket", "left_semi")
+            merge_history(old.select(*batch.columns), batch, self.key).write.mode("overwrite").parquet(made)
+        merged = self.spark.read.schema(f"{self.schema}, bucket int").parquet(made)
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/table")
+
+
+def append_new(spark: SparkSession, stored: str, bad: str, batch: DataFrame, batch_id: int, key: str, content: str, schema: StructType) -> None:
+    """Rows of unknown keys go to `stored`, those of known ones with other content to `bad`, each under the batch's id; of a batch's own rows of a key the first by content is kept."""
+    old = [f"{stored}/{k}" for k in range(batch_id) if exists(spark, f"{stored}/{k}/_SUCCESS")]
+    known = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+    batch = written(batch.dropDuplicates([key, content]), "batch")
+    new = batch.join(known.select(key), key, "left_anti").groupBy(key).agg(F.min(content).alias(content))
+    clashes = conflicts(known.unionByName(new), batch, key, content)
+    for rows, path in ((clashes, bad), (new, stored)):
+        rows.select(*schema.names).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State stores of the streams begun inside are RocksDB's, as arbitrary state needs; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def kept_state(spark: SparkSession, root: str, schema: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the state after a batch, from the batch and the state after the one before it, each a table under its batch's id.
+
+    A batch that is run again writes the same table anew, so a restart goes on from the last checkpoint.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        before = f"{root}/{batch_id - 1}"
+        state = spark.read.schema(schema).parquet(before) if exists(spark, f"{before}/_SUCCESS") else spark.createDataFrame([], schema)
+        step(batch, state).write.mode("overwrite").parquet(f"{root}/{batch_id}")
+
+    return run
+
+
+def last_state(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The state after the last batch."""
+    k = 0
+    while exists(spark, f"{root}/{k + 1}/_SUCCESS"):
+        k += 1
+    return spark.read.schema(schema).parquet(f"{root}/{k}") if exists(spark, f"{root}/{k}/_SUCCESS") else spark.createDataFrame([], schema)
 
 
 def idempotent(stream: DataFrame, key: str, content: str, time: str, wait: str) -> DataFrame:
