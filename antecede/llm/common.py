@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from antecede.sources.tables import shared_folder, written  # noqa: F401
 
-#: Rows of an Arrow batch that a function holds as Python objects at a time. The batch itself is bounded in bytes by
-#: spark.sql.execution.arrow.maxBytesPerBatch, which has a default.
-SLICE = 512
+#: Rows of whole texts, and bytes, in one Arrow batch that a Python worker gets.
+SLICE, SLICE_BYTES = 512, 8 << 20
 
 #: A side of at most this many narrow rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
@@ -32,6 +32,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside sends its texts to Python in small batches; the session's settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": SLICE, "spark.sql.execution.arrow.maxBytesPerBatch": SLICE_BYTES}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, label: str) -> DataFrame:
+    """What an Arrow function makes of whole texts, written at once, so that it runs in small batches."""
+    with small_batches(df.sparkSession):
+        return written(df.mapInArrow(f, schema), label)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE."""
     for batch in batches:

@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable, Iterator
 
 #: Bytes of pieces and their ids that each Python worker remembers, about.
-MEMO = 96 << 20
+MEMO = 64 << 20
 #: What a remembered piece takes besides its characters and ids: two objects' heads and a place in a table.
 HEADS = 150
 #: Characters of a piece that is remembered, at most.

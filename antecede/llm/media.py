@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from antecede.llm.common import slices, text_of
+from antecede.llm.common import mapped, slices, text_of
 
 UNIT = 192
 RATE = 8000
@@ -106,7 +106,7 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, t) for x, t in zip(columns, kinds.values(), strict=True))], ["doc_id", "n_bytes", *kinds])
 
-    return media.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codes array<long>")
+    return mapped(media, read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codes array<long>", "features")
 
 
 def media_report(docs: DataFrame) -> DataFrame:

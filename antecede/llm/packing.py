@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from antecede.llm.common import RUNS, run_of, slices, written
+from antecede.llm.common import RUNS, mapped, run_of, slices, sized_broadcast, written
 from antecede.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,7 +41,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return mapped(docs.select("doc_id", "text"), cut, PIECES, "pieces")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     it bounds too, are broadcast.
     """
     spark = docs.sparkSession
-    pieces = written(cut_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = cut_pieces(docs, tokenizer, capacity, end_id)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, first, taken = [], 0, dict.fromkeys(counts, 0)
     for times, bin_ in patterns(counts, capacity):
@@ -109,14 +109,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
             taken[length] += n * times
             offset += n * length
         first += times
-    places = spark.createDataFrame(slots, "length long, low long, high long, each long, first long, base long")
+    places = sized_broadcast(written(spark.createDataFrame(slots, "length long, low long, high long, each long, first long, base long"), "places"))
 
-    salted = pieces.withColumn("run", run_of(F.struct("doc_id", "piece")))
+    salted = pieces.withColumn("run", run_of(F.struct("doc_id", "piece", "ids_crc32")))
     sizes = salted.groupBy("length", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # A salted group spans few of its length's slots; only those meet its pieces.
-    spans = starts.join(F.broadcast(places), "length").where("low < from + n AND from < high")
+    spans = starts.join(places, "length").where("low < from + n AND from < high")
     spans = spans.groupBy("length", "run").agg(F.first("from").alias("from"), F.sort_array(F.collect_list(F.struct("low", "each", "first", "base"))).alias("slots"))
     order = Window.partitionBy("length", "run").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(spans, ["length", "run"])

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import BROADCAST_ROWS, ascii_lower, drop_rows, looked_up, run_of, slices, text_of, written
+from antecede.llm.common import BROADCAST_ROWS, ascii_lower, drop_rows, looked_up, mapped, run_of, slices, text_of, written
 
 #: Shingles whose hashes are held at a time.
 BLOCK = 1 << 16
@@ -39,7 +39,7 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     for a in range(0, n, BLOCK):
         part = words[a : a + BLOCK + width - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-        hashes = np.array([xxh64_intdigest(x, seed) for x in shingles], "<u8")
+        hashes = np.fromiter((xxh64_intdigest(x, seed) for x in shingles), "<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps)], ["doc_id", "key", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64(ascii_lower(text_of())).alias("key"), text_of().alias("text"))
-    return written(rows.mapInArrow(marked, "doc_id long, key long, fp long"), "fingerprints")
+    return mapped(rows, marked, "doc_id long, key long, fp long", "fingerprints")
 
 
 def near_profiles(radius: int) -> list[int]:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from antecede.llm.common import slices
+from antecede.llm.common import mapped, slices
 from antecede.llm.encoding import ODD_FOR_WORDS, Encoder, encoder
 
 #: Characters of a chunk; texts up to this length are encoded in one piece.
@@ -107,4 +107,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
                 {"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(x.encode()) for x in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())}
             )
 
-    return docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select("doc_id", "text"), counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", "counts")

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from antecede.llm.common import fresh_path, slices, text_of, written
+from antecede.llm.common import fresh_path, mapped, slices, text_of
 from antecede.llm.encoding import encoder
 
 MAGIC = b"EFTOKENS"
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     # A hash of the text beside doc_id, as very many rows may have none.
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
     ordered = texts.repartitionByRange(width, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part int, file int, path string, n_docs long, n_tokens long"), "manifest")
+    return mapped(ordered, write, "part int, file int, path string, n_docs long, n_tokens long", "manifest")
 
 
 def read_token_files(manifest: DataFrame, stretch: int = STRETCH) -> DataFrame:
