@@ -25,16 +25,18 @@ def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | No
     counted, and only the distinct values inside a band, dealt by it, are put in order. A few numbers come to the driver.
     """
     x = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    edges = x.agg(F.percentile_approx("v", F.array(*(F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-0.0005, 0.0005))), 10_000).alias("e"), F.count("*").alias("n")).first()
-    if not edges["n"]:
+    n = x.count()
+    if not n:
         return [None] * len(shares)
-    bands = list(zip(edges["e"][::2], edges["e"][1::2], strict=True))
+    wide = 0.0005 + 2 / n  # so that a quantile's upper neighbour is in its band too
+    edges = x.agg(F.percentile_approx("v", F.array(*(F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-wide, wide))), 10_000)).first()[0]
+    bands = list(zip(edges[::2], edges[1::2], strict=True))
     below = x.agg(*(F.count_if(F.col("v") < low).alias(f"b{k}") for k, (low, _) in enumerate(bands))).first()
     inside = F.filter(F.array(*(F.when(F.col("v").between(low, high), F.lit(k)) for k, (low, high) in enumerate(bands))), lambda k: k.isNotNull())
     held = x.select("v", F.explode(inside).alias("k")).groupBy("k", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
     ranked = held.select("k", "v", (upto - F.col("n")).alias("first"), (upto - 1).alias("last"))
-    at = [s * (edges["n"] - 1) for s in shares]
+    at = [s * (n - 1) for s in shares]
     wanted = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(int(p) + i - below[f"b{k}"]).alias("r")) for k, p in enumerate(at) for i in (0, 1)))
     hits = ranked.select("k", "v", F.explode(F.filter(wanted, lambda w: (w["k"] == F.col("k")) & w["r"].between(F.col("first"), F.col("last")))).alias("w"))
     found = {(h["k"], h["i"]): h["v"] for h in hits.select("k", "v", "w.i").collect()}

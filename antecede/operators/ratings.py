@@ -21,9 +21,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from antecede.functions.columns import normal_over
+from antecede.operators.joins import asof_state
+from antecede.operators.reshape import pivot_roles
 from antecede.sources.tables import work_folder, written
 
 SIDES = ("Blue", "Red")
+#: Of an entity's step, what a pool's is.
+POOL_SHARE = 0.25
 STATE = "entity long, mu double, s2 double, vol double, season int, league string, last_played timestamp, position string"
 
 # The shares of a role in its side's rating, and what a role that isn't named here weighs.
@@ -72,7 +76,7 @@ def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFra
     began = F.greatest(F.coalesce(F.col("__nth") - F.col("__old_nth"), F.lit(0)), F.lit(0))
     keep, rest = F.pow(F.lit(rules.decay), began), F.lit(1.0)
     if rules.grace_days is not None:
-        idle = F.floor((F.unix_seconds("played") - F.unix_seconds("last_played")) / 86400) - rules.grace_days
+        idle = F.floor((F.unix_seconds(F.col("played").cast("timestamp")) - F.unix_seconds(F.col("last_played").cast("timestamp"))) / 86400) - rules.grace_days
         rest = F.pow(F.lit(0.5), F.greatest(F.coalesce(idle, F.lit(0.0)), F.lit(0.0)) / rules.half_life_days)
         keep = keep * rest
     mu = rules.mu + (F.col("mu") - rules.mu) * keep
@@ -339,6 +343,27 @@ def advance(state: DataFrame, as_of: str | Column, season: int | Column, rules:
     return adjusted(rows, rules, seasons)
 
 
+def serving_rows(fixtures: DataFrame, states: DataFrame, players: DataFrame, roles: list[str], rules: Rules, seasons: DataFrame) -> DataFrame:
+    """game, side, entity, won, mu, chance, kills, idle and <role>_kills of both sides of future games.
+
+    fixtures: game, side, entity, played, won, now_season, now_league; states: entity, of (the game that they come from),
+    available, started, mu, kills, season, league; players: entity, of, role, kills. An entity without a state is new.
+    """
+    asked = fixtures.withColumn("id", F.struct("game", "side"))
+    latest = asof_state(asked, states, ["entity"], "played", "played", "available", "started", ["of", "mu", "kills", "season", "league"], "id")
+    latest = latest.withColumnsRenamed({"entity": "who"}).withColumns({"entity": F.col("id"), "s2": F.lit(0.0), "vol": F.lit(0.0)})
+    # What a state was made of is known by its game's time, from which idle days count.
+    times = states.select(F.col("entity").alias("who"), "of", F.col("started").alias("last_played")).distinct()
+    latest = latest.join(times, ["who", "of"], "left")
+    now = adjusted(latest, rules, seasons).select(F.col("entity").alias("id"), "mu", "s2")
+    rows = latest.drop("mu", "s2", "vol", "entity").join(now, "id")
+    sides = side_totals(rows.select("game", "side", "mu", "s2"), elo()).select("game", "side", elo_win().alias("chance"))
+    wide = pivot_roles(players, ["entity", "of"], "role", roles, ["kills"], strict=False).withColumnRenamed("entity", "who")
+    idle = F.floor((F.unix_seconds(F.col("played").cast("timestamp")) - F.unix_seconds(F.col("last_played").cast("timestamp"))) / 86400).cast("long")
+    out = rows.join(sides, ["game", "side"]).join(wide, ["who", "of"], "left")
+    return out.select("game", "side", F.col("who").alias("entity"), "won", "mu", "chance", "kills", idle.alias("idle"), *(f"{x}_kills" for x in roles))
+
+
 def last_year_rows(before: DataFrame, time: str, least_share: float = 0.0) -> DataFrame:
     """Rows of the last calendar year, or, if that is all there is, those after the 80% quantile of their days."""
     from antecede.operators.evaluation import quantiles

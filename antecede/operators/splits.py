@@ -114,6 +114,13 @@ def bagged_trees(df: DataFrame, features: list[str], y: str, cluster: Column, me
     return models
 
 
+def with_baseline(train: DataFrame, df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """`df` with `baseline`: the probability of a logistic regression on the ratings alone, fitted on `train`."""
+    v = VectorAssembler(inputCols=features, outputCol="__b")
+    model = LogisticRegression(featuresCol="__b", labelCol=y, regParam=0.0, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__k").fit(v.transform(train))
+    return model.transform(v.transform(df)).withColumn("baseline", vector_to_array("__p")[1]).drop("__b", "__p", "__r", "__k")
+
+
 def member_probabilities(df: DataFrame, models: list, features: list[str]) -> DataFrame:
     v = VectorAssembler(inputCols=features, outputCol="features").transform(df)
     for k, m in enumerate(models):

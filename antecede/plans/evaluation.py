@@ -284,11 +284,13 @@ def j7_feature_pipeline(t: Tables) -> DataFrame:
 
 @query()
 def j8_ensemble(t: Tables) -> DataFrame:
-    """Members on week-weighted samples, and their mean blended with a baseline on a grid of 21."""
+    """Ten members on week-weighted samples, and their mean blended with a baseline fitted on the rating alone, on a grid of 21."""
     f = forecasts(t).withColumns({"x": F.col("p"), "v": F.col("value"), "y": (F.col("value") + 20 * F.col("p") > 40).cast("double")})
-    models = s.bagged_trees(f, ["x", "v"], "y", F.date_trunc("week", "ts"), 2, trees=4)
-    m = s.member_probabilities(f, models, ["x", "v"]).withColumn("mean", F.aggregate("members", F.lit(0.0), lambda a, x: a + x) / 2)
-    return s.best_blend(m, "y", "mean", "p")
+    train, test = f.where("ts < TIMESTAMP '2024-01-20'"), f.where("ts >= TIMESTAMP '2024-01-20'")
+    models = s.bagged_trees(train, ["x", "v"], "y", F.date_trunc("week", "ts"), 10, trees=4)
+    m = s.member_probabilities(s.with_baseline(train, test, ["x"], "y"), models, ["x", "v"])
+    m = m.withColumn("mean", F.aggregate("members", F.lit(0.0), lambda a, x: a + x) / F.size("members"))
+    return s.best_blend(m, "y", "mean", "baseline")
 
 
 @query()

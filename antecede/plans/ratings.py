@@ -12,7 +12,7 @@ _NORMAL = "(CASE WHEN {0} % 7 = 0 THEN NULL WHEN {0} % 7 < 4 THEN 1.0 ELSE 0.0 E
 
 
 def events(t: Tables, period: str = "year") -> DataFrame:
-    made = {"year": F.year("played").cast("string"), "half": F.when(F.col("played") < F.lit("1998-01-01").cast("timestamp"), "1").otherwise("2")}[period]
+    made = {"year": F.year("played").cast("string"), "quarter": F.concat_ws("-", F.year("played").cast("string"), F.quarter("played").cast("string")), "half": F.when(F.col("played") < F.lit("1998-01-01").cast("timestamp"), "1").otherwise("2")}[period]
     return duels(t).withColumns({"entity": F.col("entity"), "season": F.year("played"), "period": made})
 
 
@@ -55,6 +55,36 @@ def i2_i8_elo_two_periods(t: Tables) -> DataFrame:
     return before.select("game", "side", "entity", r("mu_before"), r("p_win"))
 
 
+_roles = ("top", "jng", "mid", "bot", "sup")
+_weight = "CASE position " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in ra.ROLE_WEIGHTS.items()) + " END"
+
+
+def members(t: Tables) -> DataFrame:
+    """Five members of each side, who trade places in every ninth game."""
+    k = (F.col("k") + (F.col("game") % 9 == 0).cast("int")) % 5
+    made = events(t, "half").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return made.withColumns({"position": F.element_at(F.array(*map(F.lit, _roles)), (k + 1).cast("int")), "entity": F.col("entity") * 5 + F.col("k")}).drop("k")
+
+
+@query(f"""{DUELS}, a AS (SELECT game, played, side, entity * 5 + k AS entity, result, [{', '.join(f"'{x}'" for x in _roles)}][(k + (game % 9 = 0)::INT) % 5 + 1] AS position, played < TIMESTAMP '1998-01-01' AS early, year(played) AS season FROM duels CROSS JOIN range(0, 5) m(k)),
+    m1 AS (SELECT entity, 1500 + sum(32 * (result - 0.5::DOUBLE)) AS mu, arg_min(season, (played, game)) AS season, max(played) AS last, arg_max(position, (played, game)) AS pos FROM a WHERE early GROUP BY entity),
+    f AS (SELECT entity, min(played) AS first, arg_min(season, (played, game)) AS season, arg_min(position, (played, game)) AS pos FROM a WHERE NOT early GROUP BY entity),
+    s AS (SELECT f.entity, coalesce(1500 + (m1.mu - 1500) * pow(0.9::DOUBLE, greatest(f.season - m1.season, 0)) * pow(0.5::DOUBLE, greatest(date_diff('day', last, first) - 45, 0) / 180.0) * CASE WHEN m1.pos <> f.pos THEN 0.8::DOUBLE ELSE 1 END, 1500) AS mu FROM f LEFT JOIN m1 USING (entity)),
+    g AS (SELECT a.*, s.mu FROM a JOIN s USING (entity) WHERE NOT early), t AS (SELECT game, side, sum({_weight} * mu) / sum({_weight}) * count(*) AS total FROM g GROUP BY ALL)
+    SELECT g.game, g.side, g.entity, round(g.mu, 6) AS mu_before, round(1 / (1 + pow(10::DOUBLE, (o.total - m.total) / 400)), 6) AS p_win FROM g JOIN t m ON m.game = g.game AND m.side = g.side JOIN t o ON o.game = g.game AND o.side <> g.side
+    UNION ALL SELECT game, side, entity, 1500, 0.5 FROM a WHERE early""")
+def i2_i3_player_elo(t: Tables) -> DataFrame:
+    """Players in roles: a side's rating is weighted by role, and who changes role goes part of the way back to the baseline."""
+    before, _ = ra.rating_periods(members(t), ra.elo())
+    return before.select("game", "side", "entity", r("mu_before"), r("p_win"))
+
+
+@query()
+def i8_elo_by_quarter(t: Tables) -> DataFrame:
+    """As by year, in 28 periods: each reads its own events, and writes the states of those who played."""
+    return ra.rating_periods(events(t, "quarter"), ra.elo())[1]
+
+
 @query()
 def i8_elo_by_year(t: Tables) -> DataFrame:
     """Elo by year; held against a plain fold in the tests."""
@@ -77,12 +107,17 @@ def i6_trueskill_by_year(t: Tables) -> DataFrame:
     return ra.rating_periods(events(t), ra.trueskill())[1]
 
 
+def _homes(t: Tables) -> DataFrame:
+    """game, side, league: each side's latest known home league as of the game."""
+    d = duels(t).withColumn("home", F.when(F.col("game") % 3 != 0, F.col("league")))
+    known = d.where("home IS NOT NULL").select("entity", F.col("played").alias("at"), F.col("home").alias("known"), F.col("game").alias("g"))
+    return j.asof_join(d.select("game", "side", "entity", "played"), known, ["entity"], "played", "at", ["known"], ["g"]).where("known IS NOT NULL").select("game", "side", F.col("known").alias("league"))
+
+
 @query()
 def i7_league_elo(t: Tables) -> DataFrame:
     """Leagues rated by their cross-league games, home leagues as of each game, probabilities shrunk by how often both have met."""
-    d = duels(t).withColumn("home", F.when(F.col("game") % 3 != 0, F.col("league")))
-    known = d.where("home IS NOT NULL").select("entity", F.col("played").alias("at"), F.col("home").alias("known"), F.col("game").alias("g"))
-    homes = j.asof_join(d.select("game", "side", "entity", "played"), known, ["entity"], "played", "at", ["known"], ["g"]).where("known IS NOT NULL").select("game", "side", F.col("known").alias("league"))
+    homes = _homes(t)
     ev = ra.league_events(events(t), homes)
     before, _ = ra.rating_periods(ev.select("game", "played", "side", "result", "season", "entity", "league", F.year("played").cast("string").alias("period")), ra.elo(rules=ra.ELO._replace(grace_days=None)))
     names = ev.select("entity", F.col("name").alias("league")).distinct()
@@ -90,6 +125,17 @@ def i7_league_elo(t: Tables) -> DataFrame:
     return met.join(names, "entity").select("league", "period", "games", "mu", ra.shrunk(F.col("p"), F.col("games")).alias("p_shrunk"))
 
 
+@query()
+def i7_pool_elo(t: Tables) -> DataFrame:
+    """As leagues, but pools of them, with a quarter of the step; held against a plain fold in the tests."""
+    homes = _homes(t)
+    ev = ra.league_events(events(t), homes, F.when(F.col("league").isin("BUILDING", "MACHINERY"), "heavy").otherwise("light"))
+    before, _ = ra.rating_periods(ev.select("game", "played", "side", "result", "season", "entity", "league", F.year("played").cast("string").alias("period")), ra.elo(k=32 * ra.POOL_SHARE, rules=ra.ELO._replace(grace_days=None)))
+    names = ev.select("entity", F.col("name").alias("pool")).distinct()
+    met = before.groupBy("entity", "period").agg(F.count("*").alias("games"), F.max("mu_before").alias("mu"), F.avg("p_win").alias("p"))
+    return met.join(names, "entity").select("pool", "period", "games", "mu", ra.shrunk(F.col("p"), F.col("games")).alias("p_shrunk"))
+
+
 @query(f"""{DUELS}, a AS (SELECT game, played, side, entity, 1500 + (entity * 37 % 400) + game % 10 AS mu FROM duels), z AS (SELECT game, side, entity, first_value(mu) OVER (PARTITION BY entity, played::DATE ORDER BY played, game) AS mu FROM a)
     SELECT a.game, a.side, round(1 / (1 + pow(10::DOUBLE, (b.mu - a.mu) / 400.0)), 6) AS likelihood FROM z a JOIN z b ON a.game = b.game AND a.side <> b.side""")
 def i9_frozen_likelihood(t: Tables) -> DataFrame:
@@ -106,22 +152,51 @@ def i10_rating_evaluation(t: Tables) -> DataFrame:
     return e.prediction_quality(ra.last_year_rows(x, "played"), "y", "p").select("n", r("log_loss"))
 
 
-@query("""SELECT c_custkey AS entity, round(1500 + (c_acctbal / 100) * pow(0.9::DOUBLE, 2001 - (1995 + c_custkey % 6)) * pow(0.5::DOUBLE, greatest(date_diff('day', TIMESTAMP '2000-06-01' - to_days((c_custkey % 400)::INT), TIMESTAMP '2001-01-15') - 45, 0) / 180.0), 6) AS mu FROM customer""")
+@query("""SELECT c_custkey AS entity, round(1500 + (c_acctbal / 100) * CASE WHEN c_custkey % 5 <> c_custkey % 3 THEN 0.8::DOUBLE ELSE 1 END * pow(0.9::DOUBLE, 2001 - (1995 + c_custkey % 6)) * pow(0.5::DOUBLE, greatest(date_diff('day', TIMESTAMP '2000-06-01' - to_days((c_custkey % 400)::INT), TIMESTAMP '2001-01-15') - 45, 0) / 180.0), 6) AS mu FROM customer""")
 def i11_advance(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    state = t.customer.select(k.alias("entity"), (1500 + F.col("c_acctbal") / 100).alias("mu"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("vol"), (1995 + k % 6).cast("int").alias("season"), F.col("c_mktsegment").alias("league"), (F.lit("2000-06-01").cast("timestamp") - F.make_dt_interval((k % 400).cast("int"))).alias("last_played"))
+    state = t.customer.select(k.alias("entity"), (1500 + F.col("c_acctbal") / 100).alias("mu"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("vol"), (1995 + k % 6).cast("int").alias("season"), F.col("c_mktsegment").alias("league"), (F.lit("2000-06-01").cast("timestamp") - F.make_dt_interval((k % 400).cast("int"))).alias("last_played"), (k % 5).cast("string").alias("position"))
     seasons = ra.season_order(t.spark.range(1995, 2002).select(F.col("id").cast("int").alias("season")))
-    return ra.advance(state, "2001-01-15", 2001, ra.ELO, seasons).select("entity", r("mu"))
+    return ra.advance(state.withColumn("next_role", (F.col("entity") % 3).cast("string")), "2001-01-15", 2001, ra.ELO, seasons, F.col("next_role")).select("entity", r("mu"))
+
+
+#: Of each past game, what is known of an entity from ten days after it on: a rating, kills, and those of three roles.
+_state = "1500.0::DOUBLE + (entity * 37 % 400) + game % 10"
 
 
-@query(f"""{DUELS}, s AS (SELECT entity, max_by((played, game, kills, result), (played, game)) AS l FROM duels WHERE played < TIMESTAMP '2000-01-01' GROUP BY entity), u AS (SELECT * FROM games WHERE played >= TIMESTAMP '2000-01-01')
-    SELECT u.game, round(a.l[3] - b.l[3], 2) AS delta_kills, a.l[4] - b.l[4] AS delta_result, date_diff('day', a.l[1], u.played) - date_diff('day', b.l[1], u.played) AS delta_idle FROM u JOIN s a ON a.entity = least(u.blue, u.red) JOIN s b ON b.entity = greatest(u.blue, u.red)""")
+@query(f"""{DUELS}, st AS (SELECT entity, game, played, league, {_state} AS mu, kills, played + INTERVAL 10 DAY AS available FROM duels WHERE played < TIMESTAMP '2000-01-01'),
+    fx AS (SELECT game, played, side, entity, result FROM duels WHERE played >= TIMESTAMP '2000-01-01'),
+    l AS (SELECT fx.*, s.mu, s.kills, s.played AS last FROM fx LEFT JOIN LATERAL (SELECT * FROM st WHERE st.entity = fx.entity AND st.available <= fx.played AND st.played < date_trunc('day', fx.played) ORDER BY st.available DESC, st.played DESC, st.game DESC LIMIT 1) s ON TRUE),
+    v AS (SELECT *, CASE WHEN mu IS NULL THEN 1500 ELSE 1500 + (mu - 1500) * pow(0.9::DOUBLE, year(played) - year(last)) * pow(0.5::DOUBLE, greatest(date_diff('day', last, played) - 45, 0) / 180.0) END AS now, date_diff('day', last, played) AS idle FROM l),
+    p AS (SELECT v.*, 1 / (1 + pow(10::DOUBLE, (o.now - v.now) / 400)) AS chance, row_number() OVER (PARTITION BY v.game ORDER BY v.entity, v.side) AS k FROM v JOIN v o ON o.game = v.game AND o.side <> v.side)
+    SELECT a.game, round(a.now - b.now, 6) AS delta_mu, round(a.chance - b.chance, 6) AS delta_chance, round(a.kills - b.kills, 2) AS delta_kills, a.idle - b.idle AS delta_idle, round(a.kills * 1 / 6 - b.kills * 1 / 6, 2) AS delta_top_kills, round(a.kills * 3 / 6 - b.kills * 3 / 6, 2) AS delta_mid_kills, a.result AS first_won
+    FROM p a JOIN p b ON a.game = b.game AND a.k = 1 AND b.k = 2""")
 def j13_serving_rows(t: Tables) -> DataFrame:
-    """A future fixture's matchup row from both sides' latest states, by the functions that make training rows."""
+    """A future fixture's matchup row: latest states as of it, advanced over idle days, chances of both sides, roles side by side; by the functions that make training rows."""
+    d = duels(t)
+    then = F.lit("2000-01-01").cast("timestamp")
+    past = d.where(F.col("played") < then)
+    states = past.select("entity", "game", (F.col("played") + F.expr("INTERVAL 10 DAYS")).alias("available"), F.col("played").alias("started"), (1500.0 + F.col("entity") * 37 % 400 + F.col("game") % 10).alias("mu"), "kills", F.year("played").alias("season"), "league")
+    parts = F.array(*(F.struct(F.lit(x).alias("role"), F.lit(k).alias("part")) for k, x in ((1, "top"), (2, "jng"), (3, "mid"))))
+    players = past.select("entity", F.col("game").alias("of"), "kills", F.explode(parts).alias("x")).select("entity", "of", "x.role", (F.col("kills") * F.col("x.part") / 6).alias("kills"))
+    fixtures = d.where(F.col("played") >= then).select("game", "side", "entity", "played", F.col("result").alias("won"), F.year("played").alias("now_season"), F.col("league").alias("now_league"))
+    rows = ra.serving_rows(fixtures, states.withColumnRenamed("game", "of"), players, ["top", "jng", "mid"], ra.ELO, ra.season_order(d.withColumn("season", F.year("played"))))
+    out = rs.matchup_rows(rows, "game", ["entity", "side"], ["mu", "chance", "kills", "idle", "top_kills", "mid_kills"], [], [], "won")
+    return out.select("game", r("delta_mu"), r("delta_chance"), r("delta_kills", 2), "delta_idle", r("delta_top_kills", 2), r("delta_mid_kills", 2), "first_won")
+
+
+@query()
+def flagship_enrichment(t: Tables) -> DataFrame:
+    """Every feature of a side's row that is known before its game: history windows, head to head, recent form, ratings, and the opponent's of the same."""
     from antecede.keys import EntitySpec
 
-    past = duels(t).where(F.col("played") < F.lit("2000-01-01").cast("timestamp"))
-    state = h.pick_row(past, EntitySpec(("entity",), "played", ("game",))).select("entity", F.col("played").alias("last"), "kills", "result")
-    future = duels(t).where(F.col("played") >= F.lit("2000-01-01").cast("timestamp")).select("game", "played", "side", "entity", F.col("result").alias("won"))
-    rows = future.join(state, "entity").withColumn("idle", F.date_diff("played", "last"))
-    return rs.matchup_rows(rows, "game", ["entity", "side"], ["kills", "result", "idle"], [], [], "won").select("game", r("delta_kills", 2), "delta_result", F.col("delta_idle").cast("long").alias("delta_idle"))
+    who = EntitySpec(("entity",), "played", ("game",))
+    x = h.prior_mean(duels(t), who, {"kills_before": "kills", "won_before": "result"})
+    x = h.days_since_previous(x, who)
+    x = h.head_to_head(x, who, "opponent", "result")
+    x = h.side_ewm(x, who, "side", "result", ("Blue", "Red"))
+    before, _ = ra.rating_periods(events(t), ra.elo())
+    x = x.join(before.select("game", "side", "mu_before", "p_win"), ["game", "side"], "left")
+    known = ["kills_before", "won_before", "days_since_previous", "mu_before", "p_win"]
+    x = j.pair_opponents(x, ["game"], "side", ("Blue", "Red"), known)
+    return j.with_differences(x, known)

@@ -180,7 +180,7 @@ def test_waves_are_the_sequential_fold(spark):
 
 
 def test_glicko2_as_published(spark):
-    state = spark.createDataFrame([(e_, mu, rd**2, 0.06, 2024, "l", day(0)) for e_, mu, rd in ((0, 1500.0, 200.0), (1, 1400.0, 30.0), (2, 1550.0, 100.0), (3, 1700.0, 300.0))], ra.STATE)
+    state = spark.createDataFrame([(e_, mu, rd**2, 0.06, 2024, "l", day(0), None) for e_, mu, rd in ((0, 1500.0, 200.0), (1, 1400.0, 30.0), (2, 1550.0, 100.0), (3, 1700.0, 300.0))], ra.STATE)
     tall = [(g, day(1), side, who, float(res), 2024, "l") for g, (foe, won) in enumerate([(1, 1), (2, 0), (3, 0)]) for side, who, res in (("Blue", 0, won), ("Red", foe, 1 - won))]
     events = spark.createDataFrame(tall, "game long, played timestamp, side string, entity long, result double, season int, league string")
     _, after = ra.rate_period(events, state, ra.glicko2(), ra.season_order(events))
@@ -285,3 +285,173 @@ def test_incremental_merge_is_atomic_by_game(spark):
     new = spark.createDataFrame([(1, "Blue", 9)], "g int, side string, v int")
     assert data(m.merge_history(old, new, "g"), "g") == [{"g": 1, "side": "Blue", "v": 9}, {"g": 2, "side": "Blue", "v": 3}]
     assert m.merge_history(old, new, "g", "full").count() == 1
+
+
+def plain_periods(rows, kernel, rules, update):
+    """rows: (game, at, season, period, {side: [(entity, position)]}, won by Blue). Everything of a period from its start, in plain Python."""
+    state, before = {}, {}
+    seasons = sorted({r[2] for r in rows})
+    for period in sorted({r[3] for r in rows}):
+        games = [r for r in rows if r[3] == period]
+        start, last = {}, {}
+        for game, at, season, _, sides, _ in games:
+            for who, position in (x for v in sides.values() for x in v):
+                last[who] = (at, position)
+                if who in start:
+                    continue
+                if who not in state:
+                    start[who] = dict(mu=rules.mu, s2=rules.sigma**2 + rules.drift**2, vol=rules.vol, season=season)
+                    continue
+                old = state[who]
+                keep = rules.decay ** max(0, seasons.index(season) - seasons.index(old["season"]))
+                rest = 1.0
+                if rules.grace_days is not None:
+                    rest = 0.5 ** (max(0, (at - old["at"]).days - rules.grace_days) / rules.half_life_days)
+                mu = rules.mu + (old["mu"] - rules.mu) * keep * rest
+                if old["position"] and position and old["position"] != position:
+                    mu = rules.mu + (mu - rules.mu) * (1 - rules.position_reset)
+                s2 = (rules.sigma - (rules.sigma - math.sqrt(old["s2"])) * rest) ** 2 if rules.grow_sigma else old["s2"]
+                start[who] = dict(mu=mu, s2=s2 + rules.drift**2, vol=old["vol"], season=season)
+        sums = defaultdict(list)
+        for game, _, _, _, sides, won in games:
+            for side, foe in (("Blue", "Red"), ("Red", "Blue")):
+                mine, theirs = ([(start[w], pos) for w, pos in sides[x]] for x in (side, foe))
+                for who, _ in sides[side]:
+                    before[game, who] = start[who]["mu"]
+                    sums[who].append((mine, theirs, won if side == "Blue" else 1 - won))
+        for who, met in sums.items():
+            mu, s2, vol = update(start[who], met)
+            state[who] = dict(mu=mu, s2=s2, vol=vol, season=start[who]["season"], at=last[who][0], position=last[who][1])
+    return before, state
+
+
+def weighted(side):
+    if side[0][1] is None:
+        return sum(x["mu"] for x, _ in side)
+    w = [ra.ROLE_WEIGHTS.get(p, ra.OTHER_ROLE) for _, p in side]
+    return sum(a * x["mu"] for a, (x, _) in zip(w, side, strict=True)) / sum(w) * len(side)
+
+
+def elo_update(me, met):
+    return me["mu"] + sum(32 * (y - 1 / (1 + 10 ** ((weighted(b) - weighted(a)) / 400))) for a, b, y in met), me["s2"], me["vol"]
+
+
+def glicko_update(me, met):
+    q, phi, info, pull = 173.7178, math.sqrt(me["s2"]) / 173.7178, 0.0, 0.0
+    for _, b, y in met:
+        foe, var = weighted(b) / len(b), sum(x["s2"] for x, _ in b) / len(b) / q**2
+        g = 1 / math.sqrt(1 + 3 * var / math.pi**2)
+        p = 1 / (1 + math.exp(-g * (me["mu"] - foe) / q))
+        info, pull = info + g * g * p * (1 - p), pull + g * (y - p)
+    v = 1 / info
+    vol = ra._new_volatility(phi, v * pull, v, me["vol"], 0.5)
+    after = 1 / (1 / (phi**2 + vol**2) + info)
+    return me["mu"] + q * after * pull, after * q * q, vol
+
+
+def luce_update(me, met, beta=25 / 6):
+    d, shrink = 0.0, 1.0
+    for a, b, y in met:
+        sa, sb = (sum(x["s2"] for x, _ in s_) for s_ in (a, b))
+        c = math.sqrt(sa + sb + 2 * beta**2)
+        p = 1 / (1 + math.exp((weighted(b) - weighted(a)) / c))
+        d += me["s2"] / c * (y - p)
+        shrink *= max(1 - me["s2"] / c**2 * math.sqrt(sa) / c * p * (1 - p), 1e-4)
+    return me["mu"] + d, me["s2"] * shrink, me["vol"]
+
+
+def skill_update(me, met, beta=4.167):
+    d, shrink = 0.0, 1.0
+    for a, b, y in met:
+        c = math.sqrt(sum(x["s2"] for x, _ in a + b) + len(a + b) * beta**2)
+        sign = 1 if y else -1
+        t = sign * (weighted(a) - weighted(b)) / c
+        v = math.exp(-t * t / 2) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(-t / math.sqrt(2)))
+        d += sign * me["s2"] / c * v
+        shrink *= max(1 - me["s2"] / c**2 * min(v * (v + t), 1), 1e-4)
+    return me["mu"] + d, me["s2"] * shrink, me["vol"]
+
+
+@pytest.mark.parametrize("roles", [False, True])
+@pytest.mark.parametrize(("kernel", "update"), [(ra.elo(), elo_update), (ra.glicko2(), glicko_update), (ra.plackett_luce(), luce_update), (ra.trueskill(), skill_update)])
+def test_periods_are_a_plain_fold(spark, monkeypatch, kernel, update, roles):
+    """Three periods over two seasons with a long pause, four systems, with roles and without; states are merged on the way."""
+    monkeypatch.setattr(ra, "MERGED_AFTER", 2)
+    rng, names, rows = random.Random(21), ("top", "mid", "sup"), []
+    for g in range(24):
+        who = rng.sample(range(9), 6)
+        at = day((0, 20, 220)[g // 8] + g % 8, g)
+        sides = {"Blue": who[:3], "Red": who[3:]}
+        rows.append((g, at, at.year if g < 16 else 2025, f"p{g // 8}", {k: [(x, rng.choice(names) if roles else None) for x in v] for k, v in sides.items()}, rng.randint(0, 1)))
+    schema = "game long, played timestamp, side string, entity long, result double, season int, league string, period string" + (", position string" if roles else "")
+    tall = [(g, at, side, who, float(won if side == "Blue" else 1 - won), season, "l", period, *([pos] if roles else [])) for g, at, season, period, sides, won in rows for side, v in sides.items() for who, pos in v]
+    before, state = ra.rating_periods(spark.createDataFrame(tall, schema), kernel)
+    want, last = plain_periods(rows, kernel, kernel.rules, update)
+    assert {(r["game"], r["entity"]): r["mu_before"] for r in data(before)} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    got = {r["entity"]: r for r in data(state)}
+    assert set(got) == set(last)
+    for who, x in last.items():
+        assert (got[who]["mu"], got[who]["s2"], got[who]["vol"]) == (pytest.approx(x["mu"], abs=1e-6), pytest.approx(x["s2"], abs=1e-6), pytest.approx(x["vol"], abs=1e-6))
+        assert got[who]["position"] == x["position"]
+
+
+def test_leagues_are_rated_by_games_across_them(spark):
+    rows = [(g, day(g), "Blue", g % 4, float(g % 2), 2024, "p") for g in range(12)] + [(g, day(g), "Red", (g + 1 + g % 3) % 4, float(1 - g % 2), 2024, "p") for g in range(12)]
+    ev = spark.createDataFrame(rows, "game long, played timestamp, side string, entity long, result double, season int, period string")
+    home = ev.select("game", "side", F.when(F.col("entity") < 2, "a").otherwise("b").alias("league"))
+    made = ra.league_events(ev, home)
+    names = {r["entity"]: r["name"] for r in data(made)}
+    _, state = ra.rating_periods(made.withColumn("period", F.lit("p")).drop("name"), ra.elo(k=8))
+    mine = {(g, side): "a" if who < 2 else "b" for g, _, side, who, *_ in rows}
+    want = defaultdict(lambda: 1500.0)
+    for g, _, side, _, won, *_ in rows:
+        if mine[g, "Blue"] != mine[g, "Red"]:
+            want[mine[g, side]] += 8 * (won - 0.5)
+    assert {names[r["entity"]]: r["mu"] for r in data(state)} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_a_blend_is_no_worse_than_its_ends(spark):
+    rng = random.Random(4)
+    rows = [(k, day(k % 60), x := rng.random(), rng.random(), float(rng.random() < x)) for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, at timestamp, x double, v double, y double")
+    train, test = df.where("k < 400"), df.where("k >= 400")
+    models = s.bagged_trees(train, ["x", "v"], "y", F.date_trunc("week", "at"), 3, trees=3)
+    m = s.member_probabilities(s.with_baseline(train, test, ["x"], "y"), models, ["x", "v"])
+    seen = data(m)
+    assert len(seen) == test.count() and all(len(r["members"]) == 3 and all(0 <= p <= 1 for p in r["members"]) for r in seen)
+    assert len({tuple(r["members"]) for r in seen}) > 5 and any(len(set(r["members"])) > 1 for r in seen)
+    blend = data(s.best_blend(m.withColumn("mean", F.aggregate("members", F.lit(0.0), lambda a, x: a + x) / 3), "y", "mean", "baseline"))
+    loss = {r["weight"]: r["log_loss"] for r in blend}
+    plain = -sum(r["y"] * math.log(r["baseline"]) + (1 - r["y"]) * math.log(1 - r["baseline"]) for r in seen) / len(seen)
+    assert len(loss) == 21 and loss[0.0] == pytest.approx(plain) and [r["log_loss"] for r in blend if r["best"]] == [min(loss.values())]
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1) for _ in range(5000)], [float(k % 3) for k in range(1000)], [7.0], [1.0, None, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+        assert e.quantiles(df, "v", shares) == pytest.approx(df.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0])
+    assert e.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_normal_distribution(spark):
+    zs = [-9.0, -4.0, -1.3, 0.0, 0.2, 2.5, 6.0, 9.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(c.normal_cdf(F.col("z"))).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], abs=1e-13)
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from antecede.streaming import operators as so
+
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v long")
+    path, check = f"file://{tmp_path}/in", f"file://{tmp_path}/check"
+    for batch in (rows((1, 10), (2, 20)), rows((2, 21), (3, 30)), rows((1, 11))):
+        batch.write.mode("append").parquet(path)
+        table = so.BucketedTable(spark, f"file://{tmp_path}/table", "k long, v long", "k", 3)  # a new object, as after a restart
+        total = so.kept_state(spark, f"file://{tmp_path}/state", "n long", lambda b, old: old.unionByName(b.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n")))
+        so.each_batch(so.read_files(spark, path), check, lambda b, i: (table.upsert(b, i), total(b, i)))
+    assert sorted((r["k"], r["v"]) for r in data(table.read())) == [(1, 11), (2, 21), (3, 30)]
+    assert data(so.last_state(spark, f"file://{tmp_path}/state", "n long")) == [{"n": 5}]
+    table.upsert(rows((9, 9)), 2)  # a batch that is run again takes what it made before
+    assert sorted(r["k"] for r in data(table.read())) == [1, 2, 3]
