@@ -116,13 +116,13 @@ def drop_rows(docs: DataFrame, drop: DataFrame, repeats: DataFrame, key: str, ma
     drop, repeats: (doc_id, key), both already written. `repeats` names pairs that stay but occur in
     several equal rows.
     """
-    tag = "__made"
-    same = lambda a: a["doc_id"].eqNullSafe(F.col("__id")) & (a[tag] == F.col("__key"))
+    inner = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", made.alias("__made"))
+    same = lambda a: a["doc_id"].eqNullSafe(F.col("__id")) & (a["__made"] == F.col("__key"))
     named = lambda other: other.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key"))
     both = written(named(drop).withColumn("__drop", F.lit(True)).unionByName(named(repeats).withColumn("__drop", F.lit(False))), "verdicts")
-    keyed = marked(docs.withColumn(tag, made), F.xxhash64("doc_id", tag), both, F.xxhash64("__id", "__key"))
+    keyed = marked(inner, F.xxhash64("doc_id", "__made"), both, F.xxhash64("__id", "__key"))
     asked = keyed.where("__may").drop("__may")
     out = keyed.where("NOT __may").drop("__may").unionByName(asked.join(both, same(asked), "left_anti"))
     if not repeats.isEmpty():
-        out = out.unionByName(asked.join(both.where("NOT __drop"), same(asked), "left_semi").dropDuplicates(["doc_id", tag]))
-    return out.drop(tag)
+        out = out.unionByName(asked.join(both.where("NOT __drop"), same(asked), "left_semi").dropDuplicates(["doc_id", "__made"]))
+    return out.select("__doc.*")

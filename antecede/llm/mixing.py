@@ -137,7 +137,7 @@ def with_copies(rows: DataFrame, chosen: DataFrame, odds: DataFrame) -> DataFram
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of `docs`.
 
-    A null text has 0 words and is never drawn; a null source is a source of its own, the last; equal
+    A null text has 0 words and only its source's whole copies; a null source is a source of its own, the last; equal
     doc_ids draw the same number and are taken in order of size; a source without words has the target
     0 and its documents are never taken; no rows give no rows. Other columns are not read. Reruns agree.
     """

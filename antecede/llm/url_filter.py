@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from antecede.llm.common import sized_broadcast, table, written
+from antecede.llm.common import BROADCAST_ROWS, run_of, table, written
 
 
 def bare(url: Column) -> Column:
@@ -48,14 +48,21 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched_at, blocked, n_hits, pattern, listed_since: one row for each row of `captures`.
 
     captures: page_id, url, fetched_at. `pattern` is the longest active one (of equal length the
-    first). A null or empty URL, or a null time, is never blocked. Repeated rows are judged each.
+    first). A null or empty URL, or a null time, is never blocked. Repeated rows are judged each; no
+    captures give no rows, and an empty list blocks nothing.
     """
     rows = captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("tag"))
     asked = rows.withColumn("pattern", F.explode(keys(bare(F.col("url")))))
-    spans = sized_broadcast(written(intervals(entries), "intervals"))
-    active = asked.alias("c").join(
-        spans.alias("e"), (F.col("c.pattern") == F.col("e.pattern")) & (F.col("e.valid_from") <= F.col("c.fetched_at")) & (F.col("e.valid_to").isNull() | (F.col("c.fetched_at") < F.col("e.valid_to"))), "left"
-    )
+    spans = written(intervals(entries), "intervals")
+    # A host may have a third of all captures: they are dealt into runs, and its intervals go to each run once.
+    dealt = asked.withColumn("run", run_of(F.col("tag")))
+    if spans.count() > BROADCAST_ROWS:
+        near = dealt.select("run", "pattern").distinct().join(spans, "pattern")
+        same = (F.col("c.run") == F.col("e.run")) & (F.col("c.pattern") == F.col("e.pattern"))
+    else:
+        near, same = F.broadcast(spans), F.col("c.pattern") == F.col("e.pattern")
+    then = (F.col("e.valid_from") <= F.col("c.fetched_at")) & (F.col("e.valid_to").isNull() | (F.col("c.fetched_at") < F.col("e.valid_to")))
+    active = dealt.alias("c").join(near.alias("e"), same & then, "left")
     best = F.min(F.when(F.col("e.pattern").isNotNull(), F.struct((-F.length("e.pattern")).alias("l"), F.col("e.pattern").alias("pattern"), F.col("e.valid_from").alias("since"))))
     hits = active.groupBy("tag", "page_id", "url", "fetched_at").agg(F.count("e.pattern").alias("n_hits"), best.alias("best"))
     return hits.select("page_id", "url", "fetched_at", (F.col("n_hits") > 0).alias("blocked"), "n_hits", F.col("best.pattern").alias("pattern"), F.col("best.since").alias("listed_since"))

@@ -385,7 +385,9 @@ def test_token_store(docs, empty):
     assert data(token_store.stored_tokens(empty, BYTES)) == []
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_url_filter(spark, monkeypatch, small):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", small)
     entries = spark.createDataFrame(
         [("bad.example", "add", 10), ("bad.example", "remove", 20), ("bad.example", "add", 30), ("example.org/spam", "add", 5), ("example.org", "remove", 6), ("x.example.org", "add", None), (None, "add", 1), ("b.bad.example", "add", 40), ("bad.example", "add", 35)],
         "pattern string, action string, d int",

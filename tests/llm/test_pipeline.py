@@ -39,3 +39,40 @@ def test_each_stage_takes_effect(spark, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert sum(r["length"] for r in seen["pack"]) == sum(len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in seen["mix"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pack"])
+
+
+def through(spark, tmp_path, docs, labels):
+    """Rows after each stage."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, str(tmp_path))
+        assert name == "pack" or docs.columns == columns
+        docs.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        seen.append(docs.collect())
+    return seen
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, size long, run int, score double, fp string, words int, __may int"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_empty_tables(spark, tmp_path):
+    assert through(spark, tmp_path, spark.createDataFrame([], CLASHING), spark.createDataFrame([], LABELS)) == [[]] * 5
+
+
+def test_nulls_ties_and_clashing_columns(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text.upper()), (None, text), (None, None), (3, None), (4, ""), (5, " "), (None, "another text of its own"), (6, text + " eleven")]
+    docs = spark.createDataFrame([(i, t, None, [None, "a"][k % 2], None, 1, 2, 0.5, "f", 3, 4) for k, (i, t) in enumerate(rows)], CLASHING)
+    quality, exact, near, mixed, packed = through(spark, tmp_path, docs, spark.createDataFrame([(None, 1, 0), (1, None, 1)], LABELS))
+    assert len(quality) == len(rows)  # without labels of both kinds all score 0.5
+    key = lambda r: (r["text"] or "").lower()
+    assert sorted(map(key, exact)) == sorted({(t or "").lower() for _, t in rows})
+    assert {key(r): r["doc_id"] for r in exact} == {text: 2, "": 4, " ": 5, "another text of its own": None, text + " eleven": 6}
+    assert sorted(str(r["doc_id"]) for r in near) == ["2", "4", "None"]  # 6 is like 2, and 5 like 4
+    assert all(r["__may"] == 4 and r["words"] == 3 for r in near)
+    assert {str(r["doc_id"]) for r in mixed} <= {"2", "4", "None"} and len(packed) == len(mixed)
