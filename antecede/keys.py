@@ -65,7 +65,7 @@ def schema_fingerprint(df: DataFrame) -> str:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row (rows, content): the content's sum of row hashes doesn't depend on order. Null differs from every text."""
+    """One row (rows, content): the content's sum of row hashes doesn't depend on order. Null counts as the text \\N."""
     text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
     h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("content"))

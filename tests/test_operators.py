@@ -455,3 +455,12 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     assert data(so.last_state(spark, f"file://{tmp_path}/state", "n long")) == [{"n": 5}]
     table.upsert(rows((9, 9)), 2)  # a batch that is run again takes what it made before
     assert sorted(r["k"] for r in data(table.read())) == [1, 2, 3]
+
+
+def test_fingerprints_see_changes_but_not_order(spark):
+    df = spark.createDataFrame([(k % 7, None if k % 3 else f"x{k}") for k in range(50)], "a long, b string")
+    one = keys.table_fingerprint(df).first()
+    assert keys.table_fingerprint(df.orderBy(F.desc("a")).repartition(3)).first() == one
+    assert keys.table_fingerprint(df.union(df.limit(1))).first()["content"] != one["content"]
+    assert keys.table_fingerprint(df.withColumn("b", F.coalesce("b", F.lit("")))).first()["content"] != one["content"]
+    assert keys.schema_fingerprint(df) != keys.schema_fingerprint(df.withColumnRenamed("b", "c"))
