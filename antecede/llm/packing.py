@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from antecede.llm.common import RUNS, mapped, run_of, slices, sized_broadcast, written
+from antecede.llm.common import mapped, run_of, slices, sized_broadcast, written
 from antecede.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
