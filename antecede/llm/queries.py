@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from antecede.llm.common import table
 from antecede.llm.exact_dedup import exact_dedup
 from antecede.llm.media import media_report
+from antecede.llm.minhash import minhash_groups
 from antecede.llm.mixing import mix
 from antecede.llm.packing import pack
+from antecede.llm.periodic_runs import periodic_runs, with_planted_runs
 from antecede.llm.quality import classify
 from antecede.llm.secret_scan import RULES, secret_report
 from antecede.llm.simhash import simhash_groups
+from antecede.llm.spelling import spelling_variants, without_some_letters
 from antecede.llm.token_counts import count_tokens
 from antecede.llm.token_store import stored_tokens
 from antecede.llm.url_filter import captures_and_entries, filter_urls
@@ -62,9 +65,22 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), with_planted_runs)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), rewrite=without_some_letters)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ours = (
         op1_token_counts, op2_best_fit_packing, op3_url_filter, op4_quality, op5_exact_dedup, op6_mix, op7_simhash, op8_secrets, op9_media, op10_token_store,
+        op11_periodic_runs, op12_spelling_variants, op13_minhash,
     )
     return {f.__name__: f for f in ours}
 

@@ -10,7 +10,7 @@ No Hamming radius of a fingerprint finds all of them, so this takes filters that
   The exclusive-or of two marks has at most as many bits as the sets have different shingles.
 
 Texts that share a prefix shingle are compared by their marks, in tiles of bounded size, which leave
-spanning forests; so do the groups that these make, in which all pairs are compared by their shingles.
+spanning forests; so do the groups that these make, in which texts are compared by all their shingles.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from antecede.llm.common import ascii_lower, mapped, marked, sized_broadcast, slices, text_of, written
+from antecede.llm.common import ascii_lower, looked_up, mapped, marked, sized_broadcast, slices, text_of, written
 from antecede.llm.simhash import LOWER_BYTES, components, forest, grouped, keep_one
 
 #: Texts whose shingles are counted for the order, about, and the most of their shingles that it holds.
 SAMPLE, COMMON = 8_192, 300_000
-#: Texts in a tile, and shingles in a block of its matrix.
-TILE, BLOCK = 1024, 4096
+#: Texts in a tile.
+TILE = 1024
 #: Texts of a list whose pairs are made many lists at a time.
 FEW = 16
 #: Bits of a mark, at most.
@@ -207,22 +207,50 @@ def near_marks(p: int, q: int) -> Kernel:
     return linked
 
 
+def by_pivots(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all of 0 to m - 1 that chains of near pairs connect; near(k, rest) says which of `rest` are near k.
+
+    A pivot is compared with all that were no pivots yet, and it comes from the smallest component left; once those that were no
+    pivots are all in one component, nothing can be missing. So a group of near copies costs a few pivots, not its square.
+    """
+    label, rest, out = np.arange(m), np.arange(m), []
+    while len(rest) > 1:
+        names, at, size = np.unique(label[rest], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            break
+        first = int(np.flatnonzero(at == size.argmin())[0])
+        k, rest = rest[first], np.delete(rest, first)
+        other = rest[label[rest] != label[k]]
+        met = other[near(int(k), other)]
+        if len(met):
+            out.append((np.full(len(met), k), met))
+            label[np.isin(label, label[met])] = label[k]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i in (0, 1))
+
+
 def similar(p: int, q: int) -> Kernel:
-    """Pairs that are similar, by all their shingles."""
+    """Links of pairs that are similar, by all their shingles."""
 
     def linked(nodes: list[int], held: list, n: list[int], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        m, size = len(held), np.array([len(x) for x in held])
-        _, at, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        rows, shared = np.repeat(np.arange(m), size), count[at] > 1
-        rows, at = rows[shared], np.unique(at[shared], return_inverse=True)[1]
-        by = np.argsort(at, kind="stable")
-        rows, at, both = rows[by], at[by], np.zeros((m, m), np.float32)
-        for a in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK):
-            x, y = np.searchsorted(at, (a, a + BLOCK))
-            block = np.zeros((m, min(BLOCK, int(at[-1]) + 1 - a)), np.float32)
-            block[rows[x:y], at[x:y] - a] = 1
-            both += block @ block.T
-        return np.nonzero(np.triu(both * (p + q) >= p * (size[:, None] + size[None, :]), 1))
+        size = np.array([len(x) for x in held])
+        begin, every = np.cumsum(size) - size, np.concatenate(held)
+        _, token = np.unique(every, return_inverse=True)
+        mine = np.zeros(int(token.max()) + 1 if len(token) else 1, np.int64)
+
+        def near(k: int, rest: np.ndarray) -> np.ndarray:
+            fits = (q * np.minimum(size[rest], size[k]) >= p * np.maximum(size[rest], size[k])) & (size[rest] > 0)
+            some = rest[fits]
+            if not len(some):
+                return fits
+            own = token[begin[k] : begin[k] + size[k]]
+            mine[own] = 1
+            starts = np.cumsum(size[some]) - size[some]
+            shared = np.add.reduceat(mine[token[np.repeat(begin[some] - starts, size[some]) + np.arange(int(size[some].sum()))]], starts)
+            mine[own] = 0
+            fits[fits] = shared * (p + q) >= p * (size[k] + size[some])
+            return fits
+
+        return by_pivots(len(held), near)
 
     return linked
 
@@ -241,12 +269,18 @@ def similar_pairs(texts: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """u > v: links that connect all nodes whose similarity is p / q or more, in chains. texts: node, text; rows of one node are equal."""
     made = prefixes(texts, width, p, q)
     posted = made.select("node", "n", F.posexplode("tokens").alias("at", "g"))
-    several = posted.withColumn("holders", F.count("*").over(Window.partitionBy("g"))).where("holders > 1").drop("holders")
+    # Counted in parts and looked up by runs: one shingle may be in a third of all texts.
+    shared = written(posted.groupBy("g").agg(F.count("*").alias("holders")).where("holders > 1").select("g"), "shared")
+    several = looked_up(marked(posted, F.col("g"), shared, F.col("g")).where("__may").drop("__may"), shared, "g", F.col("node"))
     lists = written(several.dropDuplicates(["g", "node"]), "lists")
     # Marks are looked up for those alone that share a shingle.
     marks = made.select("node", "m").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     may = written(in_tiles(lists.join(marks, "node"), lambda batches: near_lists(batches, p, q), "m"), "may")
+    return confirmed(texts, may, width, p, q)
+
 
+def confirmed(texts: DataFrame, may: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """As `similar_pairs`, from the written links `may`, whose components hold all similar pairs: in each, texts are compared by all their shingles."""
     joined = components(may)
     groups = written(joined.select(F.col("u").alias("node"), F.col("v").alias("g")).union(joined.select("v", "v")).distinct(), "groups")
     few = marked(texts, F.col("node"), groups, F.col("node")).where("__may").select("node", "text")
