@@ -1,55 +1,79 @@
 """Operator 12: spelling variants, by a trie of letter-group counts.
 
 A word's vector counts its letters in each of GROUPS groups. Words that differ by one inserted, deleted
-or replaced letter have vectors with a surplus of one at most and a deficit of one at most. The trie
-arranges words by the counts of successive groups; a search for a word goes down depth first and spends
-a budget of one surplus and one deficit; the words at the leaves it reaches are verified.
-
-The first FIRST counts are the key by which the trie is dealt to tasks: each word lives in the part of
-its own counts and visits those that it can reach within the budget, 1 + 2 FIRST + FIRST (FIRST - 1) at
-most. A crowded part is cut into sub-parts of at most about PART words by a hash, and its visitors go to
-each; so a task holds one bounded trie, however large the vocabulary is.
+or replaced letter have vectors with a surplus of one at most and a deficit of one at most. Tries
+arrange words by the counts of successive groups, those with the most letters first. One depth-first
+search goes down two tries at once, that of some words and that of the words which look for near ones,
+and spends a budget of one surplus and one deficit on the way: what many words have in common is
+searched once for all of them. The words of each two leaves it reaches are verified letter by letter.
+
+The first FIRST counts are the key by which the tries are dealt to tasks: each word lives in the part of
+its own counts, and visits those of smaller keys that it can reach within the budget, so that two words
+meet once. A crowded part is cut into sub-parts of about PART words by a hash, its visitors too, and all
+sub-parts of both meet; so a task holds two bounded tries, however large the vocabulary is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from antecede.llm.common import UPPER, LOWER, sized_broadcast, slices, written
+from antecede.llm.common import mapped, sized_broadcast, slices, written
+from antecede.llm.simhash import LOWER_BYTES
 
-#: Letter groups, and those of them that deal the trie to tasks.
-GROUPS, FIRST = 10, 3
+#: Letter groups, and those of them that deal the tries to tasks.
+GROUPS, FIRST = 24, 4
 #: Words in a sub-part, about.
-PART = 20_000
-LETTERS = r"[A-Za-zÀ-ÿ]+"
+PART = 8_000
+#: Word pairs that are verified at a time, and letters up to which they are compared as columns.
+BLOCK, WIDE = 1 << 17, 48
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
 
 
-def vector(word: str) -> tuple[int, ...]:
-    counts = [0] * GROUPS
-    for c in word:
-        counts[ord(c) % GROUPS] += 1
-    return tuple(counts)
+def places(words: DataFrame) -> np.ndarray:
+    """For each letter the place of its group's count in a vector: groups with more letters in the words come first."""
+    group = (F.ascii("c") % GROUPS).alias("group")
+    found = words.select(F.explode(F.split("word", "")).alias("c")).where("c != ''").groupBy(group).agg(F.count("*").alias("n")).collect()
+    n = {r["group"]: r["n"] for r in found}
+    rank = {g: k for k, g in enumerate(sorted(range(GROUPS), key=lambda g: (-n.get(g, 0), g)))}
+    return np.array([rank[c % GROUPS] for c in range(256)])
 
 
-def packed(counts: tuple[int, ...]) -> int:
-    """The first counts in one long; a count of 2^20 or more takes its remainder, which only sends words of strange lengths to one part."""
-    key = 0
-    for c in counts[:FIRST]:
-        key = key << 20 | c & 0xFFFFF
-    return key
+def vectors(words: list[str], place: np.ndarray) -> np.ndarray:
+    """One row of counts for each word."""
+    letters = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return np.bincount(rows * GROUPS + place[letters], minlength=len(words) * GROUPS).reshape(-1, GROUPS)
 
 
-def reachable(counts: tuple[int, ...]) -> list[int]:
-    """Keys of the parts within a budget of one surplus and one deficit, its own first."""
-    out = [packed(counts)]
+def packed(counts: np.ndarray) -> np.ndarray:
+    """The first counts, in 15 bits each."""
+    return sum((counts[:, k] & 0x7FFF) << 15 * (FIRST - 1 - k) for k in range(FIRST))
+
+
+def visited(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the parts that each row's word visits: within the budget, and not above its own."""
+    own, rows, keys = packed(counts), [], []
     for up in range(-1, FIRST):
         for down in range(-1, FIRST):
-            if up != down and (down < 0 or counts[down]):
-                out.append(packed(tuple(c + (k == up) - (k == down) for k, c in enumerate(counts))))
-    return out
+            if up == down and up >= 0:
+                continue
+            near = counts[:, :FIRST].copy()
+            if up >= 0:
+                near[:, up] += 1
+            if down >= 0:
+                near[:, down] -= 1
+            key = packed(near)
+            some = np.flatnonzero((near >= 0).all(1) & (key <= own))
+            rows.append(some)
+            keys.append(key[some])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def one_apart(a: str, b: str) -> bool:
@@ -65,86 +89,195 @@ def one_apart(a: str, b: str) -> bool:
 
 
 class Trie:
-    """Words by the counts of successive groups; leaves are lists of words."""
-
-    def __init__(self) -> None:
-        self.root: dict = {}
-
-    def add(self, counts: tuple[int, ...], word: str) -> None:
-        node = self.root
-        for c in counts[:-1]:
-            node = node.setdefault(c, {})
-        node.setdefault(counts[-1], []).append(word)
-
-    def near(self, counts: tuple[int, ...]) -> Iterator[str]:
-        """The words at all leaves within the budget."""
-        last, todo = len(counts) - 1, [(self.root, 0, 1, 1)]
-        while todo:
-            node, k, surplus, deficit = todo.pop()
+    """Words by the counts of successive groups. A leaf is the number of a distinct vector, and stands as soon as no other shares its counts so far."""
+
+    def __init__(self, words: list[str], place: np.ndarray):
+        counts = vectors(words, place)
+        order = np.lexsort(counts.T[::-1])
+        counts = counts[order]
+        new = np.flatnonzero(np.concatenate([[True], (counts[1:] != counts[:-1]).any(1)]))
+        self.words = [words[k] for k in order.tolist()]
+        self.vector = counts[new]
+        self.first, self.size = new, np.diff(np.append(new, len(words)))
+        self.counts = self.vector.tolist()
+        self.root = self.node(0, len(new), 0)
+        lengths = np.array([len(w) for w in self.words])
+        letters = np.frombuffer("".join(self.words).encode("latin-1"), np.uint8)
+        wide = min(WIDE, int(lengths.max()))
+        self.lengths, self.left, self.right = lengths, np.zeros((len(words), wide), np.uint8), np.zeros((len(words), wide), np.uint8)
+        row = np.repeat(np.arange(len(words)), lengths)
+        at = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        back = lengths[row] - 1 - at
+        self.left[row[at < wide], at[at < wide]] = letters[at < wide]
+        self.right[row[back < wide], back[back < wide]] = letters[back < wide]
+
+    def node(self, low: int, high: int, k: int) -> dict | int:
+        if high - low == 1:
+            return low
+        out, a = {}, low
+        while a < high:
+            b, c = a + 1, self.counts[a][k]
+            while b < high and self.counts[b][k] == c:
+                b += 1
+            out[c] = self.node(a, b, k + 1)
+            a = b
+        return out
+
+
+def leaf_pairs(home: Trie, guests: Trie) -> Iterator[tuple[int, int]]:
+    """Leaves of both that the budget may reach; two that stand early are compared in full later."""
+    todo = [(home.root, guests.root, 0, 1, 1)]
+    while todo:
+        a, b, k, surplus, deficit = todo.pop()
+        if isinstance(a, int):
+            if isinstance(b, int):
+                yield a, b
+                continue
+            ways = ((home.counts[a][k], a),)
+        else:
+            ways = a.items()
+        for c, below in ways:
             for step, s, d in ((0, surplus, deficit), (1, surplus - 1, deficit), (-1, surplus, deficit - 1)):
-                if s >= 0 and d >= 0 and (below := node.get(counts[k] + step)) is not None:
-                    if k == last:
-                        yield from below
-                    else:
-                        todo.append((below, k + 1, s, d))
-
-
-def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, near from rows sorted by (part, sub, visitor): a part's residents come first and are held as a trie, then its visitors."""
-    unit, trie = None, Trie()
-    for batch in slices(batches):
-        found: tuple[list[str], list[str]] = ([], [])
-        for part, sub, visitor, word in zip(*(batch.column(c).to_pylist() for c in ("part", "sub", "visitor", "word")), strict=True):
-            if (part, sub) != unit:
-                unit, trie = (part, sub), Trie()
-            counts = vector(word)
-            if not visitor:
-                trie.add(counts, word)
+                if s < 0 or d < 0:
+                    continue
+                if isinstance(b, int):
+                    if guests.counts[b][k] == c + step:
+                        todo.append((below, b, k + 1, s, d))
+                elif (other := b.get(c + step)) is not None:
+                    todo.append((below, other, k + 1, s, d))
+
+
+def verified(home: Trie, guests: Trie, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of words are one letter apart."""
+    n, m = home.lengths[i], guests.lengths[j]
+    wide = min(home.left.shape[1], guests.left.shape[1])
+    short, out = np.maximum(n, m) <= wide, np.zeros(len(i), bool)
+    for k in np.flatnonzero(~short):
+        out[k] = one_apart(home.words[i[k]], guests.words[j[k]])
+    same = np.flatnonzero(short & (n == m))
+    out[same] = (home.left[i[same], :wide] != guests.left[j[same], :wide]).sum(1) == 1
+    other = np.flatnonzero(short & (n != m))
+    if len(other):
+        # A pad differs from every letter, so the first difference is at the shorter word's end at the latest.
+        a, b = i[other], j[other]
+        ahead = (home.left[a, :wide] != guests.left[b, :wide]).argmax(1)
+        behind = (home.right[a, :wide] != guests.right[b, :wide]).argmax(1)
+        out[other] = (np.abs(n[other] - m[other]) == 1) & (ahead + behind >= np.minimum(n[other], m[other]))
+    return out
+
+
+def near_of(home: list[str], guests: list[str], place: np.ndarray) -> Iterator[tuple[list[str], list[str]]]:
+    """Pairs, one letter apart, of a part's residents and visitors. Two of one part, which meet both ways, are told once."""
+    a, b = Trie(home, place), Trie(guests, place)
+    found: list[tuple[int, int]] = []
+
+    def told() -> Iterator[tuple[list[str], list[str]]]:
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        over = a.vector[x] - b.vector[y]
+        fits = (np.maximum(over, 0).sum(1) <= 1) & (np.maximum(-over, 0).sum(1) <= 1)
+        # Of two vectors of one part the larger visits.
+        own, place_ = (over[:, :FIRST] == 0).all(1), (over != 0).argmax(1)
+        fits &= ~own | (over[np.arange(len(over)), place_] <= 0)
+        x, y = x[fits], y[fits]
+        pairs = a.size[x] * b.size[y]
+        cuts = np.flatnonzero(np.diff(np.cumsum(pairs) // BLOCK)) + 1
+        for some in np.split(np.arange(len(x)), cuts):
+            if not len(some):
                 continue
-            for other in trie.near(counts):
-                if one_apart(word, other):
-                    found[0].append(word)
-                    found[1].append(other)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], ["word", "near"])
+            n = pairs[some]
+            leaf = np.repeat(some, n)
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            i, j = a.first[x[leaf]] + k // b.size[y[leaf]], b.first[y[leaf]] + k % b.size[y[leaf]]
+            near = verified(a, b, i, j)
+            i, j = i[near].tolist(), j[near].tolist()
+            one = [(a.words[p], b.words[q]) for p, q in zip(i, j, strict=True)]
+            twice = (a.vector[x[leaf[near]]] == b.vector[y[leaf[near]]]).all(1).tolist()
+            one = [(p, q) for (p, q), both in zip(one, twice, strict=True) if not both or p < q]
+            yield [p for p, _ in one], [q for _, q in one]
+
+    for pair in leaf_pairs(a, b):
+        found.append(pair)
+        if len(found) == BLOCK:
+            yield from told()
+            found.clear()
+    if found:
+        yield from told()
+
+
+def search(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """word, near (each pair once) from rows sorted by (part, rsub, vsub)."""
+    unit: tuple | None = None
+    home: list[str] = []
+    guests: list[str] = []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if home and guests:
+            for pair in near_of(home, guests, place):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in pair], ["word", "near"])
+
+    for batch in batches:
+        for key, visitor, word in zip(zip(*(batch.column(c).to_pylist() for c in ("part", "rsub", "vsub")), strict=True), batch.column("visitor").to_pylist(), batch.column("word").to_pylist(), strict=True):
+            if key != unit:
+                yield from told()
+                unit, home, guests = key, [], []
+            (guests if visitor else home).append(word)
+    yield from told()
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, near: each of the written distinct `words` (column word) with each that is one letter apart, so every pair both ways."""
+    place = places(words)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            word, part, visitor = [], [], []
-            for w in batch.column("word").to_pylist():
-                keys = reachable(vector(w))
-                word += [w] * (len(keys) + 1)
-                part += [keys[0], *keys]
-                visitor += [False] + [True] * len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(part, pa.int64()), pa.array(visitor, pa.bool_())], ["word", "part", "visitor"])
+            some = batch.column("word").to_pylist()
+            counts = vectors(some, place)
+            rows, keys = visited(counts)
+            word = pa.array([*some, *(some[k] for k in rows.tolist())], pa.string())
+            visitor = np.arange(len(some) + len(rows)) >= len(some)
+            yield pa.RecordBatch.from_arrays([word, pa.array(np.concatenate([packed(counts), keys])), pa.array(visitor)], ["word", "part", "visitor"])
 
     rows = words.select("word").mapInArrow(dealt, "word string, part long, visitor boolean")
-    sizes = written(rows.where("NOT visitor").groupBy("part").agg(F.ceil(F.count("*") / PART).cast("int").alias("subs")), "parts")
+    of = lambda test, c: F.ceil(F.count_if(test) / PART).cast("int").alias(c)
     # Parts without residents are not visited: the join drops their visitors.
-    placed = rows.join(sized_broadcast(sizes), "part")
-    own = F.array(F.pmod(F.xxhash64("word"), F.col("subs")).cast("int"))
-    subs = F.when(F.col("visitor"), F.sequence(F.lit(0), F.col("subs") - 1)).otherwise(own)
-    units = placed.select("part", F.explode(subs).alias("sub"), "visitor", "word").repartition("part", "sub").sortWithinPartitions("part", "sub", "visitor")
-    return units.mapInArrow(search, "word string, near string")
+    parts = written(rows.groupBy("part").agg(of(~F.col("visitor"), "rs"), of(F.col("visitor"), "vs")).where("rs > 0"), "parts")
+    mine = lambda n: F.array(F.pmod(F.xxhash64("word"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rsub, vsub = F.when(F.col("visitor"), every("rs")).otherwise(mine("rs")), F.when(F.col("visitor"), mine("vs")).otherwise(every("vs"))
+    units = rows.join(sized_broadcast(parts), "part").select("part", F.explode(rsub).alias("rsub"), "vs", "visitor", "word", vsub.alias("v")).select("part", "rsub", F.explode("v").alias("vsub"), "visitor", "word")
+    once = units.repartition("part", "rsub", "vsub").sortWithinPartitions("part", "rsub", "vsub").mapInArrow(lambda batches: search(batches, place), "word string, near string")
+    return once.select(F.explode(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))).alias("p")).select("p.*")
 
 
-def without_some_letters(doc_id: Column, run: Column) -> Column:
+def without_some_letters(doc_id: int | None, runs: list[str]) -> list[str]:
     """The query's rewrite: of one in 199 runs, by crc32 of `<doc_id>:<run>`, one letter goes. A null doc_id's runs stay."""
-    h = F.crc32(F.encode(F.concat(doc_id.cast("string"), F.lit(":"), run), "UTF-8"))
-    at = F.pmod(h, F.length(run)).cast("int")
-    less = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))
-    return F.when(F.coalesce(h % 199 == 0, F.lit(False)), less).otherwise(run)
+    if doc_id is None:
+        return runs
+    begin, out = zlib.crc32(b"%d:" % doc_id), list(runs)
+    for k, run in enumerate(runs):
+        if not (h := zlib.crc32(run.encode(), begin)) % 199:
+            at = h % len(run)
+            out[k] = run[:at] + run[at + 1 :]
+    return out
+
+
+Rewrite = Callable[[int | None, list[str]], list[str]]
 
 
-def vocabulary(docs: DataFrame, least_length: int, least: int, rewrite=None) -> DataFrame:
-    """word, n: runs of letters with A-Z in lower case, long and frequent enough; counted in parts before they are shuffled."""
-    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0))).alias("run"))
-    run = F.translate("run", UPPER, LOWER)
-    words = runs.select((rewrite(F.col("doc_id"), run) if rewrite else run).alias("word"))
-    return words.where(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def vocabulary(docs: DataFrame, least_length: int, least: int, rewrite: Rewrite | None = None) -> DataFrame:
+    """word, n: runs of letters with A-Z in lower case, long and frequent enough; counted inside each batch of texts before they are shuffled."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts: Counter[str] = Counter()
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                runs = LETTERS.findall(text.encode().translate(LOWER_BYTES).decode())
+                counts.update(rewrite(i, runs) if rewrite else runs)
+            long = [(w, n) for w, n in counts.items() if len(w) >= least_length]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in long], pa.string()), pa.array([n for _, n in long], pa.int64())], ["word", "n"])
+
+    found = mapped(docs.where("text IS NOT NULL").select("doc_id", "text"), counted, "word string, n long", "counts")
+    return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -158,13 +291,13 @@ def roots(forms: DataFrame) -> DataFrame:
             return now
 
 
-def spelling_variants(docs: DataFrame, least_length: int = 6, least: int = 5, times: int = 5, rewrite=None) -> DataFrame:
+def spelling_variants(docs: DataFrame, least_length: int = 6, least: int = 5, times: int = 5, rewrite: Rewrite | None = None) -> DataFrame:
     """word, form, root, n, n_near, form_n: one row for each distinct word of `docs` with `least_length` letters and `least` occurrences.
 
     Words are runs of Latin letters with A-Z in lower case. Near words differ by exactly one inserted, deleted or replaced letter.
     A word's form is its near word of largest n (of equal n the smallest in code-point order), if that n is at least `times` its own,
     else null; root follows forms to the last; n_near counts near words. Null and empty texts have no words; repeated rows count
-    each; other columns are not read; no rows give no rows. `rewrite` may change a run (columns doc_id, run) before it is counted.
+    each; other columns are not read; no rows give no rows. `rewrite` may change a text's runs before they are counted.
     """
     words = written(vocabulary(docs, least_length, least, rewrite), "words")
     near = near_words(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
