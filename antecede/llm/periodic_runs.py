@@ -26,8 +26,10 @@ from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from antecede.llm.common import mapped, slices, text_of
 
@@ -253,10 +255,6 @@ def periodic_runs(docs: DataFrame, rewrite: Rewrite | None = None) -> DataFrame:
 
 def collapsed(docs: DataFrame) -> DataFrame:
     """`docs` with `collapsed`: the text's words that stay, joined by one space; a null text stays null."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StringType
-    import pandas as pd
-
     @F.pandas_udf(StringType())
     def joined(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
