@@ -38,6 +38,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
+#: A side of at most this many narrow rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """`df` (cheap to count) marked for broadcast if it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", cardinality: str = "m:1", matched: bool = False) -> DataFrame:
     """A join that first proves its cardinality (one more pass over the keys) and, if asked, that no left row is alone."""
     for side, one, name in ((left, cardinality[0] == "1", "left"), (right, cardinality[-1] == "1", "right")):

@@ -1,8 +1,8 @@
 """Skill ratings, one period at a time.
 
 All games of a period are rated in parallel from the ratings at its start; deltas are summed for each
-entity and the new state is written. The driver loops over periods, never over games. With waves as
-periods (games of a day that share no entity) the result is that of a sequential fold.
+entity. Periods that don't meet are rated together, in layers: the driver loops over the longest chain
+of turns, never over games. With each game as a period of its own the result is that of a sequential fold.
 
 events: game, played, side, entity, result (1 or 0), season (int), league, and `period`, in order; one row for
 each member of a side. state: entity, mu, s2 (variance), vol, season, league, last_played, position (null where there are none).
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from antecede.functions.columns import normal_over
-from antecede.operators.joins import asof_state
+from antecede.keys import sized
+from antecede.operators.joins import asof_join, asof_state
 from antecede.operators.reshape import pivot_roles
 from antecede.sources.tables import work_folder, written
 
@@ -59,21 +60,16 @@ PLACKETT_LUCE = Rules(25.0, 8.333, grace_days=None, reset_sigma_on_transfer=True
 TRUESKILL = Rules(25.0, 8.333, grace_days=None, reset_sigma_on_transfer=True, drift=8.333 / 100)
 
 
-def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFrame | None = None) -> DataFrame:
-    """The state an entity has when it plays: rows are of (entity, played, now_season, now_league and maybe now_position) with its old state, null if it is new.
+def moved_state(rules: Rules, leagues: bool = False) -> dict[str, Column]:
+    """mu, s2, vol, season, league and position of an entity when it plays, from a row with its old state (null if it is new) and
+    played, now_season, now_league, now_position, __nth and __old_nth (of both seasons), and __to, __from and __mean if leagues are rated.
 
     Toward the baseline: one decay for each season that began for anyone since the entity's mark, then half-lives of idle days beyond the grace.
     A new entity starts at the baseline, moved by part of its league's lead over the mean league (a fifth of the baseline at most); one that
-    changed league moves by part of the difference. leagues: league, rating; without it neither moves. One that plays another position than the
+    changed league moves by part of the difference. Without ratings of leagues neither moves. One that plays another position than the
     last goes part of the way to the baseline. Where sigma grows, idle days take it to its start by the same half-lives.
     """
-    for c in ("now_position", "position"):
-        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
-    known = F.col("mu").isNotNull()
-    rows = rows.join(F.broadcast(seasons), F.col("now_season") == F.col("__season"), "left").drop("__season")
-    old = seasons.select(F.col("__season"), F.col("__nth").alias("__old_nth"))
-    rows = rows.join(F.broadcast(old), F.col("season") == F.col("__season"), "left").drop("__season")
-    began = F.greatest(F.coalesce(F.col("__nth") - F.col("__old_nth"), F.lit(0)), F.lit(0))
+    known, began = F.col("mu").isNotNull(), F.greatest(F.coalesce(F.col("__nth") - F.col("__old_nth"), F.lit(0)), F.lit(0))
     keep, rest = F.pow(F.lit(rules.decay), began), F.lit(1.0)
     if rules.grace_days is not None:
         idle = F.floor((F.unix_seconds(F.col("played").cast("timestamp")) - F.unix_seconds(F.col("last_played").cast("timestamp"))) / 86400) - rules.grace_days
@@ -81,12 +77,9 @@ def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFra
         keep = keep * rest
     mu = rules.mu + (F.col("mu") - rules.mu) * keep
     start, move, changed = F.lit(rules.mu), F.lit(0.0), F.coalesce(F.col("league") != F.col("now_league"), F.lit(False))
-    if leagues is not None:
-        mean = leagues.agg(F.avg("rating").alias("__mean"))
-        of = lambda c, a: leagues.select(F.col("league").alias(c), F.col("rating").alias(a))
-        rows = rows.join(of("now_league", "__to"), "now_league", "left").join(of("league", "__from"), "league", "left").crossJoin(F.broadcast(mean))
+    if leagues:
         lead = (F.coalesce("__to", F.lit(rules.mu)) - F.col("__mean")) * rules.new_adjust
-        start = start + F.greatest(F.least(lead, F.lit(0.2 * rules.mu)), F.lit(-0.2 * rules.mu))
+        start = start + F.coalesce(F.greatest(F.least(lead, F.lit(0.2 * rules.mu)), F.lit(-0.2 * rules.mu)), F.lit(0.0))
         move = F.when(changed, rules.transfer * (F.coalesce("__to", F.lit(rules.mu)) - F.coalesce("__from", F.lit(rules.mu)))).otherwise(0.0)
     s2 = F.coalesce(F.col("s2"), F.lit(rules.sigma**2))
     if rules.reset_sigma_on_transfer:
@@ -96,9 +89,39 @@ def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFra
     switched = F.coalesce(F.col("position") != F.col("now_position"), F.lit(False))
     mu = mu + move
     mu = F.when(switched, rules.mu + (mu - rules.mu) * (1 - rules.position_reset)).otherwise(mu)
-    return rows.select(
-        "entity", "played", F.when(known, mu).otherwise(start).alias("mu"), (s2 + rules.drift**2).alias("s2"), F.coalesce("vol", F.lit(rules.vol)).alias("vol"), F.col("now_season").alias("season"), F.col("now_league").alias("league"), F.coalesce("now_position", "position").alias("position")
-    )
+    return {
+        "mu": F.when(known, mu).otherwise(start), "s2": s2 + rules.drift**2, "vol": F.coalesce("vol", F.lit(rules.vol)),
+        "season": F.col("now_season"), "league": F.col("now_league"), "position": F.coalesce("now_position", "position"),
+    }
+
+
+def with_seasons(rows: DataFrame, seasons: DataFrame) -> DataFrame:
+    """`rows` with __nth and __old_nth of now_season and season."""
+    seasons = sized(seasons)
+    rows = rows.join(seasons, F.col("now_season") == F.col("__season"), "left").drop("__season")
+    old = seasons.select(F.col("__season"), F.col("__nth").alias("__old_nth"))
+    return rows.join(old, F.col("season") == F.col("__season"), "left").drop("__season")
+
+
+def with_leagues(rows: DataFrame, leagues: DataFrame) -> DataFrame:
+    """`rows` with __to, __from (ratings of now_league and league) and __mean; `leagues` (league, rating) may be for each `period` of the rows."""
+    by = ["period"] if "period" in leagues.columns else []
+    of = lambda c, a: leagues.select(*by, F.col("league").alias(c), F.col("rating").alias(a))
+    rows = rows.join(of("now_league", "__to"), [*by, "now_league"], "left").join(of("league", "__from"), [*by, "league"], "left")
+    mean = leagues.groupBy(*by).agg(F.avg("rating").alias("__mean"))
+    return rows.join(mean, by, "left") if by else rows.crossJoin(F.broadcast(mean))
+
+
+def adjusted(rows: DataFrame, rules: Rules, seasons: DataFrame, leagues: DataFrame | None = None) -> DataFrame:
+    """The state an entity has when it plays, by `moved_state`: rows are of (entity, played, now_season, now_league and maybe now_position) with its old state, null if it is new.
+
+    leagues: league, rating.
+    """
+    for c in ("now_position", "position"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+    rows = with_seasons(rows, seasons)
+    rows = rows if leagues is None else with_leagues(rows, leagues)
+    return rows.select("entity", "played", *(c.alias(n) for n, c in moved_state(rules, leagues is not None).items()))
 
 
 class Kernel(NamedTuple):
@@ -214,20 +237,29 @@ def trueskill(beta: float = 4.167, rules: Rules = TRUESKILL) -> Kernel:
     return Kernel(rules, win, terms, lambda: {"mu": F.col("mu") + F.col("d"), "s2": F.col("s2") * F.exp("shrink"), "vol": F.col("vol")})
 
 
+def side_columns(roles: bool) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Both sides' totals over a game, and from those side_mu, side_s2, n, foe_mu, foe_s2 and foe_n of a row."""
+    game, blue, weight = Window.partitionBy("game"), F.col("side") == SIDES[0], None
+    if roles:
+        names = F.create_map(*(F.lit(x) for kv in ROLE_WEIGHTS.items() for x in kv))
+        weight = F.coalesce(F.try_element_at(names, F.lower("position")), F.lit(OTHER_ROLE))
+    made = {}
+    for name, mine in (("__b", blue), ("__r", ~blue)):
+        total = lambda c, mine=mine: F.sum(F.when(mine, c)).over(game)
+        n = F.coalesce(total(F.lit(1.0)), F.lit(0.0))
+        made[f"{name}mu"] = total(F.col("mu")) if weight is None else total(weight * F.col("mu")) / F.nullif(total(weight), F.lit(0.0)) * n
+        made[f"{name}s2"], made[f"{name}n"] = total(F.col("s2")), n
+    pick = lambda c, own: F.when(blue == F.lit(own), F.col(f"__b{c}")).otherwise(F.col(f"__r{c}"))
+    return made, {f"side_{c}" if c != "n" else "n": pick(c, True) for c in ("mu", "s2", "n")} | {f"foe_{c}": pick(c, False) for c in ("mu", "s2", "n")}
+
+
 def side_totals(rows: DataFrame, kernel: Kernel) -> DataFrame:
-    """Each member's row with its side's and the other side's totals: side_mu, side_s2, n, foe_mu, foe_s2, foe_n.
+    """Each member's row with its side's and the other side's totals: side_mu, side_s2, n, foe_mu, foe_s2, foe_n; by one exchange by game.
 
-    With a `position`, a side's rating is the weighted mean of its members' times their number.
+    With a `position`, a side's rating is the weighted mean of its members' times their number. Games without one of the sides go.
     """
-    if "position" in rows.columns:
-        names = F.create_map(*(F.lit(x) for kv in ROLE_WEIGHTS.items() for x in kv))
-        weight = F.coalesce(F.try_element_at(names, F.lower("position")), F.lit(OTHER_ROLE))
-        total = F.sum(weight * F.col("mu")) / F.sum(weight) * F.count("*")
-    else:
-        total = F.sum("mu")
-    sides = rows.groupBy("game", "side").agg(total.alias("side_mu"), F.sum("s2").alias("side_s2"), F.count("*").cast("double").alias("n"))
-    foes = sides.select("game", F.when(F.col("side") == SIDES[0], SIDES[1]).otherwise(SIDES[0]).alias("side"), F.col("side_mu").alias("foe_mu"), F.col("side_s2").alias("foe_s2"), F.col("n").alias("foe_n"))
-    return rows.join(sides, ["game", "side"]).join(foes, ["game", "side"])
+    totals, sides = side_columns("position" in rows.columns)
+    return rows.withColumns(totals).where("__bn > 0 AND __rn > 0").withColumns(sides).drop(*totals)
 
 
 def rate_period(events: DataFrame, state: DataFrame, kernel: Kernel, seasons: DataFrame, leagues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -259,66 +291,155 @@ def season_order(events: DataFrame) -> DataFrame:
     return events.select(F.col("season").alias("__season")).distinct().withColumn("__nth", F.row_number().over(Window.orderBy("__season")))
 
 
-#: Periods whose new states are kept apart before they are merged into one table.
-MERGED_AFTER = 32
+def by_game(events: DataFrame) -> DataFrame:
+    """events with a period for each game, in the order of time and number: what is rated so is the sequential fold."""
+    at = F.unix_micros(F.col("played").cast("timestamp")) + F.lit(1 << 62)
+    return events.withColumn("period", F.concat_ws("#", F.lpad(at.cast("string"), 20, "0"), F.lpad((F.col("game") + F.lit(1 << 62)).cast("string"), 20, "0")))
 
 
-def rating_periods(events: DataFrame, kernel: Kernel, leagues: DataFrame | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(before, state) over all periods in order.
+#: Steps of the search for layers that are planned together.
+STEPS = 3
+
 
-    Events are written once in a folder for each period, so that a period reads its own rows alone. A period writes the
-    states of those who played in it, not of all; what is known of its players is looked up in the last merged table and
-    the few periods since. All `before` is read back from one folder. Only the names of the periods come to the driver.
+def layers(events: DataFrame) -> DataFrame:
+    """game, entity, k, layer: k is the number of the entity's turn (its games of one period), and a layer holds turns that can be rated together.
+
+    All games of a turn are in one layer, after those of its entities' earlier turns; so what is rated layer by layer equals what is rated
+    period by period, and there are as many layers as the longest chain of turns has, not as there are periods. They are found by rounds of
+    two maxima: along each entity's turns a layer grows by one at least, and a game's is that of its latest entity; until nothing changes.
+    """
+    along = Window.partitionBy("entity").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    game = Window.partitionBy("game")
+    ranked = events.select("game", "entity", "period").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("entity").orderBy("period")))
+    now, total = ranked.select("game", "entity", "k", F.max("k").over(game).alias("layer")), None
+    while True:
+        for _ in range(STEPS):
+            lifted = now.withColumn("__l", F.max(F.col("layer") - F.col("k")).over(along) + F.col("k"))
+            now = lifted.select("game", "entity", "k", F.max("__l").over(game).alias("layer"))
+        now = written(now, "layers")
+        found = now.agg(F.sum("layer")).first()[0]
+        if found == total:
+            return now
+        total = found
+
+
+def turns(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """One row for each entity and k: layer, next (the entity's next layer, -1 after its last turn), period, facts of its first game (now_*, played),
+    of its end (ended, stays), of the turn before (season, league, last_played, position), and mu0, s20, vol0 of the first one from `state`."""
+    here = "position" in rows.columns
+    facts = ["played", "game", "season", "league", *(["position"] if here else [])]
+    last = F.max_by("position", F.struct("played", "game")) if here else F.lit(None).cast("string")
+    t = rows.groupBy("entity", "k").agg(F.first("layer").alias("layer"), F.first("period").alias("period"), F.min(F.struct(*facts)).alias("f"), F.max("played").alias("ended"), last.alias("__as"))
+    now_position = F.col("f.position") if here else F.lit(None).cast("string")
+    t = t.select("entity", "k", "layer", "period", F.col("f.played").alias("played"), F.col("f.season").alias("now_season"), F.col("f.league").alias("now_league"), now_position.alias("now_position"), "ended", F.coalesce("__as", now_position).alias("__as"))
+    order = Window.partitionBy("entity").orderBy("k")
+    t = t.withColumns({"next": F.coalesce(F.lead("layer").over(order), F.lit(-1)), "stays": F.last("__as", True).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    t = t.withColumns({"season": F.lag("now_season").over(order), "league": F.lag("now_league").over(order), "last_played": F.lag("ended").over(order), "position": F.lag("stays").over(order)}).drop("__as")
+    if state is None:
+        return t.withColumns({c: F.lit(None).cast("double") for c in ("mu0", "s20", "vol0")})
+    old = state.select("entity", *(F.col(c).alias(f"{c}0") for c in ("mu", "s2", "vol", "season", "league", "last_played", "position")))
+    t, first = t.join(old, "entity", "left"), F.col("k") == 1
+    of = lambda c: F.when(first, F.col(f"{c}0"))
+    merged = {c: F.coalesce(c, of(c)) for c in ("season", "league", "last_played")} | {"position": F.coalesce("position", "position0"), "stays": F.coalesce("stays", "position0")}
+    return t.withColumns(merged | {c: of(c[:-1]) for c in ("mu0", "s20", "vol0")}).drop("season0", "league0", "last_played0", "position0")
+
+
+class Rated(NamedTuple):
+    """rows: game, side, entity, k, period, next, mu, s2 and vol at the start, p_win and what the game adds; turns: as `turns`; kernel."""
+
+    rows: DataFrame
+    turns: DataFrame
+    kernel: Kernel
+
+    def before(self) -> DataFrame:
+        """game, side, entity, mu_before, s2_before, p_win, period."""
+        return self.rows.select("game", "side", "entity", F.col("mu").alias("mu_before"), F.col("s2").alias("s2_before"), "p_win", "period")
+
+    def after(self) -> DataFrame:
+        """The state after each turn, with its period and k."""
+        facts = self.turns.select("entity", "k", F.col("now_season").alias("season"), F.col("now_league").alias("league"), F.col("ended").alias("last_played"), F.col("stays").alias("position"))
+        return new_states(self.rows, self.kernel, "entity", "k", "period").join(facts, ["entity", "k"])
+
+    def state(self) -> DataFrame:
+        """The last state of each entity that played."""
+        return Rated(self.rows.where("next = -1"), self.turns, self.kernel).after().select(*(x.split()[0] for x in STATE.split(", ")))
+
+
+def new_states(rows: DataFrame, kernel: Kernel, *by: str) -> DataFrame:
+    """`by`, mu, s2, vol after a turn, from its rated rows."""
+    sums = rows.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("mu", "s2", "vol")), *(F.sum(f"__{n}").alias(n) for n in kernel.terms()))
+    new = kernel.summed()
+    return sums.select(*by, *(new[c].alias(c) for c in ("mu", "s2", "vol")))
+
+
+#: Files of a layer that one write makes at most, for each next layer, and rows of a layer that are left in one task.
+SPREAD, TOGETHER = 64, 50_000
+
+
+def rated(events: DataFrame, kernel: Kernel, leagues: DataFrame | None = None, state: DataFrame | None = None) -> Rated:
+    """All games, rated layer by layer from the states at the start of their periods.
+
+    Nothing but mu, s2 and vol is unknown beforehand: turns, what they follow, seasons and leagues are joined once, and each layer's rows are
+    written to a folder of their own. A layer's rated rows are written to the folder of the layer in which their entity plays next; there they
+    are summed to the entity's state. So a layer reads its own rows and the states meant for it, no state is looked up in a table of all or
+    written again, and a layer is one job with an exchange of those rows by entity and one by game. Only the number of layers comes to the driver.
+    `leagues`: league and rating, for each period if it has that column.
     """
     spark, root = events.sparkSession, f"{work_folder(events.sparkSession)}/ratings-{uuid.uuid4().hex}"
-    events = events.where("entity IS NOT NULL AND result IS NOT NULL AND league IS NOT NULL").withColumns({"season": F.col("season").cast("int"), "played": F.col("played").cast("timestamp"), "result": F.col("result").cast("double")})
-    events.withColumn("__period", F.col("period")).repartition("__period").write.partitionBy("__period").parquet(f"{root}/events")
-    rows = spark.read.schema(events.withColumn("__period", F.col("period")).schema).parquet(f"{root}/events")
+    here = ["position"] if "position" in events.columns else []
+    events = events.where("entity IS NOT NULL AND result IS NOT NULL AND league IS NOT NULL")
+    events = events.select("game", F.col("played").cast("timestamp").alias("played"), "side", "entity", F.col("result").cast("double").alias("result"), F.col("season").cast("int").alias("season"), "league", "period", *here)
+    rows = written(events.join(layers(events), ["game", "entity"]), "placed")
     seasons = written(season_order(rows).coalesce(1), "seasons")
-    base, since, parts = spark.createDataFrame([], STATE) if state is None else state, [], 0
-    before_schema = "game long, side string, entity long, mu_before double, s2_before double, p_win double, period string"
-
-    def known() -> DataFrame:
-        """The latest state of each entity."""
-        if not since:
-            return base
-        later = spark.read.schema(f"{STATE}, nth int").parquet(*since)
-        all_ = base.withColumn("nth", F.lit(-1)).unionByName(later)
-        return all_.groupBy("entity").agg(F.max_by(F.struct(*base.columns), "nth").alias("s")).select("s.*")
-
-    for (period,) in rows.select("__period").distinct().orderBy("__period").collect():
-        now = rows.where(F.col("__period") == F.lit(period)).drop("__period")
-        mine = known().join(now.select("entity").distinct(), "entity", "left_semi")
-        before, updated = rate_period(now, mine, kernel, seasons, leagues)
-        before.withColumn("period", F.lit(period)).write.mode("append").parquet(f"{root}/before")
-        updated.withColumn("nth", F.lit(parts)).write.parquet(f"{root}/states/{parts}")
-        since, parts = [*since, f"{root}/states/{parts}"], parts + 1
-        if len(since) == MERGED_AFTER:
-            base, since = written(known(), "state"), []
-    if not parts:
-        return spark.createDataFrame([], before_schema), base
-    return spark.read.parquet(f"{root}/before"), written(known(), "state")
-
-
-def waves(events: DataFrame, most: int = 200_000) -> DataFrame:
-    """events with period = day and wave: a game's wave is one more than the largest of the day's earlier games that share an entity.
-
-    A day's games are folded in one task, so a day of more than `most` rows fails: rate by whole periods then.
-    """
-    day = F.date_format("played", "yyyy-MM-dd")
-    if bad := events.groupBy(day.alias("d")).count().where(F.col("count") > most).first():
-        raise ValueError(f"{bad['d']} has {bad['count']} rows; rate by period")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict = {}
-        out = {}
-        for game, rows in pdf.sort_values(["played", "game"], kind="stable").groupby("game", sort=False):
-            out[game] = w = 1 + max((seen.get(x, 0) for x in rows["entity"]), default=0)
-            seen |= dict.fromkeys(rows["entity"], w)
-        return pd.DataFrame({"game": list(out), "wave": list(out.values())})
-
-    numbered = events.withColumn("__d", day).select("__d", "game", "played", "entity").groupBy("__d").applyInPandas(fold, "game long, wave int")
-    return events.join(numbered, "game").withColumn("period", F.concat_ws("#", day, F.lpad(F.col("wave").cast("string"), 6, "0"))).drop("wave")
+    all_turns = written(turns(rows, state), "turns")
+    known = with_seasons(all_turns, seasons)
+    known = known if leagues is None else with_leagues(known, leagues)
+    own = rows.select("game", "side", "entity", "k", "result", *(F.col(c).alias("__as") for c in here))
+    placed = own.join(known, ["entity", "k"])
+    some = F.pmod(F.xxhash64("entity"), F.lit(SPREAD))
+    placed.repartition("layer", some).write.partitionBy("layer").parquet(f"{root}/rows")
+    schema, terms, told = placed.drop("layer").schema, kernel.terms(), None
+    read, meant = (dict(df.collect()) for df in (rows.groupBy("layer").count(), all_turns.join(rows, ["entity", "k"]).groupBy("next").count()))
+    # Expressions are made once, for all layers.
+    start, (totals, sides), names = moved_state(kernel.rules, leagues is not None), side_columns(bool(here)), ["mu", "s2", "vol"]
+    first = [F.col(f"{c}0").alias(c) for c in names]
+    either = [F.coalesce(F.col(f"s.{c}"), F.col(f"{c}0")).alias(c) for c in names]
+    moved = [*map(F.col, ("game", "side", "entity", "k", "period", "next", "result")), *(F.col("__as").alias("position") for _ in here), *(start[c].alias(c) for c in names)]
+    given = [*map(F.col, ("game", "side", "entity", "k", "period", *names)), kernel.win().alias("p_win"), *(c.alias(f"__{n}") for n, c in terms.items()), F.col("next")]
+    sums, new = [*(F.first(c).alias(c) for c in names), *(F.sum(f"__{n}").alias(n) for n in terms)], [F.col("entity").alias("__e"), *(c.alias(n) for n, c in kernel.summed().items())]
+    for layer in range(1, len(read) + 1):
+        # The few rows of a small layer go to one task without any exchange.
+        few = max(read[layer], meant.get(layer, 0)) <= TOGETHER
+        part = lambda df: df.coalesce(1) if few else df  # noqa: E731, B023
+        now, path = part(spark.read.schema(schema).parquet(f"{root}/rows/layer={layer}")), f"{root}/rated/next={layer}"
+        if told is not None and layer in meant:
+            old = part(spark.read.schema(told).parquet(path)).groupBy("entity").agg(*sums).select(*new).alias("s")
+            now = now.alias("n").join(old, F.col("n.entity") == F.col("__e"), "left").select("n.*", *either)
+        else:
+            now = now.select("*", *first)
+        made = now.select(*moved).withColumns(totals).where("__bn > 0 AND __rn > 0").withColumns(sides).select(*given)
+        (made if few else made.repartition("next", some)).write.mode("append").partitionBy("next").parquet(f"{root}/rated")
+        told = told or made.drop("next").schema
+    if told is None:
+        names = "game long, side string, entity long, k int, period string, mu double, s2 double, vol double, p_win double, "
+        return Rated(spark.createDataFrame([], names + "".join(f"__{n} double, " for n in terms) + "next int"), all_turns, kernel)
+    return Rated(spark.read.schema(told.add("next", "integer")).parquet(f"{root}/rated"), all_turns, kernel)
+
+
+def rating_periods(events: DataFrame, kernel: Kernel, leagues: DataFrame | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(before, state) over all periods in order; entities of the given state that never play keep theirs."""
+    made = rated(events, kernel, leagues, state)
+    after = written(made.state(), "state")
+    return made.before(), after if state is None else merged_state(state, after)
+
+
+def ratings_as_of(made: Rated, periods: DataFrame, name: Column, start: float) -> DataFrame:
+    """period, league, rating: of each rated entity (`name` makes its league of the columns of `after`) as of the start of each period; `start` before its first turn."""
+    known = made.after().select(name.alias("league"), F.col("period").alias("__p"), F.col("mu").alias("rating"))
+    asked = known.select("league").distinct().crossJoin(sized(periods.select("period").distinct()))
+    # A turn counts for the periods after its own.
+    before = asof_join(asked.withColumn("__at", F.struct("period", F.lit(0).alias("o"))), known.withColumn("__t", F.struct(F.col("__p").alias("period"), F.lit(1).alias("o"))), ["league"], "__at", "__t", ["rating"])
+    return before.select("period", "league", F.coalesce("rating", F.lit(start)).alias("rating"))
 
 
 def league_events(events: DataFrame, home: DataFrame, pool_of: Column | None = None) -> DataFrame:

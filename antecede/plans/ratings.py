@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from antecede.operators import evaluation as e, history as h, joins as j, ratings as ra, reshape as rs
 from antecede.plans.duels import DUELS, duels
 from antecede.plans.registry import Tables, query, r
+from antecede.sources.tables import written
 
 _NORMAL = "(CASE WHEN {0} % 7 = 0 THEN NULL WHEN {0} % 7 < 4 THEN 1.0 ELSE 0.0 END)"
 
 
 def events(t: Tables, period: str = "year") -> DataFrame:
-    made = {"year": F.year("played").cast("string"), "quarter": F.concat_ws("-", F.year("played").cast("string"), F.quarter("played").cast("string")), "half": F.when(F.col("played") < F.lit("1998-01-01").cast("timestamp"), "1").otherwise("2")}[period]
+    made = {"year": F.year("played").cast("string"), "week": F.date_format(F.date_trunc("week", "played"), "yyyy-MM-dd"), "quarter": F.concat_ws("-", F.year("played").cast("string"), F.quarter("played").cast("string")), "half": F.when(F.col("played") < F.lit("1998-01-01").cast("timestamp"), "1").otherwise("2")}[period]
     return duels(t).withColumns({"entity": F.col("entity"), "season": F.year("played"), "period": made})
 
 
@@ -81,10 +82,63 @@ def i2_i3_player_elo(t: Tables) -> DataFrame:
 
 @query()
 def i8_elo_by_quarter(t: Tables) -> DataFrame:
-    """As by year, in 28 periods: each reads its own events, and writes the states of those who played."""
+    """As by year, in 28 periods."""
     return ra.rating_periods(events(t, "quarter"), ra.elo())[1]
 
 
+_decayed = "CASE WHEN {s}.mu IS NULL THEN 1500 ELSE 1500 + ({s}.mu - 1500) * pow(0.9::DOUBLE, greatest({e}.season - {s}.season, 0)) * pow(0.5::DOUBLE, greatest(date_diff('day', {s}.last, {e}.first) - 45, 0) / 180.0) END"
+
+
+def fold_sql(period: str) -> str:
+    """Elo in SQL, period after period: each step of the recursion rates one period's games from the states at its start."""
+    return f"""{DUELS.replace("WITH", "WITH RECURSIVE", 1)}, g AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY {period}) AS i FROM games),
+    e AS MATERIALIZED (SELECT entity, i, min(played) AS first, max(played) AS last, arg_min(year(played), (played, game)) AS season FROM (SELECT blue AS entity, * FROM g UNION ALL SELECT red, * FROM g) GROUP BY ALL),
+    st(entity, mu, season, last, i) USING KEY (entity) AS (
+        SELECT -1::BIGINT, 1500.0::DOUBLE, 0::BIGINT, TIMESTAMP '1900-01-01', 0::BIGINT
+        UNION ALL
+        SELECT entity, max(mu) + sum(d), max(season), max(last), max(i) FROM (
+            SELECT unnest([blue, red]) AS entity, unnest([mb, mr]) AS mu, unnest([1, -1]) * 32 * (blue_won - 1 / (1 + pow(10::DOUBLE, greatest(least((mr - mb) / 400, 8), -8)))) AS d, unnest([sb, sr]) AS season, unnest([lb, lr]) AS last, i
+            FROM (SELECT g.i, g.blue, g.red, g.blue_won, eb.season AS sb, er.season AS sr, eb.last AS lb, er.last AS lr, {_decayed.format(s="b", e="eb")} AS mb, {_decayed.format(s="r", e="er")} AS mr
+                FROM (SELECT max(i) + 1 AS n FROM st) s JOIN g ON g.i = s.n JOIN e eb ON eb.entity = g.blue AND eb.i = s.n JOIN e er ON er.entity = g.red AND er.i = s.n LEFT JOIN recurring.st b ON b.entity = g.blue LEFT JOIN recurring.st r ON r.entity = g.red)
+        ) GROUP BY entity
+    ) SELECT entity, round(mu, 6) AS mu, last AS last_played FROM st WHERE entity >= 0"""
+
+
+@query(fold_sql("played, game"))
+def i8_elo_game_by_game(t: Tables) -> DataFrame:
+    """Every game rated from what all earlier ones left: as many layers as the longest chain of games has, each one job."""
+    return ra.rating_periods(ra.by_game(events(t)), ra.elo())[1].select("entity", r("mu"), "last_played")
+
+
+@query(fold_sql("date_trunc('week', played)"))
+def i8_elo_by_week(t: Tables) -> DataFrame:
+    """Some 340 weeks, in as many layers as the longest chain of meetings has."""
+    return ra.rating_periods(events(t, "week"), ra.elo())[1].select("entity", r("mu"), "last_played")
+
+
+@query()
+def i3_i7_league_and_entity_elo(t: Tables) -> DataFrame:
+    """Two coupled systems by quarter: leagues are rated by the games between them, and entities start and move by the leagues' ratings as of each quarter. Held against a plain fold in the tests."""
+    ev = events(t, "quarter")
+    made = coupled(ev, _homes(t))
+    return made.before()
+
+
+def coupled(ev: DataFrame, homes: DataFrame, rules: ra.Rules = ra.ELO) -> ra.Rated:
+    """Entities' ratings by period, from leagues' as of it. homes: game, side, league."""
+    rated = leagues_by_period(ev, homes)
+    return ra.rated(ev, ra.elo(rules=rules), leagues=rated)
+
+
+def leagues_by_period(ev: DataFrame, homes: DataFrame) -> DataFrame:
+    """period, league, rating as of the period's start."""
+    between = ra.league_events(ev, homes)
+    # `league_events` drops the period: it is that of the game.
+    between = between.join(ev.select("game", "period").distinct(), "game")
+    made = ra.rated(between.select("game", "played", "side", "result", "season", "entity", "league", "period"), ra.elo(rules=ra.ELO._replace(grace_days=None)))
+    return written(ra.ratings_as_of(made, ev, F.col("league"), ra.ELO.mu), "leagues")
+
+
 @query()
 def i8_elo_by_year(t: Tables) -> DataFrame:
     """Elo by year; held against a plain fold in the tests."""

@@ -167,12 +167,23 @@ def plain_elo(rows):
     return before, dict(mu)
 
 
-def test_waves_are_the_sequential_fold(spark):
+def plain_layers(rows):
+    """Each game's layer: one more than the largest of its entities' earlier games."""
+    seen, out = defaultdict(int), {}
+    for game, _, a, b, _ in rows:
+        out[game] = seen[a] = seen[b] = 1 + max(seen[a], seen[b])
+    return out
+
+
+@pytest.mark.parametrize("steps", [1, 3])
+def test_games_in_layers_are_the_sequential_fold(spark, monkeypatch, steps):
+    monkeypatch.setattr(ra, "STEPS", steps)
     rng = random.Random(11)
-    rows = [(g, day(g // 12, g % 12 / 2), *rng.sample(range(9), 2), rng.randint(0, 1)) for g in range(48)]
+    rows = [(g, day(g // 12, g % 12 // 2), *rng.sample(range(9), 2), rng.randint(0, 1)) for g in range(48)]
     tall = [(g, at, side, who, res, 2024, "l") for g, at, a, b, won in rows for side, who, res in (("Blue", a, won), ("Red", b, 1 - won))]
     events = spark.createDataFrame(tall, "game long, played timestamp, side string, entity long, result int, season int, league string")
-    before, state = ra.rating_periods(ra.waves(events), ra.elo())
+    assert {r["game"]: r["layer"] for r in data(ra.layers(ra.by_game(events)))} == plain_layers(rows)
+    before, state = ra.rating_periods(ra.by_game(events), ra.elo())
     want, last = plain_elo(rows)
     for r in data(before.where("side = 'Blue'")):
         assert (r["mu_before"], r["p_win"]) == (pytest.approx(want[r["game"]][0]), pytest.approx(want[r["game"]][2]))
@@ -374,9 +385,8 @@ def skill_update(me, met, beta=4.167):
 
 @pytest.mark.parametrize("roles", [False, True])
 @pytest.mark.parametrize(("kernel", "update"), [(ra.elo(), elo_update), (ra.glicko2(), glicko_update), (ra.plackett_luce(), luce_update), (ra.trueskill(), skill_update)])
-def test_periods_are_a_plain_fold(spark, monkeypatch, kernel, update, roles):
-    """Three periods over two seasons with a long pause, four systems, with roles and without; states are merged on the way."""
-    monkeypatch.setattr(ra, "MERGED_AFTER", 2)
+def test_periods_are_a_plain_fold(spark, kernel, update, roles):
+    """Three periods over two seasons with a long pause, four systems, with roles and without."""
     rng, names, rows = random.Random(21), ("top", "mid", "sup"), []
     for g in range(24):
         who = rng.sample(range(9), 6)
@@ -410,6 +420,66 @@ def test_leagues_are_rated_by_games_across_them(spark):
     assert {names[r["entity"]]: r["mu"] for r in data(state)} == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_entities_start_and_move_by_leagues_as_of_the_period(spark):
+    from antecede.plans.ratings import coupled
+
+    rng, names, rows = random.Random(5), ["a", "b", "c"], []
+    for g in range(60):
+        a, b = rng.sample(range(12), 2)
+        rows.append((g, day(8 * g), f"p{g // 10}", {"Blue": (a, names[(a + g // 25) % 3]), "Red": (b, names[(b + g // 25) % 3])}, rng.randint(0, 1)))
+    tall = [(g, at, side, who, float(won if side == "Blue" else 1 - won), at.year, league, p) for g, at, p, sides, won in rows for side, (who, league) in sides.items()]
+    ev = spark.createDataFrame(tall, "game long, played timestamp, side string, entity long, result double, season int, league string, period string")
+    got = {(r["game"], r["entity"]): (r["mu_before"], r["p_win"]) for r in data(coupled(ev, ev.select("game", "side", "league")).before())}
+    seasons, leagues, state, want = sorted({at.year for _, at, *_ in rows}), {}, {}, {}
+    began = lambda old, new: max(0, seasons.index(new) - seasons.index(old))
+    chance = lambda x, y: 1 / (1 + 10 ** ((y - x) / 400))
+    for period in sorted({p for _, _, p, *_ in rows}):
+        now = [r for r in rows if r[2] == period]
+        rating = {k: v[0] for k, v in leagues.items()}
+        mean = sum(rating.values()) / len(rating) if rating else None
+        start, first, ends = {}, {}, {}
+        for g, at, _, sides, won in now:
+            for who, league in sides.values():
+                ends[who] = at
+                if who in start:
+                    continue
+                to = rating.get(league, 1500.0)
+                if who in state:
+                    mu, season, last, was = state[who]
+                    mu = 1500 + (mu - 1500) * 0.9 ** began(season, at.year) * 0.5 ** (max(0, (at - last).days - 45) / 180)
+                    start[who] = mu + (0.5 * (to - rating.get(was, 1500.0)) if was != league else 0)
+                else:
+                    start[who] = 1500 + (0 if mean is None else max(-300, min(300, (to - mean) * 0.5)))
+                first[who] = (at.year, league)
+        gained, league_start, league_gained, league_season = defaultdict(float), {}, defaultdict(float), {}
+        for g, at, _, sides, won in now:
+            (a, la), (b, lb) = sides["Blue"], sides["Red"]
+            p = chance(start[a], start[b])
+            want[g, a], want[g, b] = (start[a], p), (start[b], 1 - p)
+            gained[a] += 32 * (won - p)
+            gained[b] -= 32 * (won - p)
+            if la != lb:
+                for x in (la, lb):
+                    if x not in league_start:
+                        mu, season = leagues.get(x, (1500.0, at.year))
+                        league_start[x], league_season[x] = 1500 + (mu - 1500) * 0.9 ** began(season, at.year), at.year
+        for g, at, _, sides, won in now:
+            la, lb = sides["Blue"][1], sides["Red"][1]
+            if la != lb:
+                p = chance(league_start[la], league_start[lb])
+                league_gained[la] += 32 * (won - p)
+                league_gained[lb] -= 32 * (won - p)
+        for who, mu in start.items():
+            state[who] = (mu + gained[who], first[who][0], ends[who], first[who][1])
+        for x, mu in league_start.items():
+            leagues[x] = (mu + league_gained[x], league_season[x])
+    # A league is known from the period after its first turn on; `ratings_as_of` has it at the baseline before.
+    known = {x for g, at, p, sides, _ in rows for x in [sides["Blue"][1], sides["Red"][1]] if sides["Blue"][1] != sides["Red"][1]}
+    assert known == set(names) and max(abs(mu - 1500) for mu, _ in leagues.values()) > 5
+    assert got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(v[0], abs=1e-6), pytest.approx(v[1], abs=1e-9)) for k, v in want.items())
+
+
 def test_a_blend_is_no_worse_than_its_ends(spark):
     rng = random.Random(4)
     rows = [(k, day(k % 60), x := rng.random(), rng.random(), float(rng.random() < x)) for k in range(600)]
