@@ -1,10 +1,14 @@
-"""Features as known before a time. Every function adds columns and takes one shuffle by the entity's id."""
+"""Features as known before a time. Every function adds columns and takes one shuffle by the entity's id.
+
+Prior means and exponential means count the rows of an entity first: one with more than `slices.MOST` is scanned in slices.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.keys import EntitySpec, micros
+from antecede.operators.slices import SLICE, carried, sliced
 
 DAY = 86_400_000_000
 #: Observations after which an exponential weight starts anew, so that none overflows.
@@ -26,7 +30,22 @@ def break_flags(df: DataFrame, e: EntitySpec, season: str, days: int = 45) -> Da
 
 def prior_mean(df: DataFrame, e: EntitySpec, values: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
     """Mean over strictly earlier times; values: output name to column. Nulls don't count."""
-    return df.withColumns({out: F.avg(c).over(e.earlier_times(*by)) for out, c in values.items()})
+    return prior_means(df, e, {out: F.col(c) for out, c in values.items()}, by)
+
+
+def prior_means(df: DataFrame, e: EntitySpec, values: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """As `prior_mean`, of expressions."""
+    cut = sliced(df, (*e.id, *by), e.time)
+    if cut is None:
+        return df.withColumns({out: F.avg(c).over(e.earlier_times(*by)) for out, c in values.items()})
+    names = {out: f"__{k}" for k, out in enumerate(values)}
+    cut = cut.withColumns({f"{names[out]}v": c.cast("double") for out, c in values.items()})
+    totals = {f"{n}{a}": f(f"{n}v") for n in names.values() for a, f in (("s", F.sum), ("n", F.count))}
+    rows, inside, made = carried(cut, (*e.id, *by), totals, {n: F.sum(n) for n in totals}), e.earlier_times(*by, SLICE), {}
+    for out, n in names.items():
+        total, count = (F.coalesce(f(f"{n}v").over(inside), F.lit(0)) + F.coalesce(f"{n}{a}", F.lit(0)) for a, f in (("s", F.sum), ("n", F.count)))
+        made[out] = F.when(count > 0, total / F.nullif(count, F.lit(0)))
+    return rows.withColumns(made).drop(*totals, *(f"{n}v" for n in names.values()), SLICE)
 
 
 def prior_mean_by_row(df: DataFrame, e: EntitySpec, value: str, out: str) -> DataFrame:
@@ -43,8 +62,10 @@ def recent_mean(df: DataFrame, e: EntitySpec, value: str, rows: int, out: str) -
 
 def conditional_prior_means(df: DataFrame, e: EntitySpec, values: list[str], conditions: dict[str, str], groups: list[str]) -> DataFrame:
     """<value>_<condition>_<group>: mean over strictly earlier times where the condition holds, within each group."""
-    made = {f"{v}_{name}_{g}": F.avg(F.when(F.expr(test), F.col(v))).over(e.earlier_times(g)) for g in groups for v in values for name, test in conditions.items()}
-    return df.withColumns(made)
+    made = lambda g: {f"{v}_{name}_{g}": F.when(F.expr(test), F.col(v)) for v in values for name, test in conditions.items()}
+    for g in groups:
+        df = prior_means(df, e, made(g), (g,))
+    return df
 
 
 def head_to_head(df: DataFrame, e: EntitySpec, opponent: str, won: str, least: int = 2) -> DataFrame:
@@ -61,21 +82,43 @@ def ewm(df: DataFrame, e: EntitySpec, value: str, halflife: float = 9, by: tuple
     Weights grow inside blocks of observations. Older blocks than the one before are below double precision.
     """
     name, key = name or value, (*e.id, *by)
-    rows = e.all_rows(*by)
+    cut = sliced(df, key, e.time)
+    part = key if cut is None else (*key, SLICE)
+    rows = Window.partitionBy(*part).orderBy(e.time, *e.order)
     far = 2.0 ** (-BLOCK / halflife)
-    n = df.withColumn("__n", F.count(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    n = (df if cut is None else cut).withColumn("__n", F.count(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
     n = n.withColumn("__b", F.floor(F.greatest(F.col("__n") - 1, F.lit(0)) / BLOCK).cast("long"))
     weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(2.0), (F.col("__n") - F.col("__b") * BLOCK) / halflife))
-    run = Window.partitionBy(*key, "__b").orderBy(e.time, *e.order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*part, "__b").orderBy(e.time, *e.order).rowsBetween(Window.unboundedPreceding, 0)
     n = n.withColumns({"__x": F.coalesce(F.sum(F.col(value) * weight).over(run), F.lit(0.0)), "__w": F.coalesce(F.sum(weight).over(run), F.lit(0.0))})
-    last = F.max_by(F.struct("__x", "__w"), F.col("__n")).over(Window.partitionBy(*key).orderBy("__b").rangeBetween(-1, -1))
+    last = F.max_by(F.struct("__x", "__w"), F.col("__n")).over(Window.partitionBy(*part).orderBy("__b").rangeBetween(-1, -1))
     n = n.withColumn("__last", last)
     total = lambda c: F.col(f"__{c}") + F.coalesce(F.col(f"__last.__{c}") * far, F.lit(0.0))
-    n = n.withColumn(f"ema_{name}_after", F.when(total("w") > 0, total("x") / F.nullif(total("w"), F.lit(0.0))))
-    n = n.withColumn(f"ema_{name}_before", F.lag(f"ema_{name}_after").over(rows))
-    day = Window.partitionBy(*key, e.day()).orderBy(e.time, *e.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x, w, before = total("x"), total("w"), F.lag(f"ema_{name}_after").over(rows)
+    if cut is not None:
+        # Inside a slice the pair is of weights that grow from its first block on; as weights that fall from its last observation, pairs of slices add up.
+        level = F.pow(F.lit(2.0), (F.col("__b") * BLOCK - F.col("__n")) / halflife)
+        order = F.struct(e.time, *e.order)
+        n = n.withColumns({"__tx": x * level, "__tw": w * level})
+        ends = F.collect_list(F.struct("__en", "__ex", "__ew"))
+        sums = {"__en": F.max("__n"), "__ex": F.max_by("__tx", order), "__ew": F.max_by("__tw", order)}
+        n = carried(n, key, sums, {"__ends": ends}).withColumn("__carry", carry_of(halflife)).drop("__ends")
+        fade = F.pow(F.lit(2.0), -F.col("__n") / halflife)
+        x, w = (F.col(f"__t{c}") + F.coalesce(F.col(f"__carry.{c}"), F.lit(0.0)) * fade for c in "xw")
+        first = F.when(F.col("__carry.w") > 0, F.col("__carry.x") / F.nullif(F.col("__carry.w"), F.lit(0.0)))
+        before = F.when(F.row_number().over(rows) == 1, first).otherwise(before)
+    n = n.withColumn(f"ema_{name}_after", F.when(w > 0, x / F.nullif(w, F.lit(0.0))))
+    n = n.withColumn(f"ema_{name}_before", before)
+    day = Window.partitionBy(*part, e.day()).orderBy(e.time, *e.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     frozen = F.first(f"ema_{name}_before").over(day)
-    return n.withColumn(f"ema_{name}_before", frozen if prior is None else F.coalesce(frozen, F.lit(prior))).drop("__n", "__b", "__x", "__w", "__last")
+    return n.withColumn(f"ema_{name}_before", frozen if prior is None else F.coalesce(frozen, F.lit(prior))).drop("__n", "__b", "__x", "__w", "__last", "__tx", "__tw", "__carry", SLICE)
+
+
+def carry_of(halflife: float) -> Column:
+    """The pair (x, w) at the end of slices, from their own pairs and numbers of observations in order (`__ends`)."""
+    fade = lambda s: F.pow(F.lit(2.0), -s["__en"] / halflife)
+    step = lambda a, s: F.struct((a["x"] * fade(s) + s["__ex"]).alias("x"), (a["w"] * fade(s) + s["__ew"]).alias("w"))
+    return F.aggregate("__ends", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w")), step)
 
 
 def effective_games(df: DataFrame, e: EntitySpec, by: tuple[str, ...], halflife: float = 9, out: str = "effective_games_before") -> DataFrame:
@@ -89,9 +132,16 @@ def effective_games(df: DataFrame, e: EntitySpec, by: tuple[str, ...], halflife:
 def side_ewm(df: DataFrame, e: EntitySpec, side: str, value: str, sides: tuple[str, str], halflife: float = 9, prior: float = 0.5) -> DataFrame:
     """ema_<side>_before for both sides on every row: the last value known of that side, carried, then frozen to the day, then filled."""
     out = ewm(df, e, value, halflife, (side,), "__side")
-    carried = e.all_rows().rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({f"__{s}": F.last(F.when(F.col(side) == s, F.col("ema___side_after")), True).over(carried) for s in sides})
-    return out.withColumns({f"ema_{s}_before": F.coalesce(F.first(f"__{s}").over(e.whole_day()), F.lit(prior)) for s in sides}).drop("ema___side_after", "ema___side_before", *(f"__{s}" for s in sides))
+    of = {s: F.when(F.col(side) == s, F.col("ema___side_after")) for s in sides}
+    cut = sliced(out, e.id, e.time)
+    before = e.all_rows(*([] if cut is None else [SLICE])).rowsBetween(Window.unboundedPreceding, -1)
+    known = {f"__{s}": F.last(c, True).over(before) for s, c in of.items()}
+    if cut is not None:
+        ends = {f"__c{s}": F.max_by(c, F.when(c.isNotNull(), F.struct(e.time, *e.order))) for s, c in of.items()}
+        out = carried(cut, e.id, ends, {n: F.last(n, True) for n in ends})
+        known = {f"__{s}": F.coalesce(known[f"__{s}"], F.col(f"__c{s}")) for s in sides}
+    out = out.withColumns(known)
+    return out.withColumns({f"ema_{s}_before": F.coalesce(F.first(f"__{s}").over(e.whole_day()), F.lit(prior)) for s in sides}).drop("ema___side_after", "ema___side_before", *(f"__{x}{s}" for s in sides for x in ("", "c")), SLICE)
 
 
 def freeze_day(df: DataFrame, e: EntitySpec, columns: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from antecede.operators.slices import SLICE, carried, sliced
+
 
 def pair_opponents(df: DataFrame, keys: list[str], side: str, sides: tuple[str, str], columns: list[str], prefix: str = "opp_", strict: bool = False) -> DataFrame:
     """Adds `prefix` + column of the row on the other side with the same keys; `strict` fails if one has no such row."""
@@ -32,6 +34,21 @@ def dimension_join(df: DataFrame, dimension: DataFrame, key: str, defaults: dict
     return df.join(dimension, key, "left").fillna(defaults)
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], value: str, how: str) -> DataFrame:
+    """`rows` with the last known or the largest `value` of their key so far, in order of `order` (a time first), in its place.
+
+    A key with more rows than a task should hold is scanned in slices of days.
+    """
+    cut = sliced(rows, by, order[0]) if rows.schema[order[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else None
+    w = Window.partitionBy(*by, *([] if cut is None else [SLICE])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.last(value, True).over(w) if how == "last" else F.max(value).over(w)
+    if cut is None:
+        return rows.withColumn(value, inside)
+    total = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))) if how == "last" else F.max(value)
+    held = carried(cut, by, {"__c": total}, {"__c": F.last("__c", True) if how == "last" else F.max("__c")})
+    return held.withColumn(value, F.coalesce(inside, "__c") if how == "last" else F.greatest(inside, F.col("__c"))).drop("__c", SLICE)
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], tie: list[str] | None = None) -> DataFrame:
     """For each left row the latest right row at or before its time: one union and one window, no inequality join.
 
@@ -40,8 +57,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     value = F.struct(*(F.col(c) for c in columns))
     a = left.select(F.struct(*left.columns).alias("__row"), *by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), *(F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in tie or []), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("__v"))
     b = right.select(F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), *by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), *(F.col(c).alias(f"__{c}") for c in tie or []), value.alias("__v"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side", *(f"__{c}" for c in tie or [])).rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("__v", F.last("__v", True).over(w)).where("__side = 1")
+    found = running(a.unionByName(b), by, ["__t", "__side", *(f"__{c}" for c in tie or [])], "__v", "last").where("__side = 1")
     return found.select("__row.*", *(F.col(f"__v.{c}").alias(c) for c in columns))
 
 
@@ -56,7 +72,7 @@ def asof_state(left: DataFrame, states: DataFrame, by: list[str], as_of: str, de
     b = states.where(F.col(available).isNotNull() & F.col(started).isNotNull()).select(*by, counts_from.alias("__t"), F.lit(0).alias("__side"), made.alias("__v"))
     a = left.select(F.struct(*left.columns).alias("__row"), *by, F.least(F.col(as_of), F.col(decision)).alias("__t"), F.lit(1).alias("__side"))
     both = a.unionByName(b, allowMissingColumns=True)
-    found = both.withColumn("__v", F.max("__v").over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
+    found = running(both, by, ["__t", "__side"], "__v", "max").where("__side = 1")
     # A row without a time sorts first and so finds nothing.
     return found.select("__row.*", *(F.when(F.col("__t").isNotNull(), F.col(f"__v.{c}")).alias(c) for c in columns))
 
@@ -92,8 +108,7 @@ def closing_quotes(bets: DataFrame, quotes: DataFrame, on: list[str], bet: str,
     made = F.struct(observed, provider_time, *columns)
     b = quotes.where(F.col(observed).isNotNull()).select(*on, F.col(observed).alias("__t"), F.lit(1).alias("__side"), made.alias("__q"))
     a = bets.select(F.struct(*bets.columns).alias("__row"), *on, F.col(start).alias("__t"), F.lit(0).alias("__side"))
-    run = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b, allowMissingColumns=True).withColumn("__q", F.max("__q").over(run)).where("__side = 0")
+    found = running(a.unionByName(b, allowMissingColumns=True), on, ["__t", "__side"], "__q", "max").where("__side = 0")
     met = found.withColumn("__q", F.when(F.col("__t").isNotNull() & (F.col(f"__q.{observed}") > F.col(f"__row.{entered}")), F.col("__q")))
     fresh = (F.col(f"__q.{observed}").cast("timestamp").cast("double") - F.col(f"__q.{provider_time}").cast("timestamp").cast("double")) <= lag
     return met.select("__row.*", *(F.col(f"__q.{c}").alias(c) for c in (observed, *columns)), F.coalesce(fresh, F.lit(False)).alias("comparable"))
