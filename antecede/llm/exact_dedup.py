@@ -1,13 +1,17 @@
 """Operator 5: exact deduplication by a tree-merge of sorted digest runs, in built-in functions only.
 
-Rows are dealt into runs by a hash of their identifier. Within a run, equal digests become one entry
-with its best identifier and its size. The runs are then cut into ranges of the digest, one for each
-task, and sorted there; so a task holds its range of every run, and partner runs (r and r + 2^k in
-round k) are merged in place, sorted with sorted, in binomial rounds until one run is left: one
-exchange of entries for all rounds. An entry's key holds the SHA-256 digest with the text's length
-and an independent 64-bit hash, so that every merge at every level verifies more than the digest.
-The verdict goes back down the same way: from the last run to its entry in each first run, and from
-there to the rows, so that a text with a third of all rows is spread over all runs in both directions.
+Rows are dealt into 256 runs by a hash of their identifier, as they lie: no digest decides where. Within
+a run equal digests become one entry with its best identifier and its size, and the run is written sorted
+by (cut, digest), where a cut is a range of the digest's first 12 bits. Then come binomial rounds: in each,
+FAN_IN partner runs are exchanged, cut by cut, to the task that merges them; there they are put in one
+order and neighbours with equal keys become one entry, whose identifier is the best of both and whose size
+is their sum. The merged run is written sorted again, so the next round exchanges what this one left, and
+a lost executor costs a round at most. After the last round one run is left, in 4,096 cuts. A key holds the
+SHA-256 digest with the text's length and an independent 64-bit hash, so every merge at every level verifies
+more than the digest. What a round moves is one entry of some 60 bytes for each text and run that is left.
+
+The verdict goes back down: from the last run to each first run's entry, and from there to the rows, so a
+text with a third of all rows is spread over all runs in both directions.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from antecede.llm.common import RUNS, ascii_lower, drop_rows, run_of, text_of, written
 
 KEY = ["digest", "n_bytes", "witness"]
+#: Runs that are merged into one, and by which a sorted run is in order inside its file.
+FAN_IN, ORDER = 16, ["run", "cut", *KEY]
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -33,33 +39,36 @@ def digests(docs: DataFrame) -> DataFrame:
     return written(rows.withColumn("run", F.when(F.col("doc_id").isNull(), F.pmod("tag", F.lit(RUNS))).otherwise(F.col("run")).cast("int")), "digests")
 
 
-def first_runs(rows: DataFrame) -> DataFrame:
-    """run, key, keep (doc_id and tag) and size of each entry, dealt by digest and sorted: a run is a stretch of equal `run`."""
-    entries = rows.groupBy("run", *KEY).agg(F.max(F.struct("doc_id", "tag")).alias("keep"), F.count("*").alias("size"))
-    return entries.repartition(*KEY).sortWithinPartitions("run", *KEY)
+def sorted_runs(entries: DataFrame, label: str) -> DataFrame:
+    """`entries` (run, cut, key, keep, size) exchanged by run and cut, merged with their equals, written in order."""
+    met = entries.repartition("run", "cut").sortWithinPartitions(*ORDER)
+    merged = met.groupBy(*ORDER).agg(F.max("keep").alias("keep"), F.sum("size").alias("size"))
+    return written(merged.sortWithinPartitions(*ORDER), label)
 
 
-def merge_runs(first: DataFrame, runs: int = RUNS, fan_in: int = 2) -> DataFrame:
-    """The entries of the single last run. The dealing by digest outlives each round, so no round exchanges again."""
-    level = first
+def levels(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> list[DataFrame]:
+    """The sorted runs of each level: the first, that of the tasks' own entries, and one for each round, to a single run."""
+    cut = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int"), 4).alias("cut")
+    entries = rows.groupBy("run", cut, *KEY).agg(F.max(F.struct("doc_id", "tag")).alias("keep"), F.count("*").alias("size"))
+    out = [written(entries.sortWithinPartitions(*ORDER), "runs-0")]
     while runs > 1:
-        partner = F.floor(F.col("run") / fan_in).cast("int").alias("run")
-        level = level.groupBy(partner, *KEY).agg(F.max("keep").alias("keep"), F.sum("size").alias("size"))
         runs = -(-runs // fan_in)
-    return level
+        partner = F.floor(F.col("run") / fan_in).cast("int")
+        out.append(sorted_runs(out[-1].withColumn("run", partner), f"runs-{len(out)}"))
+    return out
 
 
-def groups(docs: DataFrame, fan_in: int = 2) -> DataFrame:
+def groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, tag, digest, witness, keep_id, group_size, kept: one row for each row of `docs`."""
     rows = digests(docs)
-    first = first_runs(rows)
-    verdicts = first.select("run", *KEY).join(merge_runs(first, RUNS, fan_in).select(*KEY, "keep", "size"), KEY)
+    first, *_, last = levels(rows, RUNS, fan_in)
+    verdicts = first.select("run", *KEY).join(last.select(*KEY, "keep", "size"), KEY)
     return rows.join(verdicts, ["run", *KEY]).select(
         "doc_id", "tag", "digest", "witness", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("tag") == F.col("keep.tag")).alias("kept")
     )
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of `docs`.
 
     Texts are equal if they are after lower-casing A-Z; null counts as empty. The row with the
@@ -69,7 +78,7 @@ def exact_dedup(docs: DataFrame, fan_in: int = 2) -> DataFrame:
     return groups(docs, fan_in).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, fan_in: int = 2) -> DataFrame:
+def without_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay; of equal rows one. Nulls, ties and empty tables as above."""
     pairs = groups(docs, fan_in).groupBy("doc_id", "witness").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     pairs = written(pairs, "verdicts")

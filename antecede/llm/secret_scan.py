@@ -101,28 +101,34 @@ def trigram_query(regex: str) -> list[list[str]] | None:
     return sorted(map(sorted, needed)) if all(needed) else None
 
 
+#: Matches whose spans are gathered in one array; those arrays are gathered in another, so that no long one is copied at each match.
+CHUNK = 256
+
+
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
     """Spans of one rule's matches, leftmost and not overlapping, in code points.
 
     split() gives what lies between the matches that regexp_extract_all() gives, so the places are sums of lengths.
     """
-    regex = F.lit(rule.regex)
+    regex, none = F.lit(rule.regex), F.expr(f"cast(array() as {SPANS})")
     found = F.regexp_extract_all(text, regex, 0)
     measured = F.regexp_extract_all(text, regex, rule.group)
-    walked = F.aggregate(
-        F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), found.alias("hit"), measured.alias("part")),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(F.coalesce(F.char_length(x["part"]), F.lit(-1)) < rule.least, acc["spans"])
-            .otherwise(
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"))))
-            )
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(at_least(rule)), walked).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    parts = F.arrays_zip(F.transform(F.split(text, rule.regex, -1), size).alias("gap"), F.transform(found, size).alias("hit"), F.transform(measured, size).alias("part"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(x["hit"], F.lit(0))
+        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.coalesce(x["part"], F.lit(-1)) < rule.least, acc["spans"]).otherwise(F.concat(acc["spans"], span)).alias("spans"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(inner["at"].alias("at"), F.when(F.size(inner["spans"]) > 0, F.concat(acc["all"], F.array(inner["spans"]))).otherwise(acc["all"]).alias("all"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
+    walked = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("all")), chunk, lambda acc: F.flatten(acc["all"]))
+    return F.when(text.rlike(at_least(rule)), walked).otherwise(none)
 
 
 def at_least(rule: Rule) -> str:

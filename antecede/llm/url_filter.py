@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from antecede.llm.common import BROADCAST_ROWS, run_of, table, written
+from antecede.llm.common import marked, run_of, table, written
 
 
 def bare(url: Column) -> Column:
@@ -51,21 +51,23 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     first). A null or empty URL, or a null time, is never blocked. Repeated rows are judged each; no
     captures give no rows, and an empty list blocks nothing.
     """
-    rows = captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("tag"))
-    asked = rows.withColumn("pattern", F.explode(keys(bare(F.col("url")))))
+    # Written once: a row keeps its tag however often it is read, wherever the captures come from.
+    rows = written(captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("tag")), "captures")
     spans = written(intervals(entries), "intervals")
+    asked = rows.where("fetched_at IS NOT NULL").select("tag", "fetched_at", F.explode(keys(bare(F.col("url")))).alias("pattern"))
+    listed = marked(asked, F.xxhash64("pattern"), spans, F.xxhash64("pattern")).where("__may").select("tag", "fetched_at", "pattern")
     # A host may have a third of all captures: they are dealt into runs, and its intervals go to each run once.
-    dealt = asked.withColumn("run", run_of(F.col("tag")))
-    if spans.count() > BROADCAST_ROWS:
-        near = dealt.select("run", "pattern").distinct().join(spans, "pattern")
-        same = (F.col("c.run") == F.col("e.run")) & (F.col("c.pattern") == F.col("e.pattern"))
-    else:
-        near, same = F.broadcast(spans), F.col("c.pattern") == F.col("e.pattern")
-    then = (F.col("e.valid_from") <= F.col("c.fetched_at")) & (F.col("e.valid_to").isNull() | (F.col("c.fetched_at") < F.col("e.valid_to")))
-    active = dealt.alias("c").join(near.alias("e"), same & then, "left")
-    best = F.min(F.when(F.col("e.pattern").isNotNull(), F.struct((-F.length("e.pattern")).alias("l"), F.col("e.pattern").alias("pattern"), F.col("e.valid_from").alias("since"))))
-    hits = active.groupBy("tag", "page_id", "url", "fetched_at").agg(F.count("e.pattern").alias("n_hits"), best.alias("best"))
-    return hits.select("page_id", "url", "fetched_at", (F.col("n_hits") > 0).alias("blocked"), "n_hits", F.col("best.pattern").alias("pattern"), F.col("best.since").alias("listed_since"))
+    dealt = listed.withColumn("run", run_of(F.col("tag")))
+    near = dealt.select("run", "pattern").distinct().join(spans, "pattern")
+    # The as-of step: of a pattern's intervals, which never overlap, a capture takes the last that began by then, and looks at its end.
+    begun = near.select("run", "pattern", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.struct("valid_from", "valid_to").alias("span"))
+    met = dealt.select("run", "pattern", F.col("fetched_at").alias("at"), F.lit(1).alias("side"), "tag").unionByName(begun, allowMissingColumns=True)
+    latest = F.last("span", True).over(Window.partitionBy("run", "pattern").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    active = met.withColumn("span", latest).where("side = 1 AND span IS NOT NULL AND (span.valid_to IS NULL OR at < span.valid_to)")
+    best = F.min(F.struct((-F.length("pattern")).alias("l"), "pattern", F.col("span.valid_from").alias("since"))).alias("best")
+    hits = active.groupBy("tag").agg(F.count("*").alias("n_hits"), best)
+    n_hits = F.coalesce("n_hits", F.lit(0)).cast("long")
+    return rows.join(hits, "tag", "left").select("page_id", "url", "fetched_at", (n_hits > 0).alias("blocked"), n_hits.alias("n_hits"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("listed_since"))
 
 
 def number(text: Column) -> Column:
