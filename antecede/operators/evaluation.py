@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions.columns import logit
 from antecede.operators.joins import reasons
+from antecede.operators.resampling import drawn_sums
 
 #: Cells of a two-level ranking.
 CELLS = 4096
@@ -223,27 +224,33 @@ def drawn_times(seed: int, *names: Column) -> Column:
     return sum((u >= c).cast("int") for c in POISSON)
 
 
-def sampled_ratios(df: DataFrame, by: list[str], num: str, den: str, cluster: str, samples: int, seed: int) -> DataFrame:
-    """by, sample, ratio: sums over clusters, each as often as it is drawn. No join: a cluster's draws are made where it is, and added up before any shuffle."""
+def sampled_ratios(df: DataFrame, by: list[str], num: str, den: str, cluster: str, samples: int, seed: int, draws: str = "poisson") -> DataFrame:
+    """by, sample, ratio: sums over clusters, each as often as it is drawn. No join: a cluster's draws are made where it is, and added up before any shuffle.
+
+    draws: "exact" draws as many clusters as there are, with replacement; "poisson" gives each a count of its own, as other engines can.
+    """
+    if draws == "exact":
+        drawn = drawn_sums(df, by, num, den, cluster, samples, seed)
+        return drawn.select(*by, "sample", (F.col("a") / F.nullif(F.col("b"), F.lit(0.0))).alias("ratio"))
     sums = df.groupBy(*by, cluster).agg(F.sum(num).alias("a"), F.sum(den).alias("b"))
     draws = sums.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("k", drawn_times(seed, F.col("sample"), F.col(cluster)))
     return draws.groupBy(*by, "sample").agg((F.sum(F.col("a") * F.col("k")) / F.nullif(F.sum(F.col("b") * F.col("k")), F.lit(0.0))).alias("ratio"))
 
 
-def bootstrap_ratio(df: DataFrame, num: str, den: str, cluster: str, samples: int = 1000, confidence: float = 0.9, seed: int = 7) -> DataFrame:
-    """estimate, lower, upper of sum(num) / sum(den) with clusters drawn anew, each as often as a Poisson count says."""
+def bootstrap_ratio(df: DataFrame, num: str, den: str, cluster: str, samples: int = 1000, confidence: float = 0.9, seed: int = 7, draws: str = "poisson") -> DataFrame:
+    """estimate, lower, upper of sum(num) / sum(den) with clusters drawn anew, as `sampled_ratios` draws them."""
     tail = (1 - confidence) / 2
-    ratios = sampled_ratios(df, [], num, den, cluster, samples, seed)
+    ratios = sampled_ratios(df, [], num, den, cluster, samples, seed, draws)
     bounds = ratios.agg(F.percentile("ratio", tail).alias("lower"), F.percentile("ratio", 1 - tail).alias("upper"))
     return df.agg((F.sum(num) / F.nullif(F.sum(den), F.lit(0.0))).alias("estimate")).crossJoin(bounds)
 
 
-def paired_bootstrap(df: DataFrame, cohort: str, cluster: str, candidate: str, baseline: str, samples: int, confidence: float, seed: int = 7) -> DataFrame:
+def paired_bootstrap(df: DataFrame, cohort: str, cluster: str, candidate: str, baseline: str, samples: int, confidence: float, seed: int = 7, draws: str = "poisson") -> DataFrame:
     """cohort, delta, upper: the relative loss over the baseline's mean, and its upper quantile at 1 - (1 - c) / k for k cohorts; all in one plan."""
     x = df.where(F.col(cohort).isNotNull()).select(cohort, cluster, (F.col(candidate) - F.col(baseline)).alias("d"), F.lit(1.0).alias("one"), F.col(baseline).alias("__base"))
     means = x.groupBy(cohort).agg(F.avg("__base").alias("base"), F.avg("d").alias("d"))
     level = 1 - (1 - confidence) / max(1, means.count())
-    upper = sampled_ratios(x, [cohort], "d", "one", cluster, samples, seed).groupBy(cohort).agg(F.percentile("ratio", level).alias("u"))
+    upper = sampled_ratios(x, [cohort], "d", "one", cluster, samples, seed, draws).groupBy(cohort).agg(F.percentile("ratio", level).alias("u"))
     return means.join(upper, cohort).select(cohort, (F.col("d") / F.col("base")).alias("delta"), (F.col("u") / F.col("base")).alias("upper"))
 
 

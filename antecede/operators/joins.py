@@ -114,20 +114,27 @@ def closing_quotes(bets: DataFrame, quotes: DataFrame, on: list[str], bet: str,
     return met.select("__row.*", *(F.col(f"__q.{c}").alias(c) for c in (observed, *columns)), F.coalesce(fresh, F.lit(False)).alias("comparable"))
 
 
-def resolve_chains(links: DataFrame, rounds: int = 20, write=None) -> DataFrame:
+def resolve_chains(links: DataFrame, rounds: int = 20, write=None, owner: str | None = None) -> DataFrame:
     """id, tip, hops: follows `next` to the end by doubling; tip is null on a cycle. links: id, next (null at the end).
 
-    Each round halves the way left. `write` keeps a round's rows (a written table), so that lineage stays short.
+    Each round halves the way left. `write` keeps a round's rows (a written table), so that lineage stays short. With `owner`, a column
+    of the links, a chain that leads to a row of another owner has no tip either, and `problem` says "owner" or "cycle".
     """
     from antecede.sources.tables import written
 
     write = write or (lambda df: written(df, "chains"))
     now = links.select("id", F.col("next").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"))
+    if owner:
+        # Whether all rows on the way so far have one owner: true of a way if it is of both its halves.
+        of = lambda c, o: links.select(F.col("id").alias(c), F.col(owner).alias(o))
+        now = now.join(of("id", "__a"), "id").join(of("to", "__b").withColumn("__known", F.lit(True)), "to", "left").select("id", "to", "hops", (F.col("__known").isNull() | F.col("__a").eqNullSafe(F.col("__b"))).alias("ok"))
+    else:
+        now = now.withColumn("ok", F.lit(True))
     now = write(now)
     for _ in range(rounds):
-        on = now.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("hops").alias("more"))
+        on = now.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("hops").alias("more"), F.col("ok").alias("ok_after"))
         # A link to an id without a row ends there.
-        stepped = now.join(on, "to", "left").select("id", F.col("to").alias("near"), F.when(F.col("more").isNull() | F.col("far").isNull(), F.col("to")).otherwise(F.col("far")).alias("to"), (F.col("hops") + F.coalesce(F.when(F.col("far").isNotNull(), F.col("more")), F.lit(0))).alias("hops"))
+        stepped = now.join(on, "to", "left").select("id", F.col("to").alias("near"), F.when(F.col("more").isNull() | F.col("far").isNull(), F.col("to")).otherwise(F.col("far")).alias("to"), (F.col("hops") + F.coalesce(F.when(F.col("far").isNotNull(), F.col("more")), F.lit(0))).alias("hops"), (F.col("ok") & F.coalesce("ok_after", F.lit(True))).alias("ok"))
         moved = write(stepped)
         left = moved.where("NOT (near <=> to)").limit(1).count()
         now = moved.drop("near")
@@ -136,7 +143,12 @@ def resolve_chains(links: DataFrame, rounds: int = 20, write=None) -> DataFrame:
     ends = links.where("next IS NULL").select(F.col("id").alias("to"), F.lit(True).alias("end"))
     known = links.select(F.col("id").alias("to"), F.lit(True).alias("known"))
     out = now.join(known, "to", "left").join(ends, "to", "left")
-    return out.select("id", F.when(F.col("to").isNull(), F.col("id")).when(F.col("known").isNull() | F.col("end"), F.col("to")).alias("tip"), F.when(F.col("to").isNull() | F.col("known").isNull() | F.col("end"), F.col("hops")).alias("hops"))
+    ended = F.col("to").isNull() | F.col("known").isNull() | F.coalesce("end", F.lit(False))
+    tip = F.when(F.col("to").isNull(), F.col("id")).when(ended, F.col("to"))
+    if not owner:
+        return out.select("id", tip.alias("tip"), F.when(ended, F.col("hops")).alias("hops"))
+    problem = F.when(~F.col("ok"), "owner").when(~ended, "cycle")
+    return out.select("id", F.when(F.col("ok"), tip).alias("tip"), F.when(F.col("ok") & ended, F.col("hops")).alias("hops"), problem.alias("problem"))
 
 
 def coverage_grid(rows: DataFrame, wanted: list[DataFrame], actions: DataFrame, on: list[str], state: str) -> DataFrame:
@@ -184,7 +196,7 @@ def resolve_names(asked: DataFrame, name: str, known: DataFrame, aliases: DataFr
     return out.select(name, F.coalesce("exact", "alias", "normal").alias("id"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("normal").isNotNull(), "normal").otherwise("none").alias("tier"))
 
 
-def suggest_names(asked: DataFrame, name: str, known: DataFrame, most: int = 3, least: float = 0.6) -> DataFrame:
+def names_by_trigrams(asked: DataFrame, name: str, known: DataFrame, most: int = 3, least: float = 0.6) -> DataFrame:
     """name, suggestion, similarity, rank: up to `most` known names that share a trigram; suggestions only.
 
     Candidates come from an equi-join on the rare trigrams of distinct names, which loses none; their similarity is the Jaccard of the trigrams.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions.columns import edge, implied, kelly, round_down_cents
 from antecede.operators.joins import reasons
+from antecede.operators.resampling import group_quantiles
 
 
 def accounting(df: DataFrame, by: list[str], stake: str, pnl: str, result: str, empty_roi: float | None = None) -> DataFrame:
@@ -151,13 +152,15 @@ def repeated_failures(df: DataFrame, by: str, order: list[str], failed: Column,
 
 def prediction_drift(before: DataFrame, after: DataFrame, by: str, p: str, features: list[str], key: str, top: int = 10) -> DataFrame:
     """by, p10, p50, p90 shifts of predictions, worst (the feature whose missing share rose most) and overlap of the `top` keys by prediction."""
-    shares = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
+
 
     def facts(df: DataFrame, name: str) -> DataFrame:
-        k = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(p), key))
-        x = df.withColumn("__k", k)
+        # The top of each group is that of the tops of its runs, so no task ranks a group's rows.
+        runs = df.select(by, p, key, F.pmod(F.xxhash64(key), F.lit(256)).alias("__run"))
+        some = runs.withColumn("__k", F.row_number().over(Window.partitionBy(by, "__run").orderBy(F.desc(p), key))).where(F.col("__k") <= top)
+        tops = some.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(p), key))).where(F.col("__k") <= top).groupBy(by).agg(F.collect_set(key).alias(f"{name}_top"))
         missing = [F.avg(F.col(f).isNull().cast("double")).alias(f"{name}_m_{f}") for f in features]
-        return x.groupBy(by).agg(F.percentile(p, shares).alias(f"{name}_q"), F.collect_set(F.when(F.col("__k") <= top, F.col(key))).alias(f"{name}_top"), *missing)
+        return df.groupBy(by).agg(*missing).join(group_quantiles(df, [by], p, [0.1, 0.5, 0.9], f"{name}_q"), by, "left").join(tops, by)
 
     both = facts(before, "a").join(facts(after, "b"), by)
     rises = F.array(*(F.struct((F.col(f"b_m_{f}") - F.col(f"a_m_{f}")).alias("rise"), F.lit(f).alias("feature")) for f in features))

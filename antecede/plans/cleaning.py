@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from antecede import keys
 from antecede.functions import columns as c
 from antecede.operators import quality as q
+from antecede.operators.names import rewritten
 from antecede.plans.duels import DUELS, duels
 from antecede.plans.registry import Tables, query, r
 
@@ -42,6 +43,26 @@ def b3_aliases(t: Tables) -> DataFrame:
     return df.select("o_orderkey", "priority")
 
 
+_five = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""WITH RECURSIVE rules AS (SELECT n_nationkey AS nth, {_five}[n_nationkey % 5 + 1] AS old_name, (n_nationkey % 7)::VARCHAR AS old_id, {_five}[(n_nationkey * 3 + 1) % 5 + 1] AS new_name, ((n_nationkey * 5 + 2) % 7)::VARCHAR AS new_id,
+        CASE WHEN n_nationkey % 6 <> 0 THEN TIMESTAMP '1994-06-01' + to_days((n_nationkey * 97 % 2500)::INT) END AS until FROM nation),
+    w AS (SELECT 0 AS k, o_orderkey, o_orderdate, o_orderpriority AS name, (o_custkey % 7)::VARCHAR AS id FROM orders
+        UNION ALL SELECT k + 1, o_orderkey, o_orderdate, coalesce(r.new_name, name), coalesce(r.new_id, id) FROM w LEFT JOIN rules r ON r.nth = w.k AND r.old_name = name AND r.old_id = id AND (until IS NULL OR o_orderdate < until) WHERE k < (SELECT max(nth) + 1 FROM rules))
+    SELECT o_orderkey, name, id FROM w WHERE k = (SELECT max(nth) + 1 FROM rules)""")
+def b3_dated_rewrites(t: Tables) -> DataFrame:
+    """Names with ids, rewritten by rules in order, each until its date: composed once, looked up once."""
+    n, name = F.col("n_nationkey"), F.array(*map(F.lit, _five))
+    until = F.when(n % 6 != 0, F.lit("1994-06-01").cast("timestamp") + F.make_dt_interval((n * 97 % 2500).cast("int")))
+    rules = t.nation.select(
+        n.alias("nth"), F.element_at(name, (n % 5 + 1).cast("int")).alias("old_name"), (n % 7).cast("string").alias("old_id"),
+        F.element_at(name, ((n * 3 + 1) % 5 + 1).cast("int")).alias("new_name"), ((n * 5 + 2) % 7).cast("string").alias("new_id"), until.alias("until"),
+    )
+    facts = t.orders.select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("name"), (F.col("o_custkey") % 7).cast("string").alias("id"))
+    return rewritten(facts, "name", "id", "o_orderdate", rules).select("o_orderkey", "name", "id")
+
+
 @query(f"WITH d AS ({DIRTY}) SELECT p_partkey, coalesce(id, name) AS identity FROM d WHERE lower(trim(coalesce(id, name))) NOT IN ('', 'nan', '<na>', 'none')")
 def b4_identity(t: Tables) -> DataFrame:
     return dirty(t).select("p_partkey", c.identity("id", "name").alias("identity")).where("identity IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from antecede.operators import evaluation as e, splits as s
+from antecede.operators.resampling import group_quantiles
 from antecede.plans.duels import DUELS, duels
 from antecede.plans.registry import Tables, cdf_sql, query, r
 
@@ -203,8 +204,30 @@ def d44_gate(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(avg(value - event_id % 60), 6) AS bias, round(var_samp(value - event_id % 60), 4) AS variance, round(quantile_cont(value - event_id % 60, 0.9), 6) AS q90 FROM events GROUP BY user_id HAVING count(*) >= 60")
 def d45_residuals_by_cohort(t: Tables) -> DataFrame:
-    d = F.col("value") - F.col("event_id") % 60
-    return t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.var_samp(d).alias("variance"), F.percentile(d, 0.9).alias("q90")).where("n >= 60").select("user_id", "n", r("bias"), r("variance", 4), r("q90"))
+    rows = t.events.select("user_id", (F.col("value") - F.col("event_id") % 60).alias("d"))
+    facts = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("d").alias("bias"), F.var_samp("d").alias("variance")).where("n >= 60")
+    return facts.join(group_quantiles(rows, ["user_id"], "d", [0.9]), "user_id").select("user_id", "n", r("bias"), r("variance", 4), r(F.col("q")[0], name="q90"))
+
+
+@query("SELECT l_returnflag AS flag, l_linestatus AS status, [round(x + 1e-9, 4) FOR x IN quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.9, 0.99, 1.0])]::VARCHAR AS prices FROM lineitem GROUP BY ALL")
+def d45_quantiles_by_group(t: Tables) -> DataFrame:
+    """Few groups of very many rows: narrowed in rounds, a twentieth of the table at most put in order at once."""
+    q = group_quantiles(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.1, 0.5, 0.9, 0.99, 1.0], most=max(1, t.lineitem.count() // 20))
+    made = F.transform("q", lambda x: F.round(x + 1e-9, 4).cast("string"))
+    return q.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.concat(F.lit("["), F.array_join(made, ", "), F.lit("]")).alias("prices"))
+
+
+@query()
+def d42_exact_bootstrap(t: Tables) -> DataFrame:
+    """Exactly as many orders as there are in each sample; held against a plain resampler in the tests."""
+    rows = t.lineitem.withColumn("pnl", F.col("l_extendedprice") * F.col("l_discount"))
+    return e.bootstrap_ratio(rows, "pnl", "l_extendedprice", "l_orderkey", 200, draws="exact")
+
+
+@query()
+def d43_exact_paired_bootstrap(t: Tables) -> DataFrame:
+    f = forecasts(t).withColumns({"a": e.log_loss(F.col("y"), F.col("p")), "b": e.log_loss(F.col("y"), F.lit(0.4))})
+    return e.paired_bootstrap(f, "event_type", "user_id", "a", "b", 100, 0.95, draws="exact")
 
 
 @query("""WITH c AS (SELECT user_id AS cohort, min(ts) AS enrolled, date_trunc('week', min(ts)) AS week FROM events GROUP BY user_id), e AS (SELECT event_id, user_id AS cohort, event_id + (event_id % 50 = 0)::INT * 10000000 AS fixture, ts FROM events WHERE event_type = 'signup')

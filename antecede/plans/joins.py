@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from antecede import keys
 from antecede.operators import joins as j
+from antecede.operators.names import closest_names
 from antecede.plans.duels import DUELS, duels, games
 from antecede.plans.registry import Tables, query, r
 from antecede.sources import tables as s
@@ -105,7 +106,7 @@ _grams = "list_distinct(list_transform(range(1, greatest(length({0}) - 2, 1) + 1
     SELECT name, suggestion, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, suggestion)::INT AS rank FROM m WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY similarity DESC, suggestion) <= 3""")
 def c13_suggest_names(t: Tables) -> DataFrame:
     asked = t.part.select(F.concat("p_name", F.lit("s")).alias("name"))
-    return j.suggest_names(asked, "name", t.part.select(F.col("p_name").alias("name")), 3, 0.5).select("name", "suggestion", r("similarity"), "rank")
+    return j.names_by_trigrams(asked, "name", t.part.select(F.col("p_name").alias("name")), 3, 0.5).select("name", "suggestion", r("similarity"), "rank")
 
 
 @query("""WITH bets AS (SELECT event_id AS bet, user_id, ts AS entered, ts + INTERVAL 8 HOUR AS starts FROM events WHERE event_type = 'purchase'),
@@ -118,6 +119,14 @@ def c14_closing_quotes(t: Tables) -> DataFrame:
     return j.closing_quotes(bets, quotes, ["user_id"], "bet", "entered", "starts", "observed", "told", 20, ["odds"]).select("bet", "observed", "odds", "comparable")
 
 
+@query()
+def c13_closest_names(t: Tables) -> DataFrame:
+    """Up to three known names by matching blocks for every misspelt one; held against the plain ranking in the tests."""
+    k = F.col("p_partkey")
+    asked = t.part.select(F.when(k % 3 == 0, F.concat(F.substring("p_name", 2, 100), F.lit("s"))).when(k % 3 == 1, F.reverse("p_name")).otherwise(F.concat_ws(" ", F.element_at(F.split("p_name", " "), -1), "p_name")).alias("name"))
+    return closest_names(asked, "name", t.part.select(F.col("p_name").alias("name")))
+
+
 CHAINS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey + 1 WHEN o_orderkey % 500 = 4 THEN o_orderkey - 4 END AS next FROM orders"
 
 
@@ -128,6 +137,19 @@ def c15_resolve_chains(t: Tables) -> DataFrame:
     return j.resolve_chains(t.orders.select(k.alias("id"), F.when(k % 5 < 3, k + 1).when(k % 500 == 4, k - 4).alias("next")))
 
 
+OWNED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey + 1 WHEN o_orderkey % 500 = 4 THEN o_orderkey - 4 END AS next, CASE WHEN o_orderkey % 35 = 8 THEN -1 ELSE o_orderkey // 5 END AS owner FROM orders"
+
+
+@query(f"""WITH RECURSIVE links AS ({OWNED}), walk AS (SELECT id, owner AS mine, id AS at_, owner AS theirs, 0 AS hops, TRUE AS ok FROM links
+        UNION ALL SELECT w.id, w.mine, l.next, n.owner, hops + 1, w.ok AND (n.id IS NULL OR n.owner = w.mine) FROM walk w JOIN links l ON w.at_ = l.id LEFT JOIN links n ON n.id = l.next WHERE l.next IS NOT NULL AND hops < 12),
+    tips AS (SELECT w.* FROM walk w LEFT JOIN links e ON w.at_ = e.id WHERE e.next IS NULL), bad AS (SELECT id, bool_and(ok) AS ok FROM walk GROUP BY id)
+    SELECT l.id, CASE WHEN b.ok THEN t.at_ END AS tip, CASE WHEN b.ok THEN t.hops::BIGINT END AS hops, CASE WHEN NOT b.ok THEN 'owner' WHEN t.id IS NULL THEN 'cycle' END AS problem FROM links l JOIN bad b ON b.id = l.id LEFT JOIN tips t ON t.id = l.id""")
+def c15_owned_chains(t: Tables) -> DataFrame:
+    """Corrections that lead to another owner's row are refused, and cycles."""
+    k = F.col("o_orderkey")
+    return j.resolve_chains(t.orders.select(k.alias("id"), F.when(k % 5 < 3, k + 1).when(k % 500 == 4, k - 4).alias("next"), F.when(k % 35 == 8, F.lit(-1)).otherwise(F.floor(k / 5)).cast("long").alias("owner")), owner="owner")
+
+
 @query("""WITH targets AS (SELECT DISTINCT p_type AS target FROM part), providers AS (SELECT r_regionkey AS provider FROM region),
     acts AS (SELECT l_orderkey AS fixture, l_suppkey % 4 AS provider, p_type AS target, CASE WHEN l_returnflag = 'R' THEN 'captured' WHEN l_returnflag = 'A' THEN 'unsupported' ELSE 'failed' END AS state FROM lineitem JOIN part ON l_partkey = p_partkey),
     seen AS (SELECT fixture, provider, target, bool_or(state = 'captured') AS c, bool_and(state = 'unsupported') AS u FROM acts GROUP BY ALL)
