@@ -92,6 +92,40 @@ def l4_quotes_before_start(t: Tables) -> DataFrame:
     return s.run_available(s.quotes_before_start(b, q, "user_id", 6, "1 hour").select("bet", "quote"), folder(t, "check"), folder(t, "out"))
 
 
+@query("SELECT b.event_id AS bet, q.event_id AS quote, q.event_id IS NOT NULL AS quoted FROM (SELECT * FROM events WHERE event_type = 'purchase') b LEFT JOIN events q ON b.user_id = q.user_id AND q.event_type = 'view' AND q.ts > b.ts AND q.ts < b.ts + INTERVAL 6 HOUR")
+def l4_bets_with_or_without_quotes(t: Tables) -> DataFrame:
+    """Every bet comes out: with each of its quotes, or once without, when the watermark passes. A last row of a later time on both sides, as a heartbeat, lets the last bets go."""
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    beat = e.agg((F.max("ts") + F.expr("INTERVAL 7 DAYS")).alias("ts"))
+    bets = e.where("event_type = 'purchase'").select(F.col("event_id").alias("bet"), "user_id", F.col("ts").alias("entered"), F.expr("ts + INTERVAL 6 HOURS").alias("starts"))
+    quotes = e.where("event_type = 'view'").select(F.col("event_id").alias("quote"), "user_id", F.col("ts").alias("observed"))
+    paths, check, out = [folder(t, "stream") for _ in range(2)], folder(t, "check"), folder(t, "out")
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    nobody = F.lit(-1).cast("long").alias("user_id")
+    last = (beat.select(none("bet"), nobody, F.col("ts").alias("entered"), F.col("ts").alias("starts")), beat.select(none("quote"), nobody, F.col("ts").alias("observed")))
+    made = None
+    for parts in ((bets, quotes), last):
+        for x, path in zip(parts, paths, strict=True):
+            x.write.mode("append").parquet(path)
+        b, q = (s.read_files(t.spark, path) for path in paths)
+        made = s.run_available(s.quotes_or_none(b, q, "user_id", 6, "1 hour").select("bet", "quote"), check, out)
+    return made.where("bet IS NOT NULL").withColumn("quoted", F.col("quote").isNotNull())
+
+
+@query("""WITH q AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS received, epoch_us(ts) - (event_id % 240) * 1000000 * (event_id % 5) * 30 AS observed FROM events),
+    m AS (SELECT *, max(observed) OVER (PARTITION BY key ORDER BY received, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 7200000000 AS mark FROM q)
+    SELECT id, coalesce(observed < mark, FALSE) AS late, greatest(coalesce(mark - observed, 0), 0) AS behind_us FROM m""")
+def l3_late_rows(t: Tables) -> DataFrame:
+    """Rows over two hours behind their key's latest observation go to a table of their own, none is lost; each is judged once, by the state before it."""
+    id_, received = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t.events.select(F.col("user_id").alias("key"), id_.alias("id"), (received - id_ % 240 * 1_000_000 * (id_ % 5) * 30).alias("observed_us"), received.alias("received_us"), F.col("ts").cast("timestamp").alias("ts"))
+    check, root = folder(t, "check"), folder(t, "judged")
+    with s.rocks(t.spark):
+        brought(e, t, "ts", lambda x: s.each_batch(s.split_late(x.drop("ts"), 7200), check, s.two_tables(root)))
+    read = lambda kind: t.spark.read.schema("key long, id long, observed_us long, late boolean, behind_us long").parquet(f"{root}/{kind}/*")
+    return read("fresh").unionByName(read("rejected")).select("id", "late", "behind_us")
+
+
 _sessions = """WITH a AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, TRUE)::INT AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
     SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS rows FROM b GROUP BY user_id, k"""
 
@@ -141,3 +175,15 @@ def l8_running_ewm(t: Tables) -> DataFrame:
     with s.rocks(t.spark):
         made = brought(o, t, "at", lambda x: s.run_available(s.running_ewm(x), check, out), 2)
     return made.select("entity", "at", r("ema_after", 4))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders), a AS (SELECT n.o_custkey, n.o_orderkey, n.o_orderdate, sum(p.o_totalprice * pow(2.0, (p.i - n.i) / 9.0)) / sum(pow(2.0, (p.i - n.i) / 9.0)) AS e FROM n JOIN n p ON n.o_custkey = p.o_custkey AND p.i <= n.i GROUP BY ALL)
+    SELECT o_custkey AS entity, o_orderkey AS tie, round(e, 4) AS ema_after FROM a WHERE o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 36 HOUR""")
+def l8_ewm_out_of_order(t: Tables) -> DataFrame:
+    """Orders that come up to a day late, in another order than they were made: what the ordered stream gives, of all rows that the watermark has passed."""
+    o = t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("tie"), F.col("o_totalprice").alias("value"))
+    late = o.withColumn("arrives", F.col("at") + F.make_dt_interval((F.col("tie") % 2).cast("int")))
+    check, out = folder(t, "check"), folder(t, "out")
+    with s.rocks(t.spark):
+        made = brought(late, t, "arrives", lambda x: s.run_available(s.ordered_ewm(x.drop("arrives"), "36 hours"), check, out), 3)
+    return made.select("entity", "tie", r("ema_after", 4))

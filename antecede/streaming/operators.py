@@ -128,6 +128,64 @@ def quotes_before_start(bets: DataFrame, quotes: DataFrame, key: str, hours: int
     return b.join(q, (F.col(key) == F.col("__k")) & (F.col("observed") > F.col("entered")) & (F.col("observed") < F.col("starts")) & (F.col("observed") <= F.col("entered") + F.make_interval(hours=F.lit(hours)))).drop("__k")
 
 
+def quotes_or_none(bets: DataFrame, quotes: DataFrame, key: str, hours: int, wait: str) -> DataFrame:
+    """As `quotes_before_start`, but a bet without a quote leaves too, once, with null quote columns: when the watermark says that none can come.
+
+    The watermark is that of the slower stream, and rows with a null key don't move it.
+    """
+    b = bets.withWatermark("entered", wait)
+    q = quotes.withColumnRenamed(key, "__k").withWatermark("observed", wait)
+    near = (F.col(key) == F.col("__k")) & (F.col("observed") > F.col("entered")) & (F.col("observed") < F.col("starts")) & (F.col("observed") <= F.col("entered") + F.make_interval(hours=F.lit(hours)))
+    return b.join(q, near, "leftOuter").drop("__k")
+
+
+LATE_SCHEMA = "key long, id long, observed_us long, late boolean, behind_us long"
+
+
+class LateRows(StatefulProcessor):
+    """Keeps each key's mark, the latest observation so far less a wait; a row that is behind it is late, and says by how much.
+
+    Nothing is dropped: the two kinds are one stream, so each row is judged once, against the state before it.
+    """
+
+    def __init__(self, wait_us: int):
+        self.wait = wait_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        pdf = pd.concat(list(rows)).sort_values(["received_us", "id"], kind="stable")
+        out = []
+        for id_, at in zip(pdf["id"].tolist(), pdf["observed_us"].tolist(), strict=True):
+            behind = 0 if latest is None else latest - self.wait - at
+            out.append((key[0], id_, at, behind > 0, max(0, behind)))
+            latest = at if latest is None else max(latest, at)
+        self.latest.update((latest,))
+        yield pd.DataFrame(out, columns=["key", "id", "observed_us", "late", "behind_us"])
+
+    def close(self) -> None:
+        pass
+
+
+def split_late(stream: DataFrame, wait_seconds: int) -> DataFrame:
+    """key, id, observed_us, late, behind_us of a stream (key, id, observed_us, received_us), whose rows come in order of receipt."""
+    return stream.groupBy("key").transformWithStateInPandas(LateRows(wait_seconds * 1_000_000), LATE_SCHEMA, "Append", "None")
+
+
+def two_tables(root: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows that are in time and rows that are late, each to its table, under the batch's id: a batch that is run again replaces its own."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Written together first, so that both are of one reading of the state.
+        made = written(batch, "judged")
+        for name, test in (("fresh", "NOT late"), ("rejected", "late")):
+            made.where(test).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+    return run
+
+
 def gap_sessions(df: DataFrame, by: str, time: str, gap: str, wait: str | None = None) -> DataFrame:
     """by, start, last, rows of sessions that end after a gap; on a stream with a watermark, once they can't grow."""
     df = df.withWatermark(time, wait) if wait else df
@@ -179,3 +237,67 @@ class RunningEwm(StatefulProcessor):
 def running_ewm(stream: DataFrame, halflife: float = 9.0) -> DataFrame:
     """stream: entity, at, tie, value."""
     return stream.groupBy("entity").transformWithStateInPandas(RunningEwm(halflife), EWM_SCHEMA, "Append", "None")
+
+
+ORDERED_SCHEMA = "entity long, at_us long, tie long, ema_before double, ema_after double"
+
+
+class OrderedEwm(StatefulProcessor):
+    """As `RunningEwm`, for rows that come out of order: an entity's rows wait until the watermark passes them, and are folded in order of time.
+
+    A timer stands at the earliest waiting row. Where `forget_us` is given, an entity without rows for so long loses its state by a timer too.
+    """
+
+    def __init__(self, halflife: float = 9.0, forget_us: int | None = None):
+        self.keep, self.forget = 2.0 ** (-1.0 / halflife), forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([StructField("at", LongType()), StructField("tie", LongType()), StructField("value", DoubleType())]))
+        self.state = handle.getValueState("ewm", StructType([StructField("x", DoubleType()), StructField("w", DoubleType()), StructField("last", LongType())]))
+
+    def timer(self, at_us: int) -> None:
+        self.handle.registerTimer(at_us // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            values = [None if pd.isna(v) else float(v) for v in pdf["value"]]
+            self.waiting.appendList(list(zip(pdf["at_us"].tolist(), pdf["tie"].tolist(), values, strict=True)))
+            self.timer(int(pdf["at_us"].min()))
+        yield pd.DataFrame({"entity": pd.Series(dtype="int64"), "at_us": pd.Series(dtype="int64"), "tie": pd.Series(dtype="int64"), "ema_before": pd.Series(dtype="float64"), "ema_after": pd.Series(dtype="float64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        now, rest = [r for r in waiting if r[0] <= mark], [r for r in waiting if r[0] > mark]
+        x, w, last = self.state.get() if self.state.exists() else (0.0, 0.0, None)
+        out = []
+        for at, tie, value in now:
+            if self.forget is not None and last is not None and at - last > self.forget:
+                x = w = 0.0
+            before = x / w if w else None
+            if value is not None:
+                x, w = x * self.keep + value, w * self.keep + 1.0
+            out.append((key[0], at, tie, before, x / w if w else None))
+            last = at
+        if rest:
+            self.waiting.put(rest)
+            self.timer(rest[0][0])
+        elif waiting:
+            self.waiting.clear()
+        if now:
+            self.state.update((x, w, last))
+            if self.forget is not None:
+                self.timer(last + self.forget + 1000)
+        elif self.forget is not None and last is not None and not rest and mark - last > self.forget:
+            self.state.clear()
+        yield pd.DataFrame(out, columns=["entity", "at_us", "tie", "ema_before", "ema_after"]).astype({"entity": "int64", "at_us": "int64", "tie": "int64", "ema_before": "float64", "ema_after": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_ewm(stream: DataFrame, wait: str, halflife: float = 9.0, forget_us: int | None = None) -> DataFrame:
+    """stream: entity, at (a timestamp), tie, value; rows later than the wait are dropped by the watermark."""
+    rows = stream.withWatermark("at", wait).withColumn("at_us", F.unix_micros("at"))
+    return rows.groupBy("entity").transformWithStateInPandas(OrderedEwm(halflife, forget_us), ORDERED_SCHEMA, "Append", "EventTime")
