@@ -93,23 +93,52 @@ def _get(spark: SparkSession, path: str) -> str | None:
     return spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(fs.open(p)).decode() if fs.getFileStatus(p).getLen() else ""
 
 
+def _current(spark: SparkSession, root: str) -> tuple[int, list[dict]]:
+    """Number of the newest pointer and its generations, the latest first; 0 and none before the first."""
+    fs, p = _file(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    numbers = [int(x[8:-5]) for x in names if x.startswith("CURRENT-") and x.endswith(".json")]
+    return (n := max(numbers, default=0)), json.loads(_get(spark, _pointer(root, n)))["generations"] if n else []
+
+
+def _pointer(root: str, n: int) -> str:
+    return f"{root}/CURRENT-{n:012d}.json"
+
+
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file unless the target is there. HDFS does both in one step; where renaming isn't atomic, publish from one place at a time."""
+    fs, p = _file(spark, source)
+    q = _file(spark, target)[1]
+    return not fs.exists(q) and fs.rename(p, q)
+
+
 def publish_generation(df: DataFrame, root: str, manifest: dict | None = None, keep: int = 2) -> str:
-    """Writes a new immutable folder, moves the pointer last, and removes all but the last `keep` generations."""
+    """Writes a new immutable folder, then a new pointer, and removes all but the last `keep` generations.
+
+    Pointers are numbered and never changed: one is written beside and renamed to the next number, so a reader sees it whole or not at all.
+    Of two publishers only one gets a number; the other reads what that one published and takes the next, so neither loses a generation.
+    """
     spark, name = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{root}/{name}")
     done = table_fingerprint(spark.read.parquet(f"{root}/{name}")).first()
-    before = json.loads(_get(spark, f"{root}/CURRENT.json") or '{"generations": []}')["generations"]
-    kept = [{"name": name, "rows": done["rows"], "content": done["content"], "manifest": manifest or {}}, *before]
-    _put(spark, f"{root}/CURRENT.json", json.dumps({"generations": kept[:keep]}))
-    for old in kept[keep:]:
-        fs, p = _file(spark, f"{root}/{old['name']}")
+    mine = {"name": name, "rows": done["rows"], "content": done["content"], "manifest": manifest or {}}
+    while True:
+        n, before = _current(spark, root)
+        kept, beside = [mine, *before], f"{root}/.pointer-{name}-{n}"
+        _put(spark, beside, json.dumps({"generations": kept[:keep]}))
+        if _moved(spark, beside, _pointer(root, n + 1)):
+            break
+        fs, p = _file(spark, beside)
+        fs.delete(p, False)
+    for old in [f"{root}/{x['name']}" for x in kept[keep:]] + [_pointer(root, n - keep)]:
+        fs, p = _file(spark, old)
         fs.delete(p, True)
     return name
 
 
 def read_generation(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
     """The current generation (or one before it), whose content is checked against the pointer."""
-    now = json.loads(_get(spark, f"{root}/CURRENT.json") or '{"generations": []}')["generations"]
+    now = _current(spark, root)[1]
     if len(now) <= back:
         raise ValueError(f"{root} has no such generation")
     df = spark.read.parquet(f"{root}/{now[back]['name']}")

@@ -115,6 +115,24 @@ def test_generations(spark, tmp_path):
         tables.read_generation(spark, root)
 
 
+def test_two_publishers_lose_no_generation(spark, tmp_path, monkeypatch):
+    root, df, real, stale = f"file://{tmp_path}/gen", spark.range(9), tables._current, []
+    tables.publish_generation(df.where("id < 2"), root, keep=4)
+
+    def seen(s_, r_):
+        # The other publisher comes between this one's look at the pointer and its own pointer.
+        found = real(s_, r_)
+        if not stale:
+            stale.append(found)
+            tables.publish_generation(df.where("id < 5"), root, keep=4)
+        return found
+
+    monkeypatch.setattr(tables, "_current", seen)
+    tables.publish_generation(df, root, keep=4)
+    assert [tables.read_generation(spark, root, k).count() for k in range(3)] == [9, 5, 2]
+    assert real(spark, root)[0] == 3 and not [x for x in (tmp_path / "gen").iterdir() if x.name.startswith(".pointer")]
+
+
 def test_missing_years_fail(spark, tmp_path):
     spark.createDataFrame([(1,)], "a int").write.option("header", True).csv(f"{tmp_path}/2001.csv")
     spark.createDataFrame([], "a int").write.option("header", True).csv(f"{tmp_path}/2002.csv")
