@@ -6,9 +6,12 @@ collected to the driver is at most a row of totals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions.columns import logit
@@ -177,14 +180,53 @@ def conservative_coverage(df: DataFrame, cohort: str, time: str, y: str, lower:
     return out.withColumn("passed", F.col("eligible") & (F.col("coverage") >= wanted))
 
 
+#: Columns in a block of the matrix of products.
+WIDTH = 64
+
+
+def strong_pairs(df: DataFrame, features: list[str], least: float = 0.95) -> DataFrame:
+    """a, b, r: pairs of features whose correlation is beyond `least`, over the rows that have them all.
+
+    Columns are scaled first. A task adds up the products of its rows by pairs of column blocks; a pair of blocks is summed over the
+    tasks where it meets, and leaves only its strong pairs. So no one, the driver neither, holds the whole matrix's sum.
+    """
+    full = df.select(*(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)))
+    full = full.where(" AND ".join(f"x{k} IS NOT NULL AND NOT isnan(x{k})" for k in range(len(features))))
+    facts = full.agg(F.count("*").alias("n"), *(f(f"x{k}").alias(f"{n}{k}") for k in range(len(features)) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    n = facts["n"]
+    mean, sd = (np.array([facts[f"{c}{k}"] or 0.0 for k in range(len(features))]) for c in "ms")
+    scale = np.divide(1.0, sd, out=np.zeros(len(sd)), where=sd > 0)
+    starts = list(range(0, len(features), WIDTH))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(i, j): 0.0 for i in starts for j in starts if i <= j}
+        for batch in batches:
+            z = (np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1) - mean) * scale
+            for i, j in sums:
+                sums[i, j] = sums[i, j] + z[:, i : i + WIDTH].T @ z[:, j : j + WIDTH]
+        for (i, j), x in sums.items():
+            if not np.isscalar(x):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([x.ravel().tolist()])], ["i", "j", "x"])
+
+    def strong(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        r = sum(x.values.to_numpy() for x in table["x"]).reshape(-1, min(WIDTH, len(features) - j)) / n
+        p, q = np.nonzero(np.abs(r) > least)
+        p, q, r = (x[p + i < q + j] for x in (p, q, r[p, q]))
+        return pa.table({"a": [features[k + i] for k in p], "b": [features[k + j] for k in q], "r": pa.array(r, pa.float64())}, pa.schema([("a", pa.string()), ("b", pa.string()), ("r", pa.float64())]))
+
+    blocks = full.mapInArrow(products, "i long, j long, x array<double>")
+    return blocks.groupBy("i", "j").applyInArrow(strong, "a string, b string, r double")
+
+
 def feature_report(df: DataFrame, features: list[str], importance: dict[str, float]) -> DataFrame:
     """feature, missing, correlated (others with |r| > 0.95), importance (share of the largest), score, rank."""
     missing = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features)).first()
-    vectors = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(df.select(*features))
-    r = Correlation.corr(vectors, "v").first()[0].toArray()
+    pairs = strong_pairs(df, features)
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("feature")).groupBy("feature").agg(F.count("*").cast("int").alias("correlated"))
     top = max(importance.values()) or 1.0
-    rows = [(c, float(missing[c]), int((abs(r[k]) > 0.95).sum() - 1), importance.get(c, 0.0) / top) for k, c in enumerate(features)]
-    out = df.sparkSession.createDataFrame(rows, "feature string, missing double, correlated int, importance double")
+    rows = [(c, float(missing[c]), importance.get(c, 0.0) / top) for c in features]
+    out = df.sparkSession.createDataFrame(rows, "feature string, missing double, importance double").join(counts, "feature", "left").select("feature", "missing", F.coalesce("correlated", F.lit(0)).alias("correlated"), "importance")
     out = out.withColumn("score", F.col("importance") * (1 - F.col("missing")) / (1 + F.col("correlated")))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "feature")))
 

@@ -144,7 +144,7 @@ _F = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query()
 def d38_feature_report(t: Tables) -> DataFrame:
-    """Correlations come from the ML library; held against numpy in the tests."""
+    """Correlations by pairs of column blocks; held against numpy in the tests."""
     df = t.lineitem.withColumn("twin", F.when(F.col("l_linenumber") != 3, F.col("l_quantity") * 2 + 1))
     return e.feature_report(df, [*_F, "twin"], {"l_quantity": 5.0, "l_tax": 1.0, "twin": 4.0, "l_discount": 2.0, "l_extendedprice": 3.0})
 

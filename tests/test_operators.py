@@ -287,6 +287,25 @@ def test_correlated_features_are_counted(spark):
     assert (got["a"]["correlated"], got["b"]["correlated"], got["z"]["correlated"]) == (1, 1, 0)
 
 
+def test_strong_pairs_of_several_hundred_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 150)) + 1e6
+    for k in range(0, 150, 7):
+        x[:, k] = x[:, (k * 31 + 5) % 150] * rng.choice([-2.0, 3.0]) + rng.normal(size=90) * rng.choice([0.01, 0.5])
+    x[:, 11] = 4.0
+    gone = x.copy()
+    names = [f"c{k}" for k in range(150)]
+    rows = [[None if (i, k) == (3, 20) else float(v) for k, v in enumerate(r)] for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(4)
+    with np.errstate(all="ignore"):
+        r = np.corrcoef(np.delete(gone, 3, 0).T)
+    want = {(names[i], names[j]): r[i, j] for i in range(150) for j in range(i + 1, 150) if abs(r[i, j]) > 0.95}
+    got = {(p["a"], p["b"]): p["r"] for p in data(e.strong_pairs(df, names))}
+    assert len(want) > 10 and got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
 def test_folds_don_t_see_their_own_time(spark):
     rows = [(k, day(3 * k), float(k % 5), float((k * 7) % 11 > 5)) for k in range(80)]
     out = data(s.oof_logistic(spark.createDataFrame(rows, "id long, at timestamp, x double, y double"), "id", "at", ["x"], "y"))
