@@ -126,8 +126,12 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
         return F.struct(inner["at"].alias("at"), F.when(F.size(inner["spans"]) > 0, F.concat(acc["all"], F.array(inner["spans"]))).otherwise(acc["all"]).alias("all"))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
-    walked = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("all")), chunk, lambda acc: F.flatten(acc["all"]))
+    def walk(some: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / CHUNK).cast("int")), lambda k: F.slice(some, k * CHUNK + 1, CHUNK))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("all")), chunk, lambda acc: F.flatten(acc["all"]))
+
+    # Bound to a variable, so that the regexes run once for a text and not once for each chunk.
+    walked = F.element_at(F.transform(F.array(parts), walk), 1)
     return F.when(text.rlike(at_least(rule)), walked).otherwise(none)
 
 
