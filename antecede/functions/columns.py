@@ -115,7 +115,7 @@ def edge(p: Column, odds: Column) -> Column:
 
 
 def kelly(p: Column, odds: Column, fraction: float = 1.0) -> Column:
-    """Share of the bankroll; 0 without an edge or at odds of 1 or less."""
+    """Share of the bankroll; 0 without an edge, at odds of 1 or less, and where a value is missing."""
     return F.when(odds > 1, F.greatest(F.lit(0.0), fraction * ((odds - 1) * p - (1 - p)) / F.nullif(odds - 1, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 

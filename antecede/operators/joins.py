@@ -151,12 +151,20 @@ def resolve_chains(links: DataFrame, rounds: int = 20, write=None, owner: str |
     return out.select("id", F.when(F.col("ok"), tip).alias("tip"), F.when(F.col("ok") & ended, F.col("hops")).alias("hops"), problem.alias("problem"))
 
 
+#: Rows that each row may become in a coverage grid.
+MOST_CELLS = 1_000
+
+
 def coverage_grid(rows: DataFrame, wanted: list[DataFrame], actions: DataFrame, on: list[str], state: str) -> DataFrame:
-    """rows x each of the small tables `wanted`: captured if any action says so, unsupported if all say that, else missing."""
-    grid = rows
+    """rows x each of the small tables `wanted`: captured if any action says so, unsupported if all say that, else missing.
+
+    The grid is the result, so it has as many rows as their product; more than MOST_CELLS a row are refused.
+    """
+    grid, cells = rows, 1
     for w in wanted:
-        if w.limit(1001).count() > 1000:
-            raise ValueError("a dimension of more than 1,000 rows would multiply every row")
+        cells *= w.limit(MOST_CELLS + 1).count()
+        if cells > MOST_CELLS:
+            raise ValueError(f"every row would become more than {MOST_CELLS:,}")
         grid = grid.crossJoin(F.broadcast(w))
     seen = actions.groupBy(*on).agg(F.bool_or(F.col(state) == "captured").alias("__c"), F.bool_and(F.col(state) == "unsupported").alias("__u"))
     return grid.join(seen, on, "left").withColumn("coverage", F.when(F.col("__c"), "captured").when(F.col("__u"), "unsupported").otherwise("missing")).drop("__c", "__u")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from antecede.functions.columns import edge, implied, kelly, round_down_cents
 from antecede.operators.joins import reasons
 from antecede.operators.resampling import group_quantiles
+from antecede.operators.slices import attached
+from antecede.sources.tables import written
 
 
 def accounting(df: DataFrame, by: list[str], stake: str, pnl: str, result: str, empty_roi: float | None = None) -> DataFrame:
@@ -83,19 +85,23 @@ def quote_budget(levels: DataFrame, book: str, price: str, size: str, stake: flo
 def allocate_batch(df: DataFrame, batch: str, fixture: str, p: str, odds: str, fraction: float, ticket_cap: float, fixture_cap: float, total_cap: float, spent: DataFrame | None = None) -> DataFrame:
     """share: fractional Kelly under a ticket's cap, scaled to what is left of the fixture's cap, then of the batch's.
 
-    spent: batch, fixture, share already taken. What is left is never below 0.
+    spent: batch, fixture, share already taken. What is left is never below 0. Sums are made of partial sums, down to one
+    row for each fixture of a batch, and limits are worked out on those rows; a batch with very many tickets is in no task whole.
     """
     x = df.withColumn("__k", F.least(kelly(F.col(p), F.col(odds), fraction), F.lit(ticket_cap)))
-    if spent is not None:
-        by_fixture = spent.groupBy(batch, fixture).agg(F.sum("share").alias("__sf"))
-        by_batch = spent.groupBy(batch).agg(F.sum("share").alias("__sb"))
-        x = x.join(by_fixture, [batch, fixture], "left").join(by_batch, batch, "left").fillna(0.0, ["__sf", "__sb"])
-    else:
-        x = x.withColumns({"__sf": F.lit(0.0), "__sb": F.lit(0.0)})
-    left = lambda cap, used: F.greatest(F.lit(cap) - F.col(used), F.lit(0.0))
-    scale = lambda c, cap, *by: F.coalesce(F.least(F.lit(1.0), cap / F.nullif(F.sum(c).over(Window.partitionBy(*by)), F.lit(0.0))), F.lit(1.0))
-    x = x.withColumn("__k", F.col("__k") * scale("__k", left(fixture_cap, "__sf"), batch, fixture))
-    return x.withColumn("share", F.col("__k") * scale("__k", left(total_cap, "__sb"), batch)).drop("__k", "__sf", "__sb")
+    by = [batch, fixture]
+    totals = x.groupBy(*by).agg(F.sum("__k").alias("__sum"))
+    left = lambda cap, used: F.greatest(F.lit(cap) - F.coalesce(F.col(used), F.lit(0.0)), F.lit(0.0))
+    scale = lambda cap, total: F.coalesce(F.least(F.lit(1.0), cap / F.nullif(F.col(total), F.lit(0.0))), F.lit(1.0))
+    if spent is None:
+        spent = df.sparkSession.createDataFrame([], totals.select(*by, F.lit(0.0).alias("share")).schema)
+    by_fixture = spent.groupBy(*by).agg(F.sum("share").alias("__sf"))
+    fixtures = written(totals.join(by_fixture, by, "left").select(*by, "__sum", scale(left(fixture_cap, "__sf"), "__sum").alias("__scale")), "fixtures")
+    by_batch = spent.groupBy(batch).agg(F.sum("share").alias("__sb"))
+    batches = fixtures.groupBy(batch).agg(F.sum(F.col("__sum") * F.col("__scale")).alias("__all")).join(by_batch, batch, "left")
+    batches = written(batches.select(batch, scale(left(total_cap, "__sb"), "__all").alias("__b")), "batches")
+    factors = attached(fixtures.select(*by, "__scale"), batches, [batch]).select(*by, (F.col("__scale") * F.col("__b")).alias("__f"))
+    return attached(x, written(factors, "factors"), by).withColumn("share", F.col("__k") * F.col("__f")).drop("__k", "__f")
 
 
 def activity(tables: dict[str, tuple[DataFrame, str]], start: str, end: str) -> DataFrame:

@@ -471,11 +471,9 @@ def serving_rows(fixtures: DataFrame, states: DataFrame, players: DataFrame, rol
     available, started, mu, kills, season, league; players: entity, of, role, kills. An entity without a state is new.
     """
     asked = fixtures.withColumn("id", F.struct("game", "side"))
-    latest = asof_state(asked, states, ["entity"], "played", "played", "available", "started", ["of", "mu", "kills", "season", "league"], "id")
-    latest = latest.withColumnsRenamed({"entity": "who"}).withColumns({"entity": F.col("id"), "s2": F.lit(0.0), "vol": F.lit(0.0)})
-    # What a state was made of is known by its game's time, from which idle days count.
-    times = states.select(F.col("entity").alias("who"), "of", F.col("started").alias("last_played")).distinct()
-    latest = latest.join(times, ["who", "of"], "left")
+    latest = asof_state(asked, states, ["entity"], "played", "played", "available", "started", ["of", "mu", "kills", "season", "league", "started"], "id")
+    # Idle days count from the start of the game that a state was made of.
+    latest = latest.withColumnsRenamed({"entity": "who", "started": "last_played"}).withColumns({"entity": F.col("id"), "s2": F.lit(0.0), "vol": F.lit(0.0)})
     now = adjusted(latest, rules, seasons).select(F.col("entity").alias("id"), "mu", "s2")
     rows = latest.drop("mu", "s2", "vol", "entity").join(now, "id")
     sides = side_totals(rows.select("game", "side", "mu", "s2"), elo()).select("game", "side", elo_win().alias("chance"))

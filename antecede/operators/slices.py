@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from antecede.keys import sized
+from antecede.keys import BROADCAST_ROWS, sized
 from antecede.sources.tables import written
 
 #: Rows of a key that stay together.
@@ -59,3 +59,24 @@ def carried(rows: DataFrame, key: Sequence[str], totals: dict[str, Column], scan
     # Only cut keys have later slices: the side has one row for each MOST rows of them.
     sums = sized(written(sums, "carried"))
     return rows.alias("a").join(sums.alias("b"), same("a", "b", [*key, SLICE]), "left").select("a.*", *(F.col(f"b.{n}") for n in scan))
+
+
+#: Runs into which rows are dealt before they meet a side that is too large to broadcast.
+RUNS = 64
+
+
+def attached(rows: DataFrame, side: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`rows` with the other columns of the one row that the written `side` has for each `key`, null where it has none; a null key is a key.
+
+    A small side is broadcast. For a larger one rows are dealt into runs by a hash of all their columns, and a row of the side
+    goes to each run that has its key; so rows of a common key are in many tasks, and the side is met once a run.
+    """
+    new = [c for c in side.columns if c not in key]
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.alias("a").join(F.broadcast(side).alias("b"), same("a", "b", key), "left").select("a.*", *(F.col(f"b.{c}") for c in new))
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = rows.withColumn("__run", F.pmod(F.xxhash64(*plain), F.lit(RUNS)).cast("int"))
+    wanted = dealt.select("__run", *key).distinct()
+    by_run = wanted.alias("a").join(side.alias("b"), same("a", "b", key)).select("a.*", *(F.col(f"b.{c}") for c in new))
+    at = ["__run", *key]
+    return dealt.alias("a").join(by_run.alias("b"), same("a", "b", at), "left").select("a.*", *(F.col(f"b.{c}") for c in new)).drop("__run")

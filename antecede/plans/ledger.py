@@ -35,10 +35,11 @@ def d26_accounting(t: Tables) -> DataFrame:
     return money(l.accounting(tickets(t).where("result IS NOT NULL"), ["mode", "currency"], "stake", "pnl", "result"), "mode", "currency")
 
 
-@query(f"{TICKETS} SELECT l_suppkey % 10 AS cohort, {_account} FROM tickets WHERE result IS NOT NULL AND currency = 'EUR' GROUP BY ALL")
+@query(f"{TICKETS} SELECT currency, l_suppkey % 10 AS cohort, {_account} FROM tickets WHERE result IS NOT NULL GROUP BY ALL")
 def d27_group_roi(t: Tables) -> DataFrame:
-    df = tickets(t).where("result IS NOT NULL AND currency = 'EUR'").withColumn("cohort", F.col("l_suppkey") % 10)
-    return money(l.accounting(df, ["cohort"], "stake", "pnl", "result", 0.0), "cohort")
+    """Money of two currencies is never added up."""
+    df = tickets(t).where("result IS NOT NULL").withColumn("cohort", F.col("l_suppkey") % 10)
+    return money(l.accounting(df, ["currency", "cohort"], "stake", "pnl", "result", 0.0), "currency", "cohort")
 
 
 @query(f"{TICKETS}, q AS (SELECT mode, odds::DOUBLE AS accepted, CASE WHEN l_partkey % 4 <> 0 THEN 1.5 + (l_partkey % 17) / 10.0 END AS closing, l_partkey % 5 <> 0 AS verified FROM tickets), v AS (SELECT mode, CASE WHEN verified THEN 1 / closing - 1 / accepted END AS v FROM q) SELECT mode, round(avg(v), 6) AS clv, count(v) AS complete, count(*) FILTER (WHERE v IS NULL) AS missing FROM v GROUP BY mode")

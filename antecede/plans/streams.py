@@ -55,17 +55,17 @@ def l2_idempotent_append(t: Tables) -> DataFrame:
 def l2_conflicts(t: Tables) -> DataFrame:
     """The same key with the same content does nothing; with other content it is a conflict row; what was stored first stays."""
     e = t.events.select("event_id", "event_type")
-    path, check, stored, bad = (folder(t, x) for x in ("stream", "check", "stored", "conflicts"))
-    schema = e.schema
+    path, check, bad = (folder(t, x) for x in ("stream", "check", "conflicts"))
+    table = s.BucketedTable(t.spark, folder(t, "stored"), "event_id long, event_type string", "event_id")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        s.append_new(t.spark, stored, bad, batch, batch_id, "event_id", "event_type", schema)
+        s.append_new(table, bad, batch, batch_id, "event_type")
 
     for rows in (e, e.where("event_id % 3 = 0").unionByName(e.where("event_id % 10 = 0").withColumn("event_type", F.concat("event_type", F.lit("!"))))):
         rows.write.mode("append").parquet(path)
         s.each_batch(s.read_files(t.spark, path), check, keep)
-    read = lambda p, kind: t.spark.read.schema(schema).parquet(f"{p}/*").withColumn("kind", F.lit(kind))
-    return read(stored, "stored").unionByName(read(bad, "conflict"))
+    refused = t.spark.read.schema(table.schema).parquet(f"{bad}/*").withColumn("kind", F.lit("conflict"))
+    return table.read().drop("bucket").withColumn("kind", F.lit("stored")).unionByName(refused)
 
 
 @query("SELECT event_id, event_id % 240 <= 120 AS fresh FROM events")
@@ -146,16 +146,16 @@ def l5_gap_sessions(t: Tables) -> DataFrame:
     m2 AS (SELECT entity, max(mu) + sum(32 * (result - 1 / (1 + pow(10::DOUBLE, (foe - mu) / 400)))) AS mu FROM g GROUP BY entity)
     SELECT coalesce(m2.entity, m1.entity) AS entity, round(coalesce(m2.mu, m1.mu), 6) AS mu, coalesce(f.last, m1.last) AS last_played FROM m1 FULL JOIN m2 ON m1.entity = m2.entity LEFT JOIN f ON f.entity = m2.entity""")
 def l6_stream_ratings(t: Tables) -> DataFrame:
-    """Elo by micro-batch over all games, in two batches; the state is a table that outlives the driver."""
+    """Elo by micro-batch over all games, in two batches; the state is a table by buckets of entities that outlives the driver."""
     ev = duels(t).withColumns({"season": F.year("played"), "played": F.col("played").cast("timestamp"), "result": F.col("result").cast("double")}).select("game", "played", "side", "entity", "result", "season", "league")
     seasons = written(ra.season_order(ev).coalesce(1), "seasons")
-    check, root = folder(t, "check"), folder(t, "states")
+    check, states = folder(t, "check"), s.BucketedTable(t.spark, folder(t, "states"), ra.STATE, "entity")
 
-    def step(batch: DataFrame, state: DataFrame) -> DataFrame:
+    def rate(state: DataFrame, batch: DataFrame) -> DataFrame:
         return ra.merged_state(state, ra.rate_period(batch, state, ra.elo(), seasons)[1])
 
-    brought(ev, t, "played", lambda x: s.each_batch(x, check, s.kept_state(t.spark, root, ra.STATE, step)), 2)
-    return s.last_state(t.spark, root, ra.STATE).select("entity", r("mu"), "last_played")
+    brought(ev, t, "played", lambda x: s.each_batch(x, check, lambda batch, k: states.change(batch, k, rate)), 2)
+    return states.read().select("entity", r("mu"), "last_played")
 
 
 @query("""WITH h AS (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS start FROM events), m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +13,8 @@ from antecede.keys import table_fingerprint
 
 
 _made: dict[str, str] = {}
+#: The folder of the innermost `settled` that this thread is in.
+_inner: ContextVar[str | None] = ContextVar("inner", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,12 +48,35 @@ def forget(spark: SparkSession) -> None:
     fs.mkdirs(p)
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path that nothing has yet, among the intermediate tables; inside `settled` it goes with that."""
+    return f"{_inner.get() or work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written; the intermediate tables that were written on the way are deleted then.
+
+    So a long session holds its results and not what led to them. Calls may be nested: the inner result goes with the
+    outer one's tables. A frame that was made inside and isn't the result can't be read after. Other threads, those of
+    streams too, write outside.
+    """
+    path, inner = fresh_path(spark, label), fresh_path(spark, "inner")
+    token = _inner.set(inner)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _inner.reset(token)
+        remove(spark, inner)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_yearly_csv(spark: SparkSession, folder: str, schema: str, years: list[int]) -> DataFrame:
     """One CSV for each year, with a `year` column; fails if a year is absent or empty."""
     paths = [f"{folder}/{y}.csv" for y in years]
@@ -79,6 +106,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    fs, p = _file(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
 def _put(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _file(spark, path)
     out = fs.create(p, True)
@@ -95,9 +134,7 @@ def _get(spark: SparkSession, path: str) -> str | None:
 
 def _current(spark: SparkSession, root: str) -> tuple[int, list[dict]]:
     """Number of the newest pointer and its generations, the latest first; 0 and none before the first."""
-    fs, p = _file(spark, root)
-    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-    numbers = [int(x[8:-5]) for x in names if x.startswith("CURRENT-") and x.endswith(".json")]
+    numbers = [int(x[8:-5]) for x in names(spark, root) if x.startswith("CURRENT-") and x.endswith(".json")]
     return (n := max(numbers, default=0)), json.loads(_get(spark, _pointer(root, n)))["generations"] if n else []
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
 
 from antecede.operators.merge import merge_history
-from antecede.sources.tables import exists, written
+from antecede.sources.tables import exists, names, remove, written
 
 
 def read_files(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
@@ -32,10 +32,11 @@ def each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int],
 
 
 class BucketedTable:
-    """A Parquet table partitioned by a bucket of its key. A batch overwrites the buckets that it touches, and no others.
+    """A Parquet table partitioned by a bucket of its key. A batch reads and overwrites the buckets that its keys fall in, and no others.
 
     What a batch makes of its buckets is written beside the table first, under the batch's id. A batch that is run again
-    after a failure, at a restart of the driver too, takes that instead of buckets that may be half replaced.
+    after a failure, at a restart of the driver too, takes that instead of buckets that may be half replaced. Only the last
+    batch can be run again, so what earlier ones made is removed. Buckets should be so many that one fits a task.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str, buckets: int = 16):
@@ -48,26 +49,42 @@ class BucketedTable:
         path = f"{self.root}/table"
         return self.spark.read.schema(f"{self.schema}, bucket int").parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], f"{self.schema}, bucket int")
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Game-atomic: all old rows of a batch's keys go."""
+    def change(self, batch: DataFrame, batch_id: int, make: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """`make(rows, batch)` gives what the batch's buckets hold from now on, of the rows that they hold; a bucket that has rows keeps some."""
         made = f"{self.root}/made/{batch_id}"
         if not exists(self.spark, f"{made}/_SUCCESS"):
-            batch = written(batch.withColumn("bucket", self.bucket()), "batch")
-            old = self.read().join(batch.select("bucket").distinct(), "bucket", "left_semi")
-            merge_history(old.select(*batch.columns), batch, self.key).write.mode("overwrite").parquet(made)
+            batch = written(batch, "batch")
+            # At most as many numbers as there are buckets; as constants, they prune the folders that are read.
+            touched = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
+            rows = self.read().where(F.col("bucket").isin(touched)).drop("bucket")
+            make(rows, batch).withColumn("bucket", self.bucket()).write.mode("overwrite").parquet(made)
         merged = self.spark.read.schema(f"{self.schema}, bucket int").parquet(made)
         merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/table")
+        remove(self.spark, f"{self.root}/made/{batch_id - 1}")
+
+    def upsert(self, batch: DataFrame, batch_id: int) -> None:
+        """Game-atomic: all old rows of a batch's keys go."""
+        self.change(batch, batch_id, lambda rows, new: merge_history(rows.select(*new.columns), new, self.key))
+
+
+def append_new(table: BucketedTable, bad: str, batch: DataFrame, batch_id: int, content: str) -> None:
+    """Rows of unknown keys go to `table`, those of known ones with other content to `bad`, under the batch's id.
+
+    Of a batch's own rows of a key the least by content, then by the other columns, is kept. Only the buckets of the
+    batch's keys are read, not what came in all earlier batches.
+    """
+    key = table.key
 
+    def make(known: DataFrame, rows: DataFrame) -> DataFrame:
+        others = [c for c in known.columns if c not in (key, content)]
+        unknown = rows.join(known.select(key), key, "left_anti")
+        new = unknown.groupBy(key).agg(F.min(F.struct(content, *others)).alias("__r")).select(key, "__r.*")
+        after = written(known.unionByName(new.select(*known.columns)), "known")
+        # Before the buckets count as made: a batch that failed in between makes both again from the same table.
+        conflicts(after, rows.dropDuplicates([key, content]), key, content).write.mode("overwrite").parquet(f"{bad}/{batch_id}")
+        return after
 
-def append_new(spark: SparkSession, stored: str, bad: str, batch: DataFrame, batch_id: int, key: str, content: str, schema: StructType) -> None:
-    """Rows of unknown keys go to `stored`, those of known ones with other content to `bad`, each under the batch's id; of a batch's own rows of a key the first by content is kept."""
-    old = [f"{stored}/{k}" for k in range(batch_id) if exists(spark, f"{stored}/{k}/_SUCCESS")]
-    known = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
-    batch = written(batch.dropDuplicates([key, content]), "batch")
-    new = batch.join(known.select(key), key, "left_anti").groupBy(key).agg(F.min(content).alias(content))
-    clashes = conflicts(known.unionByName(new), batch, key, content)
-    for rows, path in ((clashes, bad), (new, stored)):
-        rows.select(*schema.names).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+    table.change(batch, batch_id, make)
 
 
 @contextmanager
@@ -83,25 +100,25 @@ def rocks(spark: SparkSession) -> Iterator[None]:
 
 
 def kept_state(spark: SparkSession, root: str, schema: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the state after a batch, from the batch and the state after the one before it, each a table under its batch's id.
+    """For foreachBatch: a small state after a batch, from the batch and the whole state after the one before it, each a table under its batch's id.
 
-    A batch that is run again writes the same table anew, so a restart goes on from the last checkpoint.
+    A batch that is run again writes the same table anew, so a restart goes on from the last checkpoint; older states are
+    removed. A state with a row for each of many keys belongs in a `BucketedTable`.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         before = f"{root}/{batch_id - 1}"
         state = spark.read.schema(schema).parquet(before) if exists(spark, f"{before}/_SUCCESS") else spark.createDataFrame([], schema)
         step(batch, state).write.mode("overwrite").parquet(f"{root}/{batch_id}")
+        remove(spark, f"{root}/{batch_id - 2}")
 
     return run
 
 
 def last_state(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The state after the last batch."""
-    k = 0
-    while exists(spark, f"{root}/{k + 1}/_SUCCESS"):
-        k += 1
-    return spark.read.schema(schema).parquet(f"{root}/{k}") if exists(spark, f"{root}/{k}/_SUCCESS") else spark.createDataFrame([], schema)
+    done = [k for k in sorted(map(int, names(spark, root)), reverse=True) if exists(spark, f"{root}/{k}/_SUCCESS")]
+    return spark.read.schema(schema).parquet(f"{root}/{done[0]}") if done else spark.createDataFrame([], schema)
 
 
 def idempotent(stream: DataFrame, key: str, content: str, time: str, wait: str) -> DataFrame:

@@ -571,3 +571,33 @@ def test_fingerprints_see_changes_but_not_order(spark):
     assert keys.table_fingerprint(df.union(df.limit(1))).first()["content"] != one["content"]
     assert keys.table_fingerprint(df.withColumn("b", F.coalesce("b", F.lit("")))).first()["content"] != one["content"]
     assert keys.schema_fingerprint(df) != keys.schema_fingerprint(df.withColumnRenamed("b", "c"))
+
+
+def test_only_results_outlive_what_led_to_them(spark):
+    from antecede.sources import tables as ts
+
+    inner = []
+
+    def make():
+        a = ts.written(spark.range(10), "a")
+        inner.append(a.inputFiles()[0])
+        b = ts.settled(spark, "b", lambda: ts.written(a.where("id > 3"), "c").where("id < 8"))
+        inner.append(b.inputFiles()[0])
+        assert b.count() == 4 and a.count() == 10
+        return b.withColumn("v", F.col("id") * 2)
+
+    got = ts.settled(spark, "result", make)
+    assert sorted(r["v"] for r in got.collect()) == [8, 10, 12, 14]
+    assert not any(ts.exists(spark, path) for path in inner) and ts.exists(spark, got.inputFiles()[0])
+    with pytest.raises(ZeroDivisionError):
+        ts.settled(spark, "bad", lambda: ts.written(spark.range(1), "a").where(str(1 / 0)))
+    assert ts.exists(spark, ts.written(spark.range(3), "after").inputFiles()[0])  # outside again
+
+
+def test_a_grid_that_is_too_large_is_refused(spark):
+    rows, some = spark.range(2).select(F.col("id").alias("x")), spark.range(40).select(F.col("id").alias("y"))
+    other = some.select(F.col("y").alias("z"))
+    acts = spark.createDataFrame([(0, 1, 1, "captured")], "x long, y long, z long, state string")
+    with pytest.raises(ValueError, match="every row"):
+        j.coverage_grid(rows, [some, other], acts, ["x", "y", "z"], "state")
+    assert j.coverage_grid(rows, [some, other.limit(25)], acts, ["x", "y", "z"], "state").groupBy("coverage").count().where("coverage = 'missing'").first()["count"] >= 1999

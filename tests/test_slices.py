@@ -76,3 +76,47 @@ def test_windows_are_by_slice(spark, rows, monkeypatch):
     plan = FUNCTIONS["e3"](rows)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(who" in plan and "__slice" in plan
     assert not any("windowspecdefinition(who" in x and "__slice" not in x.split("windowspecdefinition(")[1].split(",")[1] for x in plan.splitlines() if "windowspecdefinition(who" in x and "micros" in x)
+
+
+def test_a_side_meets_a_common_key_in_many_tasks(spark, monkeypatch):
+    rows = spark.createDataFrame([(None if k % 10 == 0 else 1 if k % 3 else k, k, {"m": k}) for k in range(600)], "key int, v int, m map<string,int>")
+    side = spark.createDataFrame([(None, "none"), (1, "one"), (3, "three"), (-5, "nobody")], "key int, name string")
+    want = sorted((r["v"], {None: "none", 1: "one", 3: "three"}.get(r["key"])) for r in rows.collect())
+    for most in (20_000, 0):
+        monkeypatch.setattr(slices, "BROADCAST_ROWS", most)
+        got = slices.attached(rows, side, ["key"])
+        assert got.columns == ["key", "v", "m", "name"]
+        assert sorted((r["v"], r["name"]) for r in got.collect()) == want
+    assert slices.attached(rows.limit(0), side, ["key"]).count() == 0 and slices.attached(rows, side.limit(0), ["key"]).count() == 600
+
+
+def test_limits_of_a_hot_batch_equal_the_plain_sums(spark, monkeypatch):
+    from antecede.operators import ledger
+
+    rng = random.Random(8)
+    rows = [(k, None if k % 50 == 7 else 1 if k % 2 else k % 9, rng.choice("fgh"), rng.random(), None if k % 31 == 0 else 1.2 + rng.random()) for k in range(900)]
+    spent = [(1, "f", 0.03), (1, "g", 0.5), (4, "h", 0.01), (4, "h", 0.02)]
+    df = spark.createDataFrame(rows, "id int, b int, f string, p double, o double")
+    taken = spark.createDataFrame(spent, "b int, f string, share double")
+
+    def kelly(p, o):
+        return 0.0 if o is None else min(max(0.5 * ((o - 1) * p - (1 - p)) / (o - 1), 0.0), 0.1)
+
+    def plain(used):
+        k = {i: kelly(p, o) for i, _, _, p, o in rows}
+        for at, cap in ((lambda r: (r[1], r[2]), 0.3), (lambda r: (r[1],), 0.7)):
+            total, gone = {}, {}
+            for r in rows:
+                total[at(r)] = total.get(at(r), 0) + k[r[0]]
+            for b, f, x in used:
+                key = at((None, b, f))
+                gone[key] = gone.get(key, 0) + x
+            k = {r[0]: k[r[0]] * (min(1, max(cap - gone.get(at(r), 0), 0) / total[at(r)]) if total[at(r)] else 1) for r in rows}
+        return k
+
+    for most in (20_000, 0):
+        monkeypatch.setattr(slices, "BROADCAST_ROWS", most)
+        for used, side in (([], None), (spent, taken)):
+            got = {r["id"]: r["share"] for r in ledger.allocate_batch(df, "b", "f", "p", "o", 0.5, 0.1, 0.3, 0.7, side).collect()}
+            want = plain(used)
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)

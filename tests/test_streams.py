@@ -86,3 +86,64 @@ def test_bets_without_a_quote_leave_once(spark, tmp_path):
         made = s.run_available(joined.select("bet", "quote"), str(tmp_path / "check"), str(tmp_path / "out"))
     got = sorted((r["bet"], r["quote"] or 0) for r in made.where(F.col("bet").isNotNull()).collect())
     assert got == [(1, 1), (2, 1), (2, 2), (3, 0), (4, 0)]
+
+
+def test_a_batch_touches_its_own_buckets_only(spark, tmp_path):
+    schema = "k long, v string"
+    root, bad = f"file://{tmp_path}/table", f"file://{tmp_path}/bad"
+    table = s.BucketedTable(spark, root, schema, "k", 8)
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    s.append_new(table, bad, batch(*((k, f"a{k}") for k in range(40))), 0, "v")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "table/table").glob("bucket=*/*.parquet")}
+    before = files()
+    assert len({p.parent for p in before}) == 8
+    # Known with the same content, known with another (twice), new with two contents, and no key at all.
+    second = batch((1, "a1"), (2, "b2"), (2, "b2"), (50, "y"), (50, "x"))
+    s.append_new(table, bad, second, 1, "v")
+    hit = {r[0] for r in second.select(table.bucket()).distinct().collect()}
+    same = [p for p in before if int(p.parent.name.split("=")[1]) not in hit]
+    assert same and all(files().get(p) == before[p] for p in same)
+    stored = lambda: sorted((r["k"], r["v"]) for r in table.read().collect())
+    refused = lambda: sorted((r["k"], r["v"]) for r in spark.read.schema(schema).parquet(f"{bad}/*").collect())
+    assert stored() == sorted([*((k, f"a{k}") for k in range(40)), (50, "x")]) and refused() == [(2, "b2"), (50, "y")]
+    # A batch that is run again, with its buckets already replaced, changes nothing; what the one before it made is gone.
+    s.append_new(table, bad, second, 1, "v")
+    assert len(stored()) == 41 and refused() == [(2, "b2"), (50, "y")]
+    assert [p.name for p in (tmp_path / "table/made").iterdir()] == ["1"]
+
+
+def test_a_batch_that_fails_between_its_steps_is_made_again(spark, tmp_path):
+    schema = "k long, v string"
+    table, bad = s.BucketedTable(spark, f"file://{tmp_path}/table", schema, "k", 4), f"file://{tmp_path}/bad"
+    s.append_new(table, bad, spark.createDataFrame([(1, "a"), (2, "b")], schema), 0, "v")
+    batch = spark.createDataFrame([(1, "z"), (3, "c")], schema)
+
+    def fails(rows, new):
+        new.where("k = 1").write.mode("overwrite").parquet(f"{bad}/1")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        table.change(batch, 1, fails)
+    s.append_new(table, bad, batch, 1, "v")
+    assert sorted((r["k"], r["v"]) for r in table.read().collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert [(r["k"], r["v"]) for r in spark.read.schema(schema).parquet(f"{bad}/*").collect()] == [(1, "z")]
+
+
+def test_ratings_by_batch_equal_those_of_one_table(spark, tmp_path):
+    from antecede.operators import ratings as ra
+
+    rng, rows = random.Random(4), []
+    for g in range(120):
+        a, b = rng.sample(range(12), 2)
+        for side, who, won in (("Blue", a, g % 2), ("Red", b, 1 - g % 2)):
+            rows.append((g, T0 + dt.timedelta(days=g // 20), side, who, float(won), 2024, "L"))
+    ev = spark.createDataFrame(rows, "game long, played timestamp, side string, entity long, result double, season int, league string")
+    seasons = ra.season_order(ev)
+    rate = lambda state, batch: ra.merged_state(state, ra.rate_period(batch, state, ra.elo(), seasons)[1])
+    table, whole = s.BucketedTable(spark, f"file://{tmp_path}/states", ra.STATE, "entity", 5), spark.createDataFrame([], ra.STATE)
+    for k in range(3):
+        batch = ev.where(f"game >= {k * 40} AND game < {k * 40 + 40}")
+        table.change(batch, k, rate)
+        whole = spark.createDataFrame(rate(whole, batch).collect(), ra.STATE)
+    as_rows = lambda df: sorted((r["entity"], round(r["mu"], 9), r["last_played"]) for r in df.collect())
+    assert as_rows(table.read()) == as_rows(whole) and len(as_rows(whole)) == 12
