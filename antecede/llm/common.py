@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from antecede.sources.tables import shared_folder, written  # noqa: F401
+from antecede.sources.tables import fresh_path, settled, written  # noqa: F401
 
 #: Rows of whole texts, and bytes, in one Arrow batch that a Python worker gets.
 SLICE, SLICE_BYTES = 512, 8 << 20
@@ -28,10 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """What is run inside sends its texts to Python in small batches; the session's settings come back after it."""

@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import bisect
 import hashlib
 import io
 import math
@@ -359,12 +360,14 @@ def test_a_tone_gives_its_bin_at_its_time():
     assert (np.diff(c) >= 0).all() and ((c >> 32) == np.sort(c >> 32)).all()
 
 
-@pytest.mark.parametrize("values", [[1], [5, 5, 5], list(range(1, 3000, 7)), [1, 1 << 40], [0, 0, 7], sorted(random.Random(2).choices(range(1 << 33), k=2000))])
+@pytest.mark.parametrize("values", [[1], [5, 5, 5], list(range(1, 3000, 7)), [1, 1 << 40], [0, 0, 7], [], [-(1 << 63), -5, -5, 0, (1 << 63) - 1], sorted(random.Random(2).choices(range(1 << 33), k=2000)), [3] * 700 + [9] * 700])
 def test_elias_fano(values):
     ef = token_store.EliasFano.of(np.array(values, np.int64))
     again = token_store.EliasFano.from_bytes(ef.to_bytes())
     assert [again.select(k) for k in range(len(values))] == values
-    assert list(again.bounds()) == list(zip([0, *values], values))
+    assert list(again.numbers()) == values
+    for value in {*values, *(v + 1 for v in values if v < (1 << 63) - 1), -(1 << 63), 0}:
+        assert again.find(value) == bisect.bisect_left(values, value)
     if len(values) > 1000:
         assert len(ef.to_bytes()) < 8 * len(values)
 
@@ -385,6 +388,25 @@ def test_token_store(docs, empty):
     assert data(token_store.stored_tokens(empty, BYTES)) == []
 
 
+def test_single_documents_are_fetched_from_token_files(spark, docs, empty):
+    library = Tokenizer.from_file(BYTES)
+    # Equal doc_ids over the ends of files, negative ones, far ones, none.
+    extra = [(5, f"again {k}") for k in range(40)] + [(-7, "below"), (-(1 << 63), None), ((1 << 63) - 1, "last"), (None, "nameless"), (None, "")]
+    all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    by_id = {}
+    for r in data(all_docs):
+        by_id.setdefault(r["doc_id"], []).append([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0])
+    asked = [5, 5, -7, -(1 << 63), (1 << 63) - 1, None, 123_456_789, -8, *list(by_id)[::3]]
+    wanted = spark.createDataFrame([(k, "x") for k in asked], "doc_id long, path string")
+    for most in (1 << 25, 60):
+        manifest = token_store.write_token_files(all_docs, BYTES, 0, file_ids=most)
+        got = data(token_store.fetch(manifest, wanted))
+        want = sorted((k, ids) for k in {*asked} - {None} for ids in by_id.get(k, []))
+        assert sorted((r["doc_id"], r["ids"]) for r in got) == want and all(r["n_tokens"] == len(r["ids"]) for r in got)
+        assert data(token_store.fetch(manifest, wanted.limit(0))) == []
+    assert data(token_store.fetch(token_store.write_token_files(empty, BYTES, 0), wanted)) == []
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame(
         [("bad.example", "add", 10), ("bad.example", "remove", 20), ("bad.example", "add", 30), ("example.org/spam", "add", 5), ("example.org", "remove", 6), ("x.example.org", "add", None), (None, "add", 1), ("b.bad.example", "add", 40), ("bad.example", "add", 35)],
