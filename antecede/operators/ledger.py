@@ -75,11 +75,11 @@ def walk_book(levels: DataFrame, book: str, price: str, size: str, shares: Colum
 
 
 def quote_budget(levels: DataFrame, book: str, price: str, size: str, stake: float, tie: list[str]) -> DataFrame:
-    """book, shares, cost, worst, spent_all: what a stake buys from the cheapest level up."""
+    """book, shares, cost, worst, spent_all: what a stake buys from the cheapest level up; what rounding leaves of a stake that is spent buys at no level."""
     w = Window.partitionBy(book).orderBy(price, *tie).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col(price) * F.col(size)).over(w), F.lit(0.0))
     x = levels.withColumn("__spend", F.least(F.greatest(F.lit(float(stake)) - before, F.lit(0.0)), F.col(price) * F.col(size)))
-    return x.groupBy(book).agg(F.sum(F.col("__spend") / F.col(price)).alias("shares"), F.sum("__spend").alias("cost"), F.max(F.when(F.col("__spend") > 0, F.col(price))).alias("worst")).withColumn("spent_all", F.col("cost") >= stake - 1e-9)
+    return x.groupBy(book).agg(F.sum(F.col("__spend") / F.col(price)).alias("shares"), F.sum("__spend").alias("cost"), F.max(F.when(F.col("__spend") > 1e-9, F.col(price))).alias("worst")).withColumn("spent_all", F.col("cost") >= stake - 1e-9)
 
 
 def allocate_batch(df: DataFrame, batch: str, fixture: str, p: str, odds: str, fraction: float, ticket_cap: float, fixture_cap: float, total_cap: float, spent: DataFrame | None = None) -> DataFrame:

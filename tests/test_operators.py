@@ -548,6 +548,14 @@ def test_normal_distribution(spark):
     assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], abs=1e-13)
 
 
+def test_what_rounding_leaves_of_a_stake_buys_nothing(spark):
+    # Ten times 0.1 falls short of 1 by rounding.
+    levels = [("ten", 0.1, 1.0, k) for k in range(10)] + [("ten", 0.4, 1.0, 10), ("nine", 0.4, 1.0, 9)] + [("nine", 0.1, 1.0, k) for k in range(9)]
+    df = spark.createDataFrame(levels, "book string, price double, size double, id long")
+    got = {r["book"]: (r["worst"], r["spent_all"]) for r in data(l.quote_budget(df, "book", "price", "size", 1.0, ["id"]))}
+    assert got == {"ten": (0.1, True), "nine": (0.4, True)}
+
+
 def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     from antecede.streaming import operators as so
 
