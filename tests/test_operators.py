@@ -548,6 +548,12 @@ def test_normal_distribution(spark):
     assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], abs=1e-13)
 
 
+def test_normal_tails_keep_their_digits(spark):
+    zs = [-7.4, -5.8, -5.6, -3.0, -0.67, -0.66, 0.66, 0.67, 3.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in [*zs, None]], "z double").select(c.normal_cdf(F.col("z"))).collect()]
+    assert got[:-1] == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], rel=1e-12) and got[-1] is None
+
+
 def test_what_rounding_leaves_of_a_stake_buys_nothing(spark):
     # Ten times 0.1 falls short of 1 by rounding.
     levels = [("ten", 0.1, 1.0, k) for k in range(10)] + [("ten", 0.4, 1.0, 10), ("nine", 0.4, 1.0, 9)] + [("nine", 0.1, 1.0, k) for k in range(9)]
