@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, GroupedData, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.streaming.stateful_processor import ValueState
+from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructField, StructType
 
 from antecede.operators.merge import merge_history
 from antecede.sources.tables import exists, names, remove, written
@@ -156,11 +157,40 @@ def quotes_or_none(bets: DataFrame, quotes: DataFrame, key: str, hours: int, wai
     return b.join(q, near, "leftOuter").drop("__k")
 
 
+#: Groups that a stateful stream's keys are dealt into; as many for the life of a checkpoint.
+GROUPS = 1024
+
+
+def by_groups(stream: DataFrame, key: str) -> GroupedData:
+    """The stream by groups of its keys, a null key for itself. A group's keys share one state, so that no key costs a call of its own."""
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("int")
+    return stream.withColumn("__group", group).groupBy("__group")
+
+
+def columns_of(**kinds: DataType) -> StructType:
+    """A group's state: as many arrays as a key has values, in the same order."""
+    return StructType([StructField(n, ArrayType(k)) for n, k in kinds.items()])
+
+
+def held_rows(state: ValueState) -> list[tuple]:
+    return list(zip(*state.get(), strict=True)) if state.exists() else []
+
+
+def hold_rows(state: ValueState, rows: list[tuple]) -> None:
+    """Puts the rows of a group's state; none clear it."""
+    state.update(tuple(map(list, zip(*rows, strict=True)))) if rows else state.clear()
+
+
+def longs(values: pd.Series) -> list:
+    """Python numbers; None where there are none, as in the group of a null key."""
+    return [None if pd.isna(v) else int(v) for v in values] if values.isna().any() else values.tolist()
+
+
 LATE_SCHEMA = "key long, id long, observed_us long, late boolean, behind_us long"
 
 
 class LateRows(StatefulProcessor):
-    """Keeps each key's mark, the latest observation so far less a wait; a row that is behind it is late, and says by how much.
+    """Keeps the mark of each key of a group, the latest observation so far less a wait; a row that is behind it is late, and says by how much.
 
     Nothing is dropped: the two kinds are one stream, so each row is judged once, against the state before it.
     """
@@ -169,17 +199,16 @@ class LateRows(StatefulProcessor):
         self.wait = wait_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", StructType([StructField("at", LongType())]))
+        self.latest = handle.getValueState("latest", columns_of(key=LongType(), at=LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = self.latest.get()[0] if self.latest.exists() else None
+        latest, out = dict(held_rows(self.latest)), []
         pdf = pd.concat(list(rows)).sort_values(["received_us", "id"], kind="stable")
-        out = []
-        for id_, at in zip(pdf["id"].tolist(), pdf["observed_us"].tolist(), strict=True):
-            behind = 0 if latest is None else latest - self.wait - at
-            out.append((key[0], id_, at, behind > 0, max(0, behind)))
-            latest = at if latest is None else max(latest, at)
-        self.latest.update((latest,))
+        for who, id_, at in zip(longs(pdf["key"]), pdf["id"].tolist(), pdf["observed_us"].tolist(), strict=True):
+            behind = latest[who] - self.wait - at if who in latest else 0
+            out.append((who, id_, at, behind > 0, max(0, behind)))
+            latest[who] = max(at, latest.get(who, at))
+        hold_rows(self.latest, list(latest.items()))
         yield pd.DataFrame(out, columns=["key", "id", "observed_us", "late", "behind_us"])
 
     def close(self) -> None:
@@ -188,7 +217,7 @@ class LateRows(StatefulProcessor):
 
 def split_late(stream: DataFrame, wait_seconds: int) -> DataFrame:
     """key, id, observed_us, late, behind_us of a stream (key, id, observed_us, received_us), whose rows come in order of receipt."""
-    return stream.groupBy("key").transformWithStateInPandas(LateRows(wait_seconds * 1_000_000), LATE_SCHEMA, "Append", "None")
+    return by_groups(stream, "key").transformWithStateInPandas(LateRows(wait_seconds * 1_000_000), LATE_SCHEMA, "Append", "None")
 
 
 def two_tables(root: str) -> Callable[[DataFrame, int], None]:
@@ -220,7 +249,7 @@ EWM_SCHEMA = "entity long, at timestamp, value double, ema_before double, ema_af
 
 
 class RunningEwm(StatefulProcessor):
-    """Each entity's pair (sum, weight) and its last time: an exponential mean is a fold of two numbers.
+    """The pair (sum, weight) of each entity of a group and its last time: an exponential mean is a fold of two numbers.
 
     Rows of one batch are folded in order of time; batches must not go back in time for an entity.
     """
@@ -229,23 +258,24 @@ class RunningEwm(StatefulProcessor):
         self.keep = 2.0 ** (-1.0 / halflife)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [StructField("x", DoubleType()), StructField("w", DoubleType()), StructField("last", TimestampType()), StructField("n", LongType())]
-        self.state = handle.getValueState("ewm", StructType(fields))
+        self.state = handle.getValueState("ewm", columns_of(entity=LongType(), x=DoubleType(), w=DoubleType(), last_us=LongType(), n=LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        x, w, last, n = self.state.get() if self.state.exists() else (0.0, 0.0, None, 0)
+        known, out = {who: rest for who, *rest in held_rows(self.state)}, []
         pdf = pd.concat(list(rows)).sort_values(["at", "tie"], kind="stable")
-        out = []
-        for at, value in zip(pdf["at"], pdf["value"], strict=True):
-            before = x / w if w else None
-            days = None if last is None else (at - pd.Timestamp(last).tz_localize(None)).days
+        times = pdf["at"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        for who, at, value in zip(longs(pdf["entity"]), times, pdf["value"].tolist(), strict=True):
+            x, w, last, n = known.get(who, (0.0, 0.0, None, 0))
+            before, days = x / w if w else None, None if last is None else (at - last) // 86_400_000_000
             if not pd.isna(value):
                 x, w, n = x * self.keep + value, w * self.keep + 1.0, n + 1
-            out.append((key[0], at, value, before, x / w if w else None, days))
-            last = at.to_pydatetime()
-        self.state.update((x, w, last, n))
-        made = pd.DataFrame(out, columns=["entity", "at", "value", "ema_before", "ema_after", "days_since"])
-        yield made.astype({"ema_before": "float64", "ema_after": "float64", "days_since": "Int64"})
+            known[who] = (x, w, at, n)
+            out.append((who, before, x / w if w else None, days))
+        hold_rows(self.state, [(who, *rest) for who, rest in known.items()])
+        made = pd.DataFrame(out, columns=["entity", "ema_before", "ema_after", "days_since"])
+        made.insert(1, "at", pdf["at"].to_numpy())
+        made.insert(2, "value", pdf["value"].to_numpy())
+        yield made.astype({"entity": "Int64", "ema_before": "float64", "ema_after": "float64", "days_since": "Int64"})
 
     def close(self) -> None:
         pass
@@ -253,14 +283,14 @@ class RunningEwm(StatefulProcessor):
 
 def running_ewm(stream: DataFrame, halflife: float = 9.0) -> DataFrame:
     """stream: entity, at, tie, value."""
-    return stream.groupBy("entity").transformWithStateInPandas(RunningEwm(halflife), EWM_SCHEMA, "Append", "None")
+    return by_groups(stream, "entity").transformWithStateInPandas(RunningEwm(halflife), EWM_SCHEMA, "Append", "None")
 
 
 ORDERED_SCHEMA = "entity long, at_us long, tie long, ema_before double, ema_after double"
 
 
 class OrderedEwm(StatefulProcessor):
-    """As `RunningEwm`, for rows that come out of order: an entity's rows wait until the watermark passes them, and are folded in order of time.
+    """As `RunningEwm`, for rows that come out of order: a group's rows wait until the watermark passes them, and are folded in order of time.
 
     A timer stands at the earliest waiting row. Where `forget_us` is given, an entity without rows for so long loses its state by a timer too.
     """
@@ -270,45 +300,46 @@ class OrderedEwm(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([StructField("at", LongType()), StructField("tie", LongType()), StructField("value", DoubleType())]))
-        self.state = handle.getValueState("ewm", StructType([StructField("x", DoubleType()), StructField("w", DoubleType()), StructField("last", LongType())]))
+        self.waiting = handle.getValueState("waiting", columns_of(entity=LongType(), at=LongType(), tie=LongType(), value=DoubleType()))
+        self.state = handle.getValueState("ewm", columns_of(entity=LongType(), x=DoubleType(), w=DoubleType(), last=LongType()))
 
     def timer(self, at_us: int) -> None:
         self.handle.registerTimer(at_us // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            values = [None if pd.isna(v) else float(v) for v in pdf["value"]]
-            self.waiting.appendList(list(zip(pdf["at_us"].tolist(), pdf["tie"].tolist(), values, strict=True)))
-            self.timer(int(pdf["at_us"].min()))
+        pdf = pd.concat(list(rows))
+        values = [None if pd.isna(v) else float(v) for v in pdf["value"].tolist()]
+        new = zip(longs(pdf["entity"]), pdf["at_us"].tolist(), pdf["tie"].tolist(), values, strict=True)
+        hold_rows(self.waiting, [*held_rows(self.waiting), *new])
+        self.timer(int(pdf["at_us"].min()))
         yield pd.DataFrame({"entity": pd.Series(dtype="int64"), "at_us": pd.Series(dtype="int64"), "tie": pd.Series(dtype="int64"), "ema_before": pd.Series(dtype="float64"), "ema_after": pd.Series(dtype="float64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        now, rest = [r for r in waiting if r[0] <= mark], [r for r in waiting if r[0] > mark]
-        x, w, last = self.state.get() if self.state.exists() else (0.0, 0.0, None)
-        out = []
-        for at, tie, value in now:
+        waiting = sorted(held_rows(self.waiting), key=lambda r: (r[1], r[2]))
+        now, rest = [r for r in waiting if r[1] <= mark], [r for r in waiting if r[1] > mark]
+        known, out = {who: kept for who, *kept in held_rows(self.state)}, []
+        for who, at, tie, value in now:
+            x, w, last = known.get(who, (0.0, 0.0, None))
             if self.forget is not None and last is not None and at - last > self.forget:
                 x = w = 0.0
             before = x / w if w else None
             if value is not None:
                 x, w = x * self.keep + value, w * self.keep + 1.0
-            out.append((key[0], at, tie, before, x / w if w else None))
-            last = at
-        if rest:
-            self.waiting.put(rest)
-            self.timer(rest[0][0])
-        elif waiting:
-            self.waiting.clear()
+            known[who] = (x, w, at)
+            out.append((who, at, tie, before, x / w if w else None))
         if now:
-            self.state.update((x, w, last))
-            if self.forget is not None:
-                self.timer(last + self.forget + 1000)
-        elif self.forget is not None and last is not None and not rest and mark - last > self.forget:
-            self.state.clear()
-        yield pd.DataFrame(out, columns=["entity", "at_us", "tie", "ema_before", "ema_after"]).astype({"entity": "int64", "at_us": "int64", "tie": "int64", "ema_before": "float64", "ema_after": "float64"})
+            hold_rows(self.waiting, rest)
+        if rest:
+            self.timer(rest[0][1])
+        if self.forget is not None:
+            # Who has rows waiting is judged when they are folded.
+            expected = {r[0] for r in rest}
+            known = {who: kept for who, kept in known.items() if who in expected or mark - kept[2] <= self.forget}
+            if idle := [kept[2] for who, kept in known.items() if who not in expected]:
+                self.timer(min(idle) + self.forget + 1000)
+        hold_rows(self.state, [(who, *kept) for who, kept in known.items()])
+        yield pd.DataFrame(out, columns=["entity", "at_us", "tie", "ema_before", "ema_after"]).astype({"entity": "Int64", "at_us": "int64", "tie": "int64", "ema_before": "float64", "ema_after": "float64"})
 
     def close(self) -> None:
         pass
@@ -317,4 +348,4 @@ class OrderedEwm(StatefulProcessor):
 def ordered_ewm(stream: DataFrame, wait: str, halflife: float = 9.0, forget_us: int | None = None) -> DataFrame:
     """stream: entity, at (a timestamp), tie, value; rows later than the wait are dropped by the watermark."""
     rows = stream.withWatermark("at", wait).withColumn("at_us", F.unix_micros("at"))
-    return rows.groupBy("entity").transformWithStateInPandas(OrderedEwm(halflife, forget_us), ORDERED_SCHEMA, "Append", "EventTime")
+    return by_groups(rows, "entity").transformWithStateInPandas(OrderedEwm(halflife, forget_us), ORDERED_SCHEMA, "Append", "EventTime")

@@ -147,3 +147,30 @@ def test_ratings_by_batch_equal_those_of_one_table(spark, tmp_path):
         whole = spark.createDataFrame(rate(whole, batch).collect(), ra.STATE)
     as_rows = lambda df: sorted((r["entity"], round(r["mu"], 9), r["last_played"]) for r in df.collect())
     assert as_rows(table.read()) == as_rows(whole) and len(as_rows(whole)) == 12
+
+
+def test_entities_of_a_group_share_a_state_and_keep_their_means(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "GROUPS", 2)
+    called = tmp_path / "called"
+    called.mkdir()
+
+    class Counted(s.RunningEwm):
+        def handleInputRows(self, key, rows, timerValues):
+            (called / f"{key[0]}").touch()
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(s, "RunningEwm", Counted)
+    rng = random.Random(8)
+    rows = [(None if k % 30 == 29 else k % 30, T0 + dt.timedelta(hours=7 * k), k, None if k % 13 == 0 else rng.uniform(0, 9)) for k in range(240)]
+    with s.rocks(spark):
+        got = parts(spark, tmp_path / "in", [rows[:100], rows[100:170], rows[170:]], "entity long, at timestamp, tie long, value double", lambda x: s.run_available(s.running_ewm(x, 3.0), str(tmp_path / "check"), str(tmp_path / "out")))
+    want, state = {}, {}
+    for who, at, _, v in rows:
+        x, w, last = state.get(who, (0.0, 0.0, None))
+        if v is not None:
+            x, w = x * 2 ** (-1 / 3) + v, w * 2 ** (-1 / 3) + 1
+        state[who] = (x, w, at)
+        want[who, at] = (pytest.approx(x / w) if w else None, None if last is None else (at - last).days)
+    assert {(r["entity"], r["at"]): (r["ema_after"], r["days_since"]) for r in got.collect()} == want
+    # One call for each group and batch, not one for each entity.
+    assert {p.name for p in called.iterdir()} == {"-1", "0", "1"}
