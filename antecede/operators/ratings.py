@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from antecede.functions.columns import normal_over
-from antecede.keys import sized
+from antecede.keys import BROADCAST_ROWS, sized
 from antecede.operators.joins import asof_join, asof_state
 from antecede.operators.reshape import pivot_roles
 from antecede.sources.tables import work_folder, written
@@ -307,15 +307,17 @@ def layers(events: DataFrame) -> DataFrame:
     All games of a turn are in one layer, after those of its entities' earlier turns; so what is rated layer by layer equals what is rated
     period by period, and there are as many layers as the longest chain of turns has, not as there are periods. They are found by rounds of
     two maxima: along each entity's turns a layer grows by one at least, and a game's is that of its latest entity; until nothing changes.
+    With a column `chunk` turns and layers are counted inside each chunk, so there are as many rounds as the longest chain of a chunk needs.
     """
-    along = Window.partitionBy("entity").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    of = ["entity", *(["chunk"] if "chunk" in events.columns else [])]
+    along = Window.partitionBy(*of).orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     game = Window.partitionBy("game")
-    ranked = events.select("game", "entity", "period").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("entity").orderBy("period")))
-    now, total = ranked.select("game", "entity", "k", F.max("k").over(game).alias("layer")), None
+    ranked = events.select("game", *of, "period").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy(*of).orderBy("period")))
+    now, total = ranked.select("game", *of, "k", F.max("k").over(game).alias("layer")), None
     while True:
         for _ in range(STEPS):
             lifted = now.withColumn("__l", F.max(F.col("layer") - F.col("k")).over(along) + F.col("k"))
-            now = lifted.select("game", "entity", "k", F.max("__l").over(game).alias("layer"))
+            now = lifted.select("game", *of, "k", F.max("__l").over(game).alias("layer"))
         now = written(now, "layers")
         found = now.agg(F.sum("layer")).first()[0]
         if found == total:
@@ -323,29 +325,60 @@ def layers(events: DataFrame) -> DataFrame:
         total = found
 
 
+#: So many periods are a layer each, without a search; so many rows or more are searched in so many chunks of periods.
+FEW_PERIODS, MANY_ROWS, CHUNKS = 64, 2_000_000, 8
+
+
+def in_layers(events: DataFrame) -> DataFrame:
+    """`events` with `layer`, from 1 without gaps: an entity's later turn is in a later layer, and all games of a turn are in one.
+
+    A few periods are layers as they are. Of many, layers are searched for; where rows are many, inside chunks of periods, whose layers follow
+    each other: some more layers, but far fewer rounds over all rows. Any cuts between periods would do; these have about as many rows between them.
+    """
+    names = [r[0] for r in events.select("period").distinct().limit(FEW_PERIODS + 1).collect()]
+    if len(names) <= FEW_PERIODS:
+        known = sorted(x for x in names if x is not None)
+        at = F.array_position(F.array(*map(F.lit, known)), F.col("period")) if known else F.lit(0)
+        return events.withColumn("layer", (F.coalesce(at, F.lit(0)) + int(None in names)).cast("int"))
+    events = written(events, "events")
+    if events.count() < MANY_ROWS:
+        return events.join(layers(events).drop("k").hint("merge"), ["game", "entity"])
+    at = F.unix_micros("played")
+    cuts = events.agg(F.percentile_approx(at, F.array(*(F.lit(k / CHUNKS) for k in range(1, CHUNKS))))).first()[0]
+    lows = [x for x in events.agg(*(F.min(F.when(at > x, F.col("period"))) for x in cuts)).first() if x is not None]
+    chunk = sum((F.coalesce(F.col("period") >= F.lit(x), F.lit(False)).cast("int") for x in lows), F.lit(0))
+    found = layers(events.withColumn("chunk", chunk))
+    before, offsets = 0, []
+    for k, most in sorted(map(tuple, found.groupBy("chunk").agg(F.max("layer")).collect())):
+        offsets.append((F.col("chunk") == k, before))
+        before += most
+    shift = sum((F.when(here, n).otherwise(0) for here, n in offsets), F.lit(0))
+    return events.join(found.select("game", "entity", (F.col("layer") + shift).cast("int").alias("layer")).hint("merge"), ["game", "entity"])
+
+
 def turns(rows: DataFrame, state: DataFrame | None) -> DataFrame:
-    """One row for each entity and k: layer, next (the entity's next layer, -1 after its last turn), period, facts of its first game (now_*, played),
-    of its end (ended, stays), of the turn before (season, league, last_played, position), and mu0, s20, vol0 of the first one from `state`."""
+    """One row for each entity and layer in which it plays: rows, next (the entity's next layer, -1 after its last turn), period, facts of its first game
+    (now_*, played), of its end (ended, stays), of the turn before (season, league, last_played, position), and mu0, s20, vol0 of the first one from `state`."""
     here = "position" in rows.columns
     facts = ["played", "game", "season", "league", *(["position"] if here else [])]
     last = F.max_by("position", F.struct("played", "game")) if here else F.lit(None).cast("string")
-    t = rows.groupBy("entity", "k").agg(F.first("layer").alias("layer"), F.first("period").alias("period"), F.min(F.struct(*facts)).alias("f"), F.max("played").alias("ended"), last.alias("__as"))
+    t = rows.groupBy("entity", "layer").agg(F.count("*").alias("rows"), F.first("period").alias("period"), F.min(F.struct(*facts)).alias("f"), F.max("played").alias("ended"), last.alias("__as"))
     now_position = F.col("f.position") if here else F.lit(None).cast("string")
-    t = t.select("entity", "k", "layer", "period", F.col("f.played").alias("played"), F.col("f.season").alias("now_season"), F.col("f.league").alias("now_league"), now_position.alias("now_position"), "ended", F.coalesce("__as", now_position).alias("__as"))
-    order = Window.partitionBy("entity").orderBy("k")
+    t = t.select("entity", "layer", "rows", "period", F.col("f.played").alias("played"), F.col("f.season").alias("now_season"), F.col("f.league").alias("now_league"), now_position.alias("now_position"), "ended", F.coalesce("__as", now_position).alias("__as"))
+    order = Window.partitionBy("entity").orderBy("layer")
     t = t.withColumns({"next": F.coalesce(F.lead("layer").over(order), F.lit(-1)), "stays": F.last("__as", True).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    t = t.withColumns({"season": F.lag("now_season").over(order), "league": F.lag("now_league").over(order), "last_played": F.lag("ended").over(order), "position": F.lag("stays").over(order)}).drop("__as")
+    t = t.withColumns({"season": F.lag("now_season").over(order), "league": F.lag("now_league").over(order), "last_played": F.lag("ended").over(order), "position": F.lag("stays").over(order), "__k": F.row_number().over(order)}).drop("__as")
     if state is None:
-        return t.withColumns({c: F.lit(None).cast("double") for c in ("mu0", "s20", "vol0")})
+        return t.withColumns({c: F.lit(None).cast("double") for c in ("mu0", "s20", "vol0")}).drop("__k")
     old = state.select("entity", *(F.col(c).alias(f"{c}0") for c in ("mu", "s2", "vol", "season", "league", "last_played", "position")))
-    t, first = t.join(old, "entity", "left"), F.col("k") == 1
+    t, first = t.join(old.hint("merge"), "entity", "left"), F.col("__k") == 1
     of = lambda c: F.when(first, F.col(f"{c}0"))
     merged = {c: F.coalesce(c, of(c)) for c in ("season", "league", "last_played")} | {"position": F.coalesce("position", "position0"), "stays": F.coalesce("stays", "position0")}
-    return t.withColumns(merged | {c: of(c[:-1]) for c in ("mu0", "s20", "vol0")}).drop("season0", "league0", "last_played0", "position0")
+    return t.withColumns(merged | {c: of(c[:-1]) for c in ("mu0", "s20", "vol0")}).drop("season0", "league0", "last_played0", "position0", "__k")
 
 
 class Rated(NamedTuple):
-    """rows: game, side, entity, k, period, next, mu, s2 and vol at the start, p_win and what the game adds; turns: as `turns`; kernel."""
+    """rows: game, side, entity, layer, period, next, mu, s2 and vol at the start, p_win and what the game adds; turns: as `turns`; kernel."""
 
     rows: DataFrame
     turns: DataFrame
@@ -356,13 +389,15 @@ class Rated(NamedTuple):
         return self.rows.select("game", "side", "entity", F.col("mu").alias("mu_before"), F.col("s2").alias("s2_before"), "p_win", "period")
 
     def after(self) -> DataFrame:
-        """The state after each turn, with its period and k."""
-        facts = self.turns.select("entity", "k", F.col("now_season").alias("season"), F.col("now_league").alias("league"), F.col("ended").alias("last_played"), F.col("stays").alias("position"))
-        return new_states(self.rows, self.kernel, "entity", "k", "period").join(facts, ["entity", "k"])
+        """The state after each turn, with its period and layer."""
+        facts = self.turns.select("entity", "layer", F.col("now_season").alias("season"), F.col("now_league").alias("league"), F.col("ended").alias("last_played"), F.col("stays").alias("position"))
+        # Turns compress well: by the size of their files they would be broadcast, however many they are.
+        return new_states(self.rows, self.kernel, "entity", "layer", "period").join(facts.hint("merge"), ["entity", "layer"])
 
     def state(self) -> DataFrame:
         """The last state of each entity that played."""
-        return Rated(self.rows.where("next = -1"), self.turns, self.kernel).after().select(*(x.split()[0] for x in STATE.split(", ")))
+        last = F.col("next") == -1
+        return Rated(self.rows.where(last), self.turns.where(last), self.kernel).after().select(*(x.split()[0] for x in STATE.split(", ")))
 
 
 def new_states(rows: DataFrame, kernel: Kernel, *by: str) -> DataFrame:
@@ -372,58 +407,68 @@ def new_states(rows: DataFrame, kernel: Kernel, *by: str) -> DataFrame:
     return sums.select(*by, *(new[c].alias(c) for c in ("mu", "s2", "vol")))
 
 
-#: Files of a layer that one write makes at most, for each next layer, and rows of a layer that are left in one task.
-SPREAD, TOGETHER = 64, 50_000
+#: Rows of a layer that are left in one task; rows of a file, about, where layers are many.
+TOGETHER, A_FILE = 50_000, 1_000_000
 
 
 def rated(events: DataFrame, kernel: Kernel, leagues: DataFrame | None = None, state: DataFrame | None = None) -> Rated:
     """All games, rated layer by layer from the states at the start of their periods.
 
-    Nothing but mu, s2 and vol is unknown beforehand: turns, what they follow, seasons and leagues are joined once, and each layer's rows are
-    written to a folder of their own. A layer's rated rows are written to the folder of the layer in which their entity plays next; there they
-    are summed to the entity's state. So a layer reads its own rows and the states meant for it, no state is looked up in a table of all or
-    written again, and a layer is one job with an exchange of those rows by entity and one by game. Only the number of layers comes to the driver.
+    Nothing but mu, s2 and vol is unknown beforehand: turns, what they follow, seasons and leagues are joined once, on one row for each turn. Each
+    layer's rows and turns are in folders of their own. A layer's rated rows are written to the folder of the layer in which their entity plays next;
+    there they are summed to the entity's state. So a layer reads its own rows and turns and the states meant for it, no state is looked up in a table
+    of all or written again, and a layer is one job with an exchange by entity and one by game. Counts by layer alone come to the driver.
     `leagues`: league and rating, for each period if it has that column.
     """
     spark, root = events.sparkSession, f"{work_folder(events.sparkSession)}/ratings-{uuid.uuid4().hex}"
     here = ["position"] if "position" in events.columns else []
     events = events.where("entity IS NOT NULL AND result IS NOT NULL AND league IS NOT NULL")
     events = events.select("game", F.col("played").cast("timestamp").alias("played"), "side", "entity", F.col("result").cast("double").alias("result"), F.col("season").cast("int").alias("season"), "league", "period", *here)
-    rows = written(events.join(layers(events), ["game", "entity"]), "placed")
+
+    def by_layer(df: DataFrame, name: str, many: bool) -> DataFrame:
+        # A few layers are written from every task; of many, each would be in very many small files.
+        (df.repartition("layer") if many else df).write.partitionBy("layer").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    rows = in_layers(events)
+    many = len(rows.select("period").distinct().limit(FEW_PERIODS + 1).collect()) > FEW_PERIODS
+    rows = by_layer(rows, "rows", many)
     seasons = written(season_order(rows).coalesce(1), "seasons")
-    all_turns = written(turns(rows, state), "turns")
-    known = with_seasons(all_turns, seasons)
-    known = known if leagues is None else with_leagues(known, leagues)
-    own = rows.select("game", "side", "entity", "k", "result", *(F.col(c).alias("__as") for c in here))
-    placed = own.join(known, ["entity", "k"])
-    some = F.pmod(F.xxhash64("entity"), F.lit(SPREAD))
-    placed.repartition("layer", some).write.partitionBy("layer").parquet(f"{root}/rows")
-    schema, terms, told = placed.drop("layer").schema, kernel.terms(), None
-    read, meant = (dict(df.collect()) for df in (rows.groupBy("layer").count(), all_turns.join(rows, ["entity", "k"]).groupBy("next").count()))
+    known = with_seasons(turns(rows, state), seasons)
+    known = by_layer(known if leagues is None else with_leagues(known, leagues), "turns", many)
+    counts = lambda by: {r[0]: (r[1], r[2]) for r in known.groupBy(by).agg(F.sum("rows"), F.count("*")).collect()}
+    read, meant, terms, told = counts("layer"), counts("next"), kernel.terms(), None
     # Expressions are made once, for all layers.
     start, (totals, sides), names = moved_state(kernel.rules, leagues is not None), side_columns(bool(here)), ["mu", "s2", "vol"]
     first = [F.col(f"{c}0").alias(c) for c in names]
     either = [F.coalesce(F.col(f"s.{c}"), F.col(f"{c}0")).alias(c) for c in names]
-    moved = [*map(F.col, ("game", "side", "entity", "k", "period", "next", "result")), *(F.col("__as").alias("position") for _ in here), *(start[c].alias(c) for c in names)]
-    given = [*map(F.col, ("game", "side", "entity", "k", "period", *names)), kernel.win().alias("p_win"), *(c.alias(f"__{n}") for n, c in terms.items()), F.col("next")]
+    moved = [*map(F.col, ("entity", "period", "next")), *(start[c].alias(c) for c in names)]
+    given = [*map(F.col, ("game", "side", "entity", "layer", "period", *names)), kernel.win().alias("p_win"), *(c.alias(f"__{n}") for n, c in terms.items()), F.col("next")]
     sums, new = [*(F.first(c).alias(c) for c in names), *(F.sum(f"__{n}").alias(n) for n in terms)], [F.col("entity").alias("__e"), *(c.alias(n) for n, c in kernel.summed().items())]
+    played = rows.select("game", "side", "entity", "result", *here).schema
+    turn = known.drop("layer").schema
     for layer in range(1, len(read) + 1):
         # The few rows of a small layer go to one task without any exchange.
-        few = max(read[layer], meant.get(layer, 0)) <= TOGETHER
+        few = max(read[layer][0], meant.get(layer, (0, 0))[0]) <= TOGETHER
         part = lambda df: df.coalesce(1) if few else df  # noqa: E731, B023
-        now, path = part(spark.read.schema(schema).parquet(f"{root}/rows/layer={layer}")), f"{root}/rated/next={layer}"
+        now, path = part(spark.read.schema(turn).parquet(f"{root}/turns/layer={layer}")), f"{root}/rated/next={layer}"
         if told is not None and layer in meant:
-            old = part(spark.read.schema(told).parquet(path)).groupBy("entity").agg(*sums).select(*new).alias("s")
+            old = part(spark.read.schema(told).parquet(path)).groupBy("entity").agg(*sums).select(*new).alias("s").hint("merge")
             now = now.alias("n").join(old, F.col("n.entity") == F.col("__e"), "left").select("n.*", *either)
         else:
             now = now.select("*", *first)
-        made = now.select(*moved).withColumns(totals).where("__bn > 0 AND __rn > 0").withColumns(sides).select(*given)
-        (made if few else made.repartition("next", some)).write.mode("append").partitionBy("next").parquet(f"{root}/rated")
+        # A few entities, as leagues are, may have very many rows each.
+        now = F.broadcast(now.select(*moved)) if not few and read[layer][1] <= BROADCAST_ROWS else now.select(*moved).hint("merge")
+        games = part(spark.read.schema(played).parquet(f"{root}/rows/layer={layer}")).join(now, "entity")
+        made = games.withColumn("layer", F.lit(layer)).withColumns(totals).where("__bn > 0 AND __rn > 0").withColumns(sides).select(*given)
+        if many and not few:
+            made = made.repartition("next", F.pmod(F.xxhash64("entity"), F.lit(1 + read[layer][0] // A_FILE)))
+        made.write.mode("append").partitionBy("next").parquet(f"{root}/rated")
         told = told or made.drop("next").schema
     if told is None:
-        names = "game long, side string, entity long, k int, period string, mu double, s2 double, vol double, p_win double, "
-        return Rated(spark.createDataFrame([], names + "".join(f"__{n} double, " for n in terms) + "next int"), all_turns, kernel)
-    return Rated(spark.read.schema(told.add("next", "integer")).parquet(f"{root}/rated"), all_turns, kernel)
+        names = "game long, side string, entity long, layer int, period string, mu double, s2 double, vol double, p_win double, "
+        return Rated(spark.createDataFrame([], names + "".join(f"__{n} double, " for n in terms) + "next int"), known, kernel)
+    return Rated(spark.read.schema(told.add("next", "integer")).parquet(f"{root}/rated"), known, kernel)
 
 
 def rating_periods(events: DataFrame, kernel: Kernel, leagues: DataFrame | None = None, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

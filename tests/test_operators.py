@@ -548,6 +548,28 @@ def test_normal_distribution(spark):
     assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], abs=1e-13)
 
 
+def test_a_few_periods_are_layers_and_states_are_not_broadcast(spark, monkeypatch):
+    rng, rows = random.Random(6), []
+    for g in range(60):
+        for side, who, won in zip(("Blue", "Red"), rng.sample(range(12), 2), (1.0, 0.0), strict=True):
+            rows.append((g, day(g), side, who, won, 2024, "l", f"p{g // 20}"))
+    ev = spark.createDataFrame(rows, "game long, played timestamp, side string, entity long, result double, season int, league string, period string")
+    monkeypatch.setattr(ra, "FEW_PERIODS", 2)
+    monkeypatch.setattr(ra, "MANY_ROWS", 1)
+    chunked = ra.in_layers(ev).select("game", "entity", "period", "layer").collect()
+    order = defaultdict(set)
+    for r in chunked:
+        order[r["entity"]].add((r["layer"], r["period"]))
+    assert all(sorted(x) == sorted(x, key=lambda lp: lp[1]) and len({lp[0] for lp in x}) == len(x) for x in order.values())
+    assert {r["layer"] for r in chunked} == set(range(1, max(r["layer"] for r in chunked) + 1))
+    want = {r["entity"]: r["mu"] for r in data(ra.rated(ev, ra.elo()).state())}
+    monkeypatch.setattr(ra, "FEW_PERIODS", 64)
+    monkeypatch.setattr(ra, "layers", None)
+    made = ra.rated(ev, ra.elo()).state()
+    assert {r["entity"]: r["mu"] for r in data(made)} == {k: pytest.approx(v) for k, v in want.items()}
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_normal_tails_keep_their_digits(spark):
     zs = [-7.4, -5.8, -5.6, -3.0, -0.67, -0.66, 0.66, 0.67, 3.0]
     got = [r[0] for r in spark.createDataFrame([(z,) for z in [*zs, None]], "z double").select(c.normal_cdf(F.col("z"))).collect()]
