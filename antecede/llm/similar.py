@@ -1,6 +1,8 @@
 """Near copies by exact Jaccard similarity of shingles: every pair of texts that is similar enough is linked.
 
-No Hamming radius of a fingerprint finds all of them, so this takes filters that lose none.
+Operator 7 comes first: fingerprints of the same shingles, tiles by population counts, exclusive-or, bit
+counts, forests and stars. What it brings together is compared by all shingles, and the links that hold
+stay. No Hamming radius of a fingerprint finds all pairs, so filters that lose none find the rest.
 
 * Prefix and position: all shingles have one order, rare ones first; two sets whose similarity reaches
   p / q share a shingle among the first n - ceil(n p / q) + 1 of each, and what follows the first one
@@ -9,8 +11,9 @@ No Hamming radius of a fingerprint finds all of them, so this takes filters that
 * Parity marks: a bitmap of about two bits for each shingle, in which each shingle turns one bit over.
   The exclusive-or of two marks has at most as many bits as the sets have different shingles.
 
-Texts that share a prefix shingle are compared by their marks, in tiles of bounded size, which leave
-spanning forests; so do the groups that these make, in which texts are compared by all their shingles.
+Prefix shingles that only texts of one component hold, by the links so far, are passed over. Texts that
+share another one are compared by their marks, in tiles of bounded size, which leave spanning forests; so
+do the groups that these make, in which texts are compared by all their shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from antecede.llm.common import ascii_lower, looked_up, mapped, marked, sized_broadcast, slices, text_of, written
-from antecede.llm.simhash import LOWER_BYTES, components, forest, grouped, keep_one
+from antecede.llm.simhash import LOWER_BYTES, components, fingerprints, forest, grouped, keep_one, near_pairs
 
 #: Texts whose shingles are counted for the order, about, and the most of their shingles that it holds.
 SAMPLE, COMMON = 8_192, 300_000
@@ -265,22 +268,41 @@ def in_tiles(rows: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], Iter
     return units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(compare, "u long, v long")
 
 
-def similar_pairs(texts: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """u > v: links that connect all nodes whose similarity is p / q or more, in chains. texts: node, text; rows of one node are equal."""
+def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
+    """u > v: each node with the smallest that chains of fingerprints within the radius lead to, by operator 7. prints: key (the node), fp; written."""
+    nodes = written(prints.select(F.col("key").alias("doc_id"), "key", "fp").distinct(), "nodes")
+    near = grouped(nodes, lambda fps: near_pairs(fps, radius))
+    return near.where("key > component_id").select(F.col("key").alias("u"), F.col("component_id").alias("v"))
+
+
+def labelled(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """`nodes` with c, the smallest node of their component in the written `joined` (u, v), or else their own."""
+    keyed = marked(nodes, F.col("node"), joined, F.col("u"))
+    few = keyed.where("__may").join(joined.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left")
+    rest = keyed.where("NOT __may").withColumn("c", F.col("node"))
+    return few.withColumn("c", F.coalesce("c", "node")).unionByName(rest).drop("__may")
+
+
+def similar_pairs(texts: DataFrame, prints: DataFrame, width: int, p: int, q: int, radius: int) -> DataFrame:
+    """u > v: links that connect all nodes whose similarity is p / q or more, in chains. texts: node, text; rows of one node are equal.
+
+    prints: key (the node) and fp, the fingerprint of its shingles, for each row of `texts`; written.
+    """
+    close = written(confirmed(texts, written(fingerprint_links(prints, radius), "close"), width, p, q), "linked")
     made = prefixes(texts, width, p, q)
-    posted = made.select("node", "n", F.posexplode("tokens").alias("at", "g"))
-    # Counted in parts and looked up by runs: one shingle may be in a third of all texts.
-    shared = written(posted.groupBy("g").agg(F.count("*").alias("holders")).where("holders > 1").select("g"), "shared")
-    several = looked_up(marked(posted, F.col("g"), shared, F.col("g")).where("__may").drop("__may"), shared, "g", F.col("node"))
+    posted = labelled(made.select("node", "n", "tokens"), components(close)).select("node", "n", "c", F.posexplode("tokens").alias("at", "g"))
+    # Counted in parts and looked up by runs: one shingle may be in a third of all texts. Copies and what is linked already need no list.
+    shared = written(posted.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("g"), "shared")
+    several = looked_up(marked(posted.drop("c"), F.col("g"), shared, F.col("g")).where("__may").drop("__may"), shared, "g", F.col("node"))
     lists = written(several.dropDuplicates(["g", "node"]), "lists")
     # Marks are looked up for those alone that share a shingle.
     marks = made.select("node", "m").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     may = written(in_tiles(lists.join(marks, "node"), lambda batches: near_lists(batches, p, q), "m"), "may")
-    return confirmed(texts, may, width, p, q)
+    return close.unionByName(confirmed(texts, may, width, p, q))
 
 
 def confirmed(texts: DataFrame, may: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """As `similar_pairs`, from the written links `may`, whose components hold all similar pairs: in each, texts are compared by all their shingles."""
+    """u > v: links that connect, in chains, all similar pairs inside the components of the written links `may`: in each, texts are compared by all their shingles."""
     joined = components(may)
     groups = written(joined.select(F.col("u").alias("node"), F.col("v").alias("g")).union(joined.select("v", "v")).distinct(), "groups")
     few = marked(texts, F.col("node"), groups, F.col("node")).where("__may").select("node", "text")
@@ -289,13 +311,14 @@ def confirmed(texts: DataFrame, may: DataFrame, width: int, p: int, q: int) -> D
     return in_tiles(held, lambda batches: forests(batches, similar(p, q), "s"), "s")
 
 
-def without_near_copies(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5) -> DataFrame:
+def without_near_copies(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, seed: int = 42, radius: int = 2) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of their component; links join texts whose Jaccard similarity is p / q or more.
 
     Shingles are `width` words in lower case. Null and empty texts and those of white space equal each other; a null doc_id
-    stays only in a component that has no other, and of equal rows one stays; no rows give no rows.
+    stays only in a component that has no other, and of equal rows one stays; no rows give no rows. `seed` and `radius` are
+    those of operator 7's fingerprints; they decide what it finds first, not what is found.
     """
-    key = F.xxhash64(ascii_lower(text_of()))
-    rows = written(docs.select("doc_id", key.alias("key"), key.alias("fp")), "keys")
-    texts = docs.select(key.alias("node"), text_of().alias("text"))
-    return keep_one(docs, grouped(rows, lambda fps: similar_pairs(texts, width, p, q)))
+    prints = fingerprints(docs, width, seed)
+    rows = prints.select("doc_id", "key", F.col("key").alias("fp"))
+    texts = docs.select(F.xxhash64(ascii_lower(text_of())).alias("node"), text_of().alias("text"))
+    return keep_one(docs, grouped(rows, lambda fps: similar_pairs(texts, prints, width, p, q, radius)))
