@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from antecede.operators.slices import SLICE, carried, sliced
+from antecede.operators.slices import RUNS, SLICE, carried, sliced
 
 
 def pair_opponents(df: DataFrame, keys: list[str], side: str, sides: tuple[str, str], columns: list[str], prefix: str = "opp_", strict: bool = False) -> DataFrame:
@@ -188,6 +188,38 @@ def unique_pair_match(left: DataFrame, right: DataFrame, id_: str, group: str, n
     return met.groupBy(id_).agg(F.count("*").alias("n"), F.min("match_id").alias("match_id")).where("n = 1").select(id_, "match_id")
 
 
+#: Rows that a task groups at a time, about. What is dealt into a given number of parts isn't put together again by the size of its files.
+TASK_ROWS = 600_000
+
+
+def link_issues(links: DataFrame, fixtures: DataFrame, link: str) -> DataFrame:
+    """fixture, issue, links: `conflict` and how many, for each fixture with several values of `link`; `no link`, for each row of `fixtures`
+    that `links` lacks; `no fixture`, for each fixture of `links` without an open row. fixtures: fixture, open. A null fixture equals no other.
+
+    Rows are dealt by (fixture, run), so a task holds about TASK_ROWS of them at any size. Runs are of row numbers first, which
+    leaves repeats behind, then of a link's hash: no fixture and no pair goes to one task whole.
+    """
+    parts = max(links.sparkSession.sparkContext.defaultParallelism, -(-(links.count() + fixtures.count()) // TASK_ROWS))
+    # What is known of a fixture: 1 for a link, 2 for an open row.
+    seen = links.select("fixture", link, F.lit(1).alias("known"), F.lit(0).cast("long").alias("rows"))
+    rows = fixtures.where("fixture IS NOT NULL").select("fixture", F.lit(None).cast(links.schema[link].dataType).alias(link), F.when(F.col("open"), 2).otherwise(0).alias("known"), F.lit(1).cast("long").alias("rows"))
+    sums = [F.bit_or("known").alias("known"), F.sum("rows").alias("rows")]
+    run = lambda c: F.pmod(c, F.lit(RUNS)).cast("int")
+    dealt = seen.unionByName(rows).withColumn("run", run(F.monotonically_increasing_id())).repartition(parts, "fixture", "run")
+    pairs = dealt.groupBy("fixture", "run", link).agg(*sums).withColumn("run", run(F.xxhash64(link))).repartition(parts, "fixture", "run")
+    counts = pairs.groupBy("fixture", "run", link).agg(*sums).groupBy("fixture", "run").agg(F.count(link).alias("links"), *sums)
+    one = counts.repartition(parts, "fixture").groupBy("fixture").agg(F.sum("links").alias("links"), *sums)
+    issue = lambda name, when, n, times: F.when(when, F.struct(F.lit(name).alias("issue"), n.alias("links"), times.alias("times")))
+    none, once = F.lit(0).cast("long"), F.lit(1).cast("long")
+    found = F.array_compact(F.array(
+        issue("conflict", F.col("links") > 1, F.col("links"), once),
+        issue("no link", F.col("known").bitwiseAND(1) == 0, none, F.col("rows")),
+        issue("no fixture", F.col("known") == 1, none, once),
+    ))
+    out = one.select("fixture", F.explode(found).alias("x")).select("fixture", "x.issue", "x.links", F.explode(F.sequence(once, F.col("x.times")))).select("fixture", "issue", "links")
+    return out.unionByName(fixtures.where("fixture IS NULL").select("fixture", F.lit("no link").alias("issue"), none.alias("links")))
+
+
 def resolve_names(asked: DataFrame, name: str, known: DataFrame, aliases: DataFrame, suffixes: str) -> DataFrame:
     """name, id, tier: exact without case, then a curated alias, then without suffixes if only one id fits; else no id.
 

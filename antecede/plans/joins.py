@@ -165,11 +165,8 @@ def c16_coverage_grid(t: Tables) -> DataFrame:
 @query("""SELECT l_orderkey AS fixture, 'conflict' AS issue, count(DISTINCT l_suppkey) AS links FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1
     UNION ALL SELECT o_orderkey, 'no link', 0 FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT DISTINCT l_orderkey, 'no fixture', 0 FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')""")
 def c17_link_conflicts(t: Tables) -> DataFrame:
-    linked = t.lineitem.select(F.col("l_orderkey").alias("fixture"), "l_suppkey")
-    conflicts = linked.groupBy("fixture").agg(F.count_distinct("l_suppkey").alias("links")).where("links > 1").select("fixture", F.lit("conflict").alias("issue"), "links")
-    alone = t.orders.select(F.col("o_orderkey").alias("fixture")).join(linked, "fixture", "left_anti").select("fixture", F.lit("no link").alias("issue"), F.lit(0).cast("long").alias("links"))
-    gone = linked.select("fixture").distinct().join(t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("fixture")), "fixture", "left_anti").select("fixture", F.lit("no fixture").alias("issue"), F.lit(0).cast("long").alias("links"))
-    return conflicts.unionByName(alone).unionByName(gone)
+    fixtures = t.orders.select(F.col("o_orderkey").alias("fixture"), (F.col("o_orderstatus") != "P").alias("open"))
+    return j.link_issues(t.lineitem.select(F.col("l_orderkey").alias("fixture"), "l_suppkey"), fixtures, "l_suppkey")
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_totalprice, o_custkey::DOUBLE AS c FROM orders WHERE o_orderkey % 11 <> 0),

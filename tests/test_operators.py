@@ -4,7 +4,7 @@ import datetime as dt
 import math
 import random
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -637,3 +637,24 @@ def test_a_grid_that_is_too_large_is_refused(spark):
     with pytest.raises(ValueError, match="every row"):
         j.coverage_grid(rows, [some, other], acts, ["x", "y", "z"], "state")
     assert j.coverage_grid(rows, [some, other.limit(25)], acts, ["x", "y", "z"], "state").groupBy("coverage").count().where("coverage = 'missing'").first()["count"] >= 1999
+
+
+def test_link_issues_are_those_of_the_plain_rules_in_parts_of_any_size(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(rng.choice([None, *range(40)]), rng.choice([None, *range(3)])) for _ in range(120)] + [(3, k % 70) for k in range(500)] + [(4, 1)] * 500 + [(90, None)]
+    fixtures = [(k, rng.choice([True, False, None])) for k in range(60)] + [(50, True)] * 3 + [(None, True)] * 2
+    want = Counter()
+    for f in {f for f, _ in links}:
+        n = len({x for g, x in links if g == f and x is not None})
+        want.update([(f, "conflict", n)] if n > 1 else [])
+        want.update([] if f is not None and (f, True) in fixtures else [(f, "no fixture", 0)])
+    want.update((f, "no link", 0) for f, _ in fixtures if f is None or f not in {g for g, _ in links})
+    a = spark.createDataFrame(links, "fixture long, supp long").repartition(3)
+    b = spark.createDataFrame(fixtures, "fixture long, open boolean").repartition(2)
+    for most in (600_000, 40):
+        monkeypatch.setattr(j, "TASK_ROWS", most)
+        out = j.link_issues(a, b, "supp")
+        assert Counter((r["fixture"], r["issue"], r["links"]) for r in out.collect()) == want
+    assert j.link_issues(a.limit(0), b.limit(0), "supp").collect() == []
+    # As many parts as the rows ask for, whatever the session's number of partitions; the rows of null fixtures are beside them.
+    assert out.where("fixture IS NOT NULL").rdd.getNumPartitions() >= -(-(len(links) + len(fixtures)) // 40) > int(spark.conf.get("spark.sql.shuffle.partitions"))
